@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import OP8_SQL, op8_decontamination
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": OP8_SQL,
+}
