@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
 from .substring_dedup import op1_substring_dedup
+from .warc import op7_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_warc": op7_warc,
     "op8_decontamination": OP8_SQL,
 }
