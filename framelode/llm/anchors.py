@@ -20,7 +20,7 @@ from . import textarrays as ta
 FLUSH = 3_000_000
 LOW = np.uint64(32)
 
-MARKS = "doc_id long, at binary, n binary"
+MARKS = "doc_id long, at int, n int"
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -43,16 +43,11 @@ def _unpacked_sorted(raw: bytes, dtype) -> np.ndarray:
 
 
 def _marks(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.Table:
-    """Marks as one row for each document."""
-    order = np.argsort(doc, kind="stable")
-    doc, at, n = doc[order], at[order].astype(np.uint32), n[order].astype(np.uint32)
-    i, k = ta.sorted_groups(doc)
-    cut = [slice(a, a + b) for a, b in zip(i.tolist(), k.tolist(), strict=True)]
-    return pa.table({"doc_id": pa.array(doc[i], pa.int64()), "at": pa.array([ta.planes(at[s]) for s in cut], pa.binary()), "n": pa.array([ta.planes(n[s]) for s in cut], pa.binary())})
+    return pa.table({"doc_id": doc.astype(np.int64), "at": at.astype(np.int32), "n": n.astype(np.int32)})
 
 
 def repeated_references(df: DataFrame, hashed: Callable, buckets: int | None = None) -> DataFrame:
-    """Reference spans whose content also stands elsewhere: (doc_id, at, n), packed runs of reference numbers.
+    """Reference spans whose content also stands elsewhere: (doc_id, at, n), runs of reference numbers.
 
     hashed(batches) yields (probes, references, doc, number): the 64-bit hashes of all rolling windows, those of the
     reference blocks (each also among the probes), and each block's doc_id and number in its document. A block is
@@ -108,7 +103,7 @@ def repeated_references(df: DataFrame, hashed: Callable, buckets: int | None = N
 
 
 def repeated_spans(df: DataFrame, hashed: Callable, earlier_stays: bool, buckets: int | None = None) -> DataFrame:
-    """Spans whose content also stands elsewhere: (doc_id, at, n), packed runs of span starts.
+    """Spans whose content also stands elsewhere: (doc_id, at, n), runs of span starts.
 
     hashed(batches) yields (hash, second, doc, at) arrays: two independent 64-bit hashes of each span, its doc_id and
     start. The whole first hash and the bucket, taken from the second, are compared. earlier_stays: the span with the
@@ -169,23 +164,16 @@ def repeated_spans(df: DataFrame, hashed: Callable, earlier_stays: bool, buckets
 
 
 def by_document(marks: DataFrame) -> DataFrame:
-    """One row for each document that has marks: doc_id, marks (an array of packed pieces)."""
+    """One row for each document that has marks: doc_id, marks (an array of <at, n>)."""
     return marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
 
 
 def mark_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last + 1) of every run in a batch's marks column; rows without marks have none."""
-    row, at, n = [], [], []
-    for i, cell in enumerate(column.to_pylist()):
-        for x in cell or ():
-            a = ta.unplanes(x["at"], np.uint32)
-            at.append(a)
-            n.append(ta.unplanes(x["n"], np.uint32))
-            row.append(np.full(len(a), i))
-    if not row:
-        return (np.zeros(0, np.int64),) * 3
-    at = np.concatenate(at).astype(np.int64)
-    return np.concatenate(row), at, at + np.concatenate(n)
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    at, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("at", "n"))
+    return np.repeat(np.arange(len(column)), size), at, at + n
 
 
 def one_text_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

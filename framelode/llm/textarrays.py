@@ -115,7 +115,7 @@ def gathered(batches, size: int, text: str = "text") -> Iterator[pa.RecordBatch]
 
 def planes(values: np.ndarray) -> bytes:
     """Bytes of the values, all first bytes first: the high ones are mostly zero, which block compression folds."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def unplanes(raw: bytes, dtype) -> np.ndarray:
