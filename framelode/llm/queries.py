@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
+from .embedding_dedup import op3_embedding_dedup
 from .substring_dedup import op1_substring_dedup
 from .warc import op7_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op7_warc": op7_warc,
     "op8_decontamination": OP8_SQL,
 }
