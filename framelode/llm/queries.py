@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
 from .embedding_dedup import op3_embedding_dedup
+from .language import op10_language
 from .quality import op9_quality
 from .substring_dedup import op1_substring_dedup
 from .warc import op7_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {
