@@ -5,75 +5,84 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 64
+#: Steps between two rescalings of the running products.
+RESCALE = 4
 
 
-def posteriors(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray):
-    """Marginals of each step, log of the partition sums' total, and expected transition counts.
+def posteriors(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray, counts: bool = True):
+    """Marginals of each step and, with counts, the expected transition counts.
 
     emissions: n x k log potentials; bounds: where chains start in them (m + 1 values); transitions: k x k log
     potentials, applied before each step, the first one too (from a uniform state). Chains are cut into blocks of
     BLOCK steps. Blocks are first reduced to k x k transfer matrices, all at once; a scan over each chain's blocks
-    gives what enters and leaves them; then the steps inside all blocks are filled in together.
+    gives what enters and leaves them; then the steps inside all blocks are filled in together. Blocks stand longest
+    first, so that at each step those still running are a leading slice.
     """
     n, k = emissions.shape
     step = np.exp(transitions)
     lengths = np.diff(bounds)
     blocks = -(-lengths // BLOCK)
     chain = np.repeat(np.arange(len(lengths)), blocks)
+    if not len(chain):
+        return np.zeros((0, k)), np.zeros((k, k))
     first = np.r_[0, np.cumsum(blocks)]
     start = bounds[chain] + BLOCK * (np.arange(len(chain)) - first[chain])
     size = np.minimum(BLOCK, bounds[chain + 1] - start)
-    if not len(chain):
-        return np.zeros((0, k)), 0.0, np.zeros((k, k))
-    top = emissions.max(1)
-    potential = np.exp(emissions - top[:, None])
-    at = np.minimum(start[:, None] + np.arange(BLOCK), n - 1)
-    real = np.arange(BLOCK) < size[:, None]
-    e = potential[at]
+    order = np.argsort(-size, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    start, size = start[order], size[order]
+    running = np.searchsorted(-size, -np.arange(BLOCK), "left")
+    potential = np.exp(emissions - emissions.max(1, keepdims=True))
+    ones, m = np.ones(k), len(chain)
 
-    transfer = np.tile(np.eye(k), (len(chain), 1, 1))
-    log_scale = np.zeros(len(chain))
+    transfer = np.tile(np.eye(k), (m, 1, 1))
     for t in range(BLOCK):
-        new = (transfer @ step) * e[:, t, None, :]
-        total = new.sum((1, 2))
-        transfer = np.where(real[:, t, None, None], new / total[:, None, None], transfer)
-        log_scale += np.where(real[:, t], np.log(total), 0)
+        a = running[t]
+        new = (transfer[:a].reshape(-1, k) @ step).reshape(a, k, k)
+        new *= potential[start[:a] + t][:, None, :]
+        if t % RESCALE == RESCALE - 1:
+            new /= (new.reshape(a, -1) @ np.ones(k * k))[:, None, None]
+        transfer[:a] = new
 
-    enter, leave = np.empty((len(chain), k)), np.empty((len(chain), k))
-    forward, log_sum = np.full((len(lengths), k), 1 / k), 0.0
-    live = np.flatnonzero(blocks > 0)
-    for b in range(int(blocks.max())):
-        live = live[blocks[live] > b]
-        i = first[live] + b
-        enter[i] = forward[live]
-        new = np.einsum("ni,nij->nj", forward[live], transfer[i])
-        total = new.sum(1)
-        log_sum += float(np.log(total).sum())
-        forward[live] = new / total[:, None]
-    backward = np.ones((len(lengths), k))
-    for b in range(int(blocks.max()) - 1, -1, -1):
-        live = np.flatnonzero(blocks > b)
-        i = first[live] + b
-        leave[i] = backward[live]
-        new = np.einsum("nij,nj->ni", transfer[i], backward[live])
-        backward[live] = new / new.sum(1)[:, None]
+    enter, leave = np.empty((m, k)), np.empty((m, k))
+    by_length = np.argsort(-blocks, kind="stable")
+    live = np.searchsorted(-blocks[by_length], -np.arange(int(blocks.max())), "left")
+    forward, backward = np.full((len(lengths), k), 1 / k), np.ones((len(lengths), k))
+    for b in range(len(live)):
+        c = by_length[: live[b]]
+        i = place[first[c] + b]
+        enter[i] = forward[c]
+        new = (forward[c][:, None, :] @ transfer[i])[:, 0]
+        forward[c] = new / (new @ ones)[:, None]
+    for b in range(len(live) - 1, -1, -1):
+        c = by_length[: live[b]]
+        i = place[first[c] + b]
+        leave[i] = backward[c]
+        new = (transfer[i] @ backward[c][:, :, None])[:, :, 0]
+        backward[c] = new / (new @ ones)[:, None]
 
-    alpha, before = np.empty((len(chain), BLOCK, k)), np.empty((len(chain), BLOCK, k))
+    alpha = np.empty((n, k))
+    pairs = np.zeros((k, k))
     for t in range(BLOCK):
-        before[:, t] = enter
-        new = (enter @ step) * e[:, t]
-        enter = np.where(real[:, t, None], new / new.sum(1)[:, None], enter)
-        alpha[:, t] = enter
-    beta = np.empty_like(alpha)
+        a = running[t]
+        at = start[:a] + t
+        new = (enter[:a] @ step) * potential[at]
+        new /= (new @ ones)[:, None]
+        alpha[at] = enter[:a] = new
+    gamma = np.empty((n, k))
     for t in range(BLOCK - 1, -1, -1):
-        beta[:, t] = leave
-        new = (leave * e[:, t]) @ step.T
-        leave = np.where(real[:, t, None], new / new.sum(1)[:, None], leave)
-    gamma = alpha * beta
-    gamma /= gamma.sum(2, keepdims=True)
-    out = np.empty((n, k))
-    out[at[real]] = gamma[real]
-    left, right = before[real], (e * beta)[real]
-    norm = np.einsum("ni,ij,nj->n", left, step, right)
-    pairs = step * (left.T @ (right / norm[:, None]))
-    return out, log_sum + float(log_scale.sum()) + float(top.sum()), pairs
+        a = running[t]
+        at = start[:a] + t
+        gamma[at] = alpha[at] * leave[:a]
+        new = leave[:a] * potential[at]
+        if counts:
+            before = np.full((a, k), 1 / k)
+            inner = np.flatnonzero(~np.isin(at, bounds))
+            before[inner] = alpha[at[inner] - 1]
+            norm = ((before @ step) * new) @ ones
+            pairs += step * (before.T @ (new / norm[:, None]))
+        new = new @ step.T
+        leave[:a] = new / (new @ ones)[:, None]
+    gamma /= (gamma @ ones)[:, None]
+    return gamma, pairs

@@ -30,17 +30,19 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 class Words:
-    """The words of a batch of texts, with the feature numbers of each."""
+    """The words of a batch of texts, and the feature numbers of each different one."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = FOLD[data]
         starts, ends, self.bounds = ta.word_spans(data, offsets, GAP)
-        size = ends - starts
-        self.hashes = ta.span_hashes(ta.BYTE_VALUES[data], starts, ends, WORD)
+        self.starts = starts
+        self.hashes, once, self.which = np.unique(ta.span_hashes(ta.BYTE_VALUES[data], starts, ends, WORD), return_index=True, return_inverse=True)
+        starts, size = starts[once], (ends - starts)[once]
         # word bytes only, each word between two zero bytes
         first = np.cumsum(np.r_[0, size[:-1] + 2]) if len(size) else np.zeros(0, np.int64)
         self.flat = np.zeros(int(size.sum()) + 2 * len(size), np.int64)
-        self.flat[np.repeat(first + 1, size) + ta.within(size)] = data[np.repeat(starts, size) + ta.within(size)]
+        inside = ta.within(size)
+        self.flat[np.repeat(first + 1, size) + inside] = data[np.repeat(starts, size) + inside]
         self.first, self.last = first, first + size + 1
 
     def bytes_features(self) -> list[np.ndarray]:
@@ -52,7 +54,7 @@ class Words:
         return [self.hashed(two, 1), self.hashed(three, 2)]
 
     def word_features(self) -> list[np.ndarray]:
-        """A feature for each word and affix."""
+        """A feature for each different word and affix."""
         b, i, j = self.flat, self.first, self.last
         head = b[i + 1] << 8 | b[i + 2] if len(i) else i
         tail = b[j - 1] << 8 | b[j - 2] if len(i) else i
@@ -73,7 +75,7 @@ class Field:
         self.lexicon, self.lexicon_weights = np.zeros(0, np.uint64), np.zeros((1, k), np.float32)
 
     def entry(self, words: Words) -> np.ndarray:
-        """The lexicon entry of each word; words outside it have the last, which stays zero."""
+        """The lexicon entry of each different word; words outside it have the last, which stays zero."""
         at = np.searchsorted(self.lexicon, words.hashes)
         known = at < len(self.lexicon)
         known[known] = self.lexicon[at[known]] == words.hashes[known]
@@ -87,14 +89,14 @@ class Field:
         out = np.add.reduceat(total, words.first, axis=0).astype(np.float64)
         for f in words.word_features():
             out += self.weights[f]
-        return out + self.lexicon_weights[self.entry(words)]
+        return (out + self.lexicon_weights[self.entry(words)])[words.which]
 
     def learn(self, texts: list[bytes], labels: list[int]) -> Field:
         """Gradient ascent over a shuffled sample, steps scaled by past gradients."""
         k, rng = len(self.langs), np.random.default_rng(10)
         if k < 2:
             return self
-        rows = [Words(np.frombuffer(t, np.uint8), np.array([0, len(t)])).hashes for t in texts]
+        rows = [w.hashes[w.which] for w in (Words(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts)]
         hashes, of = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
         frequent = [h[np.argsort(-c, kind="stable")[:LEXICON]] for h, c in (np.unique(hashes[of == i], return_counts=True) for i in range(k))]
         self.lexicon = np.unique(np.concatenate(frequent))
@@ -127,12 +129,11 @@ class Field:
             return
         k = len(self.langs)
         # a whitespace token may hold several words, or none
-        data = FOLD[np.frombuffer(text, np.uint8)]
-        starts = ta.word_spans(data, np.array([0, len(data)]), GAP)[0]
-        label = owner[np.searchsorted(np.cumsum(sizes + 1), starts, "right")]
-        gamma, _, pairs = crf.posteriors(self.emissions(words), words.bounds, self.transitions)
+        label = owner[np.searchsorted(np.cumsum(sizes + 1), words.starts, "right")]
+        gamma, pairs = crf.posteriors(self.emissions(words), words.bounds, self.transitions)
         error = -gamma
         error[np.arange(len(label)), label] += 1
+        error = np.stack([np.bincount(words.which, error[:, c], len(words.first)) for c in range(k)], 1)
         share = np.repeat(error, words.last - words.first + 1, axis=0)
         gradient = np.zeros((FEATURES, k))
         for c in range(k):
@@ -156,7 +157,7 @@ class Field:
         words = Words(data, offsets)
         n, k = len(column), len(self.langs)
         texts = np.repeat(np.arange(n), np.diff(words.bounds))
-        gamma, _, _ = crf.posteriors(self.emissions(words), words.bounds, self.transitions)
+        gamma, _ = crf.posteriors(self.emissions(words), words.bounds, self.transitions, counts=False)
         share = np.stack([np.bincount(texts, gamma[:, c], n) for c in range(k)], 1) if k else np.zeros((n, 1))
         total = share.sum(1)
         best, score = share.argmax(1), share.max(1) / np.maximum(total, 1e-12)
