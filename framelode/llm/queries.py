@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP8_SQL, op8_decontamination
 from .embedding_dedup import op3_embedding_dedup
 from .language import op10_language
+from .lm_scoring import op4_lm_scoring
 from .quality import op9_quality
 from .substring_dedup import op1_substring_dedup
 from .warc import op7_warc
@@ -12,6 +13,7 @@ from .warc import op7_warc
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
