@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_decontamination
 from .embedding_dedup import op3_embedding_dedup
+from .jaccard_join import op6_jaccard_join
 from .language import op10_language
 from .lm_scoring import op4_lm_scoring
 from .quality import op9_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_lm_scoring": op4_lm_scoring,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
