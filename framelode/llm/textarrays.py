@@ -158,3 +158,20 @@ def sorted_groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1]
     return at, np.diff(np.r_[at, len(values)])
+
+
+class Spans:
+    """Hashes of any spans of one byte array, by prefix sums of two independent polynomials."""
+
+    def __init__(self, data: np.ndarray, bases: tuple[int, ...]):
+        values = BYTE_VALUES[data]
+        self.parts = []
+        for base in bases:
+            up, down = powers(base, len(values))
+            total = np.zeros(len(values) + 1, U64)
+            np.cumsum(values * up[: len(values)], out=total[1:])
+            self.parts.append((total, down))
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, part: int = 0) -> np.ndarray:
+        total, down = self.parts[part]
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
