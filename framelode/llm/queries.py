@@ -7,14 +7,18 @@ from .embedding_dedup import op3_embedding_dedup
 from .jaccard_join import op6_jaccard_join
 from .language import op10_language
 from .lm_scoring import op4_lm_scoring
+from .mixing import OP2_SQL, op2_mixing
 from .quality import op9_quality
 from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op5_suffix_dedup
 from .warc import op7_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing": op2_mixing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
@@ -23,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op7_warc": op7_warc,
     "op8_decontamination": OP8_SQL,
