@@ -150,10 +150,12 @@ def lm_scores(docs: DataFrame, train: Column, strengths: tuple[float, ...] = STR
     Repeated rows count and are scored each; null ids are kept. Without training rows every token is unknown.
     """
     order = 1 + len(strengths)
-    buckets = bucket_count(docs)
+    # cells of (shard, bucket) grow with the square of these, so there are fewer buckets
+    shards = bucket_count(docs)
+    buckets = max(1, shards // 4)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     total, kinds, texts = _stats(rows, buckets)
-    sharded = rows.withColumn("shard", F.expr(f"CAST(pmod(xxhash64(doc_id, text), {buckets}) AS int)"))
+    sharded = rows.withColumn("shard", F.expr(f"CAST(pmod(xxhash64(doc_id, text), {shards}) AS int)"))
 
     def send(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

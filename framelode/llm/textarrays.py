@@ -13,6 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+ZSTD = pa.Codec("zstd", compression_level=1)
 _PRIME = 0x9E3779B97F4A7C15 | 1
 
 
@@ -114,12 +115,14 @@ def gathered(batches, size: int, text: str = "text") -> Iterator[pa.RecordBatch]
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Bytes of the values, all first bytes first: the high ones are mostly zero, which block compression folds."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """The values' bytes, all first bytes first, compressed: the high ones are mostly zero or nearly so."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return b"\0" + raw if len(raw) < 256 else b"\1" + len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
 
 
 def unplanes(raw: bytes, dtype) -> np.ndarray:
     """The values that planes() packed."""
+    raw = raw[1:] if raw[:1] != b"\1" else ZSTD.decompress(raw[9:], int.from_bytes(raw[1:9], "little"), asbytes=True)
     width = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
