@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .shared import attach, written
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links with the same components, but fewer: of the ends b of a node a, the smallest takes a and the others.
+
+    For links (a, b) where few different b stand at each a, as in the forests that tasks return: a node has at most one
+    root for each group that it was compared in. Roots recur, so most of the new links are the same.
+    """
+    ends = links.groupBy("a").agg(F.collect_set("b").alias("ends")).withColumn("least", F.least("a", F.array_min("ends")))
+    return ends.select(F.explode(F.concat(F.array("a"), "ends")).alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b: long): the smallest node that it reaches.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import lattice
 from . import textarrays as ta
 from .anchors import bucket_count
-from .components import components
+from .components import components, contracted
 from .shared import attach, written
 
 BLOCK = 2048
@@ -187,7 +187,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     members = written(members, "members")
     reps = keyed.select("vec_id", "embedding").join(members.where("vec_id = rep"), "vec_id").select("rep", "copies", "embedding")
     links, edges = embedding_links(reps, cosine, recall, probes)
-    found = links.join(components(edges), F.col("rep") == F.col("node"), "left").select("rep", "n_links", F.coalesce("component", "rep").alias("component"))
+    found = links.join(components(contracted(edges)), F.col("rep") == F.col("node"), "left").select("rep", "n_links", F.coalesce("component", "rep").alias("component"))
     held = members.groupBy("rep").agg(F.max("copies").alias("held"))
     answers = attach(members, held.join(found, "rep").select("rep", "held", "n_links", "component"), "rep", "held", "vec_id")
     answers = answers.select("vec_id", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .anchors import bucket_count
-from .components import components
+from .components import components, contracted
 from .embedding_dedup import _forest
 from .shared import attach, written
 
@@ -196,7 +196,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE
     members = written(members.select("doc_id", "version", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("group", F.lit(1).cast("long")).alias("copies")), "members")
     reps = members.where("doc_id = rep AND n > 0")
     met = written(candidates(reps.select("rep").join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep"), threshold, recall), "met")
-    clusters = components(met)
+    clusters = components(contracted(met))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n_cluster"))
     sized = attach(clusters, sizes.withColumn("size", F.col("n_cluster")), "component", "n_cluster", "node")
     wanted = written(sized.join(reps, sized.node == reps.rep).select("doc_id", "version", "copies", F.col("component").alias("cluster"), "size"), "wanted")
@@ -207,7 +207,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE
             cut = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
             yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in ("doc_id", "copies", "cluster", "size")), pa.array([h[a:b].tobytes() for a, b in cut], pa.binary())], ["doc_id", "copies", "cluster", "size", "tokens"])
 
-    loaded = rows.join(wanted, ["doc_id", "version"]).select("doc_id", "copies", "cluster", "size", "text").mapInArrow(load, "doc_id long, copies long, cluster long, size long, tokens binary").dropDuplicates(["doc_id"])
+    # both sides are shuffled whatever their size, so that the plan is the same at any
+    loaded = rows.join(wanted.hint("merge"), ["doc_id", "version"]).select("doc_id", "copies", "cluster", "size", "text").mapInArrow(load, "doc_id long, copies long, cluster long, size long, tokens binary").dropDuplicates(["doc_id"])
 
     def verify(table: pa.Table) -> pa.Table:
         table, groups = _groups(table, "cluster")
@@ -241,7 +242,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE
 
     verified = written(in_block_pairs(loaded, "cluster", "doc_id", BLOCK, buckets).groupBy("bucket").applyInArrow(verify, "rep long, links long, root long"), "verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(verified.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    classes = components(contracted(verified.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
     found = links.join(classes, links.rep == classes.node).select("rep", "links", "component")
     held = members.groupBy("rep").agg(F.max("copies").alias("held"))
     answers = attach(members, held.join(found, "rep").select("rep", "held", "links", "component"), "rep", "held", "doc_id")
