@@ -42,8 +42,14 @@ DISCOUNT = 0.5
 ROWS = "bucket int, shard int, grams binary, counts binary"
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each text START, its word hashes and END; and where texts start (n + 1 values)."""
+def tokens(column: pa.Array, size: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each text START, its word hashes and END; and where texts start (n + 1 values). Works size bytes at a time."""
+    parts = [_tokens(p.column(0)) for p in ta.pieces([pa.RecordBatch.from_arrays([column], ["text"])], size)]
+    ends = np.cumsum([0] + [len(s) for s, _ in parts])
+    return np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in parts)]), np.concatenate([*(at[:-1] + e for (_, at), e in zip(parts, ends, strict=False)), ends[-1:]])
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = ta.text_bytes(column)
     data = FOLD[data]
     starts, ends, bounds = ta.word_spans(data, offsets)
@@ -150,9 +156,9 @@ def lm_scores(docs: DataFrame, train: Column, strengths: tuple[float, ...] = STR
     Repeated rows count and are scored each; null ids are kept. Without training rows every token is unknown.
     """
     order = 1 + len(strengths)
-    # cells of (shard, bucket) grow with the square of these, so there are fewer buckets
-    shards = bucket_count(docs)
-    buckets = max(1, shards // 4)
+    # three shards and half as many buckets for each shuffle partition: their cells grow with the square
+    shards = max(1, bucket_count(docs) * 3 // 4)
+    buckets = max(1, shards // 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     total, kinds, texts = _stats(rows, buckets)
     sharded = rows.withColumn("shard", F.expr(f"CAST(pmod(xxhash64(doc_id, text), {shards}) AS int)"))

@@ -126,7 +126,7 @@ def refine(first: np.ndarray, depth: np.ndarray, labels: np.ndarray) -> tuple[np
         i, size = ta.sorted_groups(block[live])
         several = np.repeat(size > 1, size)
         live = live[several]
-        prefix[live] = k
+        prefix[live] = np.minimum(k, depth[live])
         if not (depth[live] > k).any():
             break
         # 0 stands for a suffix whose labels end here
