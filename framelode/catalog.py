@@ -6,6 +6,8 @@ results are rounded on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,7 @@ from framelode.functions import arrays as ar
 from framelode.functions import numbers as nb
 from framelode.operators import masks, overlap, quality, reuse, statistics, tasks, timing
 from framelode.plans import shards, windows
+from framelode.streaming import frames as streams
 
 FLAGSHIP = "window_plan"
 INFER, OVERLAP = 17, 3
@@ -554,3 +557,43 @@ def byte_values(spark, sf_dir: str) -> DataFrame:
 @query("WITH i AS (SELECT unnest(range(40)) AS i) SELECT i, round(1 - CASE WHEN i < 20 THEN i * 0.025 / 20 ELSE (19.0 / 8000) * i * i + (0.025 / 20 - 2 * 19.0 / 400) * i + (19.0 / 8000) * 400 END, 9) AS sigma FROM i")
 def sigma_schedule(spark, sf_dir: str) -> DataFrame:
     return spark.range(40).select(F.col("id").alias("i"), F.round(nb.linear_quadratic(F.col("id"), 40), 9).alias("sigma"))
+
+
+# --- streams ------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir: str) -> DataFrame:
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/event[s].parquet")
+    return rows.select(F.col("user_id").alias("clip"), "ts", "event_id", F.col("event_type").alias("kind"), "value")
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelode-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{_PLAN} SELECT clip, window_index, load_start, load_end, load_start AS stable_start, load_start + {INFER - OVERLAP} AS stable_end FROM p WHERE load_end - load_start = {INFER}", "clips")
+def stream_windows(spark, sf_dir: str) -> DataFrame:
+    return streams.collected(streams.fired_windows(_stream(spark, sf_dir).select("clip", "ts"), INFER, OVERLAP), _folder(spark, "windows"), "append").drop("batch")
+
+
+@query(ORACLES["task_history"])
+def stream_task_states(spark, sf_dir: str) -> DataFrame:
+    changes = _stream(spark, sf_dir).select("clip", "ts", "event_id", F.expr(_STATUS_OF).alias("status"))
+    seen = streams.collected(streams.task_states(changes), _folder(spark, "states"), "update")
+    return seen.groupBy("clip").agg(F.max(F.struct("batch", "steps", "bad_steps", "last_status")).alias("s")).select("clip", "s.steps", "s.bad_steps", "s.last_status")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def stream_daily_sums(spark, sf_dir: str) -> DataFrame:
+    seen = streams.collected(streams.daily_sums(_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "30 days"), _folder(spark, "days"), "update")
+    last = seen.groupBy("day", "kind").agg(F.max(F.struct("batch", "n", "value")).alias("s"))
+    return rounded(last.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "kind", "s.n", "s.value"), "value", digits=4)
+
+
+@query("g AS (SELECT clip, ts, CASE WHEN lag(ts) OVER (PARTITION BY clip ORDER BY ts) IS NULL OR ts >= lag(ts) OVER (PARTITION BY clip ORDER BY ts) + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS new FROM frames), s AS (SELECT clip, ts, sum(new) OVER (PARTITION BY clip ORDER BY ts) AS session FROM g) SELECT clip, min(ts) AS start, count(*) AS frames FROM s GROUP BY clip, session", "frames")
+def scene_sessions(spark, sf_dir: str) -> DataFrame:
+    rows = bd.table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), "ts")
+    return rows.groupBy("clip", F.session_window("ts", "12 hours").alias("s")).agg(F.count("*").alias("frames")).select("clip", F.col("s.start").alias("start"), "frames")
