@@ -42,7 +42,7 @@ def posteriors(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarra
         new = (transfer[:a].reshape(-1, k) @ step).reshape(a, k, k)
         new *= potential[start[:a] + t][:, None, :]
         if t % RESCALE == RESCALE - 1:
-            new /= (new.reshape(a, -1) @ np.ones(k * k))[:, None, None]
+            new /= (new.reshape(a, k * k) @ np.ones(k * k))[:, None, None]
         transfer[:a] = new
 
     enter, leave = np.empty((m, k)), np.empty((m, k))

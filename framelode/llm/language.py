@@ -153,18 +153,20 @@ class Field:
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and share of each text of a batch."""
+        n, k = len(column), len(self.langs)
+        if not k:
+            return ["und"] * n, np.zeros(n)
         data, offsets = ta.text_bytes(column)
         words = Words(data, offsets)
-        n, k = len(column), len(self.langs)
         texts = np.repeat(np.arange(n), np.diff(words.bounds))
         gamma, _ = crf.posteriors(self.emissions(words), words.bounds, self.transitions, counts=False)
-        share = np.stack([np.bincount(texts, gamma[:, c], n) for c in range(k)], 1) if k else np.zeros((n, 1))
+        share = np.stack([np.bincount(texts, gamma[:, c], n) for c in range(k)], 1)
         total = share.sum(1)
         best, score = share.argmax(1), share.max(1) / np.maximum(total, 1e-12)
         # texts without an ASCII letter may still be without any: digits, dashes, pictures
         letters = np.r_[0, np.cumsum((FOLD[data] >= 97) & (FOLD[data] <= 122))]
         plain = letters[offsets[1:]] > letters[offsets[:-1]]
-        fine = np.array([p or any(c.isalpha() for c in bytes(data[a:b]).decode("utf-8", "replace")) for p, a, b in zip(plain, offsets[:-1], offsets[1:], strict=True)], bool) & (total > 0) & (k > 0)
+        fine = np.array([p or any(c.isalpha() for c in bytes(data[a:b]).decode("utf-8", "replace")) for p, a, b in zip(plain, offsets[:-1], offsets[1:], strict=True)], bool) & (total > 0)
         return [self.langs[b] if f else "und" for b, f in zip(best, fine, strict=True)], np.where(fine, score, 0.0).clip(0, 1)
 
 
