@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from framelode import bindings as bd
 from framelode.functions import arrays as ar
 from framelode.functions import numbers as nb
-from framelode.operators import masks, overlap, quality, reuse, statistics, tasks, timing
+from framelode.operators import masks, overlap, quality, reuse, statistics, tasks, tensors, timing
 from framelode.plans import shards, windows
 from framelode.streaming import frames as streams
 
@@ -597,3 +597,76 @@ def stream_daily_sums(spark, sf_dir: str) -> DataFrame:
 def scene_sessions(spark, sf_dir: str) -> DataFrame:
     rows = bd.table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), "ts")
     return rows.groupBy("clip", F.session_window("ts", "12 hours").alias("s")).agg(F.count("*").alias("frames")).select("clip", F.col("s.start").alias("start"), "frames")
+
+
+# --- tensors ------------------------------------------------------------------------------------------------------
+
+
+def _cells(spark, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 grids."""
+    return bd.vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.posexplode("v").alias("place", "x")).select("id", F.expr("CAST(place div 8 AS BIGINT)").alias("row"), F.expr("CAST(place % 8 AS BIGINT)").alias("col"), "x")
+
+
+_CELLS = "cells AS (SELECT vec_id AS id, unnest(range(64)) // 8 AS row, unnest(range(64)) % 8 AS col, unnest(v) AS x FROM vectors)"
+
+
+@query(f"{_CELLS} SELECT id, row // 2 * 4 + col // 2 AS token, row % 2 * 2 + col % 2 AS place, round(x, 6) AS x FROM cells", "vectors")
+def pack_patches(spark, sf_dir: str) -> DataFrame:
+    return rounded(tensors.packed(_cells(spark, sf_dir), 2, 8), "x")
+
+
+@query(f"{_CELLS} SELECT id, row, col, round(x, 6) AS x FROM cells", "vectors")
+def unpack_patches(spark, sf_dir: str) -> DataFrame:
+    return rounded(tensors.unpacked(tensors.packed(_cells(spark, sf_dir), 2, 8), 2, 8), "x")
+
+
+@query(f"{_CHANNELS}, st AS (SELECT channel, avg(x) AS mean, sqrt(var_samp(x) + 1e-5) AS std FROM ch GROUP BY channel) SELECT vec_id, channel, round((x - mean) * 0.5 / std, 6) AS y FROM ch JOIN st USING (channel)", "vectors")
+def normalize_latents(spark, sf_dir: str) -> DataFrame:
+    rows = _channels(spark, sf_dir)
+    out = tensors.normalized(rows, statistics.channel_stats(rows), 0.5)
+    return rounded(out.select("vec_id", F.col("channel").cast("long").alias("channel"), "y"), "y")
+
+
+@query(f"{_CHANNELS} SELECT a.vec_id AS m, b.label AS n, round(sum(a.x * b.x), 6) AS y FROM ch a JOIN (SELECT label, channel, avg(x) AS x FROM ch GROUP BY ALL) b USING (channel) GROUP BY ALL", "vectors")
+def matrix_product(spark, sf_dir: str) -> DataFrame:
+    rows = _channels(spark, sf_dir)
+    weights = rows.groupBy(F.col("channel").alias("k"), F.col("label").alias("n")).agg(F.avg("x").alias("w"))
+    return rounded(tensors.product(rows.select(F.col("vec_id").alias("m"), F.col("channel").alias("k"), "x"), weights), "y")
+
+
+@query("kq AS (SELECT vec_id AS k, v FROM vectors WHERE vec_id % 50 = 0), s AS (SELECT a.vec_id AS q, b.v AS value, exp(list_dot_product(a.v, b.v) * 8) AS w FROM vectors a, kq b), e AS (SELECT q, w, unnest(range(64)) AS place, unnest(value) AS x FROM s) SELECT q, place, round(sum(w * x) / sum(w), 6) AS y FROM e GROUP BY ALL", "vectors")
+def attention(spark, sf_dir: str) -> DataFrame:
+    rows = bd.vectors(spark, sf_dir)
+    keys = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("k"), "v", F.col("v").alias("value"))
+    out = tensors.attention(rows.select(F.col("vec_id").alias("q"), "v"), keys, 8.0)
+    return rounded(out.select("q", F.col("place").cast("long").alias("place"), "y"), "y")
+
+
+@query("WITH t AS (SELECT unnest(range(50)) AS t), e AS (SELECT t, unnest(range(16)) AS place FROM t) SELECT t, place, round(CASE WHEN place < 8 THEN cos(t * pow(10000.0, -place / 8)) ELSE sin(t * pow(10000.0, -(place - 8) / 8)) END, 6) AS y FROM e")
+def timestep_embedding(spark, sf_dir: str) -> DataFrame:
+    out = tensors.timestep_embedding(spark.range(50).select(F.col("id").alias("t")), 16)
+    return out.select("t", F.posexplode("emb").alias("place", "y")).select("t", F.col("place").cast("long").alias("place"), F.round("y", 6).alias("y"))
+
+
+@query("c AS (SELECT clip AS branch, frame AS step, value AS x, CASE WHEN frame < 20 THEN 'a' ELSE 'b' END AS layout FROM frames WHERE frame % 3 <> 1) SELECT branch, step + 1 AS step, round(x + coalesce((x - lag(x) OVER (PARTITION BY branch, layout ORDER BY step)) / (step - lag(step) OVER (PARTITION BY branch, layout ORDER BY step)), 0), 6) AS guess FROM c", "frames")
+def bounded_prediction(spark, sf_dir: str) -> DataFrame:
+    rows = bd.frames(spark, sf_dir).where("frame % 3 <> 1").select(F.col("clip").alias("branch"), F.col("frame").alias("step"), F.col("value").alias("x"), F.when(F.col("frame") < 20, "a").otherwise("b").alias("layout"))
+    return rounded(tensors.predicted(rows), "guess")
+
+
+@query("WITH p AS (SELECT p_partkey AS task, p_partkey % 7 * (p_partkey % 2) AS rank FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY task) - 1 AS round FROM p), g AS (SELECT a.rank, b.round FROM (SELECT unnest(range(8)) AS rank) a, (SELECT unnest(range((SELECT max(round) + 1 FROM r))) AS round) b) SELECT g.round, g.rank, task FROM g LEFT JOIN r ON r.rank = g.rank AND r.round = g.round")
+def plan_rounds(spark, sf_dir: str) -> DataFrame:
+    plan = bd.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task"), F.expr("p_partkey % 7 * (p_partkey % 2)").cast("long").alias("rank"))
+    return tensors.rounds(plan, spark.range(8).select(F.col("id").alias("rank")))
+
+
+@query("WITH d AS (SELECT DISTINCT l_orderkey AS row, l_suppkey AS col FROM lineitem), s AS (SELECT row, col, col - coalesce(lag(col) OVER (PARTITION BY row ORDER BY col), 0) AS delta FROM d) SELECT row, count(*) AS count, string_agg(delta, ',' ORDER BY col) AS deltas FROM s GROUP BY row")
+def block_table(spark, sf_dir: str) -> DataFrame:
+    pairs = bd.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_suppkey").alias("col"))
+    return tensors.delta_table(pairs).withColumn("deltas", F.array_join("deltas", ","))
+
+
+@query("SELECT clip, frame, value, value + 1 AS other FROM frames", "frames")
+def paired_frames(spark, sf_dir: str) -> DataFrame:
+    rows = bd.frames(spark, sf_dir).select("clip", "frame", "value")
+    return tensors.paired(rows, rows.withColumn("value", F.col("value") + 1))
