@@ -49,7 +49,6 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
     null or wordless items have no windows; rows with a null id are left out on both sides. Of several rows with one
     doc_id the smallest text stands for it; repeated item ids are parts of one item. Other columns aren't looked at.
     """
-    spark = docs.sparkSession
     item_windows = benchmark_windows(benchmark, window, item_col, item_text_col)
     phrases = item_windows.select("phrase", "size").distinct()
     # the shingles of each window, and the rarest as its token; a window under five words is its own shingle
@@ -66,10 +65,11 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
     n_tokens = prefix.count()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hashed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    found = spark.createDataFrame([], "token long, doc_id long, n int, p int")
-    for k in sizes:
+    found = None
+    for k in sizes or [SHINGLE]:
         rolling = hashed.select("doc_id", F.size("h").alias("n"), F.posexplode(_shingles("h", k)).alias("p", "token"))
-        found = found.unionByName(rolling.join(bounded(prefix.select("token").distinct(), n_tokens), "token", "left_semi"))
+        rolling = rolling.join(bounded(prefix.select("token").distinct(), n_tokens), "token", "left_semi")
+        found = rolling if found is None else found.unionByName(rolling)
     near = found.join(prefix, "token").select("doc_id", "phrase", "size", (F.col("p") - F.col("offset")).alias("start"), "n").where("start >= 0 AND start + size <= n")
     near = near.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "phrase")).alias("near"))
     texts = one_text_each(docs, id_col, text_col).join(near, "doc_id", "left").select("doc_id", words_of(F.col("text")).alias("words"), "near")
