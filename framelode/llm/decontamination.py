@@ -38,7 +38,7 @@ def benchmark_windows(benchmark: DataFrame, window: int, item_col: str, text_col
     """(item_id, phrase, size): each window of each item, its words joined by one space."""
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).where("item_id IS NOT NULL AND size(words) > 0")
     starts = F.expr(f"sequence(1, greatest(size(words) - {window} + 1, 1))")
-    return items.select("item_id", "words", F.explode(starts).alias("s")).select("item_id", F.expr(f"array_join(slice(words, s, {window}), ' ')").alias("phrase"), F.expr(f"least(size(words), {window})").alias("size")).distinct()
+    return items.select("item_id", "words", F.explode(starts).alias("s")).select("item_id", F.expr(f"array_join(transform(sequence(s - 1, least(s + {window} - 1, size(words)) - 1), k -> get(words, k)), ' ')").alias("phrase"), F.expr(f"least(size(words), {window})").alias("size")).distinct()
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -73,7 +73,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
     near = found.join(prefix, "token").select("doc_id", "phrase", "size", (F.col("p") - F.col("offset")).alias("start"), "n").where("start >= 0 AND start + size <= n")
     near = near.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "phrase")).alias("near"))
     texts = one_text_each(docs, id_col, text_col).join(near, "doc_id", "left").select("doc_id", words_of(F.col("text")).alias("words"), "near")
-    sure = texts.select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr("filter(coalesce(near, array()), x -> array_join(slice(words, x.start + 1, x.size), ' ') = x.phrase)").alias("hits"))
+    sure = texts.select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr("filter(coalesce(near, array()), x -> array_join(transform(sequence(0, x.size - 1), k -> get(words, x.start + k)), ' ') = x.phrase)").alias("hits"))
     phrase_items = item_windows.select("phrase", F.col("item_id").cast("string").alias("item_id"))
     items = sure.where("size(hits) > 0").select("doc_id", F.explode(F.array_distinct(F.col("hits.phrase"))).alias("phrase")).join(phrase_items, "phrase").groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     hit = F.expr("size(array_distinct(flatten(transform(hits, x -> sequence(x.start, x.start + x.size - 1)))))")
