@@ -21,6 +21,10 @@ SHINGLE = 5
 BROADCAST_TOKENS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The candidates whose words are those of the phrase. The words are bound once, outside the filter: where the optimizer
+#: puts their expression in place of the column, a text would otherwise be split anew for each word looked up.
+HITS = """get(transform(array(words), w -> filter(coalesce(near, array()),
+    x -> array_join(transform(sequence(0, x.size - 1), k -> get(w, x.start + k)), ' ') = x.phrase)), 0)"""
 
 
 def words_of(text):
@@ -73,7 +77,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
     near = found.join(prefix, "token").select("doc_id", "phrase", "size", (F.col("p") - F.col("offset")).alias("start"), "n").where("start >= 0 AND start + size <= n")
     near = near.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size", "phrase")).alias("near"))
     texts = one_text_each(docs, id_col, text_col).join(near, "doc_id", "left").select("doc_id", words_of(F.col("text")).alias("words"), "near")
-    sure = texts.select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr("filter(coalesce(near, array()), x -> array_join(transform(sequence(0, x.size - 1), k -> get(words, x.start + k)), ' ') = x.phrase)").alias("hits"))
+    sure = texts.select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr(HITS).alias("hits"))
     phrase_items = item_windows.select("phrase", F.col("item_id").cast("string").alias("item_id"))
     items = sure.where("size(hits) > 0").select("doc_id", F.explode(F.array_distinct(F.col("hits.phrase"))).alias("phrase")).join(phrase_items, "phrase").groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     hit = F.expr("size(array_distinct(flatten(transform(hits, x -> sequence(x.start, x.start + x.size - 1)))))")
