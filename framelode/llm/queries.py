@@ -28,7 +28,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
-    "op3_embedding_dedup": op3_embedding_dedup,
-    "op7_warc": op7_warc,
     "op8_decontamination": OP8_SQL,
 }
