@@ -3,8 +3,8 @@
 Documents become weighted bags of hashed terms: words, the shapes of words (case, digits, marks), pairs of neighbouring
 shapes and words that repeat the one before. A bounded sample of labelled documents is turned into a term matrix, and
 its truncated singular value decomposition gives the latent space. The labelled vectors are broadcast (at most
-SAMPLE x DIMENSIONS floats); every document is compared with all of them in blocks, and its nearest ones vote, weighted
-by their cosine.
+2 x SAMPLE x DIMENSIONS floats); every document is compared with all of them in blocks, and its nearest ones vote,
+weighted by their cosine and by how many labels of their class each of the sample stands for.
 """
 
 from __future__ import annotations
@@ -67,8 +67,9 @@ def term_counts(column: pa.Array) -> np.ndarray:
 class LatentSpace:
     """Term weights, axes and labelled vectors, as fitted on a sample."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, prior: float):
-        self.prior, self.labels = prior, labels.astype(np.float32)
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, prior: float, votes: np.ndarray):
+        """votes: what a label 0 and a label 1 of the sample count, each for its class's share of all labels."""
+        self.prior, self.labels, self.votes = prior, labels.astype(np.float32), votes[labels.astype(np.int64)]
         self.weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(0.1)
         x = self.weighted(counts)
         rng = np.random.default_rng(9)
@@ -98,7 +99,7 @@ class LatentSpace:
         cosine = self.unit(self.weighted(counts) @ self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 4
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** 4 * self.votes[near]
         return (((weight * self.labels[near]).sum(1) + PRIOR_WEIGHT * self.prior) / (weight.sum(1) + PRIOR_WEIGHT)).clip(0, 1)
 
 
@@ -110,6 +111,9 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentSpace:
     """Learns from up to sample labelled documents of each class, taken by a hash of their id.
 
+    A class above the bound is thinned, so each of its votes counts as many times more: scores follow the natural mix of
+    all labels, whether the bound is reached or not.
+
     docs: doc_id, text; labels: doc_id, quality (0 or 1; other values and nulls aren't used, of a repeated id the
     smallest label counts). Only term counts of the sample reach the driver: at most 2 x sample rows of fixed length.
     """
@@ -125,8 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentSpace
 
     rows = sorted(chosen.mapInArrow(count, "doc_id long, quality int, terms binary").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
     total = sum(shares.values())
+    # a class's share of all labels over its share of the sample
+    drawn = {q: min(n, sample) for q, n in shares.items()}
+    votes = np.array([shares[q] / drawn[q] * sum(drawn.values()) / total if drawn.get(q) else 1.0 for q in (0, 1)])
     counts = np.frombuffer(b"".join(bytes(r.terms) for r in rows), np.float32).reshape(len(rows), WORD_TERMS + SHAPE_TERMS)
-    return LatentSpace(counts, np.array([r.quality for r in rows]), shares.get(1, 0) / total if total else 0.5)
+    return LatentSpace(counts, np.array([r.quality for r in rows]), shares.get(1, 0) / total if total else 0.5, votes)
 
 
 def quality_scores(docs: DataFrame, model: LatentSpace) -> DataFrame:

@@ -34,6 +34,15 @@ def test_quality_edge_rows(spark):
         assert quality.quality_scores(docs.limit(0), model).collect() == []
 
 
+def test_quality_follows_the_mix_of_all_labels_below_and_above_the_sample_bound(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.concat(F.lit("w"), F.abs(F.xxhash64("doc_id", k)) % 50))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id")).select("doc_id", F.array_join(words, " ").alias("text"))
+    labels = docs.select("doc_id", (F.abs(F.xxhash64("doc_id", F.lit(1))) % 100 >= 15).cast("int").alias("quality"))
+    mean = lambda sample: quality.quality_scores(docs.where("doc_id < 400"), quality.fit(docs, labels, sample)).agg(F.avg("score")).first()[0]
+    whole, thinned = mean(2000), mean(100)
+    assert abs(whole - 0.85) < 0.05 and abs(thinned - whole) < 0.05
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     held = language.op10_language(spark, SF).join(docs, "doc_id").where("held_out").collect()
