@@ -642,6 +642,14 @@ def attention(spark, sf_dir: str) -> DataFrame:
     return rounded(out.select("q", F.col("place").cast("long").alias("place"), "y"), "y")
 
 
+@query("w AS (SELECT a.vec_id AS q, exp(list_dot_product(a.v, b.v) * 8) AS w, b.v AS value FROM vectors a, vectors b), e AS (SELECT q, w, unnest(range(64)) AS place, unnest(value) AS x FROM w) SELECT q, place, round(sum(w * x) / sum(w), 6) AS y FROM e GROUP BY ALL", "vectors")
+def attention_all(spark, sf_dir: str) -> DataFrame:
+    """Every embedding asks all embeddings; attention beside it has 2 % of them for keys."""
+    rows = bd.vectors(spark, sf_dir)
+    out = tensors.attention(rows.select(F.col("vec_id").alias("q"), "v"), rows.select(F.col("vec_id").alias("k"), "v", F.col("v").alias("value")), 8.0)
+    return rounded(out.select("q", F.col("place").cast("long").alias("place"), "y"), "y")
+
+
 @query("WITH t AS (SELECT unnest(range(50)) AS t), e AS (SELECT t, unnest(range(16)) AS place FROM t) SELECT t, place, round(CASE WHEN place < 8 THEN cos(t * pow(10000.0, -place / 8)) ELSE sin(t * pow(10000.0, -(place - 8) / 8)) END, 6) AS y FROM e")
 def timestep_embedding(spark, sf_dir: str) -> DataFrame:
     out = tensors.timestep_embedding(spark.range(50).select(F.col("id").alias("t")), 16)

@@ -1,12 +1,17 @@
-"""Tensors as rows of (coordinates, value): patches, channel scaling, products and attention over a bounded side."""
+"""Tensors as rows of (coordinates, value): patches, channel scaling, products and attention in blocks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a matrix side that is broadcast at most (about 500 bytes each); a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Queries and keys of one block of attention(), about, and the queries multiplied at once (32 MB of scores).
+BLOCK, STRIP = 8000, 500
 
 
 def normalized(values: DataFrame, stats: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -39,20 +44,42 @@ def product(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def attention(queries: DataFrame, keys: DataFrame, scale: float) -> DataFrame:
-    """(q, place, y): softmax over keys of the queries' products, times the keys' values.
+    """(q, place, y): softmax over all keys of the queries' products, times the keys' values.
 
-    queries (q, v) and keys (k, v, value) hold arrays; each query meets every key, so the keys are a stated, bounded
-    set: at most BROADCAST_ROWS, else this raises. Sums are merged from partial ones.
+    queries (q, v) and keys (k, v, value) hold arrays of numbers. Both sides are dealt into blocks of about BLOCK rows
+    by a hash; a task multiplies one pair of blocks and returns, for each query, the largest score, the norm and the
+    weighted sum, which are then merged. Neither side is bounded, and no task or row holds all keys. A key whose v or
+    value is null counts for nothing; a null v of a query raises.
     """
-    if keys.count() > BROADCAST_ROWS:
-        raise ValueError("attention needs a bounded set of keys")
-    dot = F.aggregate(F.zip_with("v", "kv", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
-    held = keys.agg(F.array_sort(F.collect_list(F.struct("k", F.col("v").alias("kv"), "value"))).alias("held"))
-    rows = queries.join(F.broadcast(held), F.expr("true")).select("q", "v", F.explode("held").alias("h")).select("q", "v", F.col("h.kv").alias("kv"), F.col("h.value").alias("value"))
-    scored = rows.select("q", (dot * scale).alias("s"), "value")
-    top = scored.groupBy("q").agg(F.max("s").alias("top"))
-    weighted = scored.join(top, "q").withColumn("w", F.exp(F.col("s") - F.col("top")))
-    return weighted.select("q", "w", F.posexplode("value").alias("place", "x")).groupBy("q", "place").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("y"))
+    blocks = lambda df: max(-(-df.count() // BLOCK), 1)
+    keys = keys.where("v IS NOT NULL AND value IS NOT NULL")
+    n_q, n_k = blocks(queries), blocks(keys)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind = dict(queries.dtypes)["q"]
+    own_q = queries.select(F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int").alias("qb"), every(n_k).alias("kb"), "q", F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("array<double>").alias("value"))
+    own_k = keys.select(every(n_q).alias("qb"), F.pmod(F.xxhash64("k"), F.lit(n_k)).cast("int").alias("kb"), F.lit(None).cast(kind).alias("q"), F.col("v").cast("array<double>").alias("v"), F.col("value").cast("array<double>").alias("value"))
+
+    def partial(table: pa.Table) -> pa.Table:
+        is_key = table.column("value").is_valid()
+        held, asked = table.filter(is_key), table.filter(pc.invert(is_key))
+        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        if not len(held) or not len(asked):
+            return asked.select(["q"]).slice(0, 0).append_column("top", pa.array([], pa.float64())).append_column("norm", pa.array([], pa.float64())).append_column("part", pa.array([], pa.list_(pa.float64())))
+        if asked.column("v").null_count:
+            raise ValueError("a query of attention has no vector")
+        q, k, value, found = matrix(asked, "v"), matrix(held, "v"), matrix(held, "value"), []
+        for i in range(0, len(q), STRIP):
+            score = q[i : i + STRIP] @ k.T * scale
+            top = score.max(1)
+            weight = np.exp(score - top[:, None])
+            found.append((top, weight.sum(1), weight @ value))
+        top, norm, part = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"q": asked.column("q"), "top": top, "norm": norm, "part": pa.array(list(part), pa.list_(pa.float64()))})
+
+    parts = own_q.unionByName(own_k).groupBy("qb", "kb").applyInArrow(partial, f"q {kind}, top double, norm double, part array<double>")
+    scaled = parts.withColumn("f", F.exp(F.col("top") - F.max("top").over(Window.partitionBy("q"))))
+    sums = scaled.select("q", "f", "norm", F.posexplode("part").alias("place", "x")).groupBy("q", "place")
+    return sums.agg((F.sum(F.col("f") * F.col("x")) / F.sum(F.col("f") * F.col("norm"))).alias("y"))
 
 
 def timestep_embedding(steps: DataFrame, dim: int, base: float = 10000.0) -> DataFrame:

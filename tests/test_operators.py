@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from framelode.functions import arrays as ar
 from framelode.functions import numbers as nb
-from framelode.operators import masks, overlap, quality, reuse, statistics, tasks, timing
+from framelode.operators import masks, overlap, quality, reuse, statistics, tasks, tensors, timing
 from framelode.plans import shards, windows
 
 
@@ -146,3 +147,19 @@ def test_array_columns(spark):
     assert got.q == [48, 64, 0, -127] and got.s == 1 and got.r == [3, 4, 0, -8]
     assert abs(sum(x * x for x in got.n) / 4 - 1) < 1e-12
     assert [r[0] for r in spark.createDataFrame([("24000/1001",), ("25",), ("1/0",), ("x",), (None,)], "t string").select(nb.safe_fraction(F.col("t"))).collect()] == [24000 / 1001, 25, 0, 0, 0]
+
+
+def test_attention_takes_all_keys_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(tensors, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(tensors, "BROADCAST_ROWS", 7)
+    rng = np.random.default_rng(4)
+    q, k, value = rng.normal(size=(20, 3)), rng.normal(size=(50, 3)), rng.normal(size=(50, 2))
+    k[3] *= 100
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "q long, v array<double>")
+    keys = spark.createDataFrame([(i, v.tolist(), x.tolist()) for i, (v, x) in enumerate(zip(k, value, strict=True))], "k long, v array<double>, value array<double>")
+    score = q @ k.T * 8
+    w = np.exp(score - score.max(1, keepdims=True))
+    want = w @ value / w.sum(1, keepdims=True)
+    got = {(r.q, r.place): r.y for r in tensors.attention(queries, keys, 8.0).collect()}
+    assert len(got) == 40 and all(abs(y - want[i]) < 1e-9 for i, y in got.items())
+    assert tensors.attention(queries, keys.limit(0), 8.0).collect() == []
