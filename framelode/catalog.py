@@ -579,6 +579,13 @@ def stream_windows(spark, sf_dir: str) -> DataFrame:
     return streams.collected(streams.fired_windows(_stream(spark, sf_dir).select("clip", "ts"), INFER, OVERLAP), _folder(spark, "windows"), "append").drop("batch")
 
 
+@query(f"{_PLAN} SELECT clip, window_index, load_start, load_end, load_start AS stable_start, deal_start + deal_length - overlap_right AS stable_end FROM p", "clips")
+def stream_all_windows(spark, sf_dir: str) -> DataFrame:
+    """All windows of the plan, each clip's tail too; stream_windows beside it knows no clip's end."""
+    rows = _stream(spark, sf_dir).select("clip", "ts").join(bd.clips(spark, sf_dir), "clip")
+    return streams.collected(streams.fired_windows(rows, INFER, OVERLAP), _folder(spark, "windows"), "append").drop("batch")
+
+
 @query(ORACLES["task_history"])
 def stream_task_states(spark, sf_dir: str) -> DataFrame:
     changes = _stream(spark, sf_dir).select("clip", "ts", "event_id", F.expr(_STATUS_OF).alias("status"))

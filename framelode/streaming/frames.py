@@ -21,25 +21,41 @@ ALLOWED = frozenset(TRANSITIONS)
 def fired_windows(frames: DataFrame, infer_len: int, overlap: int) -> DataFrame:
     """(clip, window_index, load_start, load_end, stable_start, stable_end) of windows as their last frame arrives.
 
-    frames: a stream of clip and ts, one row a frame. A clip's tail, shorter than a window, stays in the state.
+    frames: a stream of clip and ts, one row a frame, and perhaps num_frames, the length of the clip. With it load_end is
+    cut to the clip's end, so a clip's last window fires with the clip's last frame and keeps nothing back: the windows
+    are those of window_plan(). A frame beyond num_frames raises. Without it, or where it is null, no window is known to
+    be the last, and a tail shorter than a window stays in the state.
     """
     step = infer_len - overlap
+    rows = frames if "num_frames" in frames.columns else frames.withColumn("num_frames", F.lit(None).cast("long"))
 
     def fire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, done, last = state.get if state.exists else (0, 0, None)
-        stamps = pd.concat([b["ts"] for b in batches]).sort_values()
-        if last is not None and len(stamps) and stamps.iloc[0].value < last:
+        first, until, length = None, last, None
+        for b in batches:  # a hot clip's batch comes in parts
+            if len(b):
+                seen += len(b)
+                low, high = b["ts"].min().value, b["ts"].max().value
+                first = low if first is None else min(first, low)
+                until = high if until is None else max(until, high)
+                length = b["num_frames"].max() if b["num_frames"].notna().any() else length
+        if last is not None and first is not None and first < last:
             raise ValueError(f"late frame of clip {key[0]}")
-        seen += len(stamps)
-        rows = []
-        while done * step + infer_len <= seen:
+        if length is not None and seen > length:
+            raise ValueError(f"clip {key[0]} has more than {length} frames")
+        fired = []
+        while True:
             start = done * step
-            rows.append((key[0], done, start, start + infer_len, start, start + infer_len - overlap))
+            end = start + infer_len if length is None else min(start + infer_len, int(length))
+            # behind the first window, one that has no new frame isn't there
+            if end > seen or end <= start + (overlap if done else 0):
+                break
+            fired.append((key[0], done, start, end, start, end if end == length else end - overlap))
             done += 1
-        state.update((seen, done, int(stamps.iloc[-1].value) if len(stamps) else last))
-        yield pd.DataFrame(rows, columns=["clip", "window_index", "load_start", "load_end", "stable_start", "stable_end"])
+        state.update((seen, done, until))
+        yield pd.DataFrame(fired, columns=["clip", "window_index", "load_start", "load_end", "stable_start", "stable_end"])
 
-    return frames.groupBy("clip").applyInPandasWithState(fire, "clip long, window_index long, load_start long, load_end long, stable_start long, stable_end long", "seen long, done long, last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("clip").applyInPandasWithState(fire, "clip long, window_index long, load_start long, load_end long, stable_start long, stable_end long", "seen long, done long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def task_states(changes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from framelode.functions import arrays as ar
 from framelode.functions import numbers as nb
 from framelode.operators import masks, overlap, quality, reuse, statistics, tasks, tensors, timing
 from framelode.plans import shards, windows
+from framelode.streaming import frames as streams
 
 
 def test_window_plan_of_145_frames(spark):
@@ -163,3 +164,15 @@ def test_attention_takes_all_keys_in_blocks(spark, monkeypatch):
     got = {(r.q, r.place): r.y for r in tensors.attention(queries, keys, 8.0).collect()}
     assert len(got) == 40 and all(abs(y - want[i]) < 1e-9 for i, y in got.items())
     assert tensors.attention(queries, keys.limit(0), 8.0).collect() == []
+
+
+def test_streamed_windows_of_clips_are_those_of_the_plan(spark, tmp_path):
+    clips = spark.createDataFrame([(n, n) for n in (1, 3, 4, 16, 17, 18, 31, 32, 45, 46, 100)], "clip long, num_frames long")
+    frames = clips.select("*", F.explode(F.expr("sequence(1L, num_frames)")).alias("f")).select("clip", F.timestamp_seconds("f").alias("ts"), "num_frames", "f")
+    for n, half in enumerate((frames.where("f <= 20"), frames.where("f > 20"))):
+        half.drop("f").coalesce(1).write.parquet(str(tmp_path / f"in/b={n}"))
+    source = spark.readStream.schema("clip long, ts timestamp, num_frames long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/b=*"))
+    got = streams.collected(streams.fired_windows(source, 17, 3), str(tmp_path / "out"), "append")
+    plan = windows.window_plan(windows.whole_clips(clips), 17, 3)
+    want = plan.join(windows.stable_ranges(plan), ["clip", "window_index"]).select("clip", "window_index", "load_start", "load_end", "stable_start", "stable_end")
+    assert sorted(map(tuple, got.drop("batch").collect())) == sorted(map(tuple, want.collect()))
