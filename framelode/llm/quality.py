@@ -1,7 +1,7 @@
 """Document quality by nearest-neighbour voting in a latent semantic space.
 
 Documents become weighted bags of hashed terms: words, the shapes of words (case, digits, marks), pairs of neighbouring
-shapes and words that repeat the one before. A bounded sample of labelled documents is turned into a term matrix, and
+shapes and words that repeat the one before, weighted by how rare they are among all documents. A bounded sample of labelled documents is turned into a term matrix, and
 its truncated singular value decomposition gives the latent space. The labelled vectors are broadcast (at most
 2 x SAMPLE x DIMENSIONS floats); every document is compared with all of them in blocks, and its nearest ones vote,
 weighted by their cosine and by how many labels of their class each of the sample stands for.
@@ -67,10 +67,10 @@ def term_counts(column: pa.Array) -> np.ndarray:
 class LatentSpace:
     """Term weights, axes and labelled vectors, as fitted on a sample."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, prior: float, votes: np.ndarray):
-        """votes: what a label 0 and a label 1 of the sample count, each for its class's share of all labels."""
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, prior: float, votes: np.ndarray, weights: np.ndarray):
+        """votes: what a label 0 and a label 1 of the sample count, each for its class's share of all labels; weights: of terms."""
         self.prior, self.labels, self.votes = prior, labels.astype(np.float32), votes[labels.astype(np.int64)]
-        self.weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + np.float32(0.1)
+        self.weights = weights
         x = self.weighted(counts)
         rng = np.random.default_rng(9)
         k = min(DIMENSIONS, *x.shape)
@@ -104,10 +104,27 @@ class LatentSpace:
 
 
 def held_out(doc_id="doc_id"):
-    """Rows that nothing is learned from: crc32 of the id as text, modulo 4, is 2."""
+    """Rows whose labels nothing is learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def term_weights(docs: DataFrame) -> np.ndarray:
+    """The inverse document frequency of each term over all of docs: a row for each term and task is summed."""
+    size = WORD_TERMS + SHAPE_TERMS
+
+    def presence(batches):
+        seen = np.zeros(size + 1, np.int64)
+        for piece in (p for b in batches for p in ta.pieces([b], PIECE)):
+            seen[:size] += (term_counts(piece.column("text")) > 0).sum(0)
+            seen[size] += len(piece)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(seen)], ["term", "n"])
+
+    total = np.zeros(size + 1, np.int64)
+    for r in docs.select("text").mapInArrow(presence, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        total[r.term] = r.n
+    return np.log((1 + total[size]) / (1 + total[:size])).astype(np.float32) + np.float32(0.1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentSpace:
     """Learns from up to sample labelled documents of each class, taken by a hash of their id.
 
@@ -133,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentSpace
     drawn = {q: min(n, sample) for q, n in shares.items()}
     votes = np.array([shares[q] / drawn[q] * sum(drawn.values()) / total if drawn.get(q) else 1.0 for q in (0, 1)])
     counts = np.frombuffer(b"".join(bytes(r.terms) for r in rows), np.float32).reshape(len(rows), WORD_TERMS + SHAPE_TERMS)
-    return LatentSpace(counts, np.array([r.quality for r in rows]), shares.get(1, 0) / total if total else 0.5, votes)
+    return LatentSpace(counts, np.array([r.quality for r in rows]), shares.get(1, 0) / total if total else 0.5, votes, term_weights(docs))
 
 
 def quality_scores(docs: DataFrame, model: LatentSpace) -> DataFrame:

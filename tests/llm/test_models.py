@@ -43,6 +43,13 @@ def test_quality_follows_the_mix_of_all_labels_below_and_above_the_sample_bound(
     assert abs(whole - 0.85) < 0.05 and abs(thinned - whole) < 0.05
 
 
+def test_term_weights_count_all_documents(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("common "), F.when(F.col("id") < 4, "seldom").otherwise("w")).alias("text"))
+    labels = docs.where("doc_id < 8").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    counts = quality.term_counts(docs.select("text").toArrow().column("text").combine_chunks())
+    assert np.allclose(quality.fit(docs.repartition(3), labels).weights, np.log(41 / (1 + (counts > 0).sum(0))) + 0.1)
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     held = language.op10_language(spark, SF).join(docs, "doc_id").where("held_out").collect()
