@@ -19,9 +19,29 @@ from framelode.llm.shared import written
 LEAST_QUALITY = 0.7
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in gone. Rows without an id can't be named and stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _id, which names a single row: doc_id itself where it is a row's own.
+
+    Of several rows with one doc_id, the first by hashes of the text and the whole row keeps it. The others, and rows
+    without a doc_id, get numbers beyond all of them in the order of those hashes. Only then are rows written anew.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("_id", F.col("doc_id"))
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    light = rows.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(*docs.columns).alias("a"), "_row")
+    first = light.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("h", "a", "_row")).alias("first")).select("first._row", F.col("doc_id").alias("_id"))
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    # row numbers stay far below 2**62
+    base = 0 if ends.high is None else ends.high + 1 if ends.high < 2**62 else ends.low - 2**62
+    if base < -(2**63):
+        raise ValueError("doc_id leaves no room for the numbers of rows that share an id or have none")
+    others = light.join(first, "_row", "left_anti").sort("h", "a", "_row").select("_row", (F.monotonically_increasing_id() + F.lit(base).cast("long")).alias("_id"))
+    return written(rows.join(first.unionByName(written(others, "numbers")), "_row").drop("_row"), "numbered")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (numbered) but for those whose _id is a doc_id of gone."""
+    return rows.join(gone.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_anti").select(*[c for c in rows.columns if c != "_id"])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +52,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of the n-gram Jaccard join."""
-    return without(docs, jj.jaccard_join(docs).where("NOT kept"))
+    rows = numbered(docs)
+    return without(rows, jj.jaccard_join(rows, id_col="_id").where("NOT kept"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the words of repeated 20-word windows; texts without any stay as they are, to the byte."""
-    cut = sd.substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("_kept"))
-    joined = docs.join(cut, "doc_id", "left")
+    rows = numbered(docs)
+    cut = sd.substring_dedup(rows, id_col="_id").where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_kept"))
+    joined = rows.join(cut, "_id", "left")
     text = F.coalesce("_kept", "text")
     length = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))
     return joined.withColumns({"text": text, "n_chars": length}).select(*docs.columns)
@@ -46,8 +68,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents with words in any occurrence of a benchmark window."""
-    found = dc.decontamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.where("n_hit > 0"))
+    rows = numbered(docs)
+    found = dc.decontamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_id")
+    return without(rows, found.where("n_hit > 0"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

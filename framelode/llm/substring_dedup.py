@@ -68,7 +68,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
             _, _, _, bounds, words = word_hashes(piece.column("text"))
             row, first, last = an.mark_spans(piece.column("marks"))
             own = np.r_[0, np.cumsum(np.diff(bounds) // block + 2)]
-            hit = ta.covered(own[row] + first, own[row] + last, int(own[-1]))
+            # hits of another row of the id may lie beyond this text; whole windows are compared below
+            hit = ta.covered(*(np.minimum(own[row] + x, own[row + 1]) for x in (first, last)), int(own[-1]))
             n = np.maximum(np.diff(bounds) - window + 1, 0)
             text, at = np.repeat(np.arange(len(n)), n), ta.within(n)
             b = own[text] + -(-at // block)

@@ -220,8 +220,9 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         for piece in (p for b in batches for p in ta.pieces([b], PIECE)):
             c = Chunks(piece.column("text"), length)
             row, first, last = an.mark_spans(piece.column("marks"))
-            base = np.searchsorted(c.text, np.arange(len(piece)))
-            live = ta.covered(base[row] + first, base[row] + last, len(c.starts))
+            base = np.searchsorted(c.text, np.arange(len(piece) + 1))
+            # hits of another row of the id may lie beyond this text
+            live = ta.covered(*(np.minimum(base[row] + x, base[row + 1]) for x in (first, last)), len(c.starts))
             depth, (low, high) = c.depth(), c.windows()
             dead = np.r_[0, np.cumsum(~live)]
             i = np.arange(len(c.starts))

@@ -69,3 +69,18 @@ def test_stages_leave_clean_texts_to_the_byte(spark):
 def test_every_stage_takes_an_empty_table(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert dict(cp.STAGES)[name](spark, docs, SF).collect() == []
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_each(spark):
+    rng = random.Random(8)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    own, passage, copy = fresh(60), fresh(70), fresh(90)
+    rows = [(1, fresh(50) + " " + passage), (1, own), (2, passage + " " + fresh(40)), (None, fresh(30) + " " + item), (None, copy), (None, copy), (3, fresh(40))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = sorted(r.text for r in cp.repeated_passages(spark, docs.where("doc_id IS NOT NULL"), SF).collect())
+    assert len(cut) == 4 and own in cut and sum(passage in t for t in cut) == 1
+    kept = [r.text for r in cp.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(kept) == sorted({t for _, t in rows})
+    clean = [r.text for r in cp.benchmark_passages(spark, docs, SF).collect()]
+    assert sorted(clean) == sorted(t for _, t in rows if item not in t)

@@ -52,3 +52,10 @@ def test_edge_rows(spark):
     # of rows with one id the smallest text stands
     two = spark.createDataFrame([(1, "b"), (1, "a")], "doc_id long, text string")
     assert run(two) == [(1, 1, 0, b"a")]
+
+
+def test_blocks_of_a_longer_text_under_the_same_id_lie_beyond_the_smaller_one(spark):
+    text = " ".join(f"v{i}" for i in range(400))
+    rows = [(1, "a b"), (2, text)]
+    two = spark.createDataFrame([*rows, (1, text)], "doc_id long, text string")
+    assert run(two.coalesce(1)) == brute(rows)

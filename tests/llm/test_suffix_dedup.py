@@ -69,3 +69,10 @@ def test_refinement_finds_common_prefixes():
     assert prefix.tolist() == [3, 2, 3, 0, 1, 3]
     whole = [i for i, s in enumerate(sequences) if prefix[i] >= len(s)]
     assert {i for i in whole if block[i] == block[0]} == {0, 2}
+
+
+def test_a_short_and_a_long_repeated_text_under_one_id(spark):
+    text = "".join(f"v{i} " for i in range(900))
+    docs = spark.createDataFrame([(3, "a b"), (2, text), (3, text), (1, text[:3000])], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in sd.suffix_dedup(docs).collect()}
+    assert got[3] == (3, 0) and got[2] == (len(text), 3000) and got[1] == (3000, 3000)
