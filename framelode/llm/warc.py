@@ -28,6 +28,8 @@ from .shared import attach, shared_folder
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
 SPLIT = 16 << 20
+#: Tasks that read ranges for each core, at most; beyond it a task reads several.
+READERS = 64
 ID = "urn:framelode:record:"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -186,7 +188,7 @@ def parsed(raw: bytes) -> dict:
 
 
 def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT, payloads: bool = True) -> DataFrame:
-    """One row for each record of the archives (path, bytes), read in ranges of split_bytes.
+    """One row for each record of the archives (path, bytes), read in ranges of split_bytes, each by a task of its own.
 
     Columns: path, offset (of the member), record_type, record_id, target_uri, date, refers_to, payload_digest,
     payload_bytes, payload (null for revisits, and everywhere with payloads=False). payload_bytes and payload_digest
@@ -210,7 +212,9 @@ def read_warc(spark: SparkSession, archives: DataFrame, split_bytes: int = SPLIT
 
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.int64()), ("target_uri", pa.string()), ("date", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
     ranges = archives.where("bytes > 0").select("path", "bytes", F.expr(f"explode(sequence(0L, bytes - 1, {split_bytes}L))").alias("start"))
-    return ranges.repartition("path", "start").mapInArrow(read, RECORDS)
+    context = spark.sparkContext
+    # a number of its own, which Spark keeps: by size alone these few bytes of rows would be one task
+    return ranges.repartition(min(max(ranges.count(), 1), READERS * context.defaultParallelism)).mapInArrow(read, RECORDS)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

@@ -69,3 +69,12 @@ def test_damaged_archives_raise(spark, tmp_path):
     archives = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, bytes long")
     with pytest.raises(Exception, match="no WARC record"):
         warc.read_warc(spark, archives).agg(F.count("*")).collect()
+
+
+def test_ranges_are_read_by_many_tasks(spark):
+    archives = warc.write_warc(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), shared_folder(spark, "warc"))
+    out = warc.read_warc(spark, archives, 4000)
+    ranges = sum(-(-r.bytes // 4000) for r in archives.collect())
+    assert ranges > 8 and out.rdd.getNumPartitions() == min(ranges, warc.READERS * spark.sparkContext.defaultParallelism)
+    readers = out.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert readers > 4
