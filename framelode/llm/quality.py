@@ -21,7 +21,8 @@ SAMPLE = 1500
 WORD_TERMS, SHAPE_TERMS = 2048, 2048
 DIMENSIONS = 48
 NEIGHBOURS = 25
-PIECE = 1_500_000
+#: Bytes and rows of a piece; each row has a count for each term.
+PIECE, ROWS = 1_500_000, 512
 #: How much the natural share of label 1 counts beside the neighbours.
 PRIOR_WEIGHT = 0.5
 WORD, SHAPE, PAIR = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
@@ -114,7 +115,7 @@ def term_weights(docs: DataFrame) -> np.ndarray:
 
     def presence(batches):
         seen = np.zeros(size + 1, np.int64)
-        for piece in (p for b in batches for p in ta.pieces([b], PIECE)):
+        for piece in (p for b in batches for p in ta.pieces([b], PIECE, rows=ROWS)):
             seen[:size] += (term_counts(piece.column("text")) > 0).sum(0)
             seen[size] += len(piece)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(seen)], ["term", "n"])
@@ -140,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentSpace
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
 
     def count(batches):
-        for piece in (p for b in batches for p in ta.pieces([b], PIECE)):
+        for piece in (p for b in batches for p in ta.pieces([b], PIECE, rows=ROWS)):
             terms = term_counts(piece.column("text"))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), pa.array([x.tobytes() for x in terms], pa.binary())], ["doc_id", "quality", "terms"])
 
@@ -165,7 +166,7 @@ def quality_scores(docs: DataFrame, model: LatentSpace) -> DataFrame:
     def score(batches):
         space = shared.value
         for batch in batches:
-            found = [space.scores(term_counts(p.column("text"))) for p in ta.pieces([batch], PIECE)]
+            found = [space.scores(term_counts(p.column("text"))) for p in ta.pieces([batch], PIECE, rows=ROWS)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")

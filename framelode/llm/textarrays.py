@@ -90,13 +90,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_WHITE
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def pieces(batches, size: int, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts hold about size bytes; one longer text is a slice of its own."""
+def pieces(batches, size: int, text: str = "text", rows: int = 1 << 40) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts hold about size bytes, of rows rows at most; one longer text is a slice of its own."""
     for batch in batches:
         _, offsets = text_bytes(batch.column(text))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+            to = max(at + 1, min(at + rows, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
             yield batch.slice(at, to - at)
             at = to
 
