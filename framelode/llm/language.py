@@ -5,24 +5,28 @@ character n-grams (pairs and triples of bytes, with the word's edges) and a lexi
 between the labels of neighbouring words are learned with them, by gradient ascent on the conditional likelihood of a
 bounded sample; spliced documents show the field where languages change. Forward-backward labels every word of every
 document; a document's language is the one with the largest share of its words.
+
+A text longer than a piece is read in pieces, twice: first each piece becomes a transfer matrix, then the messages that
+these pass on enter and leave the pieces, so the whole text is one chain and no task holds more than a piece of it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import crf
 from . import textarrays as ta
 
-#: Documents of each language that are learned from, and languages, at most.
-SAMPLE, LANGUAGES = 200, 200
+#: Documents of each language that are learned from, at most, and the bytes after which no further one is taken.
+SAMPLE, SAMPLE_BYTES = 200, 1 << 20
 FEATURES = 1 << 15
 LEXICON = 1000
 EPOCHS = 4
-PIECE = 1_500_000
+#: Bytes of text that a task labels at a time.
+PIECE = 400_000
 WORD = 0xD6E8FEB86659FD93
 #: ASCII bytes that are no letters part words.
 GAP = ta.byte_class(b for b in range(128) if not chr(b).isalpha())
@@ -51,6 +55,8 @@ class Words:
         after = np.r_[b[1:], 0]
         two = b << 8 | after
         three = two << 8 | np.r_[after[1:], 0]
+        # what stands behind a word's closing edge is no part of it
+        two[self.last] = three[self.last] = 0
         return [self.hashed(two, 1), self.hashed(three, 2)]
 
     def word_features(self) -> list[np.ndarray]:
@@ -94,7 +100,7 @@ class Field:
     def learn(self, texts: list[bytes], labels: list[int]) -> Field:
         """Gradient ascent over a shuffled sample, steps scaled by past gradients."""
         k, rng = len(self.langs), np.random.default_rng(10)
-        if k < 2:
+        if k < 2 or not texts:
             return self
         rows = [w.hashes[w.which] for w in (Words(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts)]
         hashes, of = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
@@ -157,44 +163,66 @@ class Field:
         if not k:
             return ["und"] * n, np.zeros(n)
         data, offsets = ta.text_bytes(column)
-        words = Words(data, offsets)
-        texts = np.repeat(np.arange(n), np.diff(words.bounds))
-        gamma, _ = crf.posteriors(self.emissions(words), words.bounds, self.transitions, counts=False)
-        share = np.stack([np.bincount(texts, gamma[:, c], n) for c in range(k)], 1)
+        if n == 1 and len(data) > PIECE:
+            share = self.long_shares(data)[None]
+        else:
+            words = Words(data, offsets)
+            texts = np.repeat(np.arange(n), np.diff(words.bounds))
+            gamma, _ = crf.posteriors(self.emissions(words), words.bounds, self.transitions, counts=False)
+            share = np.stack([np.bincount(texts, gamma[:, c], n) for c in range(k)], 1)
         total = share.sum(1)
         best, score = share.argmax(1), share.max(1) / np.maximum(total, 1e-12)
         # texts without an ASCII letter may still be without any: digits, dashes, pictures
-        letters = np.r_[0, np.cumsum((FOLD[data] >= 97) & (FOLD[data] <= 122))]
+        letters = np.r_[0, np.cumsum((FOLD[data] >= 97) & (FOLD[data] <= 122), dtype=np.int32)]
         plain = letters[offsets[1:]] > letters[offsets[:-1]]
         fine = np.array([p or any(c.isalpha() for c in bytes(data[a:b]).decode("utf-8", "replace")) for p, a, b in zip(plain, offsets[:-1], offsets[1:], strict=True)], bool) & (total > 0)
         return [self.langs[b] if f else "und" for b, f in zip(best, fine, strict=True)], np.where(fine, score, 0.0).clip(0, 1)
 
+    def long_shares(self, data: np.ndarray) -> np.ndarray:
+        """The expected number of words of each language in one text, read in pieces that end between words."""
+        k = len(self.langs)
+        parts, at = [], 0
+        while at < len(data):
+            to = min(at + PIECE, len(data))
+            gaps = np.flatnonzero(GAP[data[at:to]])
+            # a word longer than a piece is cut
+            to = at + int(gaps[-1]) + 1 if to < len(data) and len(gaps) else to
+            parts.append(data[at:to])
+            at = to
+        steps = [crf.transfer(self.emissions(Words(p, np.array([0, len(p)]))), self.transitions) for p in parts]
+        enter, leave = [np.full(k, 1 / k)], [np.ones(k)]
+        for m in steps[:-1]:
+            enter.append((x := enter[-1] @ m) / x.sum())
+        for m in steps[:0:-1]:
+            leave.append((x := m @ leave[-1]) / x.sum())
+        share = np.zeros(k)
+        for part, before, after in zip(parts, enter, leave[::-1], strict=True):
+            words = Words(part, np.array([0, len(part)]))
+            share += crf.posteriors(self.emissions(words), words.bounds, self.transitions, False, before[None], after[None])[0].sum(0)
+        return share
+
 
 def held_out():
     """Rows that nothing is learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
+def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
     """Learns from up to sample documents of each language (doc_id, text, lang), taken by a hash of their id.
 
-    Rows with a null lang, id or text, and held-out rows, aren't used. Of more than LANGUAGES values of lang, the most
-    frequent are learned. The sample's texts go to the driver: at most sample x LANGUAGES of them.
+    After the one that reaches sample_bytes no further document of a language is taken. Rows with a null lang, id or
+    text, and held-out rows, aren't used. Every value of lang is learned, whatever their number. Tasks limit each
+    language to its sample before the shuffle; only the sample's texts go to the driver.
     """
-    known = docs.where(~held_out()).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    order = F.xxhash64("doc_id")
-    picked = None
-    for lang in langs:
-        one = known.where(F.col("lang") == lang).orderBy(order, "doc_id").limit(sample)
-        picked = one if picked is None else picked.union(one)
-    field = Field(langs)
-    if picked is None:
-        return field
+    known = docs.where(~held_out()).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.octet_length("text").alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    picked = picked.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < sample_bytes)
     ids = F.broadcast(picked.select("doc_id", "lang").distinct())
     rows = sorted(docs.join(ids, ["doc_id", "lang"]).select("doc_id", "lang", F.col("text").cast("binary").alias("text")).collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.text or b"")))
+    langs = sorted({r.lang for r in rows})
     rows = [r for r in rows if r.text]
-    return field.learn([bytes(r.text) for r in rows], [langs.index(r.lang) for r in rows])
+    return Field(langs).learn([bytes(r.text) for r in rows], [langs.index(r.lang) for r in rows])
 
 
 def languages(docs: DataFrame, field: Field) -> DataFrame:
