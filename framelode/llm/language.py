@@ -171,7 +171,9 @@ class Field:
             gamma, _ = crf.posteriors(self.emissions(words), words.bounds, self.transitions, counts=False)
             share = np.stack([np.bincount(texts, gamma[:, c], n) for c in range(k)], 1)
         total = share.sum(1)
-        best, score = share.argmax(1), share.max(1) / np.maximum(total, 1e-12)
+        part = share / np.maximum(total, 1e-12)[:, None]
+        # languages that are alike to nine digits tie, and the first by name is taken
+        best, score = part.round(9).argmax(1), part.max(1)
         # texts without an ASCII letter may still be without any: digits, dashes, pictures
         letters = np.r_[0, np.cumsum((FOLD[data] >= 97) & (FOLD[data] <= 122), dtype=np.int32)]
         plain = letters[offsets[1:]] > letters[offsets[:-1]]
@@ -228,7 +230,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES)
 def languages(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs (doc_id, text), from the text alone.
 
-    A null text, and one without a letter, is `und` with score 0; so is all if nothing was learned.
+    A null text, and one without a letter, is `und` with score 0; so is all if nothing was learned. Of tied languages
+    the first by name is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
