@@ -9,11 +9,16 @@ for each length of history. The empty history has (c(w) - discount) / N for the
 discounted, discount * V / N, for the one token "unknown". All distributions sum to one. Counts are those of the
 training rows.
 
-The automaton grows with the corpus, so no task holds it whole. Documents are dealt into shards. A shard sends the
-n-grams of its texts, folded and packed by hash bucket, with its own training counts; a bucket adds the counts of all
-shards and answers each in its own order. With the answers a shard holds exactly the states and arcs that its texts
-visit, and reads every text from left to right. The state after a token depends on the last order - 1 tokens, so the
-steps of all texts of a shard are taken together, one array operation for each length of history.
+The automaton grows with the corpus, so no task holds it whole. Documents are dealt into shards of about SHARD_BYTES of
+text, as many as the corpus needs. A shard sends the n-grams of its texts, folded and packed by hash bucket, with its
+own training counts; a bucket adds the counts of all shards and answers each in its own order. With the answers a shard
+builds the part of the automaton that its texts can visit: a table of states with their failure arcs, and one of arcs
+by (state, token). One traversal reads all texts from left to right, a token of each at a step, and carries their
+states: no arc means taking the failure arc and asking again. Long texts are read in runs of RUN tokens side by side; a
+run first reads the order - 1 tokens before it, after which it is in the state that the run before has reached.
+
+The packed cells are shards x buckets, so they grow with the square of the corpus in units of shard_bytes: raise that
+with the executors' memory when the corpus has more than about 100,000 shards.
 
 Texts move once: what the shards send and what they score is read from one exchange.
 """
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .anchors import FLUSH, bucket_count
+from .anchors import FLUSH
 
 WORD = 0xD6E8FEB86659FD93
 START, END = np.uint64(0x51A27), np.uint64(0xE2D)
@@ -35,6 +40,8 @@ FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 BITS = np.uint64(40)
 MASK = (np.uint64(1) << BITS) - np.uint64(1)
 PIECE = 2_000_000
+#: Text of a shard, and tokens that a run of a long text is read in.
+SHARD_BYTES, RUN = 6_000_000, 512
 #: How much a history of one token, of two and so on leans on the shorter one, in counts.
 STRENGTHS = (256.0, 16.0)
 #: What each known token gives to unknown ones, in counts.
@@ -115,6 +122,103 @@ class Shard:
         return total
 
 
+class Automaton:
+    """The states, failure arcs and arcs that the texts of a shard can visit.
+
+    State 0 is the empty history, state 1 the start of a text; the others are the seen n-grams shorter than the order.
+    fail and fail_weight (log10) give each state's failure arc. Arcs are sorted by key, state and token in one number;
+    each has its log10 probability and the state that it leads to: the longest history that ends with its token.
+    """
+
+    def __init__(self, shard: Shard, seen: np.ndarray, total: int, kinds: int, texts: int, strengths: tuple[float, ...], discount: float):
+        order = len(shard.which)
+        state = np.full(len(seen), -1)
+        n, fails, weights = 2, [0, 0], [0.0, _failing(strengths[0], np.array([texts]))[0] if strengths else 0.0]
+        probability = np.zeros(len(seen))
+        keys, grams_of = [], []
+        history_count = np.r_[0, texts].astype(np.int64)
+        for k in range(order):
+            # one place of each seen n-gram of k + 1 tokens
+            places = np.flatnonzero(shard.fits[k])
+            g = shard.which[k][places]
+            places, g = places[seen[g] > 0], g[seen[g] > 0]
+            at = np.full(len(seen), -1)
+            at[g] = places
+            g = np.flatnonzero(at >= 0)
+            at = at[g]
+            if not k:
+                origin = np.zeros(len(g), np.int64)
+                probability[g] = (seen[g] - discount) / max(total, 1)
+            else:
+                before = shard.which[k - 1][at - 1] if k > 1 else np.where(shard.fits[0][at - 1], shard.which[0][at - 1], -1)
+                origin = np.where(before < 0, 1, state[before])
+                shorter = shard.which[k - 1][at]
+                probability[g] = (seen[g] + strengths[k - 1] * probability[shorter]) / (history_count[origin] + strengths[k - 1])
+            keys.append(origin << 32 | shard.which[0][at])
+            grams_of.append(g)
+            if k < order - 1:
+                state[g] = n + np.arange(len(g))
+                n += len(g)
+                history_count = np.r_[history_count, seen[g]]
+                fails = np.r_[fails, state[shard.which[k - 1][at]] if k else np.zeros(len(g), np.int64)]
+                weights = np.r_[weights, _failing(strengths[k], seen[g])]
+                leads = state[g]
+            else:
+                leads = state[shard.which[k - 1][at]] if k else np.zeros(len(g), np.int64)
+            grams_of[-1] = np.stack([g, leads])
+        keys, (arcs, leads) = np.concatenate(keys), np.concatenate(grams_of, 1)
+        o = np.argsort(keys)
+        self.keys, self.leads = keys[o], leads[o]
+        self.weights = np.log10(probability[arcs[o]])
+        self.fail, self.fail_weight = np.asarray(fails, np.int64), np.asarray(weights, float)
+        # without any training token all are unknown and as likely as the add-one estimate has them
+        self.unknown = np.log10(discount * kinds / total) if total else 0.0
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading a token each (-1: unknown), and the log10 probabilities of these steps."""
+        score, state = np.zeros(len(state)), state.copy()
+        rest = np.arange(len(state))
+        while len(rest):
+            key = state[rest] << 32 | token[rest] & 0xFFFFFFFF
+            i = np.searchsorted(self.keys, key)
+            hit = i < len(self.keys)
+            hit[hit] = self.keys[i[hit]] == key[hit]
+            taken = rest[hit]
+            score[taken] += self.weights[i[hit]]
+            state[taken] = self.leads[i[hit]]
+            rest = rest[~hit]
+            lost = state[rest] == 0
+            score[rest[lost]] += self.unknown
+            rest = rest[~lost]
+            score[rest] += self.fail_weight[state[rest]]
+            state[rest] = self.fail[state[rest]]
+        return state, score
+
+    def read(self, token: np.ndarray, at: np.ndarray, memory: int) -> np.ndarray:
+        """The log10 probability of each text; at: where texts start in token (n + 1 values), START first."""
+        length = np.diff(at) - 1
+        runs = -(-length // RUN)
+        text = np.repeat(np.arange(len(length)), runs)
+        first = at[text] + 1 + RUN * ta.within(runs)
+        last = np.minimum(first + RUN, at[text + 1])
+        # a later run warms up on the tokens that its state depends on
+        warm = np.where(first > at[text] + 1, memory, 0)
+        o = np.argsort(-(last - first + warm), kind="stable")
+        text, place, last, first = text[o], (first - warm)[o], last[o], first[o]
+        state, total = (place == at[text] + 1).astype(np.int64), np.zeros(len(text))
+        active = len(text)
+        while active:
+            state[:active], score = self.step(state[:active], token[place[:active]])
+            total[:active] += np.where(place[:active] >= first[:active], score, 0.0)
+            place[:active] += 1
+            active = int(np.searchsorted(-(last - place)[:active], 0, "left"))
+        return np.bincount(text, total, len(length))
+
+
+def _failing(strength: float, count: np.ndarray) -> np.ndarray:
+    return np.log10(strength / (count + strength))
+
+
 def _stats(docs: DataFrame, buckets: int) -> tuple[int, int, int]:
     """Tokens, different tokens and texts of the training rows."""
 
@@ -147,7 +251,7 @@ def _stats(docs: DataFrame, buckets: int) -> tuple[int, int, int]:
     return tuple(x or 0 for x in r)
 
 
-def lm_scores(docs: DataFrame, train: Column, strengths: tuple[float, ...] = STRENGTHS, discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, train: Column, strengths: tuple[float, ...] = STRENGTHS, discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Log10 probabilities of whole texts under a model of the rows where train is true.
 
     A text's tokens are its words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and one end. Returns a row for each row:
@@ -156,10 +260,10 @@ def lm_scores(docs: DataFrame, train: Column, strengths: tuple[float, ...] = STR
     Repeated rows count and are scored each; null ids are kept. Without training rows every token is unknown.
     """
     order = 1 + len(strengths)
-    # three shards and half as many buckets for each shuffle partition: their cells grow with the square
-    shards = max(1, bucket_count(docs) * 3 // 4)
-    buckets = max(1, shards // 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-size // shard_bytes) or 1
+    buckets = max(1, shards // 2)
     total, kinds, texts = _stats(rows, buckets)
     sharded = rows.withColumn("shard", F.expr(f"CAST(pmod(xxhash64(doc_id, text), {shards}) AS int)"))
 
@@ -185,21 +289,14 @@ def lm_scores(docs: DataFrame, train: Column, strengths: tuple[float, ...] = STR
         answers = sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
         shard = Shard(left.column("text").combine_chunks(), order, buckets)
         seen = np.concatenate([np.zeros(0, np.int64), *(ta.unplanes(x, np.uint32).astype(np.int64) for _, x in answers)])
-        arc = [np.where(f, seen[np.maximum(w, 0)], 0) for f, w in zip(shard.fits, shard.which, strict=True)]
         token = shard.fits[0]
-        base = (arc[0] + 1) / (total + kinds + 1)
-        weight = np.where(arc[0] > 0, (arc[0] - discount) / total, discount * kinds / total) if total else base
-        for k in range(1, order):
-            # the history of k tokens before a token is the n-gram that ends one place earlier
-            history = np.r_[0, arc[k - 1][:-1]]
-            if k == 1:
-                history[shard.at[:-1] + 1] = texts
-            # an arc where the n-gram was seen; else the failure arc's share of the shorter history
-            taken = (arc[k] + strengths[k - 1] * weight) / (history + strengths[k - 1])
-            weight = np.where(shard.fits[k], taken, weight)
-        n = left.num_rows
+        count = np.where(token, seen[np.maximum(shard.which[0], 0)], 0)
+        base = (count + 1) / (total + kinds + 1)
         add_up = lambda x: np.bincount(shard.text[token], x[token], n)
-        return pa.table({"doc_id": left.column("doc_id"), "trained": left.column("train"), "n_tokens": add_up(token).astype(np.int64), "n_known": add_up(arc[0] > 0).astype(np.int64), "train_tokens": np.full(n, total), "base_score": add_up(np.log10(base)), "score": add_up(np.log10(weight))})
+        n = left.num_rows
+        n_tokens, n_known, base = add_up(token).astype(np.int64), add_up(count > 0).astype(np.int64), add_up(np.log10(base))
+        score = Automaton(shard, seen, total, kinds, texts, strengths, discount).read(np.where(count > 0, shard.which[0], -1), shard.at, order - 1) if total else base
+        return pa.table({"doc_id": left.column("doc_id"), "trained": left.column("train"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(n, total), "base_score": base, "score": score})
 
     answers = sharded.groupBy("shard").applyInArrow(send, ROWS).groupBy("bucket").applyInArrow(add, ROWS)
     return sharded.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(traverse, "doc_id long, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,8 +1,11 @@
 import collections
 import math
+import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framelode.llm import lm_scoring as lm
@@ -68,3 +71,33 @@ def test_distribution_sums_to_one(spark):
     # p(text) = p(a b w) p(end | b w); take the ends apart by brute force
     want = {d: s for d, *_, s in brute([(r.doc_id, r.text) for r in docs.union(probes).collect()], lambda d: d < 100)}
     assert all(abs(out[d] - want[d]) < 1e-9 for d in out) and ends(0) > 0
+
+
+def test_many_shards_and_runs_of_long_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.choice((3, 40, 700))))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, lambda d: d % 3 > 0)
+    for run in (1, 7, 512):
+        monkeypatch.setattr(lm, "RUN", run)
+        got = {r.doc_id: r.score for r in lm.lm_scores(docs, F.col("doc_id") % 3 > 0, shard_bytes=2000).collect()}
+        assert all(abs(got[d] - score) < 1e-6 for d, *_, score in want)
+
+
+def test_states_and_failure_arcs(spark):
+    column = pa.array(["a b c", "a b d", "z"])
+    shard = lm.Shard(column, 3, 1)
+    seen = shard.counts(np.array([True, True, False]))
+    total, kinds = 8, 5
+    model = lm.Automaton(shard, seen, total, kinds, 2, lm.STRENGTHS, lm.DISCOUNT)
+    token = {w: n for w, n in zip("abcd", (shard.which[0][i] for i in (1, 2, 3, 8)), strict=True)}
+    state = np.array([1])
+    depth = []
+    for w in "abc":
+        state, score = model.step(state, np.array([token[w]]))
+        depth.append((model.fail[state[0]], score[0]))
+    # after "a b c" the state is (b, c), which fails to (c), which fails to the empty history
+    assert model.fail[depth[-1][0]] == 0 and depth[-1][0] != 0
+    chain = model.fail_weight[state[0]] + model.fail_weight[model.fail[state[0]]]
+    state, score = model.step(state, np.array([-1]))
+    assert state[0] == 0 and abs(score[0] - chain - model.unknown) < 1e-12
