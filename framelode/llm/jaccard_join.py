@@ -2,9 +2,10 @@
 
 Sets are embedded as COORDINATES minhash values. The join is a recursion over buckets of sets: in each run, a bucket
 that is still large picks one or two of the coordinates by a hash of its own path, and every set moves into the child
-named by its value there, the token it shares with the sets that it meets. Buckets of at most LEAF sets end the
-recursion, and so does the depth limit; there sketches are compared by brute force. Runs repeat with other paths until
-a pair at the threshold is met with the target recall.
+named by its value there, the token it shares with the sets that it meets. The recursion ends at buckets of at most
+LEAF sets, where sketches are compared by brute force, and at larger ones that hold more than ALIKE of the bucket above:
+their sets agree nearly everywhere, as copies do, and no path would part them. The deeper the recursion went, the less
+often a pair meets, so runs repeat with other paths until a pair at the threshold is met with the target recall.
 
 Sets that met and look alike form clusters, and within each cluster all pairs are verified by exact intersections, so
 pairs that no leaf held are found too and none is counted twice. Equal sets are one entry with a count. Large leaves
@@ -29,7 +30,10 @@ from .shared import attach, written
 SHINGLE = 5
 COORDINATES = 64
 LEAF = 50
+#: Depth that the first runs are planned for; how deep they go is up to the sets.
 DEPTH = 3
+#: A bucket with more than this share of its parent's sets isn't parted further.
+ALIKE = 0.75
 LEAF_BLOCK, BLOCK = 256, 128
 #: Share of equal coordinates below the threshold that still counts as alike: four standard deviations.
 SLACK = 4.0
@@ -111,32 +115,44 @@ def _across(block: np.ndarray, i: int, j: int, n: int) -> np.ndarray:
 def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Edges (a, b) of forests over sets (rep long, sketch binary) that met and look alike."""
     buckets = bucket_count(sets)
-    runs = max(1, ceil(log(1 - recall) / log(1 - min(survival(threshold, DEPTH), 0.999))))
+    needed = lambda depth: max(1, ceil(log(1 - recall) / log(1 - min(survival(threshold, depth), 0.999))))
     alike = int(np.floor(COORDINATES * (threshold - SLACK * (threshold * (1 - threshold) / COORDINATES) ** 0.5)))
 
-    def split(batches):
+    def split(batches, runs):
         for batch in batches:
             if not batch.num_rows:
                 continue
             reps = batch.column("rep").to_numpy()
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            paths = [batch.column("node").to_numpy().view(np.uint64)] if "node" in batch.schema.names else [np.full(len(reps), ta.mix(np.array([r + 1], np.uint64))[0]) for r in range(runs)]
+            paths = [batch.column("node").to_numpy().view(np.uint64)] if "node" in batch.schema.names else [np.full(len(reps), ta.mix(np.array([r + 1], np.uint64))[0]) for r in runs]
             for node in paths:
                 row, child = children(node, sketch, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(reps[row])], ["node", "rep"])
-
-    level, leaves = sets.select("rep", "sketch").mapInArrow(split, "node long, rep long"), None
-    for depth in range(1, DEPTH + 1):
-        level = level.distinct() if depth > 1 else level
-        level = written(level, f"paths{depth}")
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = written(attach(level, sizes.withColumn("size", F.col("n")), "node", "n", "rep").where("size > 1"), f"nodes{depth}")
-        large = sized.where(F.col("size") > LEAF)
-        done = sized.where(F.col("size") <= LEAF) if depth < DEPTH else sized
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if depth == DEPTH or large.isEmpty():
-            break
-        level = large.select("node", "rep").join(sets.select("rep", "sketch"), "rep").select("node", "rep", "sketch").mapInArrow(split, "node long, rep long")
+                above = batch.column("size").to_numpy()[row] if "node" in batch.schema.names else np.full(len(row), 1 << 62)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(reps[row]), pa.array(above)], ["node", "rep", "above"])
+
+    def recursed(runs: range) -> tuple[DataFrame, int]:
+        """The leaves (node, rep, size) of some runs, and how deep they lie."""
+        kind, leaves, depth = "node long, rep long, above long", None, 0
+        level = sets.select("rep", "sketch").mapInArrow(lambda batches: split(batches, runs), kind)
+        while True:
+            depth += 1
+            # a set that two coordinates lead into one bucket is there once
+            level = written(level.dropDuplicates(["node", "rep"]) if depth > 1 else level, f"paths{depth}")
+            sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+            sized = written(attach(level, sizes.withColumn("size", F.col("n")), "node", "n", "rep").where("size > 1"), f"nodes{depth}")
+            parted = (F.col("size") > LEAF) & (F.col("size") <= ALIKE * F.col("above"))
+            done = sized.where(~parted).select("node", "rep", "size")
+            leaves = done if leaves is None else leaves.unionByName(done)
+            large = sized.where(parted)
+            if depth == COORDINATES or large.isEmpty():
+                return leaves, depth
+            level = large.select("node", "rep", "size").join(sets.select("rep", "sketch"), "rep").select("node", "rep", "size", "sketch").mapInArrow(lambda batches: split(batches, runs), kind)
+
+    leaves, deepest, ran = None, DEPTH, 0
+    while ran < needed(deepest):
+        more, depth = recursed(range(ran, needed(deepest)))
+        ran, deepest = needed(deepest), max(deepest, depth)
+        leaves = more if leaves is None else leaves.unionByName(more)
 
     def compare(table: pa.Table) -> pa.Table:
         table, groups = _groups(table, "node")
@@ -160,7 +176,7 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         empty = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
 
-    rows = in_block_pairs(leaves.select("node", "rep", "size"), "node", "rep", LEAF_BLOCK, buckets).join(sets.select("rep", "sketch"), "rep")
+    rows = in_block_pairs(leaves, "node", "rep", LEAF_BLOCK, buckets).join(sets.select("rep", "sketch"), "rep")
     return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 

@@ -63,6 +63,25 @@ def test_groups_of_near_copies_larger_than_a_leaf(spark, monkeypatch):
     assert all(got[d][1] <= want[d][1] for d in want) and {d: g[2] for d, g in got.items()} == {d: w[2] for d, w in want.items()}
 
 
+def test_recall_of_pairs_at_the_threshold_and_of_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(jj, "LEAF", 4)  # small leaves, so that paths are long
+    rng = random.Random(6)
+    rows, word = [], lambda: "w%d" % rng.randint(0, 10**6)
+    for i in range(300):
+        # shingles shared by both, then those of each alone: a Jaccard similarity of 0.80 to 0.85
+        common = [word() for _ in range(104)]
+        own = rng.randint(9, 12)
+        rows += [(2 * i, " ".join(common + [word() for _ in range(own)])), (2 * i + 1, " ".join(common + [word() for _ in range(own)]))]
+    chain = [word() for _ in range(1200)]
+    rows += [(1000 + i, " ".join(chain[10 * i : 10 * i + 200])) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want, got = brute(rows), run(docs)
+    pairs = [d for d in want if d < 1000 and want[d][1]]
+    assert len(pairs) > 300 and sum(got[d][1] for d in pairs) >= 0.98 * sum(want[d][1] for d in pairs)
+    assert all(got[d][1] <= want[d][1] for d in want)
+    assert sum(got[d][1] for d in want) >= 0.98 * sum(want[d][1] for d in want)
+
+
 def test_edge_rows(spark):
     long = " ".join(f"w{i}" for i in range(20000))
     rows = [(1, None), (2, ""), (3, " \t"), (4, "a b"), (5, "a  b"), (6, "a b c"), (7, long), (8, long + " end"), (9, "a\nb")]
