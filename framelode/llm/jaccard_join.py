@@ -5,7 +5,8 @@ that is still large picks one or two of the coordinates by a hash of its own pat
 named by its value there, the token it shares with the sets that it meets. The recursion ends at buckets of at most
 LEAF sets, where sketches are compared by brute force, and at larger ones that hold more than ALIKE of the bucket above:
 their sets agree nearly everywhere, as copies do, and no path would part them. The deeper the recursion went, the less
-often a pair meets, so runs repeat with other paths until a pair at the threshold is met with the target recall.
+often a pair meets, so runs repeat with other paths until a pair at the threshold is met with the target recall; those
+beyond the plan take only the sets that stood in deep buckets.
 
 Sets that met and look alike form clusters, and within each cluster all pairs are verified by exact intersections, so
 pairs that no leaf held are found too and none is counted twice. Equal sets are one entry with a count. Large leaves
@@ -130,10 +131,10 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
                 above = batch.column("size").to_numpy()[row] if "node" in batch.schema.names else np.full(len(row), 1 << 62)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(reps[row]), pa.array(above)], ["node", "rep", "above"])
 
-    def recursed(runs: range) -> tuple[DataFrame, int]:
-        """The leaves (node, rep, size) of some runs, and how deep they lie."""
-        kind, leaves, depth = "node long, rep long, above long", None, 0
-        level = sets.select("rep", "sketch").mapInArrow(lambda batches: split(batches, runs), kind)
+    def recursed(own: DataFrame, runs: range) -> tuple[DataFrame, int, DataFrame | None]:
+        """The leaves (node, rep, size) of some runs over own sets, their depth, and the sets that went beyond DEPTH."""
+        kind, leaves, deep, depth = "node long, rep long, above long", None, None, 0
+        level = own.select("rep", "sketch").mapInArrow(lambda batches: split(batches, runs), kind)
         while True:
             depth += 1
             # a set that two coordinates lead into one bucket is there once
@@ -145,14 +146,18 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
             leaves = done if leaves is None else leaves.unionByName(done)
             large = sized.where(parted)
             if depth == COORDINATES or large.isEmpty():
-                return leaves, depth
+                return leaves, depth, deep
+            if depth == DEPTH:
+                deep = large.select("rep").distinct()
             level = large.select("node", "rep", "size").join(sets.select("rep", "sketch"), "rep").select("node", "rep", "size", "sketch").mapInArrow(lambda batches: split(batches, runs), kind)
 
-    leaves, deepest, ran = None, DEPTH, 0
-    while ran < needed(deepest):
-        more, depth = recursed(range(ran, needed(deepest)))
-        ran, deepest = needed(deepest), max(deepest, depth)
-        leaves = more if leaves is None else leaves.unionByName(more)
+    leaves, deepest, deep = recursed(sets, range(needed(DEPTH)))
+    ran = needed(DEPTH)
+    # only sets that stood in deeper buckets meet less often than planned
+    while deep is not None and ran < needed(deepest):
+        runs = range(ran, needed(deepest))
+        more, depth, deep = recursed(written(sets.join(deep, "rep").select("rep", "sketch"), "deep"), runs)
+        ran, deepest, leaves = runs.stop, max(deepest, depth), leaves.unionByName(more)
 
     def compare(table: pa.Table) -> pa.Table:
         table, groups = _groups(table, "node")
