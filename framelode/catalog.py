@@ -10,13 +10,13 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode import bindings as bd
 from framelode.functions import arrays as ar
 from framelode.functions import numbers as nb
-from framelode.operators import masks, overlap, quality, reuse, statistics, tasks, tensors, timing
+from framelode.operators import images, masks, overlap, quality, reuse, statistics, tasks, tensors, timing
 from framelode.plans import shards, windows
 from framelode.streaming import frames as streams
 
@@ -165,8 +165,10 @@ def max_bbox(spark, sf_dir: str) -> DataFrame:
 
 @query(
     "s AS (SELECT *, greatest(sqrt(4096.0 / (w * h)), 1.0) AS k FROM boxes WHERE w > 0 AND h > 0), "
-    "t AS (SELECT *, CAST(least(ceil(least(ceil(w * k), 640) / 32) * 32, 640) AS BIGINT) AS tw, CAST(least(ceil(least(ceil(h * k), 360) / 32) * 32, 352) AS BIGINT) AS th FROM s) "
-    "SELECT object, frame, least(greatest(0, (2 * x + w) // 2 - tw // 2), 640 - tw) AS bx, least(greatest(0, (2 * y + h) // 2 - th // 2), 360 - th) AS \"by\", tw AS bw, th AS bh FROM t",
+    "t AS (SELECT *, CAST(ceil(least(ceil(w * k), 640) / 32) * 32 AS BIGINT) AS tw, CAST(ceil(least(ceil(h * k), 360) / 32) * 32 AS BIGINT) AS th FROM s), "
+    "u AS (SELECT *, CAST(CASE WHEN tw > th THEN greatest(least(tw, ceil((4096 // th) / 32) * 32), ceil(w / 32) * 32) ELSE tw END AS BIGINT) AS uw, CAST(CASE WHEN tw > th THEN th ELSE greatest(least(th, ceil((4096 // tw) / 32) * 32), ceil(h / 32) * 32) END AS BIGINT) AS uh FROM t), "
+    "f AS (SELECT *, least(uw, 640) AS bw, least(uh, 352) AS bh FROM u) "
+    "SELECT object, frame, least(greatest(0, (2 * x + w) // 2 - bw // 2), 640 - bw) AS bx, least(greatest(0, (2 * y + h) // 2 - bh // 2), 360 - bh) AS \"by\", bw, bh FROM f",
     "boxes",
 )
 def bbox_align(spark, sf_dir: str) -> DataFrame:
@@ -225,34 +227,54 @@ for _name, _mode, _whole in (("blend_linear", "linear", False), ("blend_cosine",
 
 # --- quality ------------------------------------------------------------------------------------------------------
 
-_PIXELS = "px AS (SELECT a.label AS clip, a.vec_id AS frame, unnest(a.v) AS reference, unnest(b.v) AS candidate, unnest(range(len(a.v))) AS place FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1), pm AS (SELECT clip, frame, reference * 255 AS reference, candidate * 255 AS candidate, CASE WHEN place % 4 = 0 AND frame % 5 <> 0 THEN 1 ELSE 0 END AS mask FROM px)"
-_QUALITY = f"{_PIXELS}, s AS (SELECT clip, frame, avg(abs(reference - candidate)) AS mae, avg((reference - candidate) * (reference - candidate)) AS mse, avg(reference) AS ma, avg(candidate) AS mb, avg(reference * reference) AS aa, avg(candidate * candidate) AS bb, avg(reference * candidate) AS ab, count(*) FILTER (mask > 0) AS mask_pixels, avg(abs(reference - candidate)) FILTER (mask > 0) AS mask_mae, avg(abs(reference - candidate)) FILTER (mask = 0) AS outside_mae FROM pm GROUP BY clip, frame), q AS (SELECT clip, frame, (2 * ma * mb + 6.5025) * (2 * (ab - ma * mb) + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (aa - ma * ma + bb - mb * mb + 58.5225)) AS ssim, mae, mse, mask_pixels, mask_mae, outside_mae FROM s)"
+# an embedding is a frame of 8 x 8 bytes, the next one the candidate
+_BYTE = "CAST(least(255, floor(abs({}) * 255)) AS DOUBLE)"
+_PIXELS = f"px AS (SELECT a.label AS clip, a.vec_id AS frame, unnest(range(len(a.v))) AS place, unnest(a.v) AS r, unnest(b.v) AS c FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1), pm AS (SELECT clip, frame, place, place // 8 AS y, place % 8 AS x, {_BYTE.format('r')} AS reference, {_BYTE.format('c')} AS candidate, CASE WHEN place % 4 = 0 AND frame % 5 <> 0 AND place < 40 THEN 1 ELSE 0 END AS mask FROM px)"
+#: Weights of an 11-wide Gaussian with sigma 1.5 on a mirrored axis of 8: k (i, j, w).
+_KERNEL = "d AS (SELECT unnest(range(-5, 6)) AS d), g AS (SELECT d, exp(-d * d / 4.5) / (SELECT sum(exp(-d * d / 4.5)) FROM d) AS g FROM d), k AS (SELECT i, CASE WHEN abs(i + d) > 7 THEN 14 - abs(i + d) ELSE abs(i + d) END AS j, sum(g) AS w FROM (SELECT unnest(range(8)) AS i), g GROUP BY ALL)"
+_QUALITY = (
+    f"{_PIXELS}, {_KERNEL}, "
+    "h AS (SELECT clip, frame, y, k.i AS x, sum(w * reference) AS ma, sum(w * candidate) AS mb, sum(w * reference * reference) AS aa, sum(w * candidate * candidate) AS bb, sum(w * reference * candidate) AS ab FROM pm JOIN k ON k.j = pm.x GROUP BY clip, frame, y, k.i), "
+    "b AS (SELECT clip, frame, k.i AS y, x, sum(w * ma) AS ma, sum(w * mb) AS mb, sum(w * aa) AS aa, sum(w * bb) AS bb, sum(w * ab) AS ab FROM h JOIN k ON k.j = h.y GROUP BY clip, frame, k.i, x), "
+    "e AS (SELECT p.clip, p.frame, p.place, max(n.mask) <> min(n.mask) AS edge FROM pm p JOIN pm n ON n.clip = p.clip AND n.frame = p.frame AND abs(n.y - p.y) <= 5 AND abs(n.x - p.x) <= 5 GROUP BY ALL), "
+    "s AS (SELECT clip, frame, mask > 0 AS m, edge, abs(candidate - reference) AS d, (2 * ma * mb + 6.5025) * (2 * (ab - ma * mb) + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (aa - ma * ma + bb - mb * mb + 58.5225)) AS t FROM pm JOIN b USING (clip, frame, y, x) JOIN e USING (clip, frame, place)), "
+    "q AS (SELECT clip, frame, avg(t) AS ssim, avg(d) AS mae, avg(d * d) AS mse, count(*) FILTER (m) AS mask_pixels, count(*) FILTER (edge) AS edge_pixels, avg(t) FILTER (m) AS mask_ssim, avg(d) FILTER (m) AS mask_mae, avg(t) FILTER (edge) AS edge_ssim, avg(d) FILTER (edge) AS edge_mae, avg(t) FILTER (NOT m) AS outside_ssim, avg(d) FILTER (NOT m) AS outside_mae FROM s GROUP BY clip, frame)"
+)
+_MEASURES = ["ssim", "mae", "mse", "mask_ssim", "mask_mae", "edge_ssim", "edge_mae", "outside_ssim", "outside_mae"]
+
+
+def _bytes(column: str) -> Column:
+    """An array of numbers in 0..255 as binary."""
+    return F.unhex(F.array_join(F.transform(column, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
 
 
-def _pixels(spark, sf_dir: str) -> DataFrame:
+def _image_pairs(spark, sf_dir: str) -> DataFrame:
+    """clip, frame, height, width, and the arrays reference, candidate and mask."""
+    byte = lambda v: F.transform(v, lambda x: F.least(F.lit(255), F.floor(F.abs(x) * 255)))
     a = bd.vectors(spark, sf_dir)
-    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("u"))
-    rows = a.join(b, "vec_id").select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), F.posexplode(F.arrays_zip("v", "u")).alias("place", "p"))
-    mask = F.when((F.col("place") % 4 == 0) & (F.col("frame") % 5 != 0), 1).otherwise(0)
-    return rows.select("clip", "frame", (F.col("p.v") * 255).alias("reference"), (F.col("p.u") * 255).alias("candidate"), mask.alias("mask"))
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), byte("v").alias("candidate"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.when((p % 4 == 0) & (F.col("vec_id") % 5 != 0) & (p < 40), 1).otherwise(0))
+    return a.join(b, "vec_id").select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), byte("v").alias("reference"), "candidate", mask.alias("mask"))
 
 
-_ROUND_Q = "round(ssim, 6) AS ssim, round(mae, 6) AS mae, round(mse, 6) AS mse, mask_pixels, round(mask_mae, 6) AS mask_mae, round(outside_mae, 6) AS outside_mae"
+def _compared(spark, sf_dir: str) -> DataFrame:
+    return images.compared(_image_pairs(spark, sf_dir).select("clip", "frame", "height", "width", _bytes("reference").alias("pixels"), _bytes("candidate").alias("candidate"), _bytes("mask").alias("mask"))).drop("height", "width")
 
 
-@query(f"{_QUALITY} SELECT clip, frame, {_ROUND_Q} FROM q", "vectors")
+@query(f"{_QUALITY} SELECT clip, frame, mask_pixels, edge_pixels, {', '.join(f'round({m}, 6) AS {m}' for m in _MEASURES)} FROM q", "vectors")
 def quality_frame(spark, sf_dir: str) -> DataFrame:
-    return rounded(quality.pixel_quality(_pixels(spark, sf_dir)), "ssim", "mae", "mse", "mask_mae", "outside_mae")
+    return rounded(_compared(spark, sf_dir), *_MEASURES)
 
 
-@query(f"{_QUALITY} SELECT clip, frame, round(mae, 6) AS mae, round(abs(mae - lag(mae) OVER (PARTITION BY clip ORDER BY frame)), 6) AS temporal_delta FROM q", "vectors")
+@query(f"{_PIXELS}, l AS (SELECT clip, frame, candidate - reference AS e, lag(candidate - reference) OVER (PARTITION BY clip, place ORDER BY frame) AS p FROM pm) SELECT clip, frame, round(avg(abs(e)), 6) AS mae, round(avg(abs(e - p)), 6) AS temporal_delta FROM l GROUP BY clip, frame", "vectors")
 def quality_temporal(spark, sf_dir: str) -> DataFrame:
-    return rounded(quality.temporal_delta(quality.pixel_quality(_pixels(spark, sf_dir))).select("clip", "frame", "mae", "temporal_delta"), "mae", "temporal_delta")
+    pixels = _image_pairs(spark, sf_dir).select("clip", "frame", F.posexplode(F.arrays_zip("reference", "candidate")).alias("place", "p")).select("clip", "frame", "place", F.col("p.reference").cast("double").alias("reference"), F.col("p.candidate").cast("double").alias("candidate"))
+    return rounded(quality.temporal_delta(pixels), "mae", "temporal_delta")
 
 
 @query(f"{_QUALITY} SELECT clip, count(*) AS frames, round(avg(ssim), 6) AS ssim, round(avg(mae), 6) AS mae, round(avg(mask_mae), 6) AS mask_mae, round(avg(outside_mae), 6) AS outside_mae, round(min(ssim), 6) AS min_ssim, first(frame ORDER BY ssim, frame) AS min_frame FROM q GROUP BY clip", "vectors")
 def quality_summary(spark, sf_dir: str) -> DataFrame:
-    return rounded(quality.summary(quality.pixel_quality(_pixels(spark, sf_dir))), "ssim", "mae", "mask_mae", "outside_mae", "min_ssim")
+    return rounded(quality.summary(_compared(spark, sf_dir)), "ssim", "mae", "mask_mae", "outside_mae", "min_ssim")
 
 
 # --- timings and tasks --------------------------------------------------------------------------------------------
@@ -332,7 +354,7 @@ _STATUS_OF = "CASE kind WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WH
 
 @query(
     f"h AS (SELECT clip, frame, {_STATUS_OF} AS status FROM frames), l AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY clip ORDER BY frame), 'queued') AS before FROM h) "
-    "SELECT clip, count(*) AS steps, count(*) FILTER (NOT ((before = 'queued' AND status IN ('running', 'failed', 'cancelled')) OR (before = 'running' AND status IN ('completed', 'failed', 'cancelled')))) AS bad_steps, first(status ORDER BY frame DESC) AS last_status FROM l GROUP BY clip",
+    "SELECT clip, count(*) AS steps, count(*) FILTER (NOT ((before = 'queued' AND status IN ('running', 'cancelled')) OR (before = 'running' AND status IN ('completed', 'failed', 'cancelled')))) AS bad_steps, first(status ORDER BY frame DESC) AS last_status FROM l GROUP BY clip",
     "frames",
 )
 def task_history(spark, sf_dir: str) -> DataFrame:
@@ -569,8 +591,12 @@ def _stream(spark, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelode-")
+    """A new folder under spark.checkpoint.dir; a local one only where that is unset and Spark runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="framelode-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

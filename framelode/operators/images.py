@@ -53,11 +53,12 @@ def similarity(a: np.ndarray, b: np.ndarray, peak: float = 255.0) -> np.ndarray:
 def _mapped(frames: DataFrame, work, schema: str, names: list[str]) -> DataFrame:
     keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name not in ("pixels", "candidate", "mask")]
     held = [f.name for f in frames.schema if f.name not in ("pixels", "candidate", "mask")]
+    kinds = {n: {"double": pa.float64(), "long": pa.int64(), "binary": pa.binary()}[kind] for n, kind in (x.split() for x in schema.split(", "))}
 
     def run(batches):
         for batch in batches:
             rows = [work(r) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in held), *(pa.array([r[i] for r in rows]) for i in range(len(names)))], [*held, *names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in held), *(pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names))], [*held, *names])
 
     return frames.mapInArrow(run, ", ".join([*keys, schema]))
 
@@ -76,15 +77,50 @@ def soft_masks(frames: DataFrame, size: int, sigma: float) -> DataFrame:
     return _mapped(frames, lambda r: (np.rint(blurred(_image(r, "pixels").astype(float), size, sigma)).astype(np.uint8).tobytes(),), "pixels binary", ["pixels"])
 
 
+def any_near(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Where any pixel within reach rows and columns is set."""
+    for axis in (0, 1):
+        wide = np.pad(mask, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)])
+        mask = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1, axis).any(-1)
+    return mask
+
+
+REGIONS = ("mask", "edge", "outside")
+
+
 def compared(frames: DataFrame) -> DataFrame:
-    """ssim, mae and the same inside the mask (null without any) of frames (..., pixels, candidate, mask)."""
+    """Quality of frames (..., height, width, pixels, candidate, mask): ssim, mae, mse, mask_pixels, edge_pixels, and
+    ssim and mae inside the mask, along its edge (11 x 11 around it) and outside, null where a region has no pixel."""
 
     def work(r):
         a, b, m = _image(r, "pixels").astype(float), _image(r, "candidate").astype(float), _image(r, "mask") > 0
         s, d = similarity(a, b), np.abs(a - b)
-        return float(s.mean()), float(d.mean()), float(s[m].mean()) if m.any() else None, float(d[m].mean()) if m.any() else None
+        edge = any_near(m, 5) & any_near(~m, 5)
+        out = [float(s.mean()), float(d.mean()), float((d * d).mean()), int(m.sum()), int(edge.sum())]
+        return [*out, *(float(x[region].mean()) if region.any() else None for region in (m, edge, ~m) for x in (s, d))]
+
+    names = ["ssim", "mae", "mse", "mask_pixels", "edge_pixels", *(f"{r}_{k}" for r in REGIONS for k in ("ssim", "mae"))]
+    return _mapped(frames, work, ", ".join(f"{n} {'long' if n.endswith('_pixels') else 'double'}" for n in names), names)
+
 
-    return _mapped(frames, work, "ssim double, mae double, mask_ssim double, mask_mae double", ["ssim", "mae", "mask_ssim", "mask_mae"])
+def spliced(frames: DataFrame, x: int, y: int) -> DataFrame:
+    """Gray frames with a patch (candidate: patch_height x patch_width) laid over them at column x and row y.
+
+    A patch that doesn't lie inside the frame raises; a null patch leaves the frame as it is.
+    """
+
+    def work(r):
+        image = _image(r, "pixels")
+        if r["candidate"] is None:
+            return (r["pixels"],)
+        h, w = r["patch_height"], r["patch_width"]
+        if x < 0 or y < 0 or x + w > r["width"] or y + h > r["height"]:
+            raise ValueError(f"patch {x, y, w, h} exceeds frame {r['width']} x {r['height']}")
+        out = image.copy()
+        out[y : y + h, x : x + w] = np.frombuffer(r["candidate"], np.uint8).reshape(h, w)
+        return (out.tobytes(),)
+
+    return _mapped(frames, work, "pixels binary", ["pixels"])
 
 
 def cropped(frames: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

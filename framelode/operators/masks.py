@@ -61,10 +61,35 @@ def window_boxes(boxes: DataFrame, windows: DataFrame) -> DataFrame:
     return hit.groupBy("clip", "window_index").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-def aligned_boxes(boxes: DataFrame, width: int, height: int, align: int, least: int = 0) -> DataFrame:
-    """Boxes (x, y, w, h) grown to at least least pixels and to multiples of align, moved to lie in the frame."""
-    scale = F.greatest(F.sqrt(F.lit(float(least)) / (F.col("w") * F.col("h"))), F.lit(1.0)) if least else F.lit(1.0)
-    up = lambda c, cap: F.least(F.ceil(F.least(F.ceil(F.col(c) * scale), F.lit(cap)) / align) * align, F.lit(cap // align * align))
-    grown = boxes.where("w > 0 AND h > 0").withColumn("tw", up("w", width)).withColumn("th", up("h", height))
-    place = lambda at, size, target, cap: F.least(F.greatest(F.lit(0).cast("long"), F.floor((2 * F.col(at) + F.col(size)) / 2) - F.floor(F.col(target) / 2)), cap - F.col(target))
-    return grown.select("object", "frame", place("x", "w", "tw", width).alias("bx"), place("y", "h", "th", height).alias("by"), F.col("tw").alias("bw"), F.col("th").alias("bh"))
+def aligned_boxes(boxes: DataFrame, width: int, height: int, align: int, min_pixels: int = 256 * 256, max_pixels: int = 1920 * 1088, ratio: float = 1.0) -> DataFrame:
+    """Boxes (x, y, w, h) scaled by ratio, but to at least min_pixels, aligned, and moved to lie in the frame.
+
+    After alignment the longer side shrinks again to what min_pixels asks for, though not below the box itself. A box
+    or result of more than max_pixels (0: no bound) raises. A negative ratio takes the largest box of the frame's
+    longer fit with max_pixels. Boxes without an area are left out.
+    """
+    if 0 <= ratio < 1:
+        raise ValueError("a ratio from 0 to 1 isn't supported")
+    w, h = F.col("w"), F.col("h")
+    up = lambda c: F.ceil(c / align) * align
+    if ratio >= 1:
+        least = F.greatest(F.sqrt(F.lit(float(min_pixels)) / (w * h)), F.lit(1.0)) if min_pixels > 0 else F.lit(1.0)
+        most = F.greatest(F.sqrt(F.lit(float(max_pixels)) / (w * h)), least) if max_pixels > 0 else F.lit(float("inf"))
+        scale = F.greatest(least, F.least(F.lit(float(ratio)), most))
+        size = F.least(F.ceil(w * scale), F.lit(width)), F.least(F.ceil(h * scale), F.lit(height))
+    else:
+        by_width = F.lit(width) / w < F.lit(height) / h
+        size = F.when(by_width, width).otherwise(max_pixels // height), F.when(by_width, max_pixels // width).otherwise(height)
+    sized = boxes.where("w > 0 AND h > 0").withColumn("tw", up(size[0])).withColumn("th", up(size[1]))
+    if max_pixels > 0:
+        large = F.raise_error(F.format_string("box of %d x %d exceeds %d pixels", w, h, F.lit(max_pixels)))
+        sized = sized.withColumn("tw", F.when(w * h > max_pixels, large).otherwise(F.col("tw")))
+    shrunk = lambda own, other, side: F.greatest(F.least(F.col(own), up(F.floor(F.lit(min_pixels) / F.col(other)))), F.least(up((side * F.lit(ratio)).cast("long")), up(side)))
+    wide = F.col("tw") > F.col("th")
+    sized = sized.select("*", F.when(wide, shrunk("tw", "th", w)).otherwise(F.col("tw")).alias("sw"), F.when(wide, F.col("th")).otherwise(shrunk("th", "tw", h)).alias("sh"))
+    if max_pixels > 0:
+        large = F.raise_error(F.format_string("scaled box of %d x %d exceeds %d pixels", F.col("sw"), F.col("sh"), F.lit(max_pixels)))
+        sized = sized.withColumn("sw", F.when(F.col("sw") * F.col("sh") > max_pixels, large).otherwise(F.col("sw")))
+    grown = sized.withColumn("sw", F.least("sw", F.lit(width // align * align))).withColumn("sh", F.least("sh", F.lit(height // align * align)))
+    place = lambda at, side, target, cap: F.least(F.greatest(F.lit(0).cast("long"), F.floor((2 * F.col(at) + side) / 2) - F.floor(F.col(target) / 2)), cap - F.col(target))
+    return grown.select("object", "frame", place("x", w, "sw", width).alias("bx"), place("y", h, "sh", height).alias("by"), F.col("sw").alias("bw"), F.col("sh").alias("bh"))

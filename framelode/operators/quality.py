@@ -22,10 +22,16 @@ def pixel_quality(pixels: DataFrame, peak: float = 255.0) -> DataFrame:
     return sums.select("clip", "frame", ssim.alias("ssim"), "mae", "mse", "mask_pixels", "mask_mae", "outside_mae")
 
 
-def temporal_delta(quality: DataFrame) -> DataFrame:
-    """quality with temporal_delta: how much a frame's error differs from the frame before; null for the first."""
-    last = F.lag("mae").over(Window.partitionBy("clip").orderBy("frame"))
-    return quality.withColumn("temporal_delta", F.abs(F.col("mae") - last))
+def temporal_delta(pixels: DataFrame) -> DataFrame:
+    """(clip, frame, mae, temporal_delta) of pixels (clip, frame, place, reference, candidate).
+
+    temporal_delta: the mean over pixels of how much a pixel's error differs from its error in the frame before; null
+    for a clip's first frame. A window follows one pixel of a clip, so a long clip is spread over its pixels.
+    """
+    past = Window.partitionBy("clip", "place").orderBy("frame")
+    error = F.col("candidate") - F.col("reference")
+    rows = pixels.select("clip", "frame", "place", error.alias("e")).withColumn("d", F.abs(F.col("e") - F.lag("e").over(past)))
+    return rows.groupBy("clip", "frame").agg(F.avg(F.abs("e")).alias("mae"), F.avg("d").alias("temporal_delta"))
 
 
 def summary(quality: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 STATUSES = ["queued", "running", "completed", "failed", "cancelled"]
 TERMINAL = ["completed", "failed", "cancelled"]
 #: From status to status.
-TRANSITIONS = [("queued", "running"), ("queued", "failed"), ("queued", "cancelled"), ("running", "completed"), ("running", "failed"), ("running", "cancelled")]
+TRANSITIONS = [("queued", "running"), ("queued", "cancelled"), ("running", "completed"), ("running", "failed"), ("running", "cancelled")]
 
 
 def page(tasks: DataFrame, limit: int, after: tuple | None = None, ascending: bool = True) -> DataFrame:
