@@ -711,3 +711,7 @@ def block_table(spark, sf_dir: str) -> DataFrame:
 def paired_frames(spark, sf_dir: str) -> DataFrame:
     rows = bd.frames(spark, sf_dir).select("clip", "frame", "value")
     return tensors.paired(rows, rows.withColumn("value", F.col("value") + 1))
+
+
+# the other modules of queries register themselves
+from framelode import catalog_layers, catalog_media  # noqa: E402, F401

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: a lambda's variable, where an expression would be computed at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -16,15 +21,14 @@ def dot(a: Column, b: Column) -> Column:
 
 def rms_norm(x: Column, eps: float = 1e-6) -> Column:
     """x over the root of its mean square."""
-    scale = F.sqrt(dot(x, x) / F.size(x) + eps)
-    return F.transform(x, lambda v: v / scale)
+    scale = lambda u: F.sqrt(dot(u, u) / F.size(u) + eps)
+    return let(x, lambda u: let(scale(u), lambda s: F.transform(u, lambda v: v / s)))
 
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
     """x less its mean, over the root of its variance."""
-    mean = total(x) / F.size(x)
-    scale = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(x) + eps)
-    return F.transform(x, lambda v: (v - mean) / scale)
+    scale = lambda u, m: F.sqrt(F.aggregate(u, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.size(u) + eps)
+    return let(x, lambda u: let(total(u) / F.size(u), lambda m: let(scale(u, m), lambda s: F.transform(u, lambda v: (v - m) / s))))
 
 
 def gated(residual: Column, x: Column, gate: Column) -> Column:
@@ -54,15 +58,14 @@ def halves_gated(x: Column, act) -> Column:
 
 def rotary(x: Column, position: Column, base: float = 10000.0) -> Column:
     """Neighbouring pairs of x turned by position * base**(-2i / n)."""
-    n = F.size(x)
 
-    def turned(v: Column, i: Column) -> Column:
+    def turned(u: Column, v: Column, i: Column) -> Column:
         pair = F.floor(i / 2) * 2
-        angle = position * F.pow(F.lit(base), -pair / n)
-        other = F.get(x, F.when(i % 2 == 0, i + 1).otherwise(i - 1).cast("int"))
+        angle = position * F.pow(F.lit(base), -pair / F.size(u))
+        other = F.get(u, F.when(i % 2 == 0, i + 1).otherwise(i - 1).cast("int"))
         return F.when(i % 2 == 0, v * F.cos(angle) - other * F.sin(angle)).otherwise(v * F.cos(angle) + other * F.sin(angle))
 
-    return F.transform(x, turned)
+    return let(x, lambda u: F.transform(u, lambda v, i: turned(u, v, i)))
 
 
 def int8_scale(x: Column) -> Column:
@@ -88,3 +91,57 @@ def polynomial(coefficients: list[float], x: Column) -> Column:
     for c in coefficients:
         out = out * x + F.lit(float(c))
     return out
+
+
+def shifted_norm(x: Column, scale: Column, shift: Column, norm=layer_norm, eps: float = 1e-6) -> Column:
+    """norm(x) * (1 + scale) + shift."""
+    return scaled_shifted(norm(x, eps), scale, shift)
+
+
+def tanh_norm(x: Column, scale: Column, shift: Column, norm=layer_norm, eps: float = 1e-6) -> Column:
+    """norm(x) * tanh(scale) + shift."""
+    return F.transform(norm(x, eps), lambda v: v * F.tanh(scale) + shift)
+
+
+def per_head(x: Column, heads: int, f) -> Column:
+    """f of each of heads equal parts of x, put together again."""
+    size = lambda u: (F.size(u) / heads).cast("int")
+    return let(x, lambda u: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: f(F.slice(u, h * size(u) + 1, size(u))))))
+
+
+def rotary_halves(x: Column, position: Column, base: float = 10000.0) -> Column:
+    """The pair of place i is place i + n / 2 of x; both turned by position * base**(-2i / n)."""
+
+    def turned(u: Column, v: Column, i: Column) -> Column:
+        half = (F.size(u) / 2).cast("int")
+        angle = position * F.pow(F.lit(base), -2 * (i % half) / F.size(u))
+        other = F.get(u, F.when(i < half, i + half).otherwise(i - half).cast("int"))
+        return v * F.cos(angle) + F.when(i < half, -other).otherwise(other) * F.sin(angle)
+
+    return let(x, lambda u: F.transform(u, lambda v, i: turned(u, v, i)))
+
+
+def rotary_angles(position: Column, size: int, theta: float = 10000.0, rescale: float = 1.0, interpolation: float = 1.0) -> Column:
+    """The angles of one axis of size places: position * interpolation over rising powers of theta."""
+    base = theta * rescale ** (size / (size - 2)) if rescale != 1.0 else theta
+    return F.transform(F.sequence(F.lit(0), F.lit(size // 2 - 1)), lambda i: position * interpolation / F.pow(F.lit(base), 2 * i / F.lit(float(size))))
+
+
+def quick_gelu(v: Column) -> Column:
+    return v * sigmoid(1.702 * v)
+
+
+def mul_add(a: Column, b: Column, c: Column, k: float = 0.0) -> Column:
+    """c + a * (k + b), place by place."""
+    return F.zip_with(c, F.zip_with(a, b, lambda p, q: p * (k + q)), lambda r, t: r + t)
+
+
+def fp8_scale(top: Column) -> Column:
+    """The largest absolute value over 448; 1 where it is 0."""
+    return F.when(top == 0, F.lit(1.0)).otherwise(top / 448)
+
+
+def bytes_of(values: Column) -> Column:
+    """An array of longs as binary, 8 bytes each, low ones first."""
+    pairs = lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(h, 15 - 2 * i, F.lit(2))), "")
+    return F.unhex(F.array_join(F.transform(values, lambda v: pairs(F.lpad(F.hex(v), 16, "0"))), ""))

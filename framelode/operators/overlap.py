@@ -29,3 +29,15 @@ def blended(placed: DataFrame, windows: DataFrame, mode: str, whole: bool = Fals
     out = joined.withColumn("mixed", mixed)
     # the frame's last window has the say
     return out.groupBy("clip", "frame").agg(F.max(F.struct("window_index", "mixed")).alias("last"), F.count("*").alias("windows")).select("clip", "frame", F.col("last.mixed").alias("value"), "windows")
+
+
+def seamed(tiles: DataFrame, axis: str, others: list[str], size: int, extent: int) -> DataFrame:
+    """Tiles (tile, axis, others..., value) whose first extent places along axis blend with the end of the tile before.
+
+    Place i of the seam takes (1 - i / extent) of the earlier tile's place size - extent + i. One equi-join of the few
+    seam rows; the rest of a tile passes.
+    """
+    extent = min(extent, size)
+    before = tiles.where(F.col(axis) >= size - extent).select((F.col("tile") + 1).alias("tile"), (F.col(axis) - (size - extent)).alias(axis), *others, F.col("value").alias("_earlier"))
+    share = F.col(axis) / extent
+    return tiles.join(before, ["tile", axis, *others], "left").withColumn("value", F.when(F.col("_earlier").isNull(), F.col("value")).otherwise(F.col("_earlier") * (1 - share) + F.col("value") * share)).drop("_earlier")

@@ -56,3 +56,21 @@ def merged_softmax(parts: DataFrame) -> DataFrame:
     scaled = parts.join(tops, "id").withColumn("f", F.exp(F.col("top") - F.col("whole")))
     sums = scaled.groupBy("id").agg(F.sum(F.col("norm") * F.col("f")).alias("norm"), F.sum(F.col("value") * F.col("f")).alias("sum"))
     return sums.select("id", (F.col("sum") / F.col("norm")).alias("value"), "norm")
+
+
+def masked_tensor_stats(values: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """(tensor, n, mean, std) of values (tensor, x, mask) over all channels where mask > 0; without any, both are eps.
+
+    std is sqrt(sample variance + eps), NaN for one value.
+    """
+    on = F.when(F.col("mask") > 0, F.col("x"))
+    sums = values.groupBy("tensor").agg(F.count(on).alias("n"), F.avg(on).alias("mean"), F.var_samp(on).alias("var"))
+    std = F.when(F.col("n") == 0, F.lit(eps)).when(F.col("n") == 1, F.lit(float("nan"))).otherwise(F.sqrt(F.col("var") + eps))
+    return sums.select("tensor", "n", F.coalesce("mean", F.lit(eps)).alias("mean"), std.alias("std"))
+
+
+def run_summary(runs: DataFrame, measure: str, checks: list[str], output: str) -> DataFrame:
+    """Per group: runs, mean, min, max and sample deviation of measure (null for one run), whether each check holds in
+    every run, and whether all outputs are the same."""
+    m = F.col(measure)
+    return runs.groupBy("group").agg(F.count("*").alias("runs"), F.avg(m).alias("mean"), F.min(m).alias("min"), F.max(m).alias("max"), F.stddev_samp(m).alias("std"), *[F.every(F.col(c)).alias(c) for c in checks], (F.min(output) == F.max(output)).alias("same_output"))

@@ -74,3 +74,21 @@ def valid_history(changes: DataFrame) -> DataFrame:
     steps = changes.withColumn("before", F.coalesce(F.lag("status").over(order), F.lit("queued")))
     judged = steps.join(allowed, ["before", "status"], "left")
     return judged.groupBy("clip").agg(F.count("*").alias("steps"), F.count_if(F.col("fine").isNull()).alias("bad_steps"), F.max(F.struct("frame", "status")).alias("last")).select("clip", "steps", "bad_steps", F.col("last.status").alias("last_status"))
+
+
+def upserted(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The latest row of each key of changes (keys, seq, ...): a history of updates as the table they leave."""
+    names = [c for c in changes.columns if c not in keys]
+    last = F.max(F.struct("seq", *[n for n in names if n != "seq"])).alias("last")
+    return changes.groupBy(*keys).agg(last).select(*keys, *[F.col(f"last.{n}").alias(n) for n in names])
+
+
+def recorded(events: DataFrame, payload: list[str]) -> DataFrame:
+    """Events (seq, event, ids, ...) with the payload columns as one JSON object; null ones are left out."""
+    held = [c for c in events.columns if c not in payload]
+    return events.select(*held, F.to_json(F.struct(*payload)).alias("payload"))
+
+
+def defaulted(rows: DataFrame, defaults: dict) -> DataFrame:
+    """rows with each null replaced by the default of its column."""
+    return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in defaults.items()})

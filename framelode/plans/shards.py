@@ -40,3 +40,32 @@ def islands(rows: DataFrame, group: str, value: str) -> DataFrame:
     runs = rows.select(group, value).distinct().withColumn("island", F.col(value) - number).groupBy(group, "island").agg(F.min(value).alias("a"), F.max(value).alias("b"))
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
     return runs.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"]), ",").alias("runs"))
+
+
+def cpu_map(rows: DataFrame, world: int) -> DataFrame:
+    """(id, rank, cpu) of maps (id, text) such as "0=0-3;1=4,6": each rank of 0..world - 1 once, no CPU in two ranks.
+
+    What breaks these rules raises when it is read.
+    """
+    parts = rows.select("id", F.explode(F.filter(F.split("text", ";"), lambda p: F.trim(p) != "")).alias("part"))
+    good = F.col("part").rlike(r"^\s*\d+\s*=\s*\d+(-\d+)?(\s*,\s*\d+(-\d+)?)*\s*$")
+    split = parts.select("id", F.when(good, F.split("part", "=")).otherwise(F.raise_error(F.concat(F.lit("invalid CPU assignment "), "part")).cast("array<string>")).alias("p"))
+    listed = split.select("id", F.trim(F.get("p", F.lit(0))).cast("long").alias("rank"), F.explode(F.split(F.get("p", F.lit(1)), ",")).alias("run"))
+    ends = F.transform(F.split("run", "-"), lambda t: F.trim(t).cast("long"))
+    cpus = listed.select("id", "rank", F.explode(F.sequence(F.get(ends, F.lit(0)), F.element_at(ends, -1))).alias("cpu"))
+    each = Window.partitionBy("id")
+    faults = F.when(F.max("rank").over(each) >= world, "a rank is outside the world").when(F.size(F.collect_set("rank").over(each)) < world, "a rank is missing").when(F.count("cpu").over(each) > F.size(F.collect_set("cpu").over(each)), "a CPU belongs to two ranks")
+    return cpus.withColumn("fault", faults).select("id", "rank", F.when(F.col("fault").isNull(), F.col("cpu")).otherwise(F.raise_error(F.col("fault")).cast("long")).alias("cpu"))
+
+
+def sharded(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (id, place, ...) with the rank that holds them by a plan (id, rank, first, last)."""
+    held = plan.where("last > first").select("id", "rank", F.explode(F.expr("sequence(first, last - 1)")).alias("place"))
+    return rows.join(held, ["id", "place"])
+
+
+def gathered(shards: DataFrame) -> DataFrame:
+    """(id, values) of sharded rows (id, rank, place, value): each rank's part in order, then the parts in rank order."""
+    parts = shards.groupBy("id", "rank").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("part"))
+    whole = parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "part"))).alias("parts"))
+    return whole.select("id", F.flatten(F.transform("parts", lambda p: F.transform(p.part, lambda x: x.value))).alias("values"))
