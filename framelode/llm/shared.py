@@ -13,9 +13,12 @@ HEAVY_KEYS = 1000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset (tests, one machine), under a local folder."""
+    """A new path under spark.checkpoint.dir; where that is unset, under a local folder on one machine and an error on
+    a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="framelode-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
