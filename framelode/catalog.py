@@ -667,17 +667,18 @@ def matrix_product(spark, sf_dir: str) -> DataFrame:
     return rounded(tensors.product(rows.select(F.col("vec_id").alias("m"), F.col("channel").alias("k"), "x"), weights), "y")
 
 
-@query("kq AS (SELECT vec_id AS k, v FROM vectors WHERE vec_id % 50 = 0), s AS (SELECT a.vec_id AS q, b.v AS value, exp(list_dot_product(a.v, b.v) * 8) AS w FROM vectors a, kq b), e AS (SELECT q, w, unnest(range(64)) AS place, unnest(value) AS x FROM s) SELECT q, place, round(sum(w * x) / sum(w), 6) AS y FROM e GROUP BY ALL", "vectors")
+@query("kq AS (SELECT vec_id AS q, v FROM vectors WHERE vec_id % 20 = 0), s AS (SELECT q, b.v AS value, exp(list_dot_product(a.v, b.v) * 8) AS w FROM kq a, vectors b), e AS (SELECT q, w, unnest(range(64)) AS place, unnest(value) AS x FROM s) SELECT q, place, round(sum(w * x) / sum(w), 6) AS y FROM e GROUP BY ALL", "vectors")
 def attention(spark, sf_dir: str) -> DataFrame:
+    """A search: every embedding whose id is divisible by 20 asks all embeddings."""
     rows = bd.vectors(spark, sf_dir)
-    keys = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("k"), "v", F.col("v").alias("value"))
-    out = tensors.attention(rows.select(F.col("vec_id").alias("q"), "v"), keys, 8.0)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "v")
+    out = tensors.attention(asked, rows.select(F.col("vec_id").alias("k"), "v", F.col("v").alias("value")), 8.0)
     return rounded(out.select("q", F.col("place").cast("long").alias("place"), "y"), "y")
 
 
 @query("w AS (SELECT a.vec_id AS q, exp(list_dot_product(a.v, b.v) * 8) AS w, b.v AS value FROM vectors a, vectors b), e AS (SELECT q, w, unnest(range(64)) AS place, unnest(value) AS x FROM w) SELECT q, place, round(sum(w * x) / sum(w), 6) AS y FROM e GROUP BY ALL", "vectors")
 def attention_all(spark, sf_dir: str) -> DataFrame:
-    """Every embedding asks all embeddings; attention beside it has 2 % of them for keys."""
+    """Every embedding asks all embeddings; in attention every twentieth does."""
     rows = bd.vectors(spark, sf_dir)
     out = tensors.attention(rows.select(F.col("vec_id").alias("q"), "v"), rows.select(F.col("vec_id").alias("k"), "v", F.col("v").alias("value")), 8.0)
     return rounded(out.select("q", F.col("place").cast("long").alias("place"), "y"), "y")
@@ -689,9 +690,12 @@ def timestep_embedding(spark, sf_dir: str) -> DataFrame:
     return out.select("t", F.posexplode("emb").alias("place", "y")).select("t", F.col("place").cast("long").alias("place"), F.round("y", 6).alias("y"))
 
 
-@query("c AS (SELECT clip AS branch, frame AS step, value AS x, CASE WHEN frame < 20 THEN 'a' ELSE 'b' END AS layout FROM frames WHERE frame % 3 <> 1) SELECT branch, step + 1 AS step, round(x + coalesce((x - lag(x) OVER (PARTITION BY branch, layout ORDER BY step)) / (step - lag(step) OVER (PARTITION BY branch, layout ORDER BY step)), 0), 6) AS guess FROM c", "frames")
+@query(f"r AS ({_fold('f.d < 0.05', '0.0')}), c AS (SELECT branch, step, value AS x, CASE WHEN step < 30 THEN 'a' ELSE 'b' END AS layout FROM r JOIN frames ON clip = branch AND frame = step WHERE NOT skip) SELECT branch, step + 1 AS step, round(x + coalesce((x - lag(x) OVER (PARTITION BY branch, layout ORDER BY step)) / (step - lag(step) OVER (PARTITION BY branch, layout ORDER BY step)), 0), 6) AS guess FROM c", "frames", "clips")
 def bounded_prediction(spark, sf_dir: str) -> DataFrame:
-    rows = bd.frames(spark, sf_dir).where("frame % 3 <> 1").select(F.col("clip").alias("branch"), F.col("frame").alias("step"), F.col("value").alias("x"), F.when(F.col("frame") < 20, "a").otherwise("b").alias("layout"))
+    """What the steps that cachedit_decisions computes foretell for the step after each."""
+    layout = F.when(F.col("frame") < 30, "a").otherwise("b")
+    values = bd.frames(spark, sf_dir).select(F.col("clip").alias("branch"), F.col("frame").alias("step"), F.col("value").alias("x"), layout.alias("layout"))
+    rows = reuse.residual(_probes(spark, sf_dir), 0.05, 3, 2, 4).where("NOT skip").select("branch", "step").join(values, ["branch", "step"])
     return rounded(tensors.predicted(rows), "guess")
 
 

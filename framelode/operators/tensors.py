@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 #: Queries and keys of one block of attention(), about, and the queries multiplied at once (32 MB of scores).
 BLOCK, STRIP = 8000, 500
+#: Tasks of a rank that rounds() numbers together, about.
+RANGE = 100_000
 
 
 def normalized(values: DataFrame, stats: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -102,11 +104,22 @@ def predicted(computed: DataFrame) -> DataFrame:
 
 
 def rounds(plan: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(round, rank, task): the r-th task of each rank of plan (task, rank) for every round any rank has; null if none."""
-    turn = F.row_number().over(Window.partitionBy("rank").orderBy("task")) - 1
-    mine = plan.select("task", "rank", turn.cast("long").alias("round"))
-    last = mine.agg(F.max("round").alias("last"))
-    grid = ranks.join(F.broadcast(last), F.expr("true")).select("rank", F.explode(F.expr("sequence(0L, last)")).alias("round"))
+    """(round, rank, task): the r-th task of each rank of plan (task, rank) for every round any rank has; null if none.
+
+    Tasks are integers. A rank may hold any share of them: they are numbered inside ranges of about RANGE tasks each, to
+    which the sizes of the ranges before are added. Null tasks come first; tasks without a rank are left out.
+    """
+    spans = plan.groupBy("rank").agg(F.min("task").alias("low"), F.max("task").alias("high"), F.ceil(F.count("*") / RANGE).alias("ranges"))
+    part = F.floor((F.col("task") - F.col("low")) * F.col("ranges") / (F.col("high") - F.col("low") + 1))
+    dealt = plan.join(spans, "rank").select("rank", "task", F.coalesce(part, F.lit(-1)).alias("part"))
+    counts = dealt.groupBy("rank", "part").agg(F.count("*").alias("n"))
+    before = counts.select("rank", "part", (F.sum("n").over(Window.partitionBy("rank").orderBy("part")) - F.col("n")).alias("before"))
+    turn = F.row_number().over(Window.partitionBy("rank", "part").orderBy("task")) - 1
+    mine = dealt.withColumn("turn", turn).join(before, ["rank", "part"]).select("task", "rank", (F.col("before") + F.col("turn")).alias("round"))
+    last = counts.groupBy("rank").agg(F.sum("n").alias("n")).agg((F.max("n") - 1).alias("last"))
+    # rounds in two steps, so that no row holds an array as long as the longest rank
+    blocks = ranks.join(F.broadcast(last), F.expr("true")).select("rank", "last", F.explode(F.expr(f"sequence(0L, last div {RANGE})")).alias("block"))
+    grid = blocks.select("rank", F.explode(F.expr(f"sequence(block * {RANGE}, least(last, block * {RANGE} + {RANGE - 1}))")).alias("round"))
     return grid.join(mine, ["rank", "round"], "left").select("round", "rank", "task")
 
 

@@ -176,3 +176,18 @@ def test_streamed_windows_of_clips_are_those_of_the_plan(spark, tmp_path):
     plan = windows.window_plan(windows.whole_clips(clips), 17, 3)
     want = plan.join(windows.stable_ranges(plan), ["clip", "window_index"]).select("clip", "window_index", "load_start", "load_end", "stable_start", "stable_end")
     assert sorted(map(tuple, got.drop("batch").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rounds_number_a_hot_rank_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(tensors, "RANGE", 7)
+    plan = [(t * t % 1009, 0 if t % 3 else t % 5) for t in range(200)] + [(None, 0), (5000, None)]
+    got = tensors.rounds(spark.createDataFrame(plan, "task long, rank long"), spark.range(6).select(F.col("id").alias("rank"))).collect()
+    want = {}
+    for rank in range(6):
+        mine = sorted((t for t, r in plan if r == rank), key=lambda t: (t is not None, t))
+        want[rank] = mine
+    longest = max(map(len, want.values()))
+    assert sorted((r.rank, r.round) for r in got) == [(rank, i) for rank in range(6) for i in range(longest)]
+    for r in got:
+        assert r.task == (want[r.rank][r.round] if r.round < len(want[r.rank]) else None)
+    assert tensors.rounds(spark.createDataFrame([], "task long, rank long"), spark.range(2).select(F.col("id").alias("rank"))).collect() == []
