@@ -69,10 +69,13 @@ class LatentSpace:
     """Term weights, axes and labelled vectors, as fitted on a sample."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, prior: float, votes: np.ndarray, weights: np.ndarray):
-        """votes: what a label 0 and a label 1 of the sample count, each for its class's share of all labels; weights: of terms."""
+        """votes: what a label 0 and a label 1 of the sample count, each for its class's share of all labels; weights: of terms.
+
+        counts is overwritten.
+        """
         self.prior, self.labels, self.votes = prior, labels.astype(np.float32), votes[labels.astype(np.int64)]
         self.weights = weights
-        x = self.weighted(counts)
+        x = self.weighted(counts, counts)
         rng = np.random.default_rng(9)
         k = min(DIMENSIONS, *x.shape)
         # subspace iteration for the leading singular vectors
@@ -82,11 +85,13 @@ class LatentSpace:
         self.axes = (basis @ np.linalg.svd(x @ basis, full_matrices=False)[2].T[:, :k]).astype(np.float32)
         self.vectors = self.unit(x @ self.axes)
 
-    def weighted(self, counts: np.ndarray) -> np.ndarray:
+    def weighted(self, counts: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
         """tf-idf, words and shapes each of length one, so that neither drowns the other."""
-        x = counts * self.weights
+        x = np.multiply(counts, self.weights, out=out)
         for part, share in ((slice(0, WORD_TERMS), 0.5), (slice(WORD_TERMS, None), 1.0)):
-            x[:, part] = share * self.unit(x[:, part])
+            for at in range(0, len(x), ROWS):
+                strip = x[at : at + ROWS, part]
+                strip[:] = share * self.unit(strip)
         return x
 
     @staticmethod
@@ -133,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentSpace
     all labels, whether the bound is reached or not.
 
     docs: doc_id, text; labels: doc_id, quality (0 or 1; other values and nulls aren't used, of a repeated id the
-    smallest label counts). Only term counts of the sample reach the driver: at most 2 x sample rows of fixed length.
+    smallest label counts). Only the terms of the sample reach the driver, those that a text has: at most 2 x sample rows.
     """
     known = labels.where(~held_out()).where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -143,14 +148,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentSpace
     def count(batches):
         for piece in (p for b in batches for p in ta.pieces([b], PIECE, rows=ROWS)):
             terms = term_counts(piece.column("text"))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), pa.array([x.tobytes() for x in terms], pa.binary())], ["doc_id", "quality", "terms"])
-
-    rows = sorted(chosen.mapInArrow(count, "doc_id long, quality int, terms binary").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
+            held = [np.flatnonzero(x) for x in terms]
+            places, counts = [i.astype(np.int16).tobytes() for i in held], [x[i].tobytes() for x, i in zip(terms, held, strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "quality", "places", "terms"])
+
+    rows = sorted(chosen.mapInArrow(count, "doc_id long, quality int, places binary, terms binary").collect(), key=lambda r: (r.doc_id, bytes(r.places), bytes(r.terms)))
+    counts = np.zeros((len(rows), WORD_TERMS + SHAPE_TERMS), np.float32)
+    for x, r in zip(counts, rows, strict=True):
+        x[np.frombuffer(r.places, np.int16)] = np.frombuffer(r.terms, np.float32)
     total = sum(shares.values())
     # a class's share of all labels over its share of the sample
     drawn = {q: min(n, sample) for q, n in shares.items()}
     votes = np.array([shares[q] / drawn[q] * sum(drawn.values()) / total if drawn.get(q) else 1.0 for q in (0, 1)])
-    counts = np.frombuffer(b"".join(bytes(r.terms) for r in rows), np.float32).reshape(len(rows), WORD_TERMS + SHAPE_TERMS)
     return LatentSpace(counts, np.array([r.quality for r in rows]), shares.get(1, 0) / total if total else 0.5, votes, term_weights(docs))
 
 
