@@ -79,7 +79,8 @@ class LatentSpace:
         rng = np.random.default_rng(9)
         k = min(DIMENSIONS, *x.shape)
         # subspace iteration for the leading singular vectors
-        basis = np.linalg.qr(x.T @ (x @ rng.standard_normal((x.shape[1], min(k + 16, x.shape[1]))).astype(np.float32)))[0]
+        start = rng.standard_normal((x.shape[1], min(k + 16, x.shape[1]))).astype(np.float32)
+        basis = np.linalg.qr(x.T @ (x @ start))[0]
         for _ in range(4):
             basis = np.linalg.qr(x.T @ (x @ basis))[0]
         self.axes = (basis @ np.linalg.svd(x @ basis, full_matrices=False)[2].T[:, :k]).astype(np.float32)
