@@ -69,17 +69,19 @@ def mixture(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY
     every document of a source, the last one those that fit the rest of the budget. A null source is a source of its
     own. A null or blank text has no tokens, takes no budget and comes along where it stands. A source without tokens
     has weight 0 and yields nothing. Rows with equal ids and sources have equal keys and stay together; a row with a
-    null id has its text for one. Columns of docs with these names are replaced.
+    null id has its text for one. Columns of docs with these names are replaced; any other name is kept as it is.
     """
     names = [c for c in docs.columns if not c.startswith("mix_")]
     held = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    keyed = docs.select(*names, n_tokens(F.col(text_col)).alias("mix_tokens"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_source"), F.md5(F.concat(F.lit(f"{seed}:"), held).cast("binary")).alias("mix_key"))
+    # docs's columns go under names of their own, so that none meets a name of the plan below
+    own, back = zip(*[(F.col(f"`{c}`").alias(f"mix_in{i}"), F.col(f"mix_in{i}").alias(c)) for i, c in enumerate(names)], strict=True)
+    keyed = docs.select(*own, n_tokens(F.col(text_col)).alias("mix_tokens"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_source"), F.md5(F.concat(F.lit(f"{seed}:"), held).cast("binary")).alias("mix_key"))
     light = written(keyed.select("_source", "mix_key", "mix_tokens"), "tokens")
     sizes = light.groupBy("_source").agg(F.sum("mix_tokens").alias("tokens")).where("tokens > 0")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         empty = keyed.where("false").drop("_source")
-        return empty.select(*names, "mix_tokens", F.lit(0.0).alias("mix_weight"), F.lit(0).alias("mix_epoch"), F.lit(0).cast("long").alias("mix_block"), F.lit("").alias("mix_block_key"), "mix_key")
+        return empty.select(*back, "mix_tokens", F.lit(0.0).alias("mix_weight"), F.lit(0).alias("mix_epoch"), F.lit(0).cast("long").alias("mix_block"), F.lit("").alias("mix_block_key"), "mix_key")
     budget = total if budget is None else budget
     shares = written(sizes.withColumn("share", F.col("tokens") / total), "shares")
     a = exponent(shares, entropy, repeats, budget / total)
@@ -108,7 +110,7 @@ def mixture(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY
 
     extra = F.expr("CASE WHEN mix_block_key < cut_block OR (mix_block_key = cut_block AND mix_key <= cut_key) THEN 1 ELSE 0 END")
     chosen = placed(keyed, sources).withColumn("_copies", (F.col("epochs") + extra).cast("int")).where("_copies > 0")
-    return chosen.withColumn("mix_epoch", F.explode(F.expr("sequence(0, _copies - 1)"))).select(*names, "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_block_key", "mix_key")
+    return chosen.withColumn("mix_epoch", F.explode(F.expr("sequence(0, _copies - 1)"))).select(*back, "mix_tokens", "mix_weight", "mix_epoch", "mix_block", "mix_block_key", "mix_key")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

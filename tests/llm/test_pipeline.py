@@ -65,6 +65,34 @@ def test_stages_leave_clean_texts_to_the_byte(spark):
     assert cp.benchmark_passages(spark, docs, SF).count() == 3
 
 
+CLASHES = ("score", "_id", "_row", "_kept", "kept", "c0", "tokens", "budget", "rest", "blocks", "epochs", "_source", "_copies", "h", "n", "key", "size", "count")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+@pytest.mark.parametrize("shared", [False, True])
+def test_stages_keep_columns_with_clashing_names_null_texts_and_repeated_rows(spark, name, shared):
+    """Each extra column has the value that its row came with; the text of one row is unlike every other's."""
+    fresh = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) BETWEEN 300 AND 3000").orderBy("doc_id").limit(6).collect()
+    rows = [(r.doc_id, r.text) for r in fresh] + [(10**6, None), (10**6 + 1, "")]
+    rows += [(rows[0][0], rows[0][1]), (None, None)] if shared else []
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHES})
+    out = dict(cp.STAGES)[name](spark, docs, SF)
+    assert [c for c in out.columns if not c.startswith("mix_")] == docs.columns
+    found = out.collect()
+    assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in found for c in CLASHES)
+    ids = [r.doc_id for r in found]
+    if name in ("near_duplicates", "repeated_passages"):
+        assert {10**6, 10**6 + 1} <= set(ids) and (None in ids) == shared
+    if name == "repeated_passages":
+        assert len(ids) == len(rows) and {r.text for r in found if r.doc_id == 10**6} == {None}
+    if name == "near_duplicates":
+        assert ids.count(rows[0][0]) == 1
+    if name == "quality":
+        # the share of label 1 among the labels
+        assert {10**6, 10**6 + 1} <= set(ids) and ids.count(rows[0][0]) in (0, 2 if shared else 1)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
 def test_every_stage_takes_an_empty_table(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
