@@ -22,6 +22,8 @@ from . import textarrays as ta
 
 #: Documents of each language that are learned from, at most, and the bytes after which no further one is taken.
 SAMPLE, SAMPLE_BYTES = 200, 1 << 20
+#: Languages at most (0.3 MB of weights each), and those that get the whole of SAMPLE_BYTES.
+MOST_LANGS, SAMPLE_LANGS = 400, 16
 FEATURES = 1 << 15
 LEXICON = 1000
 EPOCHS = 4
@@ -212,16 +214,26 @@ def held_out():
 def fit(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
     """Learns from up to sample documents of each language (doc_id, text, lang), taken by a hash of their id.
 
-    After the one that reaches sample_bytes no further document of a language is taken. Rows with a null lang, id or
-    text, and held-out rows, aren't used. Every value of lang is learned, whatever their number. Tasks limit each
-    language to its sample before the shuffle; only the sample's texts go to the driver.
+    After the one that reaches sample_bytes no further document of a language is taken, and none that is larger than
+    that by itself; with more than SAMPLE_LANGS languages each one's share of bytes is less. Rows with a null lang, id or
+    text, and held-out rows, aren't used; of rows that share id and language the shortest text counts (the smallest of
+    equally long ones). Every value of lang with such a document is learned, up to MOST_LANGS; more raise. Tasks limit
+    each language to its sample before the shuffle; only the sample's texts go to the driver: at most 2 x sample_bytes a
+    language, and never more than those of SAMPLE_LANGS.
     """
-    known = docs.where(~held_out()).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.octet_length("text").alias("size"))
+    named = docs.where(~held_out()).where("doc_id IS NOT NULL AND lang IS NOT NULL")
+    known = named.where("text IS NOT NULL").select("doc_id", "lang", F.octet_length("text").alias("size"), "text")
+    n = named.select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if n > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    sample_bytes = sample_bytes * min(n, SAMPLE_LANGS) // max(n, 1)
+    short = known.where(F.col("size") <= sample_bytes)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
+    picked = short.groupBy("doc_id", "lang").agg(F.min("size").alias("size")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
     picked = picked.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < sample_bytes)
-    ids = F.broadcast(picked.select("doc_id", "lang").distinct())
-    rows = sorted(docs.join(ids, ["doc_id", "lang"]).select("doc_id", "lang", F.col("text").cast("binary").alias("text")).collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.text or b"")))
+    ids = F.broadcast(picked.select("doc_id", "lang", "size"))  # sample x MOST_LANGS rows at most
+    texts = short.join(ids, ["doc_id", "lang", "size"]).groupBy("doc_id", "lang").agg(F.min("text").cast("binary").alias("text"))
+    rows = sorted(texts.collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.text)))
     langs = sorted({r.lang for r in rows})
     rows = [r for r in rows if r.text]
     return Field(langs).learn([bytes(r.text) for r in rows], [langs.index(r.lang) for r in rows])

@@ -139,12 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LatentSpace
     all labels, whether the bound is reached or not.
 
     docs: doc_id, text; labels: doc_id, quality (0 or 1; other values and nulls aren't used, of a repeated id the
-    smallest label counts). Only the terms of the sample reach the driver, those that a text has: at most 2 x sample rows.
+    smallest label and the smallest text count). Only the terms of the sample reach the driver, those that a text has: at
+    most 2 x sample rows, whatever rows share an id.
     """
     known = labels.where(~held_out()).where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     shares = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def count(batches):
         for piece in (p for b in batches for p in ta.pieces([b], PIECE, rows=ROWS)):

@@ -4,6 +4,7 @@ import collections
 import functools
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -231,3 +232,31 @@ def test_ties_among_neighbours_and_many_empty_texts(spark):
 def test_a_piece_has_few_rows():
     batch = pa.RecordBatch.from_pydict({"text": [""] * 10_000})
     assert max(p.num_rows for p in ta.pieces([batch], quality.PIECE, rows=quality.ROWS)) == quality.ROWS
+
+
+def test_one_id_on_many_rows_is_one_document_of_the_sample(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    hot = spark.range(20_000).select(F.lit(ids[0]).cast("long").alias("doc_id"), F.format_string("some words %08d", F.col("id")).alias("text"))
+    others = spark.createDataFrame([(i, f"other words of {i}") for i in ids[1:]], "doc_id long, text string")
+    docs = hot.unionByName(others)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[0], ids[0] % 2)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample=5)
+    assert len(model.labels) <= 10 and len(model.vectors) <= 10
+    taken = []
+    learn = language.Field.learn
+    try:
+        language.Field.learn = lambda self, texts, labels: taken.extend(texts) or self
+        field = language.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb")), sample=5)
+    finally:
+        language.Field.learn = learn
+    assert len(taken) <= 10 and field.langs == ["aa", "bb"] and all(t != b"some words 00000001" for t in taken)
+
+
+def test_languages_beyond_the_bound_raise_and_oversized_texts_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGS", 3)
+    docs = spark.createDataFrame([(i, "ab " * (10 + 40 * (i % 2)), f"l{i % 3}") for i in range(40)], "doc_id long, text string, lang string")
+    taken = []
+    monkeypatch.setattr(language.Field, "learn", lambda self, texts, labels: taken.extend(map(len, texts)) or self)
+    assert language.fit(docs, sample_bytes=100).langs == ["l0", "l1", "l2"] and set(taken) == {30}
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.fit(docs.withColumn("lang", F.col("doc_id").cast("string")))
