@@ -718,4 +718,4 @@ def paired_frames(spark, sf_dir: str) -> DataFrame:
 
 
 # the other modules of queries register themselves
-from framelode import catalog_layers, catalog_media  # noqa: E402, F401
+from framelode import catalog_flow, catalog_layers, catalog_media  # noqa: E402, F401
