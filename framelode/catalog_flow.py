@@ -51,7 +51,11 @@ def stream_carried_windows(spark, sf_dir: str) -> DataFrame:
     Windows without a purchase are skipped."""
     frames = bd.frames(spark, sf_dir).select("clip", "frame", F.array("value", -F.col("value")).alias("pixels"), (F.col("kind") == "purchase").alias("masked"), "ts")
     folder = _folder(spark, "carried")
-    frames.repartitionByRange(4, "ts").drop("ts").write.parquet(f"{folder}/in")
+    quarter = F.ntile(4).over(Window.orderBy("day"))
+    days = frames.select(F.to_date("ts").alias("day")).distinct().withColumn("quarter", quarter)  # as many rows as days
+    dealt = frames.withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day")
+    for q in range(1, 5):  # files in order of time, a batch each
+        dealt.where(F.col("quarter") == q).drop("ts", "day", "quarter").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(frames.drop("ts").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     out = streams.collected(carried.carried_windows(stream, _two_scenes(spark, sf_dir), _edit, "linear"), folder, "append")
     return rounded(out.select("clip", "frame", "window_index", "changed", F.posexplode("pixels").alias("place", "value")), "value")
