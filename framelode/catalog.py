@@ -257,8 +257,12 @@ def _image_pairs(spark, sf_dir: str) -> DataFrame:
     return a.join(b, "vec_id").select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), byte("v").alias("reference"), "candidate", mask.alias("mask"))
 
 
-def _compared(spark, sf_dir: str) -> DataFrame:
-    return images.compared(_image_pairs(spark, sf_dir).select("clip", "frame", "height", "width", _bytes("reference").alias("pixels"), _bytes("candidate").alias("candidate"), _bytes("mask").alias("mask"))).drop("height", "width")
+def _image_rows(spark, sf_dir: str) -> DataFrame:
+    return _image_pairs(spark, sf_dir).select("clip", "frame", "height", "width", _bytes("reference").alias("pixels"), _bytes("candidate").alias("candidate"), _bytes("mask").alias("mask"))
+
+
+def _compared(spark, sf_dir: str, *names: str) -> DataFrame:
+    return images.compared(_image_rows(spark, sf_dir), names or None).drop("height", "width")
 
 
 @query(f"{_QUALITY} SELECT clip, frame, mask_pixels, edge_pixels, {', '.join(f'round({m}, 6) AS {m}' for m in _MEASURES)} FROM q", "vectors")
@@ -274,7 +278,21 @@ def quality_temporal(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{_QUALITY} SELECT clip, count(*) AS frames, round(avg(ssim), 6) AS ssim, round(avg(mae), 6) AS mae, round(avg(mask_mae), 6) AS mask_mae, round(avg(outside_mae), 6) AS outside_mae, round(min(ssim), 6) AS min_ssim, first(frame ORDER BY ssim, frame) AS min_frame FROM q GROUP BY clip", "vectors")
 def quality_summary(spark, sf_dir: str) -> DataFrame:
-    return rounded(quality.summary(_compared(spark, sf_dir)), "ssim", "mae", "mask_mae", "outside_mae", "min_ssim")
+    return rounded(quality.summary(_compared(spark, sf_dir, "ssim", "mae", "mask_mae", "outside_mae")), "ssim", "mae", "mask_mae", "outside_mae", "min_ssim")
+
+
+_REPORT = (*_MEASURES, "temporal_delta")
+
+
+@query(
+    f"{_QUALITY}, l AS (SELECT clip, frame, candidate - reference AS e, lag(candidate - reference) OVER (PARTITION BY clip, place ORDER BY frame) AS p FROM pm), t AS (SELECT clip, frame, avg(abs(e - p)) AS temporal_delta FROM l GROUP BY clip, frame) "
+    f"SELECT clip, count(*) AS frames, count(mask_ssim) AS mask_frames, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _REPORT)}, round(min(ssim), 6) AS min_ssim, round(min(mask_ssim), 6) AS min_mask_ssim, first(frame ORDER BY ssim, frame) AS worst_frame, first(frame ORDER BY mask_ssim, frame) FILTER (mask_ssim IS NOT NULL) AS worst_mask_frame FROM q JOIN t USING (clip, frame) GROUP BY clip",
+    "vectors",
+)
+def quality_report(spark, sf_dir: str) -> DataFrame:
+    """All 16 values of a comparison."""
+    quality_rows = images.compared(images.with_before(_image_rows(spark, sf_dir)))
+    return rounded(quality.report(quality_rows), *_REPORT, "min_ssim", "min_mask_ssim")
 
 
 # --- timings and tasks --------------------------------------------------------------------------------------------

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from fractions import Fraction
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode import bindings as bd
-from framelode.catalog import _PLAN, OVERLAP, _plan, query, rounded
+from framelode.catalog import _PLAN, OVERLAP, _bytes, _plan, query, rounded
+from framelode.catalog_flow import _TEXT, _frame_texts, _ordered
 from framelode.functions import bits
-from framelode.operators import blockproduct, overlap, sparse
+from framelode.operators import blockproduct, digests, images, overlap, patches, sparse, tiles, transfer
 from framelode.plans import windows
+from framelode.sources import frameblocks
 
 # --- attention over listed blocks ---------------------------------------------------------------------------------
 
@@ -115,3 +120,223 @@ def float_bits(spark, sf_dir: str) -> DataFrame:
     """Each value's 64 bits, and the value that they give back."""
     rows = bd.table(spark, sf_dir, "events").select("event_id", bits.to_bits(F.col("value") + 0.001).alias("bits"))
     return rows.withColumn("back", bits.from_bits(F.col("bits")))
+
+
+# --- colours ------------------------------------------------------------------------------------------------------
+
+# a vector is 64 pixels; a few vectors have no referred pixel, or one
+_COLOURS = (
+    "px AS (SELECT vec_id, unnest(range(64)) AS p, v FROM vectors), "
+    "pc AS (SELECT vec_id, p, [abs(v[p + 1]) * 1.5, abs(v[(p + 21) % 64 + 1]), abs(v[(p + 42) % 64 + 1]) * 0.5] AS m, [abs(v[64 - p]), abs(v[(p + 5) % 64 + 1]), abs(v[(p + 9) % 64 + 1])] AS s, CASE WHEN vec_id % 11 = 0 THEN false WHEN vec_id % 13 = 0 THEN p = 7 ELSE (p * 7 + vec_id) % 5 <> 0 END AS refer FROM px), "
+    "pq AS (SELECT vec_id, p, refer, list_transform(m, lambda t: trunc(t * 255) / 255) AS m, s FROM pc)"
+)
+
+
+def _colours(spark, sf_dir: str) -> DataFrame:
+    rows = bd.vectors(spark, sf_dir).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place"))
+    near = lambda step: F.abs(F.get("v", (F.col("place") + step) % 64))
+    refer = F.expr("CASE WHEN vec_id % 11 = 0 THEN false WHEN vec_id % 13 = 0 THEN place = 7 ELSE (place * 7 + vec_id) % 5 <> 0 END")
+    return rows.select("vec_id", "place", F.array(near(0) * 1.5, near(21), near(42) * 0.5).alias("made"), F.array(F.abs(F.get("v", 63 - F.col("place"))), near(5), near(9)).alias("source"), refer.alias("refer"))
+
+
+def _aligned_sql(to: str, back: list[str], together: bool = False) -> str:
+    """The three channels of pq in a space, statistics of each, and the way back (c[1], c[2], c[3])."""
+    group = "vec_id" if together else "vec_id, ch"
+    empty = "1e-8" if together else "0"
+    return (
+        f"{_COLOURS}, sp AS (SELECT vec_id, p, refer, {to.replace('$', 'm')} AS m, {to.replace('$', 's')} AS s FROM pq), "
+        "ex AS (SELECT vec_id, p, refer, unnest([1, 2, 3]) AS ch, unnest(m) AS m, unnest(s) AS s FROM sp), "
+        f"st AS (SELECT {group}, avg(m) AS am, sqrt(var_samp(m) + 1e-8) AS astd, count(*) FILTER (refer) AS n, coalesce(avg(m) FILTER (refer), {empty}) AS rm, CASE WHEN count(*) FILTER (refer) = 0 THEN 1e-8 ELSE sqrt(var_samp(m) FILTER (refer) + 1e-8) END AS rs, coalesce(avg(s) FILTER (refer), {empty}) AS om, CASE WHEN count(*) FILTER (refer) = 0 THEN 1e-8 ELSE sqrt(var_samp(s) FILTER (refer) + 1e-8) END AS os FROM ex GROUP BY {group}), "
+        f"al AS (SELECT ex.vec_id, p, list((m - am) / astd * (os / rs * astd) + om / nullif(rm, 0) * am ORDER BY ex.ch) AS c FROM ex JOIN st USING ({group}) GROUP BY ex.vec_id, p), "
+        f"bk AS (SELECT vec_id, p, len(list_filter(c, lambda t: t IS NULL)) = 0 AS sure, [{', '.join(back)}] AS c FROM al) "
+        "SELECT vec_id, p AS place, " + ", ".join(f"CASE WHEN sure THEN round(trunc(least(greatest(c[{i + 1}] + 1e-9, 0), 1) * 255) / 255, 6) END AS {n}" for i, n in enumerate("rgb")) + " FROM bk"
+    )
+
+
+_TO_YUV = "[0.299 * $[1] + 0.587 * $[2] + 0.114 * $[3], -0.147 * $[1] - 0.289 * $[2] + 0.436 * $[3], 0.615 * $[1] - 0.515 * $[2] - 0.100 * $[3]]"
+_YUV_BACK = ["c[1] + 1.14 * c[3]", "c[1] - 0.396 * c[2] - 0.581 * c[3]", "c[1] + 2.029 * c[2]"]
+_PLAIN = ["c[1]", "c[2]", "c[3]"]
+
+
+def _align(name: str, sql: str, **more) -> None:
+    def run(spark, sf_dir: str) -> DataFrame:
+        return rounded(transfer.aligned(_colours(spark, sf_dir), ["vec_id"], **more), "r", "g", "b")
+
+    run.__name__ = name
+    query(sql, "vectors")(run)
+
+
+_align("colour_align_rgb", _aligned_sql("$", _PLAIN))
+_align("colour_align_yuv", _aligned_sql(_TO_YUV, _YUV_BACK), space="YUV")
+_align("colour_align_together", _aligned_sql("$", _PLAIN, True), per_channel=False)
+
+
+# --- tiles --------------------------------------------------------------------------------------------------------
+
+# forty vectors are an image of 40 x 64
+_IMAGES = "im AS (SELECT vec_id // 40 AS id, row_number() OVER (PARTITION BY vec_id // 40 ORDER BY vec_id) - 1 AS y, v FROM vectors), hi AS (SELECT id, count(*) AS h FROM im GROUP BY id), ip AS (SELECT id, y, unnest(range(64)) AS x, unnest(v) AS g FROM im)"
+
+
+def _images(spark, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("id").orderBy("vec_id")
+    return bd.vectors(spark, sf_dir).withColumn("id", F.expr("vec_id div 40")).select("id", (F.row_number().over(order) - 1).alias("y"), F.col("v").alias("pixels"))
+
+
+def _tiles_sql(tile: int, stride: int, up: int, down: int, made: str) -> str:
+    """made: SQL for the tiles' results tr (id, i, j, h, w, y, x, g), h and w their sizes, over ti (id, i, j, y, x, g: the
+    tiles' own pixels) and tm (id, i, j, m: their means). Strides are at least as wide as seams, so a seam's far side is
+    mixed along the other axis at most."""
+    seam, step = (tile - stride) * up // down, stride * up // down
+    return (
+        f"{_IMAGES}, tg AS (SELECT id, h, i, j, least({tile}, h - i * {stride}) * {up} // {down} AS th, least({tile}, 64 - j * {stride}) * {up} // {down} AS tw FROM (SELECT id, h, unnest(range(CAST(ceil(h / {stride}) AS BIGINT))) AS i FROM hi), (SELECT unnest(range(CAST(ceil(64 / {stride}) AS BIGINT))) AS j)), "
+        f"ti AS (SELECT tg.id, i, j, th, tw, y - i * {stride} AS y, x - j * {stride} AS x, g FROM tg JOIN ip ON ip.id = tg.id AND y >= i * {stride} AND y < i * {stride} + {tile} AND x >= j * {stride} AND x < j * {stride} + {tile}), "
+        f"tm AS (SELECT id, i, j, avg(g) AS m FROM ti GROUP BY id, i, j), tr AS ({made}), "
+        # mixed to the left with what isn't mixed, then up, then to the left again
+        f"hb AS (SELECT b.id, b.i, b.j, b.th, b.tw, b.y, b.x, CASE WHEN a.g IS NULL THEN b.g ELSE a.g * (1 - b.x / least(a.tw, b.tw, {seam})) + b.g * (b.x / least(a.tw, b.tw, {seam})) END AS g FROM tr b LEFT JOIN tr a ON a.id = b.id AND a.i = b.i AND a.j = b.j - 1 AND a.y = b.y AND b.x < least(a.tw, b.tw, {seam}) AND a.x = a.tw - least(a.tw, b.tw, {seam}) + b.x), "
+        f"vb AS (SELECT b.id, b.i, b.j, b.th, b.tw, b.y, b.x, CASE WHEN a.g IS NULL THEN b.g ELSE a.g * (1 - b.y / least(a.th, b.th, {seam})) + b.g * (b.y / least(a.th, b.th, {seam})) END AS g FROM tr b LEFT JOIN hb a ON a.id = b.id AND a.j = b.j AND a.i = b.i - 1 AND a.x = b.x AND b.y < least(a.th, b.th, {seam}) AND a.y = a.th - least(a.th, b.th, {seam}) + b.y), "
+        f"fb AS (SELECT b.id, b.i, b.j, b.y, b.x, CASE WHEN a.g IS NULL THEN b.g ELSE a.g * (1 - b.x / least(a.tw, b.tw, {seam})) + b.g * (b.x / least(a.tw, b.tw, {seam})) END AS g FROM vb b LEFT JOIN vb a ON a.id = b.id AND a.i = b.i AND a.j = b.j - 1 AND a.y = b.y AND b.x < least(a.tw, b.tw, {seam}) AND a.x = a.tw - least(a.tw, b.tw, {seam}) + b.x) "
+        f"SELECT id, i * {step} + y AS y, j * {step} + x AS x, round(g, 6) AS value FROM fb WHERE y < {step} AND x < {step}"
+    )
+
+
+_HALVED = "SELECT id, i, j, th, tw, y // 2 AS y, x // 2 AS x, avg(g) - 0.5 * any_value(m) AS g FROM ti JOIN tm USING (id, i, j) WHERE y // 2 < th AND x // 2 < tw GROUP BY id, i, j, th, tw, y // 2, x // 2"
+_DOUBLED = "SELECT id, i, j, th, tw, y * 2 + dy AS y, x * 2 + dx AS x, g + 0.25 * dy * m + 0.1 * m AS g FROM ti JOIN tm USING (id, i, j), (SELECT unnest(range(2)) AS dy), (SELECT unnest(range(2)) AS dx)"
+
+
+def _halved(t):
+    even = t[: len(t) // 2 * 2, : t.shape[1] // 2 * 2]
+    return even.reshape(len(even) // 2, 2, -1, 2).mean((1, 3)) - 0.5 * t.mean()
+
+
+def _doubled(t):
+    wide = t.repeat(2, 0).repeat(2, 1)
+    wide[1::2] += 0.25 * t.mean()
+    return wide + 0.1 * t.mean()
+
+
+def _places(df: DataFrame) -> DataFrame:
+    return rounded(df.select("id", "y", "x", F.posexplode("pixels").alias("at", "value")).select("id", "y", (F.col("x") + F.col("at")).alias("x"), "value"), "value")
+
+
+@query(_tiles_sql(24, 16, 1, 2, _HALVED), "vectors")
+def tiled_encode(spark, sf_dir: str) -> DataFrame:
+    """Images halved tile by tile, each less its own mean, so that seams show what blending does."""
+    return _places(tiles.tiled(_images(spark, sf_dir), _halved, (24, 24), (16, 16), Fraction(1, 2)))
+
+
+@query(_tiles_sql(12, 8, 2, 1, _DOUBLED), "vectors")
+def tiled_decode(spark, sf_dir: str) -> DataFrame:
+    """Images doubled tile by tile."""
+    return _places(tiles.tiled(_images(spark, sf_dir), _doubled, (12, 12), (8, 8), Fraction(2)))
+
+
+def _paired(t):
+    rest = t[1:][: (len(t) - 1) // 2 * 2]
+    return np.concatenate([t[:1], rest.reshape(len(rest) // 2, 2, t.shape[1]).mean(1)]) - 0.25 * t.mean()
+
+
+@query(
+    "w AS (SELECT clip, num_frames, unnest(range(CAST(ceil(num_frames / 6) AS BIGINT))) AS i FROM clips), "
+    "t AS (SELECT w.clip, i, frame - i * 6 AS y, value * 0.7310585786 AS g, least(11, num_frames - i * 6) AS n FROM w JOIN frames f ON f.clip = w.clip AND frame >= i * 6 AND frame < i * 6 + 11), "
+    "m AS (SELECT clip, i, avg(g) AS m FROM t GROUP BY clip, i), "
+    "e AS (SELECT t.clip, i, (y + 1) // 2 AS y, avg(g) - 0.25 * any_value(m) AS g, 1 + (n - 1) // 2 AS n FROM t JOIN m USING (clip, i) WHERE (y + 1) // 2 < 1 + (n - 1) // 2 GROUP BY t.clip, i, n, (y + 1) // 2), "
+    "r AS (SELECT clip, i, CASE WHEN i = 0 THEN y ELSE y - 1 END AS y, g, CASE WHEN i = 0 THEN n ELSE n - 1 END AS n FROM e WHERE i = 0 OR y > 0), "
+    "b AS (SELECT x.clip, x.i, x.y, CASE WHEN a.g IS NULL THEN x.g ELSE a.g * (1 - x.y / least(a.n, x.n, 2)) + x.g * (x.y / least(a.n, x.n, 2)) END AS g FROM r x LEFT JOIN r a ON a.clip = x.clip AND a.i = x.i - 1 AND x.y < least(a.n, x.n, 2) AND a.y = a.n - least(a.n, x.n, 2) + x.y) "
+    "SELECT clip, CASE WHEN i = 0 THEN y ELSE i * 3 + 1 + y END AS frame, round(g, 6) AS value FROM b WHERE y < CASE WHEN i = 0 THEN 4 ELSE 3 END",
+    "frames",
+    "clips",
+)
+def tiled_time(spark, sf_dir: str) -> DataFrame:
+    """Clips halved in tiles of 10 + 1 frames, 6 apart: the first frame by itself, the others in pairs."""
+    frames = bd.frames(spark, sf_dir).select("clip", "frame", F.array(F.col("value") * 0.7310585786).alias("pixels"))
+    return rounded(tiles.tiled_frames(frames, _paired, 10, 6, 2).select("clip", "frame", F.col("pixels")[0].alias("value")), "value")
+
+
+# --- patches, masks that are filled, digests ----------------------------------------------------------------------
+
+_PATCH_WEIGHTS = "fw AS (SELECT label AS n, vec_id AS f, label * 0.5 AS bias FROM (SELECT label, min(vec_id) AS vec_id FROM vectors GROUP BY label)), wk AS (SELECT n, bias, unnest(range(2)) AS ch, w.v FROM fw JOIN vectors w ON w.vec_id = f), wv AS (SELECT n, bias, ch, unnest(range(16)) AS k, v FROM wk)"
+
+
+@query(
+    f"{_PATCH_WEIGHTS}, px AS (SELECT vec_id AS id, unnest(range(64)) AS p, v FROM vectors), pp AS (SELECT id, p // 8 AS y, p % 8 AS x, ch, CASE WHEN ch = 0 THEN v[p + 1] ELSE v[p + 1] * v[64 - p] END AS g FROM px, (SELECT unnest(range(2)) AS ch)), "
+    "oc AS (SELECT unnest(range(4)) AS r, unnest(range(4)) AS c0), rc AS (SELECT a.r, b.c0 AS c FROM oc a, oc b), "
+    "gt AS (SELECT id, r, c, ch, (y + 1 - 2 * r) * 4 + x + 1 - 2 * c AS k, g FROM pp JOIN rc ON y + 1 - 2 * r BETWEEN 0 AND 3 AND x + 1 - 2 * c BETWEEN 0 AND 3) "
+    "SELECT id, r AS row, c AS col, n, round(sum(g * v[ch * 16 + gt.k + 1]) + any_value(bias), 6) AS y FROM gt JOIN wv USING (ch, k) GROUP BY id, r, c, n",
+    "vectors",
+)
+def patch_projection(spark, sf_dir: str) -> DataFrame:
+    """Images of 8 x 8 with two channels: patches of 4 x 4 at every second place, one place outside, times ten rows."""
+    v = bd.vectors(spark, sf_dir)
+    second = F.zip_with("v", F.reverse("v"), lambda a, b: a * b)
+    pixels = v.select(F.col("vec_id").alias("id"), F.posexplode(F.array("v", second)).alias("channel", "v")).select("id", "channel", F.posexplode("v").alias("p", "value"))
+    pixels = pixels.select("id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.expr("p div 8").alias("y"), F.expr("p % 8").alias("x"), "channel", "value")
+    weights = v.join(v.groupBy("label").agg(F.min("vec_id").alias("vec_id")), ["label", "vec_id"]).select(F.col("label").cast("long").alias("n"), F.slice("v", 1, 32).alias("w"), (F.col("label") * 0.5).alias("bias"))
+    return rounded(patches.projected(patches.patch_rows(pixels, (4, 4), (2, 2), (1, 1), 2), weights), "y")
+
+
+_FULL = "CASE WHEN (p + 3 * vec_id) % 41 = 0 OR (p > 58 AND vec_id % 5 = 0) THEN least(254, floor(abs(v[p + 1]) * 255)) ELSE 255 END"
+_CHAIN = "d AS (SELECT unnest(range(-1, 2)) AS d), k AS (SELECT i, CASE WHEN i + d < 0 THEN 1 WHEN i + d > 7 THEN 6 ELSE i + d END AS j, sum(exp(-d * d / 1.28) / (SELECT sum(exp(-d * d / 1.28)) FROM d)) AS w FROM (SELECT unnest(range(8)) AS i), d GROUP BY ALL)"
+
+
+def _masks(spark, sf_dir: str) -> DataFrame:
+    value = F.expr("transform(v, (x, p) -> IF((p + 3 * vec_id) % 41 = 0 OR (p > 58 AND vec_id % 5 = 0), least(254, floor(abs(x) * 255)), 255))")
+    return bd.vectors(spark, sf_dir).select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), _bytes(value).alias("pixels"))
+
+
+def _fill_sql() -> str:
+    first = (
+        f"{_CHAIN}, px AS (SELECT label AS clip, vec_id AS frame, p // 8 AS y, p % 8 AS x, 1 - {_FULL} / 255 AS g FROM (SELECT *, unnest(range(64)) AS p FROM vectors)), "
+        "di AS (SELECT a.clip, a.frame, a.y, a.x, min(greatest(abs(a.y - b.y), abs(a.x - b.x))) AS d FROM px a JOIN px b ON b.clip = a.clip AND b.frame = a.frame AND b.g > 0 GROUP BY ALL), "
+        "st AS (SELECT clip, max(d) AS s FROM di GROUP BY clip), b0 AS (SELECT px.*, s FROM px JOIN st USING (clip))"
+    )
+    # a row of the 8 x 8 kernel products for each pixel and step
+    steps = [f"b{i} AS (SELECT b.clip, b.frame, ky.i AS y, kx.i AS x, sum(ky.w * kx.w * b.g) AS g, b.s FROM b{i - 1} b JOIN k ky ON ky.j = b.y JOIN k kx ON kx.j = b.x WHERE b.s >= {i} GROUP BY b.clip, b.frame, ky.i, kx.i, b.s UNION ALL SELECT * FROM b{i - 1} WHERE s < {i})" for i in range(1, 8)]
+    return ", ".join([first.replace("SELECT px.*, s", "SELECT px.clip, px.frame, y, x, g, s"), *steps]) + " SELECT clip, frame, y * 8 + x AS place, round(1 - g, 6) AS value FROM b7"
+
+
+@query(_fill_sql(), "vectors")
+def mask_fill(spark, sf_dir: str) -> DataFrame:
+    """Masks that are almost full, blurred from their gaps until nothing is full: as many steps as the clip needs."""
+    out = images.filled_masks(_masks(spark, sf_dir))
+    return rounded(out.select("clip", "frame", F.posexplode("filled").alias("place", "value")), "value")
+
+
+@query(
+    f"{_CHAIN.replace('-1, 2', '-2, 3').replace('WHEN i + d < 0 THEN 1 WHEN i + d > 7 THEN 6', 'WHEN i + d < 0 THEN -(i + d) WHEN i + d > 7 THEN 14 - (i + d)').replace('1.28', '2.0')}, "
+    "px AS (SELECT vec_id AS frame, p // 8 AS y, p % 8 AS x, CASE WHEN v[p + 1] > 0.2 THEN least(255, floor(v[p + 1] * 400)) ELSE 0 END AS m FROM (SELECT *, unnest(range(64)) AS p FROM vectors)), "
+    "g1 AS (SELECT o.frame, o.y, o.x, o.m, max(CASE WHEN n.m > 0 THEN 1.0 ELSE 0.0 END) AS g FROM px o JOIN px n ON n.frame = o.frame AND ((n.x = o.x AND abs(n.y - o.y) <= 2) OR (n.y = o.y AND abs(n.x - o.x) <= 2)) GROUP BY ALL), "
+    "g2 AS (SELECT frame, ky.i AS y, kx.i AS x, sum(ky.w * kx.w * g) AS g FROM g1 JOIN k ky ON ky.j = y JOIN k kx ON kx.j = x GROUP BY frame, ky.i, kx.i), "
+    "g3 AS (SELECT frame, ky.i AS y, kx.i AS x, sum(ky.w * kx.w * g) AS g FROM g2 JOIN k ky ON ky.j = y JOIN k kx ON kx.j = x GROUP BY frame, ky.i, kx.i) "
+    "SELECT frame, y * 8 + x AS place, round(m / 255 + (1 - m / 255) * g3.g, 6) AS value FROM g1 JOIN g3 USING (frame, y, x)",
+    "vectors",
+)
+def mask_soft_border(spark, sf_dir: str) -> DataFrame:
+    """Masks that keep their own values and get a soft border: dilated once by a cross of 5, blurred twice."""
+    value = F.transform("v", lambda x: F.when(x > 0.2, F.least(F.lit(255), F.floor(x * 400))).otherwise(0))
+    rows = bd.vectors(spark, sf_dir).select(F.col("vec_id").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), _bytes(value).alias("pixels"))
+    return rounded(images.grown_masks(rows, 1, 5, 1.0, 1).select("frame", F.posexplode("soft").alias("place", "value")), "value")
+
+
+_DIGESTS = f"fd AS (SELECT clip, frame, {_TEXT} AS t FROM frames)"
+
+
+@query(f"{_DIGESTS} SELECT clip, frame, sha256(t) AS digest FROM fd", "frames")
+def frame_hashes(spark, sf_dir: str) -> DataFrame:
+    """Each frame's digest, of an output that several tasks have written."""
+    return digests.frame_digests(frameblocks.read_ordered(spark, _ordered(spark, sf_dir)))
+
+
+@query(
+    f"{_DIGESTS}, ot AS (SELECT clip, CASE WHEN clip % 5 = 1 AND frame IN (8, 9) THEN 17 - frame ELSE frame END AS frame, CASE WHEN clip % 5 = 2 AND frame = 11 THEN 'changed' ELSE t END AS t FROM fd WHERE frame >= 3 AND NOT (clip % 5 = 3 AND frame = 20)), "
+    "nn AS (SELECT clip, max(frame) AS last FROM fd GROUP BY clip), ox AS (SELECT ot.* FROM ot JOIN nn USING (clip) WHERE NOT (clip % 5 = 4 AND frame = last)), "
+    "jn AS (SELECT coalesce(a.clip, b.clip) AS clip, coalesce(a.frame, b.frame) AS frame, a.t IS NOT DISTINCT FROM b.t AS same, a.t IS NOT NULL AS l, b.t IS NOT NULL AS r FROM (SELECT * FROM fd WHERE frame >= 3) a FULL JOIN ox b ON b.clip = a.clip AND b.frame = a.frame) "
+    "SELECT clip, count(*) FILTER (l) AS frames, count(*) FILTER (r) AS other_frames, bool_and(same) AS equal, min(frame) FILTER (NOT same) AS first_difference FROM jn GROUP BY clip",
+    "frames",
+)
+def sequence_equality(spark, sf_dir: str) -> DataFrame:
+    """Clips against copies without their first three frames, in some of which a frame has moved, changed or gone."""
+    own = digests.frame_digests(_frame_texts(spark, sf_dir))
+    last = own.groupBy("clip").agg(F.max("frame").alias("last"))
+    other = _frame_texts(spark, sf_dir).where("frame >= 3 AND NOT (clip % 5 = 3 AND frame = 20)").join(last, "clip").where("NOT (clip % 5 = 4 AND frame = last)")
+    other = other.select("clip", F.expr("IF(clip % 5 = 1 AND frame IN (8, 9), 17 - frame, frame) - 3").alias("frame"), F.expr("IF(clip % 5 = 2 AND frame = 11, CAST('changed' AS binary), pixels)").alias("pixels"))
+    return digests.compared_sequences(own, digests.frame_digests(other), 3)

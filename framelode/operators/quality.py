@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelode.operators.images import MEASURES
+
 
 def pixel_quality(pixels: DataFrame, peak: float = 255.0) -> DataFrame:
     """Per (clip, frame) of pixels (clip, frame, reference, candidate, mask): errors inside and outside the mask.
@@ -38,3 +40,14 @@ def summary(quality: DataFrame) -> DataFrame:
     """One row a clip: means (nulls left out), the smallest ssim and its first frame, and the number of frames."""
     worst = F.min(F.struct("ssim", "frame"))
     return quality.groupBy("clip").agg(F.count("*").alias("frames"), F.avg("ssim").alias("ssim"), F.avg("mae").alias("mae"), F.avg("mask_mae").alias("mask_mae"), F.avg("outside_mae").alias("outside_mae"), worst.alias("worst")).select("clip", "frames", "ssim", "mae", "mask_mae", "outside_mae", F.col("worst.ssim").alias("min_ssim"), F.col("worst.frame").alias("min_frame"))
+
+
+def report(quality: DataFrame) -> DataFrame:
+    """One row a clip of quality (clip, frame, and the measures of images.compared): frames, mask_frames (those with a
+    masked pixel), the mean of each measure over the frames that have it, the smallest ssim and mask_ssim, and the first
+    frames that have them."""
+    means = [F.avg(m).alias(m) for m in MEASURES]
+    worst = F.min(F.struct("ssim", "frame"))
+    masked = F.min(F.when(F.col("mask_ssim").isNotNull(), F.struct("mask_ssim", "frame")))
+    sums = quality.groupBy("clip").agg(F.count("*").alias("frames"), F.count("mask_ssim").alias("mask_frames"), *means, worst.alias("worst"), masked.alias("masked"))
+    return sums.select("clip", "frames", "mask_frames", *MEASURES, F.col("worst.ssim").alias("min_ssim"), F.col("masked.mask_ssim").alias("min_mask_ssim"), F.col("worst.frame").alias("worst_frame"), F.col("masked.frame").alias("worst_mask_frame"))
