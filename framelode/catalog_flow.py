@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelode import bindings as bd
 from framelode.catalog import INFER, OVERLAP, _bytes, _folder, query, rounded
-from framelode.operators import rangestore
+from framelode.operators import digests, objects, rangestore
 from framelode.plans import windows
 from framelode.sources import frameblocks
 from framelode.streaming import carried
@@ -178,3 +178,83 @@ def ordered_files(spark, sf_dir: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.raw").load(out)
     digests = files.select(F.regexp_extract("path", r"([0-9]+)\.raw$", 1).cast("long").alias("clip"), F.sha2("content", 256).alias("digest"))
     return made.join(digests, "clip")
+
+
+_DIGESTS = f"fd AS (SELECT clip, frame, {_TEXT} AS t FROM frames)"
+
+
+@query(f"{_DIGESTS} SELECT clip, frame, sha256(t) AS digest FROM fd", "frames")
+def frame_hashes(spark, sf_dir: str) -> DataFrame:
+    """Each frame's digest, of an output that several tasks have written."""
+    return digests.frame_digests(frameblocks.read_ordered(spark, _ordered(spark, sf_dir)))
+
+
+@query(
+    f"{_DIGESTS}, ot AS (SELECT clip, CASE WHEN clip % 5 = 1 AND frame IN (8, 9) THEN 17 - frame ELSE frame END AS frame, CASE WHEN clip % 5 = 2 AND frame = 11 THEN 'changed' ELSE t END AS t FROM fd WHERE frame >= 3 AND NOT (clip % 5 = 3 AND frame = 20)), "
+    "nn AS (SELECT clip, max(frame) AS last FROM fd GROUP BY clip), ox AS (SELECT ot.* FROM ot JOIN nn USING (clip) WHERE NOT (clip % 5 = 4 AND frame = last)), "
+    "jn AS (SELECT coalesce(a.clip, b.clip) AS clip, coalesce(a.frame, b.frame) AS frame, a.t IS NOT DISTINCT FROM b.t AS same, a.t IS NOT NULL AS l, b.t IS NOT NULL AS r FROM (SELECT * FROM fd WHERE frame >= 3) a FULL JOIN ox b ON b.clip = a.clip AND b.frame = a.frame) "
+    "SELECT clip, count(*) FILTER (l) AS frames, count(*) FILTER (r) AS other_frames, bool_and(same) AS equal, min(frame) FILTER (NOT same) AS first_difference FROM jn GROUP BY clip",
+    "frames",
+)
+def sequence_equality(spark, sf_dir: str) -> DataFrame:
+    """Clips against copies without their first three frames, in some of which a frame has moved, changed or gone."""
+    own = digests.frame_digests(_frame_texts(spark, sf_dir))
+    last = own.groupBy("clip").agg(F.max("frame").alias("last"))
+    other = _frame_texts(spark, sf_dir).where("frame >= 3 AND NOT (clip % 5 = 3 AND frame = 20)").join(last, "clip").where("NOT (clip % 5 = 4 AND frame = last)")
+    other = other.select("clip", F.expr("IF(clip % 5 = 1 AND frame IN (8, 9), 17 - frame, frame) - 3").alias("frame"), F.expr("IF(clip % 5 = 2 AND frame = 11, CAST('changed' AS binary), pixels)").alias("pixels"))
+    return digests.compared_sequences(own, digests.frame_digests(other), 3)
+
+
+# --- chains of objects --------------------------------------------------------------------------------------------
+
+_BOXES = {0: ("f % 4 = 0", "0", "0", "1 + f % 2", "1"), 1: ("f % 3 = 0", "0", "0", "1", "2"), 2: ("f % 9 = 0", "0", "0", "2", "2")}
+_MASK4 = ("kind = 'purchase'", "kind IN ('purchase', 'click')", "kind = 'view'", "frame % 6 = 0")
+
+
+def _chain_sql() -> str:
+    """What each of three objects makes of the frames fk (clip, frame, p, v, m) before it."""
+    parts = [_TWO_SCENES, "f0 AS (SELECT clip, frame, unnest([0, 1, 2, 3]) AS p, value + 10 * unnest([0, 1, 2, 3]) AS v, unnest([" + ", ".join(f"CASE WHEN {m} THEN 1.0 ELSE 0.0 END" for m in _MASK4) + "]) AS m FROM frames)"]
+    for k, (when, x1, y1, x2, y2) in _BOXES.items():
+        edit = lambda v, w, b, k=k: f"CASE WHEN p % 2 >= {b}.x1 AND p % 2 < {b}.x2 AND p // 2 >= {b}.y1 AND p // 2 < {b}.y2 THEN {v} * 0.5 + 10 + {w} + {k} ELSE {v} END"
+        parts += [
+            f"w{k} AS (SELECT pw.clip, k, min({x1}) AS x1, min({y1}) AS y1, max({x2}) AS x2, max({y2}) AS y2 FROM pw JOIN (SELECT clip, frame AS f FROM frames) n ON n.clip = pw.clip AND f >= ds AND f < de WHERE {when} GROUP BY pw.clip, k)",
+            f"l{k} AS (SELECT pw.*, w.x1, w.y1, w.x2, w.y2, coalesce((SELECT bool_or(m > 0 AND p % 2 >= w.x1 AND p % 2 < w.x2 AND p // 2 >= w.y1 AND p // 2 < w.y2) FROM f{k} f WHERE f.clip = pw.clip AND f.frame >= ds AND f.frame < de), false) AS live FROM pw LEFT JOIN w{k} w ON w.clip = pw.clip AND w.k = pw.k)",
+            f"x{k} AS (SELECT f.clip, f.frame, f.p, f.v, f.m, s.live, s.frame_place AS place, s.ol, s.k, CASE WHEN s.frame_place < s.ol AND b.live THEN {edit('f.v', 'b.k', 'b').replace('p %', 'f.p %').replace('p //', 'f.p //')} ELSE f.v END AS c, s.x1, s.y1, s.x2, s.y2 FROM (SELECT l.*, unnest(range(ls, de - orr)) AS frame, unnest(range(ls, de - orr)) - ls AS frame_place FROM l{k} l) s JOIN f{k} f ON f.clip = s.clip AND f.frame = s.frame LEFT JOIN l{k} b ON b.clip = s.clip AND b.k = s.k - 1)",
+            f"y{k} AS (SELECT clip, frame, p, live AS changed, CASE WHEN NOT live THEN v WHEN place < ol THEN (1 - place / {OVERLAP - 1}) * c + (place / {OVERLAP - 1}) * ({edit('c', 'x.k', 'x')}) ELSE {edit('c', 'x.k', 'x')} END AS v FROM x{k} x UNION ALL SELECT clip, frame, p, false, v FROM f{k} WHERE frame >= 18 AND frame < 25)",
+            f"f{k + 1} AS (SELECT y.clip, y.frame, y.p, y.v, CASE WHEN EXISTS (SELECT 1 FROM l{k} l WHERE l.clip = y.clip AND l.live AND y.frame >= l.ds AND y.frame < l.de AND y.p % 2 >= l.x1 AND y.p % 2 < l.x2 AND y.p // 2 >= l.y1 AND y.p // 2 < l.y2) THEN 0.0 ELSE f.m END AS m FROM y{k} y JOIN f{k} f ON f.clip = y.clip AND f.frame = y.frame AND f.p = y.p)",
+        ]
+    return ", ".join(parts)
+
+
+def _chained(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = bd.frames(spark, sf_dir)
+    mask = F.array(*[F.when(F.expr(m), 1.0).otherwise(0.0) for m in _MASK4])
+    frames = rows.select("clip", "frame", F.lit(2).alias("height"), F.lit(2).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.col("value") + 10 * p).alias("pixels"), mask.alias("mask"))
+    boxes = None
+    for k, (when, *box) in _BOXES.items():
+        own = rows.select("clip", "frame", F.col("frame").alias("f")).where(when).select(F.lit(k).alias("object"), "clip", "frame", *[F.expr(e).cast("long").alias(c) for c, e in zip(("x1", "y1", "x2", "y2"), box, strict=True)])
+        boxes = own if boxes is None else boxes.unionByName(own)
+    return objects.chained(frames, boxes, _two_scenes(spark, sf_dir), list(_BOXES), _object_edit, _folder(spark, "chain"), "linear")
+
+
+def _object_edit(pixels, window_index, name):
+    return pixels * 0.5 + 10 + window_index + name
+
+
+@query(f"{_chain_sql()} SELECT clip, frame, p AS place, round(v, 6) AS value, m AS mask FROM f3", "frames", "clips")
+def object_chain(spark, sf_dir: str) -> DataFrame:
+    """Three objects worked on in order: the frames, and the mask that is left."""
+    frames, _ = _chained(spark, sf_dir)
+    both = frames.select("clip", "frame", F.posexplode(F.arrays_zip("pixels", "mask")).alias("place", "v"))
+    return rounded(both.select("clip", "frame", "place", F.col("v.pixels").alias("value"), F.col("v.mask").alias("mask")), "value")
+
+
+@query(
+    f"{_chain_sql()}, a AS (SELECT 0 AS object, clip, frame, bool_or(changed) AS changed FROM y0 GROUP BY ALL UNION ALL SELECT 1, clip, frame, bool_or(changed) FROM y1 GROUP BY ALL UNION ALL SELECT 2, clip, frame, bool_or(changed) FROM y2 GROUP BY ALL), "
+    "g AS (SELECT *, frame - row_number() OVER (PARTITION BY object, clip, changed ORDER BY frame) AS island FROM a) SELECT object, clip, min(frame) AS start, max(frame) + 1 AS \"end\", changed FROM g GROUP BY object, clip, changed, island",
+    "frames",
+    "clips",
+)
+def object_ranges(spark, sf_dir: str) -> DataFrame:
+    """Which ranges of frames each object has passed on changed, and which as they came."""
+    return _chained(spark, sf_dir)[1].select("object", "clip", "start", "end", "changed")

@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from framelode import bindings as bd
 from framelode.catalog import _PLAN, OVERLAP, _bytes, _plan, query, rounded
-from framelode.catalog_flow import _TEXT, _frame_texts, _ordered
 from framelode.functions import bits
-from framelode.operators import blockproduct, digests, images, overlap, patches, sparse, tiles, transfer
+from framelode.operators import blockproduct, images, overlap, patches, sparse, tiles, transfer
 from framelode.plans import windows
-from framelode.sources import frameblocks
 
 # --- attention over listed blocks ---------------------------------------------------------------------------------
 
@@ -252,7 +250,7 @@ def tiled_time(spark, sf_dir: str) -> DataFrame:
     return rounded(tiles.tiled_frames(frames, _paired, 10, 6, 2).select("clip", "frame", F.col("pixels")[0].alias("value")), "value")
 
 
-# --- patches, masks that are filled, digests ----------------------------------------------------------------------
+# --- patches, masks that are filled -------------------------------------------------------------------------------
 
 _PATCH_WEIGHTS = "fw AS (SELECT label AS n, vec_id AS f, label * 0.5 AS bias FROM (SELECT label, min(vec_id) AS vec_id FROM vectors GROUP BY label)), wk AS (SELECT n, bias, unnest(range(2)) AS ch, w.v FROM fw JOIN vectors w ON w.vec_id = f), wv AS (SELECT n, bias, ch, unnest(range(16)) AS k, v FROM wk)"
 
@@ -315,28 +313,3 @@ def mask_soft_border(spark, sf_dir: str) -> DataFrame:
     value = F.transform("v", lambda x: F.when(x > 0.2, F.least(F.lit(255), F.floor(x * 400))).otherwise(0))
     rows = bd.vectors(spark, sf_dir).select(F.col("vec_id").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), _bytes(value).alias("pixels"))
     return rounded(images.grown_masks(rows, 1, 5, 1.0, 1).select("frame", F.posexplode("soft").alias("place", "value")), "value")
-
-
-_DIGESTS = f"fd AS (SELECT clip, frame, {_TEXT} AS t FROM frames)"
-
-
-@query(f"{_DIGESTS} SELECT clip, frame, sha256(t) AS digest FROM fd", "frames")
-def frame_hashes(spark, sf_dir: str) -> DataFrame:
-    """Each frame's digest, of an output that several tasks have written."""
-    return digests.frame_digests(frameblocks.read_ordered(spark, _ordered(spark, sf_dir)))
-
-
-@query(
-    f"{_DIGESTS}, ot AS (SELECT clip, CASE WHEN clip % 5 = 1 AND frame IN (8, 9) THEN 17 - frame ELSE frame END AS frame, CASE WHEN clip % 5 = 2 AND frame = 11 THEN 'changed' ELSE t END AS t FROM fd WHERE frame >= 3 AND NOT (clip % 5 = 3 AND frame = 20)), "
-    "nn AS (SELECT clip, max(frame) AS last FROM fd GROUP BY clip), ox AS (SELECT ot.* FROM ot JOIN nn USING (clip) WHERE NOT (clip % 5 = 4 AND frame = last)), "
-    "jn AS (SELECT coalesce(a.clip, b.clip) AS clip, coalesce(a.frame, b.frame) AS frame, a.t IS NOT DISTINCT FROM b.t AS same, a.t IS NOT NULL AS l, b.t IS NOT NULL AS r FROM (SELECT * FROM fd WHERE frame >= 3) a FULL JOIN ox b ON b.clip = a.clip AND b.frame = a.frame) "
-    "SELECT clip, count(*) FILTER (l) AS frames, count(*) FILTER (r) AS other_frames, bool_and(same) AS equal, min(frame) FILTER (NOT same) AS first_difference FROM jn GROUP BY clip",
-    "frames",
-)
-def sequence_equality(spark, sf_dir: str) -> DataFrame:
-    """Clips against copies without their first three frames, in some of which a frame has moved, changed or gone."""
-    own = digests.frame_digests(_frame_texts(spark, sf_dir))
-    last = own.groupBy("clip").agg(F.max("frame").alias("last"))
-    other = _frame_texts(spark, sf_dir).where("frame >= 3 AND NOT (clip % 5 = 3 AND frame = 20)").join(last, "clip").where("NOT (clip % 5 = 4 AND frame = last)")
-    other = other.select("clip", F.expr("IF(clip % 5 = 1 AND frame IN (8, 9), 17 - frame, frame) - 3").alias("frame"), F.expr("IF(clip % 5 = 2 AND frame = 11, CAST('changed' AS binary), pixels)").alias("pixels"))
-    return digests.compared_sequences(own, digests.frame_digests(other), 3)

@@ -26,6 +26,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "clip long, frame long, pixels array<double>, window_index long, changed boolean"
 PARTS = ("window_index", "load_start", "load_end", "deal_start", "deal_length", "overlap_left", "overlap_right", "next_start")
+#: What a plan may say besides: whether a window is worked on (1, else 0), and the box that it changes of frames so wide.
+BOX = ("live", "x1", "y1", "x2", "y2", "width")
 
 
 def ramp_values(n: int, mode: str) -> np.ndarray:
@@ -47,7 +49,8 @@ def with_windows(frames: DataFrame, plan: DataFrame) -> DataFrame:
     """frames (clip, frame, ...; a table or a stream) with loaded (some window loads the frame) and closes (the windows
     it is the last frame of). One equi-join: a window names its frames."""
     order = Window.partitionBy("clip").orderBy("window_index")
-    whole = plan.withColumn("next_start", F.lead("load_start").over(order)).select("clip", F.struct(*[F.col(c).cast("long").alias(c) for c in PARTS]).alias("w"))
+    told = plan if "live" in plan.columns else plan.withColumns({c: F.lit(None).cast("long") for c in BOX})
+    whole = told.withColumn("next_start", F.lead("load_start").over(order)).select("clip", F.struct(*[F.col(c).cast("long").alias(c) for c in PARTS + BOX]).alias("w"))
     named = whole.where("w.load_end > w.load_start").withColumn("frame", F.explode(F.expr("sequence(w.load_start, w.load_end - 1)")))
     named = named.groupBy("clip", "frame").agg(F.collect_list(F.when(F.col("frame") == F.col("w.load_end") - 1, F.col("w"))).alias("closes"))
     return frames.join(named.withColumn("loaded", F.lit(True)), ["clip", "frame"], "left").withColumn("loaded", F.coalesce("loaded", F.lit(False)))
@@ -63,14 +66,14 @@ class Commit(StatefulProcessor):
         self.frontier = handle.getValueState("frontier", "frame long, window long")
         self.held = handle.getListState("held", "frame long, pixels binary, masked boolean")
         self.carried = handle.getListState("carried", "frame long, pixels binary")
-        self.open = handle.getListState("open", ", ".join(f"{c} long" for c in PARTS))
+        self.open = handle.getListState("open", ", ".join(f"{c} long" for c in PARTS + BOX))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         clip = int(key[0])
         start, window = self.frontier.get() if self.frontier.exists() else (0, 0)
         held = {f: (np.frombuffer(p, np.float64), m) for f, p, m in self.held.get()}
         carried = {f: np.frombuffer(p, np.float64) for f, p in self.carried.get()}
-        open_windows = {w[0]: dict(zip(PARTS, w, strict=True)) for w in self.open.get()}
+        open_windows = {w[0]: dict(zip(PARTS + BOX, w, strict=True)) for w in self.open.get()}
         for part in rows:
             out = []
             for frame, pixels, masked, loaded, closes in zip(part["frame"], part["pixels"], part["masked"], part["loaded"], part["closes"], strict=True):
@@ -82,7 +85,7 @@ class Commit(StatefulProcessor):
                     raise ValueError(f"frame {frame} of clip {clip} is late or arrived twice")
                 held[frame] = pixels, bool(masked)
                 for w in closes if closes is not None else ():
-                    w = {c: None if pd.isna(w[c]) else int(w[c]) for c in PARTS}
+                    w = {c: None if pd.isna(w[c]) else int(w[c]) for c in PARTS + BOX}
                     open_windows[w["window_index"]] = w
             # a window needs the one before, which has left its overlap
             while (w := open_windows.get(window)) and all(f in held for f in range(w["load_start"], w["load_end"])):
@@ -95,7 +98,7 @@ class Commit(StatefulProcessor):
             if out:
                 yield pd.DataFrame(out, columns=["clip", "frame", "pixels", "window_index", "changed"]).astype({"window_index": "Int64"})
         self.frontier.update((start, window))
-        for state, kept in ((self.held, [(f, p.tobytes(), m) for f, (p, m) in held.items()]), (self.carried, [(f, p.tobytes()) for f, p in carried.items()]), (self.open, [tuple(w[c] for c in PARTS) for w in open_windows.values()])):
+        for state, kept in ((self.held, [(f, p.tobytes(), m) for f, (p, m) in held.items()]), (self.carried, [(f, p.tobytes()) for f, p in carried.items()]), (self.open, [tuple(w[c] for c in PARTS + BOX) for w in open_windows.values()])):
             state.put(kept) if kept else state.clear()
 
     def _committed(self, w: dict, held: dict, carried: dict) -> tuple[list, dict, int]:
@@ -106,7 +109,8 @@ class Commit(StatefulProcessor):
         # behind the last window pass the frames that it has loaded beyond its scene
         start = w["next_start"] if w["next_start"] is not None else w["load_end"]
         passed = [(f, held[f][0], None, False) for f in range(end, start) if f in held]
-        if not any(held[f][1] for f in range(w["deal_start"], end)):
+        live = any(held[f][1] for f in range(w["deal_start"], end)) if w["live"] is None else w["live"] > 0
+        if not live:
             made = [(f, held[f][0], w["window_index"], False) for f in range(first, stable)]
             return made + passed, {f: held[f][0] for f in range(stable, end)}, start
         left = w["overlap_left"]
@@ -115,6 +119,11 @@ class Commit(StatefulProcessor):
         if changed.shape != source.shape:
             raise ValueError(f"an edit of {source.shape} gave {changed.shape}")
         changed = changed.copy()
+        if w["x1"] is not None:  # only the box is taken over
+            place = np.arange(source.shape[1])
+            y, x = np.divmod(place, w["width"])
+            outside = (y < w["y1"]) | (y >= w["y2"]) | (x < w["x1"]) | (x >= w["x2"])
+            changed[:, outside] = source[:, outside]
         share = ramp_values(left, self.mode)[:, None]
         changed[:left] = share * source[:left] + (1 - share) * changed[:left]
         if self.whole:
@@ -133,7 +142,8 @@ def carried_windows(frames: DataFrame, plan: DataFrame, edit: Callable, mode: st
     x pixels, window_index) gives as many; its first overlap_left frames are those that the window before has carried
     over, and come out as ramp(mode) * carried + (1 - ramp(mode)) * edited. whole: values are bytes, clipped to 0..255 and
     rounded half to even. window_index is null where a frame was in no window's commit range, changed false where it
-    passed as it came. A window waits for all its frames and for the windows before it; what a missing frame holds up
+    passed as it came. A plan with the columns of BOX says itself which windows are worked on, whatever masked is, and which
+box of the pixels (row after row, width to a row) they change. A window waits for all its frames and for the windows before it; what a missing frame holds up
     stays in the state.
     """
     frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
