@@ -163,18 +163,26 @@ def max_bbox(spark, sf_dir: str) -> DataFrame:
     return masks.union_boxes(bd.boxes(spark, sf_dir))
 
 
-@query(
+_ALIGN = (
     "s AS (SELECT *, greatest(sqrt(4096.0 / (w * h)), 1.0) AS k FROM boxes WHERE w > 0 AND h > 0), "
     "t AS (SELECT *, CAST(ceil(least(ceil(w * k), 640) / 32) * 32 AS BIGINT) AS tw, CAST(ceil(least(ceil(h * k), 360) / 32) * 32 AS BIGINT) AS th FROM s), "
     "u AS (SELECT *, CAST(CASE WHEN tw > th THEN greatest(least(tw, ceil((4096 // th) / 32) * 32), ceil(w / 32) * 32) ELSE tw END AS BIGINT) AS uw, CAST(CASE WHEN tw > th THEN th ELSE greatest(least(th, ceil((4096 // tw) / 32) * 32), ceil(h / 32) * 32) END AS BIGINT) AS uh FROM t), "
     "f AS (SELECT *, least(uw, 640) AS bw, least(uh, 352) AS bh FROM u) "
-    "SELECT object, frame, least(greatest(0, (2 * x + w) // 2 - bw // 2), 640 - bw) AS bx, least(greatest(0, (2 * y + h) // 2 - bh // 2), 360 - bh) AS \"by\", bw, bh FROM f",
-    "boxes",
-)
+    "SELECT object, frame, least(greatest(0, (2 * x + w) // 2 - bw // 2), 640 - bw) AS bx, least(greatest(0, (2 * y + h) // 2 - bh // 2), 360 - bh) AS \"by\", bw, bh FROM f"
+).replace("FROM boxes", "FROM {0}")
+
+
+@query(_ALIGN.format("boxes"), "boxes")
 def bbox_align(spark, sf_dir: str) -> DataFrame:
     return masks.aligned_boxes(bd.boxes(spark, sf_dir), 640, 360, 32, 4096)
 
 
+@query("ob AS (SELECT object, frame, CASE WHEN h > 0 THEN x ELSE 0 END AS x, CASE WHEN h > 0 THEN y ELSE 0 END AS y, CASE WHEN h > 0 THEN w ELSE 640 END AS w, CASE WHEN h > 0 THEN h ELSE 360 END AS h FROM boxes), " + _ALIGN.format("ob"), "boxes")
+def crop_boxes(spark, sf_dir: str) -> DataFrame:
+    """Aligned boxes, and the whole frame where a box has no area."""
+    return masks.aligned_boxes(masks.boxes_or_frames(bd.boxes(spark, sf_dir), 640, 360), 640, 360, 32, 4096)
+
+
 @query(
     f"{_PLAN} SELECT p.clip, window_index, min(CAST(frame % 7 AS BIGINT)) AS x1, min(CAST(frame % 5 AS BIGINT)) AS y1, max(CAST(frame % 7 + trunc(value) AS BIGINT)) AS x2, max(CAST(frame % 5 + frame % 3 AS BIGINT)) AS y2 FROM p JOIN frames f ON f.clip = p.clip AND f.frame >= deal_start AND f.frame < deal_start + deal_length WHERE trunc(value) > 0 AND frame % 3 > 0 GROUP BY p.clip, window_index",
     "frames",
@@ -594,9 +602,26 @@ def byte_values(spark, sf_dir: str) -> DataFrame:
     return bd.table(spark, sf_dir, "events").select("event_id", nb.to_byte(x).alias("byte"), F.round(nb.truncated(F.least(x, F.lit(1.0))), 6).alias("cut"))
 
 
-@query("WITH i AS (SELECT unnest(range(40)) AS i) SELECT i, round(1 - CASE WHEN i < 20 THEN i * 0.025 / 20 ELSE (19.0 / 8000) * i * i + (0.025 / 20 - 2 * 19.0 / 400) * i + (19.0 / 8000) * 400 END, 9) AS sigma FROM i")
+@query("i AS (SELECT clip, frame AS i, num_frames AS n, num_frames // 2 AS k FROM frames JOIN clips USING (clip)) SELECT clip, i, round(1 - CASE WHEN i < k THEN i * 0.025 / k ELSE (k - 0.025 * n) / (k * pow(n - k, 2)) * i * i + (0.025 / k - 2 * (k - 0.025 * n) / pow(n - k, 2)) * i + (k - 0.025 * n) / (k * pow(n - k, 2)) * k * k END, 9) AS sigma FROM i", "frames", "clips")
 def sigma_schedule(spark, sf_dir: str) -> DataFrame:
-    return spark.range(40).select(F.col("id").alias("i"), F.round(nb.linear_quadratic(F.col("id"), 40), 9).alias("sigma"))
+    """A schedule for each clip, a step for each of its frames."""
+    steps = bd.frames(spark, sf_dir).select("clip", F.col("frame").alias("i")).join(bd.clips(spark, sf_dir), "clip")
+    return steps.select("clip", "i", F.round(nb.linear_quadratic(F.col("i"), F.col("num_frames")), 9).alias("sigma"))
+
+
+@query("SELECT event_id, round(least(255, floor(value)) / 255, 6) AS unit, round(least(255, floor(value)) / 255 * 2 - 1, 6) AS sign, round(least(greatest((value / 50 - 1) / 2 + 0.5, 0), 1), 6) AS back FROM events")
+def frame_scaling(spark, sf_dir: str) -> DataFrame:
+    """Bytes as values in [0, 1] and in [-1, 1], and values in [-1, 1] back."""
+    byte = F.least(F.lit(255), F.floor(F.col("value")))
+    rows = bd.table(spark, sf_dir, "events").select("event_id", nb.from_byte(byte).alias("unit"), nb.signed(nb.from_byte(byte)).alias("sign"), nb.unsigned(F.col("value") / 50 - 1).alias("back"))
+    return rounded(rows, "unit", "sign", "back")
+
+
+@query("SELECT f.clip, frame, greatest(0, frame - least(17, num_frames) // 2) AS start, least(17, num_frames) AS frames FROM frames f JOIN clips USING (clip)", "frames", "clips")
+def window_index(spark, sf_dir: str) -> DataFrame:
+    """The window around each frame: where it starts, and how many frames it may have."""
+    rows = bd.frames(spark, sf_dir).select("clip", "frame").join(bd.clips(spark, sf_dir), "clip")
+    return windows.around(rows, 17).select("clip", "frame", "start", "frames")
 
 
 # --- streams ------------------------------------------------------------------------------------------------------
@@ -702,10 +727,11 @@ def attention_all(spark, sf_dir: str) -> DataFrame:
     return rounded(out.select("q", F.col("place").cast("long").alias("place"), "y"), "y")
 
 
-@query("WITH t AS (SELECT unnest(range(50)) AS t), e AS (SELECT t, unnest(range(16)) AS place FROM t) SELECT t, place, round(CASE WHEN place < 8 THEN cos(t * pow(10000.0, -place / 8)) ELSE sin(t * pow(10000.0, -(place - 8) / 8)) END, 6) AS y FROM e")
+@query("e AS (SELECT clip, frame AS t, unnest(range(16)) AS place FROM frames) SELECT clip, t, place, round(CASE WHEN place < 8 THEN cos(t * pow(10000.0, -place / 8)) ELSE sin(t * pow(10000.0, -(place - 8) / 8)) END, 6) AS y FROM e", "frames")
 def timestep_embedding(spark, sf_dir: str) -> DataFrame:
-    out = tensors.timestep_embedding(spark.range(50).select(F.col("id").alias("t")), 16)
-    return out.select("t", F.posexplode("emb").alias("place", "y")).select("t", F.col("place").cast("long").alias("place"), F.round("y", 6).alias("y"))
+    """Each clip's frames as time steps."""
+    out = tensors.timestep_embedding(bd.frames(spark, sf_dir).select("clip", F.col("frame").alias("t")), 16)
+    return out.select("clip", "t", F.posexplode("emb").alias("place", "y")).select("clip", "t", F.col("place").cast("long").alias("place"), F.round("y", 6).alias("y"))
 
 
 @query(f"r AS ({_fold('f.d < 0.05', '0.0')}), c AS (SELECT branch, step, value AS x, CASE WHEN step < 30 THEN 'a' ELSE 'b' END AS layout FROM r JOIN frames ON clip = branch AND frame = step WHERE NOT skip) SELECT branch, step + 1 AS step, round(x + coalesce((x - lag(x) OVER (PARTITION BY branch, layout ORDER BY step)) / (step - lag(step) OVER (PARTITION BY branch, layout ORDER BY step)), 0), 6) AS guess FROM c", "frames", "clips")

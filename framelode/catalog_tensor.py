@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from framelode import bindings as bd
 from framelode.catalog import _PLAN, OVERLAP, _bytes, _plan, query, rounded
+from framelode.functions import arrays as ar
 from framelode.functions import bits
-from framelode.operators import blockproduct, images, overlap, patches, sparse, tiles, transfer
+from framelode.operators import blockproduct, images, layers, masks, overlap, patches, preprocess, reuse, sparse, tiles, transfer
 from framelode.plans import windows
 
 # --- attention over listed blocks ---------------------------------------------------------------------------------
@@ -313,3 +314,102 @@ def mask_soft_border(spark, sf_dir: str) -> DataFrame:
     value = F.transform("v", lambda x: F.when(x > 0.2, F.least(F.lit(255), F.floor(x * 400))).otherwise(0))
     rows = bd.vectors(spark, sf_dir).select(F.col("vec_id").alias("frame"), F.lit(8).alias("height"), F.lit(8).alias("width"), _bytes(value).alias("pixels"))
     return rounded(images.grown_masks(rows, 1, 5, 1.0, 1).select("frame", F.posexplode("soft").alias("place", "value")), "value")
+
+
+# --- a window's input ---------------------------------------------------------------------------------------------
+
+# the vectors of a label are a clip of 8 x 8 frames
+_WINDOW_IN = (
+    "im AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, v FROM vectors), cn AS (SELECT clip, count(*) AS n FROM im GROUP BY clip), "
+    "px AS (SELECT clip, frame, y, x, least(255, floor(abs(v[least(y, 7) * 8 + least(x, 7) + 1]) * 255)) AS g, CASE WHEN v[least(y, 7) * 8 + least(x, 7) + 1] > 0.2 THEN 1 ELSE 0 END AS m FROM im, (SELECT unnest(range(12)) AS y), (SELECT unnest(range(12)) AS x)), "
+    "c1 AS (SELECT a.clip, a.frame, a.y, a.x, sum(b.m) AS m FROM px a JOIN px b ON b.clip = a.clip AND b.frame = a.frame AND ((b.y = a.y AND abs(b.x - a.x) <= 1) OR (b.x = a.x AND abs(b.y - a.y) = 1)) GROUP BY ALL), "
+    "c2 AS (SELECT a.clip, a.frame, a.y, a.x, sum(b.m) > 7.5 AS hit FROM c1 a JOIN c1 b ON b.clip = a.clip AND b.frame = a.frame AND ((b.y = a.y AND abs(b.x - a.x) <= 1) OR (b.x = a.x AND abs(b.y - a.y) = 1)) GROUP BY ALL), "
+    "pl AS (SELECT clip, n, unnest(range(CAST(greatest(1, ceil((n - 9) / 8)) * 8 + 9 AS BIGINT))) AS place FROM cn), "
+    "pf AS (SELECT clip, place, CASE WHEN place % greatest(2 * n - 2, 1) < n THEN place % greatest(2 * n - 2, 1) ELSE 2 * n - 2 - place % greatest(2 * n - 2, 1) END AS frame FROM pl)"
+)
+
+
+def _window_input(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    order = Window.partitionBy("label").orderBy("vec_id")
+    v = bd.vectors(spark, sf_dir).select(F.col("label").alias("clip"), (F.row_number().over(order) - 1).cast("long").alias("frame"), "v")
+    byte = F.transform("v", lambda x: F.least(F.lit(255), F.floor(F.abs(x) * 255)))
+    mask = F.transform("v", lambda x: F.when(x > 0.2, 200).otherwise(3))
+    frames = v.select("clip", "frame", F.lit(8).alias("height"), F.lit(8).alias("width"), byte.alias("p"), mask.alias("m")).select("clip", "frame", "height", "width", _bytes("p").alias("pixels"), _bytes("m").alias("mask"))
+    return preprocess.prepared(frames, v.groupBy("clip").agg(F.count("*").alias("num_frames")), True, 17, 9, 6, 3, 2, 0.3)
+
+
+@query(f"{_WINDOW_IN} SELECT pf.clip, place, y * 12 + x AS at, round(CASE WHEN hit THEN 0 ELSE g / 255 END, 6) AS value FROM pf JOIN px USING (clip, frame) JOIN c2 USING (clip, frame, y, x)", "vectors")
+def window_masked(spark, sf_dir: str) -> DataFrame:
+    """Each clip as one window: padded, mirrored to whole batches, and 0 under the thickened mask."""
+    masked, _ = _window_input(spark, sf_dir)
+    return rounded(masked.select("clip", "place", F.posexplode("values").alias("at", "value")), "value")
+
+
+@query(f"{_WINDOW_IN}, lt AS (SELECT pf.clip, CASE WHEN place = 0 THEN 0 ELSE (place - 1) // 8 + 1 END AS part, y * 12 + x AS pos, bool_or(hit) AS hit FROM pf JOIN c2 USING (clip, frame) GROUP BY ALL) SELECT clip, part, pos AS at, round(CASE WHEN hit THEN CASE WHEN part = 0 THEN 1 ELSE 255 END ELSE 0 END * (0.299 / 255 + 0.587 / 255 + 0.0004), 6) AS value FROM lt", "vectors")
+def window_latents(spark, sf_dir: str) -> DataFrame:
+    """The same window's mask, eight frames to one, as grey."""
+    _, latents = _window_input(spark, sf_dir)
+    return rounded(latents.select("clip", "part", F.posexplode("values").alias("at", "value")), "value")
+
+
+# the frames of a clip: as many of a label's vectors as make 4 equal groups behind the first
+_ENCODE = "im AS (SELECT label AS clip, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, v FROM vectors), cn AS (SELECT clip, count(*) AS n, (count(*) - 1) // 4 * 4 + 1 AS num_frames FROM im GROUP BY clip), px AS (SELECT im.clip, frame, num_frames, p // 8 AS y, p % 8 AS x, greatest(v[p + 1], v[64 - p]) AS m FROM im JOIN cn USING (clip), (SELECT unnest(range(64)) AS p) WHERE frame < num_frames)"
+
+
+def _mask_pixels(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    order = Window.partitionBy("label").orderBy("vec_id")
+    v = bd.vectors(spark, sf_dir).select(F.col("label").alias("clip"), (F.row_number().over(order) - 1).cast("long").alias("frame"), "v")
+    clips = v.groupBy("clip").agg((F.expr("(count(*) - 1) div 4 * 4 + 1")).alias("num_frames"))
+    channels = v.join(clips, "clip").where("frame < num_frames").select("clip", "frame", F.posexplode(F.array("v", F.reverse("v"))).alias("channel", "v"))
+    pixels = channels.select("clip", "frame", "channel", F.posexplode("v").alias("p", "mask"))
+    return pixels.select("clip", "frame", F.lit(8).alias("height"), F.lit(8).alias("width"), F.expr("CAST(p div 8 AS bigint)").alias("y"), F.expr("CAST(p % 8 AS bigint)").alias("x"), "channel", "mask"), clips
+
+
+_PARTS = "CASE WHEN frame = 0 THEN 0 ELSE (frame - 1) // ((num_frames - 1) // 4) + 1 END"
+
+
+@query(f"{_ENCODE}, yy AS (SELECT unnest(range(3)) AS oy), xx AS (SELECT unnest(range(5)) AS ox) SELECT clip, {_PARTS} AS part, oy AS y, ox AS x, round(max(m), 6) AS mask FROM px JOIN yy ON y = oy * 8 // 3 JOIN xx ON x = ox * 8 // 5 GROUP BY ALL", "vectors")
+def mask_encode(spark, sf_dir: str) -> DataFrame:
+    """Two channels of masks at 3 x 5 places and in five parts of time."""
+    pixels, clips = _mask_pixels(spark, sf_dir)
+    return rounded(masks.encoded(pixels, clips, 3, 5, 5), "mask")
+
+
+@query(f"{_ENCODE} SELECT clip, {_PARTS} AS part, y // 3 AS y, x // 3 AS x, max(CASE WHEN m > 0.3 THEN 1.0 ELSE 0.0 END) AS mask FROM px WHERE y < 6 AND x < 6 GROUP BY ALL", "vectors")
+def mask_encode_pooled(spark, sf_dir: str) -> DataFrame:
+    """The same with blocks of 3 x 3 that are on if any pixel is."""
+    pixels, clips = _mask_pixels(spark, sf_dir)
+    return masks.encoded(pixels.withColumn("mask", F.col("mask") - 0.3), clips, 3, 3, 5, pool=True)
+
+
+# --- layers -------------------------------------------------------------------------------------------------------
+
+_GELU = "0.5 * {0} * (1 + tanh(0.7978845608028654 * ({0} + 0.044715 * {0} * {0} * {0})))"
+
+
+@query(
+    "fw AS (SELECT label AS n, min(vec_id) AS f FROM vectors GROUP BY label), w1 AS (SELECT n, v, n * 0.1 AS bias FROM fw JOIN vectors ON vec_id = f), "
+    f"h AS (SELECT a.vec_id, w1.n, list_dot_product(a.v, w1.v) + bias AS z FROM vectors a, w1), g AS (SELECT vec_id, list({_GELU.format('z')} ORDER BY n) AS v FROM h GROUP BY vec_id), "
+    "w2 AS (SELECT n, v[1:len(v) // 6] AS v, 0.5 - n AS bias FROM w1) "
+    "SELECT g.vec_id AS m, w2.n, round(list_dot_product(g.v, w2.v[1:len(g.v)]) + bias, 6) AS y FROM g, w2",
+    "vectors",
+)
+def feed_forward(spark, sf_dir: str) -> DataFrame:
+    """Two layers over all vectors: ten rows of weights, GELU, and ten rows over its ten numbers."""
+    v = bd.vectors(spark, sf_dir)
+    first = v.join(v.groupBy("label").agg(F.min("vec_id").alias("vec_id")), ["label", "vec_id"]).select(F.col("label").cast("long").alias("n"), F.col("v").alias("w"))
+    second = first.select("n", F.slice("w", 1, 10).alias("w"), (0.5 - F.col("n")).alias("bias"))
+    out = layers.feed_forward(v.select(F.col("vec_id").alias("m"), F.col("v").alias("x")), first.withColumn("bias", F.col("n") * 0.1), second, ar.gelu)
+    return rounded(out, "y")
+
+
+@query(
+    "s AS (SELECT clip, frame, value, 1000 - frame * 12 AS t FROM frames), c AS (SELECT *, NOT (100 < t AND t < 800) OR frame % 3 = 0 AS computed FROM s) "
+    "SELECT clip, frame, computed, last_value(CASE WHEN computed THEN value END IGNORE NULLS) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM c",
+    "frames",
+)
+def attention_broadcast(spark, sf_dir: str) -> DataFrame:
+    """Steps that give the last computed value again, inside a range of time steps and but for every third."""
+    rows = bd.frames(spark, sf_dir).select(F.col("clip").alias("branch"), F.col("frame").alias("step"), "value", (1000 - F.col("frame") * 12).alias("t"))
+    out = reuse.broadcast_steps(rows, (100, 800), 3)
+    return out.select(F.col("branch").alias("clip"), F.col("step").alias("frame"), "computed", "value")

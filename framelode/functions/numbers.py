@@ -43,15 +43,31 @@ def ramp(i: Column, n: Column, mode: str) -> Column:
     return F.when(n <= 1, F.lit(0.0)).otherwise(weight)
 
 
-def linear_quadratic(i: Column, n: int, threshold: float = 0.025, linear: int | None = None) -> Column:
-    """Noise level of step i of n: linear down to 1 - threshold, then quadratic; 1.0 where n < 2."""
-    k = n // 2 if linear is None else linear
-    if n < 2:
-        return F.lit(1.0)
-    gap, rest = k - threshold * n, n - k
-    square = gap / (k * rest**2)
-    slope = threshold / k - 2 * gap / rest**2
-    return F.when(i < k, 1 - i * threshold / k).otherwise(1 - (square * i * i + slope * i + square * k * k))
+def linear_quadratic(i: Column, n: int | Column, threshold: float = 0.025, linear: int | None = None) -> Column:
+    """Noise level of step i of n: linear down to 1 - threshold in half of the steps (or in linear of them), then quadratic;
+    1.0 where n < 2."""
+    n = F.lit(n) if isinstance(n, int) else n
+    k = F.greatest(F.floor(n / 2), F.lit(1)) if linear is None else F.lit(linear)
+    gap, rest = k - threshold * n, F.greatest(n - k, F.lit(1))
+    square = gap / (k * rest * rest)
+    slope = threshold / k - 2 * gap / (rest * rest)
+    curve = F.when(i < k, 1 - i * threshold / k).otherwise(1 - (square * i * i + slope * i + square * k * k))
+    return F.when(n < 2, F.lit(1.0)).otherwise(curve)
+
+
+def from_byte(x: Column) -> Column:
+    """0..255 as a value in [0, 1]."""
+    return x / F.lit(255.0)
+
+
+def signed(x: Column) -> Column:
+    """A value in [0, 1] as one in [-1, 1]."""
+    return x * 2 - 1
+
+
+def unsigned(x: Column) -> Column:
+    """A value in [-1, 1] as one in [0, 1]; others are cut."""
+    return F.least(F.greatest(x / 2 + 0.5, F.lit(0.0)), F.lit(1.0))
 
 
 def safe_fraction(text: Column) -> Column:

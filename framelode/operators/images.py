@@ -62,6 +62,27 @@ def dilated(mask: np.ndarray, times: int = 1, height: int = 3, width: int = 3) -
     return mask
 
 
+def cross_counts(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The sum of each place's cross of height x width."""
+    steps = [(-2, s) for s in range(-(height // 2), height // 2 + 1) if s] + [(-1, s) for s in range(-(width // 2), width // 2 + 1) if s]
+    return mask + sum(moved(mask, s, axis) for axis, s in steps)
+
+
+def thickened(mask: np.ndarray, times: int, height: int, width: int, share: float, limit: int = 64_000) -> np.ndarray:
+    """0/1 masks after times sums over a cross: on where more than share of what a sum could be is reached.
+
+    Sums are only turned back into 0 and 1 before one could pass limit, and at the end, so several steps count how often a
+    place is reached, and a single far place needn't be enough.
+    """
+    span, most = height + width - 1, 1
+    out = mask.astype(np.int64)
+    for i in range(times):
+        out, most = cross_counts(out, height, width), most * span
+        if i == times - 1 or most * span > limit:
+            out, most = (out > most * share).astype(np.int64), 1
+    return out.astype(bool)
+
+
 def any_near(mask: np.ndarray, reach: int) -> np.ndarray:
     """Where any pixel within reach rows and columns is set."""
     for axis in (-2, -1):
@@ -184,6 +205,17 @@ def filled_masks(frames: DataFrame, sigma: float = 0.8, key: str = "clip") -> Da
     return _mapped(frames.join(most, key), fill, {"filled": "array<double>"}).drop("steps")
 
 
+def masked_frames(frames: DataFrame, times: int, size: int, share: float) -> DataFrame:
+    """Gray frames (..., pixels, mask: bytes) as values (array<double>, in [0, 1]) that are 0 in the thickened mask, and
+    that mask as on (bytes 0 and 1). A mask's byte is on above 255 / 2 * share."""
+
+    def cover(r, h, w):
+        on = thickened(_stack(r.column("mask"), h, w) > 255 / 2 * share, times, size, size, share)
+        return [_doubles(_stack(r.column("pixels"), h, w) / 255 * ~on), _binary(on)]
+
+    return _mapped(frames, cover, {"values": "array<double>", "on": "binary"})
+
+
 REGIONS = ("mask", "edge", "outside")
 FRAME = ("ssim", "mae", "mse", "temporal_delta")
 MEASURES = (*FRAME, *(f"{r}_{k}" for r in REGIONS for k in ("ssim", "mae")))
@@ -270,10 +302,11 @@ def cropped(frames: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
     return _mapped(frames, cut, {"pixels": "binary"})
 
 
-def padded(frames: DataFrame, align: int) -> DataFrame:
-    """Gray frames padded to the right and below with their last pixels, to multiples of align."""
+def padded(frames: DataFrame, align: int, names: tuple[str, ...] = ("pixels",)) -> DataFrame:
+    """Gray frames (and others of names) padded to the right and below with their last pixels, to multiples of align.
+    height and width stay those of the frame as it was."""
 
     def pad(r, h, w):
-        return [_binary(np.pad(_stack(r.column("pixels"), h, w), ((0, 0), (0, -h % align), (0, -w % align)), mode="edge"))]
+        return [_binary(np.pad(_stack(r.column(n), h, w), ((0, 0), (0, -h % align), (0, -w % align)), mode="edge")) for n in names]
 
-    return _mapped(frames, pad, {"pixels": "binary"})
+    return _mapped(frames, pad, dict.fromkeys(names, "binary"))

@@ -61,6 +61,13 @@ def window_boxes(boxes: DataFrame, windows: DataFrame) -> DataFrame:
     return hit.groupBy("clip", "window_index").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
+def boxes_or_frames(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """boxes (object, frame, x, y, w, h) with the whole frame where a box is null or has no area."""
+    none = F.coalesce((F.col("w") <= 0) | (F.col("h") <= 0), F.lit(True)) | F.col("x").isNull() | F.col("y").isNull()
+    whole = {"x": 0, "y": 0, "w": width, "h": height}
+    return boxes.select("object", "frame", *[F.when(none, F.lit(v).cast("long")).otherwise(F.col(c)).alias(c) for c, v in whole.items()])
+
+
 def aligned_boxes(boxes: DataFrame, width: int, height: int, align: int, min_pixels: int = 256 * 256, max_pixels: int = 1920 * 1088, ratio: float = 1.0) -> DataFrame:
     """Boxes (x, y, w, h) scaled by ratio, but to at least min_pixels, aligned, and moved to lie in the frame.
 
@@ -93,3 +100,34 @@ def aligned_boxes(boxes: DataFrame, width: int, height: int, align: int, min_pix
     grown = sized.withColumn("sw", F.least("sw", F.lit(width // align * align))).withColumn("sh", F.least("sh", F.lit(height // align * align)))
     place = lambda at, side, target, cap: F.least(F.greatest(F.lit(0).cast("long"), F.floor((2 * F.col(at) + side) / 2) - F.floor(F.col(target) / 2)), cap - F.col(target))
     return grown.select("object", "frame", place("x", w, "sw", width).alias("bx"), place("y", h, "sh", height).alias("by"), F.col("sw").alias("bw"), F.col("sh").alias("bh"))
+
+
+def pooled(pixels: DataFrame, factor: int) -> DataFrame:
+    """(clip, frame, y, x, mask) at 1 / factor: 1 where any pixel of a factor x factor block is above 0. Blocks that the
+    frame (height, width) doesn't fill are left out."""
+    whole = pixels.where(f"y < height div {factor} * {factor} AND x < width div {factor} * {factor}")
+    return whole.groupBy("clip", "frame", F.expr(f"y div {factor}").alias("y"), F.expr(f"x div {factor}").alias("x")).agg(F.max((F.col("mask") > 0).cast("double")).alias("mask"))
+
+
+def encoded(pixels: DataFrame, clips: DataFrame, height: int, width: int, frames: int, pool: bool = False) -> DataFrame:
+    """(clip, part, y, x, mask): masks (clip, frame, height, width, y, x, channel, mask) as a model's latents take them.
+
+    Of the channels the largest counts. Space: height x width places, each the pixel at floor(place * size / places), or,
+    with pool, whether a block of ceil(size / places) pixels has any. Time: a clip's first frame alone, the others of clips
+    (clip, num_frames) in frames - 1 equal groups, the largest of each; a clip whose frames can't be dealt so raises.
+    Only maxima: partial sums and equi-joins.
+    """
+    flat = pixels.groupBy("clip", "frame", "height", "width", "y", "x").agg(F.max("mask").alias("mask"))
+    if pool:
+        factor = "greatest(1, ceil(height / {0}), ceil(width / {1}))".format(height, width)
+        blocks = flat.withColumn("_f", F.expr(factor)).where("y < height div _f * _f AND x < width div _f * _f")
+        small = blocks.groupBy("clip", "frame", F.expr("y div _f").alias("y"), F.expr("x div _f").alias("x")).agg(F.max((F.col("mask") > 0).cast("double")).alias("mask"))
+    else:
+        # a pixel stands at the places whose floor it is
+        at = lambda v, size, n: F.explode(F.expr(f"filter(sequence(CAST({v} * {n} div {size} AS bigint), CAST(({v} + 1) * {n} div {size} AS bigint)), p -> p < {n} AND p * {size} div {n} = {v})"))
+        small = flat.withColumn("_y", at("y", "height", height)).withColumn("_x", at("x", "width", width)).select("clip", "frame", F.col("_y").alias("y"), F.col("_x").alias("x"), "mask")
+    fits = (F.col("num_frames") - 1) % max(frames - 1, 1) == 0
+    bad = F.raise_error(F.concat_ws(" ", F.lit("the frames of clip"), "clip", F.lit("don't make equal groups"))).cast("long")
+    size = clips.select("clip", F.when(fits, F.expr(f"(num_frames - 1) div {max(frames - 1, 1)}")).otherwise(bad).alias("_size"))
+    part = F.when(F.col("frame") == 0, F.lit(0).cast("long")).otherwise(F.expr("(frame - 1) div _size + 1"))
+    return small.join(size, "clip").groupBy("clip", part.alias("part"), "y", "x").agg(F.max("mask").alias("mask"))

@@ -6,7 +6,7 @@ spread over the cluster by key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,17 @@ def leaders(reports: DataFrame, degree: int) -> DataFrame:
     kept = reports.where(F.col("rank") % degree == 0)
     sums = kept.groupBy("grp").agg(F.sum("computed").alias("computed"), F.sum("skipped").alias("skipped"))
     return sums.withColumn("hit_rate", F.col("skipped") / F.greatest(F.lit(1), F.col("computed") + F.col("skipped")))
+
+
+def broadcast_steps(steps: DataFrame, between: tuple[float, float], every: int) -> DataFrame:
+    """(branch, step, computed, value) of steps (branch, step from 0 on, t, value): between two time steps (both out) only
+    every every-th step is computed, the others give the value computed last.
+
+    The first step is always computed, so a step's last computed one is at most every - 1 before it or outside the range:
+    one ordered pass over a branch, its rows as they are.
+    """
+    inside = (F.col("t") > between[0]) & (F.col("t") < between[1])
+    computed = (F.col("step") % every == 0) | ~inside
+    past = Window.partitionBy("branch").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    rows = steps.withColumn("computed", computed)
+    return rows.select("branch", "step", "computed", F.last(F.when(F.col("computed"), F.col("value")), ignorenulls=True).over(past).alias("value"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelode.operators.tensors import SoftmaxFold
+
 #: Blocks of keys that one task folds.
 CHUNK = 64
 
@@ -129,28 +131,13 @@ def sparse_attention(tokens: DataFrame, pairs: DataFrame, layout: Layout, scale:
     parts = asked.toDF(*asked.columns).groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(partial, ", ".join([*place, "qb long, top double, norm double, part array<double>"]))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, held = None, None
+        fold = SoftmaxFold()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                b = batch.slice(lo, 4096)
-                ids = list(zip(*(b.column(c).to_pylist() for c in ("clip", "t", "y", "x")), strict=True))
-                top, norm, part = b.column("top").to_numpy(), b.column("norm").to_numpy(), _stacked(b.column("part"))
-                if order is None:
-                    order, held = {}, [np.zeros(0), np.zeros(0), np.zeros((0, part.shape[1]))]
-                new = [i for i in dict.fromkeys(ids) if i not in order]
-                order |= {i: len(order) + n for n, i in enumerate(new)}
-                held = [np.r_[held[0], np.full(len(new), -np.inf)], np.r_[held[1], np.zeros(len(new))], np.r_[held[2], np.zeros((len(new), part.shape[1]))]]
-                at = np.array([order[i] for i in ids])
-                high = held[0].copy()
-                np.maximum.at(high, at, top)
-                kept = np.exp(np.where(np.isneginf(held[0]), -np.inf, held[0] - high))
-                share = np.exp(top - high[at])
-                held = [high, held[1] * kept, held[2] * kept[:, None]]
-                np.add.at(held[1], at, share * norm)
-                np.add.at(held[2], at, share[:, None] * part)
-        if order:
-            columns = [pa.array(x) for x in zip(*order, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(c.cast(t) for c, t in zip(columns, kinds, strict=True)), pa.array(list(held[2] / held[1][:, None]), pa.list_(pa.float64()))], ["clip", "t", "y", "x", "out"])
+            ids = list(zip(*(batch.column(c).to_pylist() for c in ("clip", "t", "y", "x")), strict=True))
+            fold.add(ids, batch.column("top").to_numpy(), batch.column("norm").to_numpy(), batch.column("part"))
+        if fold.order:
+            places = [pa.array(c, k) for c, k in zip(zip(*fold.order, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(list(fold.part / fold.norm[:, None]), pa.list_(pa.float64()))], ["clip", "t", "y", "x", "out"])
 
     kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind[c]] for c in ("clip", "t", "y", "x")]
     return parts.groupBy("clip", "qb").applyInArrow(merged, ", ".join([*place, "out array<double>"]))

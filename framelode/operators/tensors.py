@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,9 +81,45 @@ def attention(queries: DataFrame, keys: DataFrame, scale: float) -> DataFrame:
         return pa.table({"q": asked.column("q"), "top": top, "norm": norm, "part": pa.array(list(part), pa.list_(pa.float64()))})
 
     parts = own_q.unionByName(own_k).groupBy("qb", "kb").applyInArrow(partial, f"q {kind}, top double, norm double, part array<double>")
-    scaled = parts.withColumn("f", F.exp(F.col("top") - F.max("top").over(Window.partitionBy("q"))))
-    sums = scaled.select("q", "f", "norm", F.posexplode("part").alias("place", "x")).groupBy("q", "place")
-    return sums.agg((F.sum(F.col("f") * F.col("x")) / F.sum(F.col("f") * F.col("norm"))).alias("y"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = SoftmaxFold()
+        for batch in batches:
+            fold.add(batch.column("q").to_pylist(), batch.column("top").to_numpy(), batch.column("norm").to_numpy(), batch.column("part"))
+        if fold.order:
+            q, y = fold.result(arrow_type)
+            yield pa.RecordBatch.from_arrays([q, pa.array(list(y), pa.list_(pa.float64()))], ["q", "y"])
+
+    arrow_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    # a block of queries again, whose parts meet one after the other
+    sums = parts.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int")).groupBy("qb").applyInArrow(merged, f"q {kind}, y array<double>")
+    return sums.select("q", F.posexplode("y").alias("place", "y"))
+
+
+class SoftmaxFold:
+    """Partial softmax sums of queries added up: for each the largest score, the norm and the weighted sum so far."""
+
+    def __init__(self):
+        self.order, self.top, self.norm, self.part = {}, np.zeros(0), np.zeros(0), None
+
+    def add(self, ids: list, top: np.ndarray, norm: np.ndarray, part: pa.Array) -> None:
+        if not len(ids):
+            return
+        part = part.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        new = [i for i in dict.fromkeys(ids) if i not in self.order]
+        self.order |= {i: len(self.order) + n for n, i in enumerate(new)}
+        self.top, self.norm = np.r_[self.top, np.full(len(new), -np.inf)], np.r_[self.norm, np.zeros(len(new))]
+        self.part = np.concatenate([np.zeros((0, part.shape[1])) if self.part is None else self.part, np.zeros((len(new), part.shape[1]))])
+        at = np.array([self.order[i] for i in ids])
+        high = self.top.copy()
+        np.maximum.at(high, at, top)
+        kept, share = np.exp(np.where(np.isneginf(self.top), -np.inf, self.top - high)), np.exp(top - high[at])
+        self.top, self.norm, self.part = high, self.norm * kept, self.part * kept[:, None]
+        np.add.at(self.norm, at, share * norm)
+        np.add.at(self.part, at, share[:, None] * part)
+
+    def result(self, kind: pa.DataType) -> tuple[pa.Array, np.ndarray]:
+        return pa.array(list(self.order), kind), self.part / self.norm[:, None]
 
 
 def timestep_embedding(steps: DataFrame, dim: int, base: float = 10000.0) -> DataFrame:

@@ -100,3 +100,10 @@ def passthrough(frames: DataFrame, ranges: DataFrame) -> DataFrame:
     """Frames that no stable range covers, which are emitted as they came."""
     covered = ranges.where("stable_end > stable_start").select("clip", F.explode(F.expr("sequence(stable_start, stable_end - 1)")).alias("frame"))
     return frames.join(covered, ["clip", "frame"], "left_anti")
+
+
+def around(frames: DataFrame, size: int) -> DataFrame:
+    """frames (clip, frame, num_frames) with start and frames: the window of up to size frames around each, not before the
+    clip's first."""
+    n = F.greatest(F.least(F.lit(size), F.col("num_frames")), F.lit(0)).cast("long")
+    return frames.withColumns({"start": F.greatest(F.col("frame") - F.floor(n / 2), F.lit(0)), "frames": n})
