@@ -36,8 +36,9 @@ from .anchors import FLUSH
 WORD = 0xD6E8FEB86659FD93
 START, END = np.uint64(0x51A27), np.uint64(0xE2D)
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: Bits of a hash that are compared inside a bucket; the bucket's number adds more as the corpus grows.
-BITS = np.uint64(40)
+#: Bits of a hash that are compared inside a bucket, with the one that marks single tokens; the bucket's number adds more
+#: as the corpus grows.
+BITS = np.uint64(44)
 MASK = (np.uint64(1) << BITS) - np.uint64(1)
 PIECE = 2_000_000
 #: Text of a shard, and tokens that a run of a long text is read in.
@@ -79,9 +80,10 @@ def grams(sequence: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def dealt(codes: np.ndarray, buckets: int) -> np.ndarray:
-    """Sortable keys: the bucket above BITS bits of the code."""
-    return ((codes >> BITS) % np.uint64(buckets)) << BITS | codes & MASK
+def dealt(codes: np.ndarray, buckets: int, single: bool) -> np.ndarray:
+    """Sortable keys: the bucket above BITS bits, of which the first says whether the n-gram is a single token, so that no
+    longer one is ever taken for a token."""
+    return ((codes >> BITS) % np.uint64(buckets)) << BITS | codes & (MASK >> np.uint64(1)) | np.uint64(0 if single else 1) << (BITS - np.uint64(1))
 
 
 def _cells(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -104,7 +106,7 @@ class Shard:
         codes = grams(self.sequence, order)
         # START is no token: it only stands in histories. An n-gram must lie within its text.
         self.fits = [places >= max(k, 1) for k in range(order)]
-        keys = np.concatenate([dealt(c[f], buckets) for c, f in zip(codes, self.fits, strict=True)])
+        keys = np.concatenate([dealt(c[f], buckets, not k) for k, (c, f) in enumerate(zip(codes, self.fits, strict=True))])
         self.keys, which = np.unique(keys, return_inverse=True)
         self.which = []
         done = 0
@@ -227,7 +229,7 @@ def _stats(docs: DataFrame, buckets: int) -> tuple[int, int, int]:
         for piece in (p for b in batches for p in ta.pieces([b], PIECE)):
             sequence, at = tokens(piece.column("text"))
             sequence = np.delete(sequence, at[:-1])
-            held.append(np.unique(dealt(grams(sequence, 1)[0], buckets)))
+            held.append(np.unique(dealt(grams(sequence, 1)[0], buckets, True)))
             n, texts = n + len(sequence), texts + len(piece)
             if sum(map(len, held)) > FLUSH:
                 yield packed(held, n, texts)

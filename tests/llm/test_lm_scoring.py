@@ -101,3 +101,20 @@ def test_states_and_failure_arcs(spark):
     chain = model.fail_weight[state[0]] + model.fail_weight[model.fail[state[0]]]
     state, score = model.step(state, np.array([-1]))
     assert state[0] == 0 and abs(score[0] - chain - model.unknown) < 1e-12
+
+
+def test_a_token_never_shares_its_key_with_a_longer_gram():
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 2**63, 200_000).astype(np.uint64)
+    single, longer = lm.dealt(codes, 7, True), lm.dealt(codes, 7, False)
+    assert not np.isin(single, longer).any() and ((single >> lm.BITS) == (longer >> lm.BITS)).all()
+
+
+def test_larger_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = {r[0]: r[1:] for r in brute(rows, lambda d: zlib.crc32(str(d).encode()) % 7 != 2)}
+    for r in lm.op4_lm_scoring(spark, sf).collect():
+        n, known, total, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-7, abs_tol=1e-6)
