@@ -86,6 +86,17 @@ def dealt(codes: np.ndarray, buckets: int, single: bool) -> np.ndarray:
     return ((codes >> BITS) % np.uint64(buckets)) << BITS | codes & (MASK >> np.uint64(1)) | np.uint64(0 if single else 1) << (BITS - np.uint64(1))
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and each key's number among them. (np.unique holds twice as much at its peak.)"""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return ordered[first], which
+
+
 def _cells(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket starts in sorted keys."""
     return np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << BITS)
@@ -107,11 +118,13 @@ class Shard:
         # START is no token: it only stands in histories. An n-gram must lie within its text.
         self.fits = [places >= max(k, 1) for k in range(order)]
         keys = np.concatenate([dealt(c[f], buckets, not k) for k, (c, f) in enumerate(zip(codes, self.fits, strict=True))])
-        self.keys, which = np.unique(keys, return_inverse=True)
+        del codes
+        self.keys, which = numbered(keys)
+        del keys
         self.which = []
         done = 0
         for f in self.fits:
-            numbers = np.full(len(f), -1)
+            numbers = np.full(len(f), -1, np.int32)
             numbers[f] = which[done : done + f.sum()]
             done += int(f.sum())
             self.which.append(numbers)
@@ -181,7 +194,7 @@ class Automaton:
         score, state = np.zeros(len(state)), state.copy()
         rest = np.arange(len(state))
         while len(rest):
-            key = state[rest] << 32 | token[rest] & 0xFFFFFFFF
+            key = state[rest] << 32 | token[rest].astype(np.int64) & 0xFFFFFFFF
             i = np.searchsorted(self.keys, key)
             hit = i < len(self.keys)
             hit[hit] = self.keys[i[hit]] == key[hit]
@@ -279,12 +292,17 @@ def lm_scores(docs: DataFrame, train: Column, strengths: tuple[float, ...] = STR
         return pa.table({"bucket": pa.array(full, pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()] * len(full), pa.int32()), "grams": pa.array([_deltas(shard.keys[c]) for c in cells], pa.binary()), "counts": pa.array([ta.planes(counts[c]) for c in cells], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [np.cumsum(ta.unplanes(x, np.uint64), dtype=np.uint64) for x in table.column("grams").to_pylist()]
-        counts = np.concatenate([ta.unplanes(x, np.uint32) for x in table.column("counts").to_pylist()])
-        _, which = np.unique(np.concatenate(parts), return_inverse=True)
-        whole = np.bincount(which, counts).astype(np.int64)[which].astype(np.uint32)
-        ends = np.cumsum([len(p) for p in parts])
-        return pa.table({"bucket": table.column("bucket"), "shard": table.column("shard"), "grams": pa.array([b""] * len(parts), pa.binary()), "counts": pa.array([ta.planes(whole[e - len(p) : e]) for e, p in zip(ends, parts, strict=True)], pa.binary())})
+        # one row at a time, so that no more than the keys themselves is held beside the packed rows
+        size = [len(ta.unplanes(x.as_py(), np.uint32)) for x in table.column("counts")]
+        ends = np.cumsum([0, *size])
+        keys, counts = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint32)
+        for g, c, at, to in zip(table.column("grams"), table.column("counts"), ends, ends[1:], strict=False):
+            np.cumsum(ta.unplanes(g.as_py(), np.uint64), out=keys[at:to])
+            counts[at:to] = ta.unplanes(c.as_py(), np.uint32)
+        keys, which = numbered(keys)
+        total = np.bincount(which, counts, len(keys)).astype(np.uint32)
+        del keys, counts
+        return pa.table({"bucket": table.column("bucket"), "shard": table.column("shard"), "grams": pa.array([b""] * len(size), pa.binary()), "counts": pa.array([ta.planes(total[which[at:to]]) for at, to in zip(ends, ends[1:], strict=False)], pa.binary())})
 
     def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()

@@ -108,6 +108,9 @@ def test_a_token_never_shares_its_key_with_a_longer_gram():
     codes = rng.integers(0, 2**63, 200_000).astype(np.uint64)
     single, longer = lm.dealt(codes, 7, True), lm.dealt(codes, 7, False)
     assert not np.isin(single, longer).any() and ((single >> lm.BITS) == (longer >> lm.BITS)).all()
+    keys, which = lm.numbered(np.r_[single[:1000], single[:500]])
+    assert (keys == np.unique(single[:1000])).all() and (keys[which] == np.r_[single[:1000], single[:500]]).all()
+    assert [len(x) for x in lm.numbered(np.zeros(0, np.uint64))] == [0, 0]
 
 
 def test_larger_query_equals_brute_force(spark):
