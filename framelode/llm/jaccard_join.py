@@ -8,9 +8,12 @@ their sets agree nearly everywhere, as copies do, and no path would part them. T
 often a pair meets, so runs repeat with other paths until a pair at the threshold is met with the target recall; those
 beyond the plan take only the sets that stood in deep buckets.
 
-Sets that met and look alike form clusters, and within each cluster all pairs are verified by exact intersections, so
-pairs that no leaf held are found too and none is counted twice. Equal sets are one entry with a count. Large leaves
-and clusters are dealt out as pairs of blocks; tasks return sums and spanning forests, never pairs.
+Sets that met and look alike form clusters. Within a cluster of at most BLOCK sets all pairs are verified by exact
+intersections, so pairs that no leaf held are found too. A larger one, which may be a chain of texts that each share
+something with the next, is cut into blocks of sets that stood in one leaf, and only those pairs of blocks are verified
+of which two sets met and look alike: the work follows the pairs that met, not the square of the cluster. A pair of sets
+lies in one pair of blocks, so none is counted twice. Equal sets are one entry with a count. Large leaves are dealt out as
+pairs of blocks; tasks return sums, spanning forests and pairs of blocks, never pairs of sets.
 """
 
 from __future__ import annotations
@@ -113,11 +116,12 @@ def _across(block: np.ndarray, i: int, j: int, n: int) -> np.ndarray:
     return own if i == j else own & (block[:, None] != block[None, :])
 
 
-def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges (a, b) of forests over sets (rep long, sketch binary) that met and look alike."""
+def candidates(sets: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of forests over sets (rep long, sketch binary) that met and look alike, and the leaves (node, rep, size)
+    in which they met."""
     buckets = bucket_count(sets)
     needed = lambda depth: max(1, ceil(log(1 - recall) / log(1 - min(survival(threshold, depth), 0.999))))
-    alike = int(np.floor(COORDINATES * (threshold - SLACK * (threshold * (1 - threshold) / COORDINATES) ** 0.5)))
+    alike = least_alike(threshold)
 
     def split(batches, runs):
         for batch in batches:
@@ -159,30 +163,65 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         more, depth, deep = recursed(written(sets.join(deep, "rep").select("rep", "sketch"), "deep"), runs)
         ran, deepest, leaves = runs.stop, max(deepest, depth), leaves.unionByName(more)
 
-    def compare(table: pa.Table) -> pa.Table:
-        table, groups = _groups(table, "node")
-        reps, block, i, j = (table.column(k).to_numpy() for k in ("rep", "block", "i", "j"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        a, b = [], []
-        for g in groups:
-            s, n = sketch[g], g.stop - g.start
-            if n <= 32:
-                equal = (s[:, None] == s[None]).sum(2)
-            else:
-                equal = np.zeros((n, n), np.int16)
-                for c in range(COORDINATES):
-                    equal += s[:, c, None] == s[None, :, c]
-            x, y = np.nonzero((equal >= alike) & _across(block[g], i[g][0], j[g][0], n))
-            if len(x):
-                root = _forest(n, x, y)
-                far = np.flatnonzero(root != np.arange(n))
-                a.append(reps[g][far])
-                b.append(reps[g][root[far]])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+    def forests(table: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for reps, g, x, y in meetings(table, alike):
+            root = _forest(g.stop - g.start, x, y)
+            far = np.flatnonzero(root != np.arange(g.stop - g.start))
+            a.append(reps[g][far])
+            b.append(reps[g][root[far]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     rows = in_block_pairs(leaves, "node", "rep", LEAF_BLOCK, buckets).join(sets.select("rep", "sketch"), "rep")
-    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    return rows.groupBy("bucket").applyInArrow(forests, "a long, b long"), leaves
+
+
+def least_alike(threshold: float) -> int:
+    """How many equal coordinates count as alike."""
+    return int(np.floor(COORDINATES * (threshold - SLACK * (threshold * (1 - threshold) / COORDINATES) ** 0.5)))
+
+
+def meetings(table: pa.Table, alike: int):
+    """For each group of a table (node, rep, sketch, block, i, j) with pairs of alike sketches: the table's column rep, the
+    group's slice and the pairs' places in it."""
+    table, groups = _groups(table, "node")
+    reps, block, i, j = (table.column(k).to_numpy() for k in ("rep", "block", "i", "j"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    for g in groups:
+        s, n = sketch[g], g.stop - g.start
+        if n <= 32:
+            equal = (s[:, None] == s[None]).sum(2)
+        else:
+            equal = np.zeros((n, n), np.int16)
+            for c in range(COORDINATES):
+                equal += s[:, c, None] == s[None, :, c]
+        x, y = np.nonzero((equal >= alike) & _across(block[g], i[g][0], j[g][0], n))
+        if len(x):
+            yield reps, g, x, y
+
+
+def met_blocks(leaves: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(homes, pairs) of the sets in leaves (node, rep, size): homes (rep, home) deals them into blocks of about BLOCK at
+    most, and pairs (i, j), i <= j, lists the blocks of which two sets met and look alike, and each block with itself.
+
+    A set's home is the one of its leaves with the least name; a leaf of more than BLOCK sets is several homes.
+    """
+    buckets, alike = bucket_count(sets), least_alike(threshold)
+    first = leaves.groupBy("rep").agg(F.min(F.struct("node", "size")).alias("f"))
+    homes = written(first.select("rep", F.expr(f"xxhash64(f.node, pmod(xxhash64(rep), CAST(ceil(f.size / {BLOCK}) AS bigint)))").alias("home")), "homes")
+    rows = in_block_pairs(leaves, "node", "rep", LEAF_BLOCK, buckets).join(homes, "rep").join(sets.select("rep", "sketch"), "rep")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        out = [np.zeros((2, 0), np.int64)]
+        home = dict(zip(table.column("rep").to_pylist(), table.column("home").to_pylist(), strict=True))
+        for reps, g, x, y in meetings(table, alike):
+            own = np.array([home[r] for r in reps[g].tolist()], np.int64)
+            out.append(np.unique(np.sort(np.stack([own[x], own[y]]), axis=0), axis=1))
+        i, j = np.unique(np.concatenate(out, 1), axis=1)
+        return pa.table({"i": i, "j": j})
+
+    found = rows.groupBy("bucket").applyInArrow(pairs, "i long, j long")
+    return homes, written(found.unionByName(homes.select(F.col("home").alias("i"), F.col("home").alias("j"))).distinct(), "pairs")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,23 +255,32 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE
     members = attach(sets.select("doc_id", "version", "n", same), groups.withColumn("group", F.col("copies")), "same", "copies", "doc_id")
     members = written(members.select("doc_id", "version", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("group", F.lit(1).cast("long")).alias("copies")), "members")
     reps = members.where("doc_id = rep AND n > 0")
-    met = written(candidates(reps.select("rep").join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep"), threshold, recall), "met")
-    clusters = components(contracted(met))
+    drawn = reps.select("rep").join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    met, leaves = candidates(drawn, threshold, recall)
+    clusters = components(contracted(written(met, "met")))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n_cluster"))
     sized = attach(clusters, sizes.withColumn("size", F.col("n_cluster")), "component", "n_cluster", "node")
     wanted = written(sized.join(reps, sized.node == reps.rep).select("doc_id", "version", "copies", F.col("component").alias("cluster"), "size"), "wanted")
+    large = wanted.where(F.col("size") > BLOCK).select(F.col("doc_id").alias("rep"))
+    homes, pairs = met_blocks(leaves.join(large, "rep", "left_semi"), drawn, threshold)
 
     def load(batches):
         for piece in (p for b in batches for p in ta.pieces([b], PIECE)):
             h, bounds = shingle_sets(piece.column("text"), shingle)
             cut = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in ("doc_id", "copies", "cluster", "size")), pa.array([h[a:b].tobytes() for a, b in cut], pa.binary())], ["doc_id", "copies", "cluster", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in ("doc_id", "copies", "block", "large")), pa.array([h[a:b].tobytes() for a, b in cut], pa.binary())], ["doc_id", "copies", "block", "large", "tokens"])
 
+    # a cluster of at most BLOCK sets is a block of its own
+    placed = wanted.join(homes.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", "version", "copies", F.coalesce("home", F.xxhash64("cluster")).alias("block"), F.col("home").isNotNull().alias("large"))
     # both sides are shuffled whatever their size, so that the plan is the same at any
-    loaded = rows.join(wanted.hint("merge"), ["doc_id", "version"]).select("doc_id", "copies", "cluster", "size", "text").mapInArrow(load, "doc_id long, copies long, cluster long, size long, tokens binary").dropDuplicates(["doc_id"])
+    loaded = rows.join(placed.hint("merge"), ["doc_id", "version"]).select("doc_id", "copies", "block", "large", "text").mapInArrow(load, "doc_id long, copies long, block long, large boolean, tokens binary").dropDuplicates(["doc_id"])
+    sides = pairs.select(F.col("i").alias("block"), "i", "j").unionByName(pairs.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
+    alone = F.col("block")
+    blocks = loaded.where("NOT large").withColumns({"i": alone, "j": alone}).drop("large").unionByName(loaded.where("large").join(sides, "block").drop("large"))
+    blocks = blocks.withColumn("bucket", F.expr(f"CAST(pmod(xxhash64(i, j), {buckets}) AS int)"))
 
     def verify(table: pa.Table) -> pa.Table:
-        table, groups = _groups(table, "cluster")
+        table, groups = _groups(table, "i")
         ids, copies, block, i, j = (table.column(k).to_numpy() for k in ("doc_id", "copies", "block", "i", "j"))
         tokens = table.column("tokens")
         out = [], [], []
@@ -261,7 +309,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE
         empty = np.zeros(0, np.int64)
         return pa.table({k: np.concatenate([empty, *v]) for k, v in zip(("rep", "links", "root"), out, strict=True)})
 
-    verified = written(in_block_pairs(loaded, "cluster", "doc_id", BLOCK, buckets).groupBy("bucket").applyInArrow(verify, "rep long, links long, root long"), "verified")
+    verified = written(blocks.groupBy("bucket").applyInArrow(verify, "rep long, links long, root long"), "verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(contracted(verified.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
     found = links.join(classes, links.rep == classes.node).select("rep", "links", "component")

@@ -97,3 +97,28 @@ def test_components_of_chains_stars_and_rings(spark):
         got = {r.node: r.component for r in components(links).collect()}
         assert got == {n: 0 if n < 100 else 100 if n < 200 else 200 for e in edges for n in e}
     assert components(df.limit(0)).collect() == []
+
+
+def test_work_on_a_chain_follows_its_links(spark):
+    rng = random.Random(7)
+    words = ["w%d" % rng.randint(0, 10**6) for _ in range(15 * 3000 + 180)]
+    rows = [(i, " ".join(words[15 * i : 15 * i + 180])) for i in range(3000)]  # 0.84 alike with the next, 0.71 with the one after
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    met = jj.met_blocks
+
+    def watched(*args):
+        seen.append(met(*args))
+        return seen[0]
+
+    jj.met_blocks = watched
+    try:
+        got = run(docs)
+    finally:
+        jj.met_blocks = met
+    assert {g[2] for g in got.values()} == {0} and 0.99 * 2 * 2999 <= sum(g[1] for g in got.values()) <= 2 * 2999
+    homes, pairs = seen[0]
+    size = collections.Counter(r.home for r in homes.collect())
+    assert max(size.values()) <= 2 * jj.BLOCK
+    products = sum(size[r.i] * size[r.j] for r in pairs.collect())
+    assert products < 20 * 2999  # all pairs are 4.5 million
