@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from framelode import bindings as bd
 from framelode.functions import arrays as ar
 from framelode.functions import numbers as nb
-from framelode.operators import images, masks, overlap, quality, reuse, statistics, tasks, tensors, timing
+from framelode.operators import images, layers, masks, overlap, quality, reuse, statistics, tasks, tensors, timing
 from framelode.plans import shards, windows
 from framelode.streaming import frames as streams
 
@@ -637,7 +637,7 @@ def _folder(spark, name: str) -> str:
     """A new folder under spark.checkpoint.dir; a local one only where that is unset and Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="framelode-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -705,9 +705,11 @@ def normalize_latents(spark, sf_dir: str) -> DataFrame:
 
 @query(f"{_CHANNELS} SELECT a.vec_id AS m, b.label AS n, round(sum(a.x * b.x), 6) AS y FROM ch a JOIN (SELECT label, channel, avg(x) AS x FROM ch GROUP BY ALL) b USING (channel) GROUP BY ALL", "vectors")
 def matrix_product(spark, sf_dir: str) -> DataFrame:
-    rows = _channels(spark, sf_dir)
-    weights = rows.groupBy(F.col("channel").alias("k"), F.col("label").alias("n")).agg(F.avg("x").alias("w"))
-    return rounded(tensors.product(rows.select(F.col("vec_id").alias("m"), F.col("channel").alias("k"), "x"), weights), "y")
+    """All vectors times the mean vector of each label, as a product of blocks."""
+    rows = bd.vectors(spark, sf_dir)
+    means = _channels(spark, sf_dir).groupBy("label", "channel").agg(F.avg("x").alias("x"))
+    weights = means.groupBy(F.col("label").cast("long").alias("n")).agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("w")).select("n", F.transform("w", lambda c: c["x"]).alias("w"), F.lit(0.0).alias("bias"))
+    return rounded(layers.linear(rows.select(F.col("vec_id").alias("m"), F.col("v").alias("x")), weights), "y")
 
 
 @query("kq AS (SELECT vec_id AS q, v FROM vectors WHERE vec_id % 20 = 0), s AS (SELECT q, b.v AS value, exp(list_dot_product(a.v, b.v) * 8) AS w FROM kq a, vectors b), e AS (SELECT q, w, unnest(range(64)) AS place, unnest(value) AS x FROM s) SELECT q, place, round(sum(w * x) / sum(w), 6) AS y FROM e GROUP BY ALL", "vectors")

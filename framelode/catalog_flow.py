@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelode import bindings as bd
 from framelode.catalog import INFER, OVERLAP, _bytes, _folder, query, rounded
-from framelode.operators import digests, objects, rangestore
+from framelode.operators import digests, objects, rangestore, tensors
 from framelode.plans import windows
 from framelode.sources import frameblocks
 from framelode.streaming import carried
@@ -205,6 +205,16 @@ def sequence_equality(spark, sf_dir: str) -> DataFrame:
     return digests.compared_sequences(own, digests.frame_digests(other), 3)
 
 
+@query("SELECT clip, frame, floor(value * 100) AS value, CASE WHEN kind = 'purchase' THEN 255 ELSE 0 END AS mask FROM frames", "frames")
+def paired_outputs(spark, sf_dir: str) -> DataFrame:
+    """Two outputs, of frames and of masks, written by different numbers of tasks and read as pairs; other counts raise."""
+    folder = _folder(spark, "masks")
+    mask = F.when(F.col("kind") == "purchase", "255").otherwise("0")
+    frameblocks.write_ordered(bd.frames(spark, sf_dir).select("clip", "frame", mask.cast("binary").alias("pixels")), folder, 3)
+    read = lambda path: frameblocks.read_ordered(spark, path).select("clip", "frame", F.col("pixels").cast("string").cast("long").alias("value"))
+    return tensors.paired(read(_ordered(spark, sf_dir)), read(folder)).withColumnRenamed("other", "mask")
+
+
 # --- chains of objects --------------------------------------------------------------------------------------------
 
 _BOXES = {0: ("f % 4 = 0", "0", "0", "1 + f % 2", "1"), 1: ("f % 3 = 0", "0", "0", "1", "2"), 2: ("f % 9 = 0", "0", "0", "2", "2")}

@@ -70,7 +70,7 @@ def raw_frames(spark, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "raw")
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     order = bd.vectors(spark, sf_dir).select(F.col("vec_id").alias("frame"), F.concat(F.lit("c"), "label").alias("path"), place.alias("frame_index"))
-    clips = _gray(spark, sf_dir).join(order, "frame").select("path", "frame_index", "height", "width", F.lit(1).alias("channels"), "pixels").repartition("path")
+    clips = _gray(spark, sf_dir).join(order, "frame").select("path", "frame_index", "height", "width", F.lit(1).alias("channels"), "pixels").repartition("path").sortWithinPartitions("path", "frame_index")
     clips.write.format("rawframes").mode("append").option("path", folder).save()
     back = spark.read.format("rawframes").option("path", folder).option("height", 8).option("width", 8).option("channels", 1).load()
     rows = back.select(F.struct(F.regexp_extract("path", r"/c(\d+)-[^/]*$", 1).cast("int").alias("clip"), F.col("frame_index").cast("long").alias("at")).alias("frame"), "pixels")

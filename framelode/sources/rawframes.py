@@ -11,8 +11,6 @@ import uuid
 from urllib.parse import urlsplit
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -71,24 +69,40 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Each task writes files of its own; those of a failed job are deleted."""
+    """Each task writes files of its own, one after the other; those of a failed job are deleted.
+
+    A task's rows come in order of (path, frame_index), as sortWithinPartitions leaves them; others raise. Nothing is held
+    but a batch.
+    """
 
     def __init__(self, options):
         self.path = options["path"]
 
     def write(self, iterator):
-        rows = pa.Table.from_batches(iterator) if (iterator := list(iterator)) else None
-        paths = []
-        if rows is not None and rows.num_rows:
-            files, name = opened(self.path)
-            files.create_dir(name, recursive=True)
-            rows = rows.sort_by([("path", "ascending"), ("frame_index", "ascending")])
-            for clip in rows.column("path").unique().to_pylist():
-                mine = rows.filter(pa.compute.equal(rows.column("path"), clip))
-                paths.append(f"{name}/{(clip or 'clip').rsplit('/', 1)[-1]}-{uuid.uuid4().hex}.raw")
-                with files.open_output_stream(paths[-1], compression=None) as out:
-                    for raw in mine.column("pixels").to_pylist():
-                        out.write(raw)
+        files, name = opened(self.path)
+        paths, out, last = [], None, None
+        try:
+            for batch in iterator:
+                for clip, frame, raw in zip(*(batch.column(c).to_pylist() for c in ("path", "frame_index", "pixels")), strict=True):
+                    clip = clip or "clip"
+                    if last is not None and (clip, frame) <= last:
+                        raise ValueError(f"frame {frame} of {clip} comes after frame {last[1]} of {last[0]}")
+                    if last is None or clip != last[0]:
+                        if out is not None:
+                            out.close()
+                        files.create_dir(name, recursive=True)
+                        paths.append(f"{name}/{clip.rsplit('/', 1)[-1]}-{uuid.uuid4().hex}.raw")
+                        out = files.open_output_stream(paths[-1], compression=None)
+                    out.write(raw)
+                    last = clip, frame
+        except Exception:
+            if out is not None:
+                out.close()
+            for p in paths:
+                files.delete_file(p)
+            raise
+        if out is not None:
+            out.close()
         return Written(paths)
 
     def abort(self, messages):

@@ -22,8 +22,9 @@ def csv_tracks(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, header=True, escape='"')
     if "bboxes" in rows.columns:
         boxes = rows.select(F.col("frame").cast("long").alias("frame"), F.from_json("bboxes", f"array<{BOX}>").alias("boxes"))
-        count = boxes.where("frame = 0").select(F.size("boxes").alias("objects"))
-        checked = boxes.join(F.broadcast(count), F.expr("true"), "left").withColumn("boxes", F.expr("CASE WHEN size(boxes) = objects OR objects IS NULL THEN boxes ELSE raise_error(concat('frame ', frame, ' has another number of objects')) END"))
+        # one row, whether there is a frame 0, several of it, or none
+        count = boxes.where("frame = 0").agg(F.min(F.size("boxes")).alias("objects"), F.max(F.size("boxes")).alias("most"))
+        checked = boxes.join(F.broadcast(count), F.expr("true"), "left").withColumn("boxes", F.expr("CASE WHEN objects IS NULL OR size(boxes) = objects AND objects = most THEN boxes ELSE raise_error(concat('frame ', frame, ' has another number of objects')) END"))
         out = checked.select("frame", F.posexplode("boxes").alias("object", "box"))
     else:
         out = rows.select(F.col("frame").cast("long").alias("frame"), F.lit(0).alias("object"), F.array(*[F.col(c).cast("double") for c in ("x", "y", "w", "h")]).alias("box"))

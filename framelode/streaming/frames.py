@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framelode.operators.tasks import TRANSITIONS
 
-ALLOWED = frozenset(TRANSITIONS)
+ALLOWED = [f"{a}>{b}" for a, b in TRANSITIONS]
 
 
 def fired_windows(frames: DataFrame, infer_len: int, overlap: int) -> DataFrame:
@@ -63,9 +63,9 @@ def task_states(changes: DataFrame) -> DataFrame:
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         steps, bad, status = state.get if state.exists else (0, 0, "queued")
-        for new in pd.concat(list(batches)).sort_values(["ts", "event_id"])["status"]:
-            bad += (status, new) not in ALLOWED
-            status, steps = new, steps + 1
+        new = pd.concat(list(batches)).sort_values(["ts", "event_id"])["status"]
+        bad += int((~(new.shift(fill_value=status) + ">" + new).isin(ALLOWED)).sum())
+        status, steps = new.iloc[-1], steps + len(new)
         state.update((steps, bad, status))
         yield pd.DataFrame([(key[0], steps, bad, status)], columns=["clip", "steps", "bad_steps", "last_status"])
 
