@@ -42,7 +42,7 @@ BITS = np.uint64(44)
 MASK = (np.uint64(1) << BITS) - np.uint64(1)
 PIECE = 2_000_000
 #: Text of a shard, and tokens that a run of a long text is read in.
-SHARD_BYTES, RUN = 6_000_000, 512
+SHARD_BYTES, RUN = 4_000_000, 512
 #: How much a history of one token, of two and so on leans on the shorter one, in counts.
 STRENGTHS = (256.0, 16.0)
 #: What each known token gives to unknown ones, in counts.
