@@ -14,6 +14,8 @@ running sums are taken over prefixes of the permuted key first and inside each p
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,11 +60,19 @@ def exponent(shares: DataFrame, entropy: float, repeats: float, budget_share: fl
     return max(wanted, _bisected(shares, kept)[1])
 
 
-def mixture(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def met_already(shares: DataFrame, entropy: float, repeats: float, budget_share: float) -> bool:
+    """Whether the sources' own shares reach the entropy and keep the repetition limit."""
+    r = shares.agg(F.sum(F.expr("share * ln(share)")).alias("h"), F.count("*").alias("n")).first()
+    return -r.h >= entropy * log(r.n) - 1e-12 and budget_share <= repeats
+
+
+def mixture(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, natural: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of a mixture, each as often as its source's budget has it.
 
     budget: tokens of the mixture, by default as many as docs has; entropy: target for the entropy of the weights, as a
-    share of the largest possible; repeats: how often a source may be repeated at most, which wins over entropy.
+    share of the largest possible; repeats: how often a source may be repeated at most, which wins over entropy. natural:
+    where the sources' own shares meet both, the exponent is 1 and a source's budget its own tokens, times the budget over
+    all; without it the bisection ends a little below 1, and rounded budgets lose a source's last document.
 
     Returns docs's columns and mix_tokens (words of the text), mix_weight (the source's), mix_epoch (the pass, from 0),
     mix_block, mix_block_key and mix_key: the mixture in order is sorted by epoch, block key and key. Whole passes hold
@@ -84,10 +94,12 @@ def mixture(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY
         return empty.select(*back, "mix_tokens", F.lit(0.0).alias("mix_weight"), F.lit(0).alias("mix_epoch"), F.lit(0).cast("long").alias("mix_block"), F.lit("").alias("mix_block_key"), "mix_key")
     budget = total if budget is None else budget
     shares = written(sizes.withColumn("share", F.col("tokens") / total), "shares")
-    a = exponent(shares, entropy, repeats, budget / total)
+    as_is = natural and met_already(shares, entropy, repeats, budget / total)
+    a = 1.0 if as_is else exponent(shares, entropy, repeats, budget / total)
     z = shares.agg(F.sum(F.pow("share", F.lit(a)))).first()[0]
     sources = shares.select("_source", "tokens", (F.pow("share", F.lit(a)) / z).alias("mix_weight"))
-    sources = sources.withColumn("budget", F.floor(F.col("mix_weight") * budget)).withColumn("epochs", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") % F.col("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens))
+    own_budget = F.expr(f"CAST(CAST(tokens AS decimal(38, 0)) * {budget} div {total} AS bigint)") if as_is else F.floor(F.col("mix_weight") * budget)
+    sources = sources.withColumn("budget", own_budget).withColumn("epochs", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") % F.col("tokens")).withColumn("blocks", F.ceil(F.col("tokens") / block_tokens))
     sources = written(sources, "sources")
     few = sources.count() <= BROADCAST_SOURCES
 

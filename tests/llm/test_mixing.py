@@ -47,3 +47,17 @@ def test_edge_rows(spark):
     assert {r.doc_id for r in out} <= {1, 2, 3, 4, None} and all(isinstance(r.mix_epoch, int) for r in out)
     assert mx.mixture(docs.limit(0)).collect() == []
     assert mx.mixture(docs.where("doc_id = 2")).collect() == []
+
+
+def test_sources_that_meet_the_target_stay_whole(spark):
+    rows = [(i, "w " * (1 + i % 13), f"s{i % 7}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mx.mixture(docs, natural=True)
+    assert sorted((r.doc_id, r.mix_epoch) for r in out.collect()) == [(i, 0) for i in range(700)]
+    total = docs.agg(F.sum(mx.n_tokens(F.col("text")))).first()[0]
+    twice = mx.mixture(docs, natural=True, budget=2 * total)
+    assert sorted((r.doc_id, r.mix_epoch) for r in twice.collect()) == sorted((i, e) for i in range(700) for e in (0, 1))
+    # one that doesn't meet it is mixed as before
+    skewed = corpus(spark)
+    key = lambda df: sorted((r.doc_id, r.mix_epoch, r.mix_key) for r in df.collect())
+    assert key(mx.mixture(skewed, natural=True)) == key(mx.mixture(skewed))
