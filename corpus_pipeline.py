@@ -105,9 +105,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of what is left: a row for each time that a document is used, with its place in the order.
 
     Null and blank texts take no budget and come along where they stand, unless their source has no token at all, which
-    yields nothing. Repeated rows stay together; columns named mix_... are replaced by the mixture's.
+    yields nothing. Sources whose shares meet the target already stay whole. Repeated rows stay together; columns named
+    mix_... are replaced by the mixture's.
     """
-    return mx.mixture(docs)
+    return mx.mixture(docs, natural=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_passages", benchmark_passages), ("mixture", mixed)]
