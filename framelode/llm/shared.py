@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that attach() broadcasts, whatever the size of the data.
 HEAVY_KEYS = 1000
+#: Folders that written() has made and nobody has released.
+_held: list[str] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -17,7 +21,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="framelode-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -27,10 +31,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as Parquet in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
     path = shared_folder(df.sparkSession, name)
+    _held.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that written() has made inside: what was made of them must be stored by then."""
+    before = len(_held)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _held[before:]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        del _held[before:]
+
+
 def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, spread: str) -> DataFrame:
     """rows left-joined with facts (one row a key, count: the key's rows), even if a key holds a third of all rows.
 
