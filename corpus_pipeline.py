@@ -13,7 +13,7 @@ from framelode.llm import jaccard_join as jj
 from framelode.llm import mixing as mx
 from framelode.llm import quality as ql
 from framelode.llm import substring_dedup as sd
-from framelode.llm.shared import written
+from framelode.llm.shared import released, shared_folder, written
 
 #: Documents scored lower are rejected.
 LEAST_QUALITY = 0.7
@@ -118,8 +118,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
+    """All stages over documents; what each returns is written to the shared folder and read again, and the tables that a
+    stage has written on its way go when its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = shared_folder(spark, name)
+        with released(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
