@@ -2,6 +2,7 @@
 
 import random
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,13 @@ def test_run_gives_the_last_stage(spark, planted):
     assert {"doc_id", "text", "mix_epoch"} <= set(out.columns) and out.count() > 100
 
 
+def test_run_leaves_nothing_but_what_the_stages_returned(spark, planted):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.iterdir())
+    rows = cp.run(spark, planted[0]).count()
+    assert rows and sorted(p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before) == sorted(name for name, _ in cp.STAGES)
+
+
 def test_stages_leave_clean_texts_to_the_byte(spark):
     docs = spark.createDataFrame([(1, " a\tb \n c ", "en", "s", 9), (2, None, None, None, None), (None, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(map(tuple, cp.repeated_passages(spark, docs, SF).collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
