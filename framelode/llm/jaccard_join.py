@@ -8,12 +8,13 @@ their sets agree nearly everywhere, as copies do, and no path would part them. T
 often a pair meets, so runs repeat with other paths until a pair at the threshold is met with the target recall; those
 beyond the plan take only the sets that stood in deep buckets.
 
-Sets that met and look alike form clusters. Within a cluster of at most BLOCK sets all pairs are verified by exact
-intersections, so pairs that no leaf held are found too. A larger one, which may be a chain of texts that each share
-something with the next, is cut into blocks of sets that stood in one leaf, and only those pairs of blocks are verified
-of which two sets met and look alike: the work follows the pairs that met, not the square of the cluster. A pair of sets
-lies in one pair of blocks, so none is counted twice. Equal sets are one entry with a count. Large leaves are dealt out as
-pairs of blocks; tasks return sums, spanning forests and pairs of blocks, never pairs of sets.
+Sets that met and look alike form clusters. Within a cluster all pairs are verified by exact intersections, so pairs that
+no leaf held are found too, where that is little work beside the pairs that met: a set has BLOCK others of its cluster for
+each time that it met another, at most. A sparser one, a chain of texts that each share something with the next, is cut
+into blocks of sets that stood in one leaf, and only those pairs of blocks are verified of which two sets met and look
+alike: the work follows the pairs that met, not the square of the cluster. A pair of sets lies in one pair of blocks, so
+none is counted twice. Equal sets are one entry with a count. Large leaves and clusters are dealt out as pairs of blocks;
+tasks return sums, spanning forests and pairs of blocks, never pairs of sets.
 """
 
 from __future__ import annotations
@@ -117,8 +118,8 @@ def _across(block: np.ndarray, i: int, j: int, n: int) -> np.ndarray:
 
 
 def candidates(sets: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) of forests over sets (rep long, sketch binary) that met and look alike, and the leaves (node, rep, size)
-    in which they met."""
+    """Edges (a, b, met) of forests over sets (rep long, sketch binary) that met and look alike, and the leaves (node, rep,
+    size) in which they met. met adds up to the number of meetings, a pair's in each leaf."""
     buckets = bucket_count(sets)
     needed = lambda depth: max(1, ceil(log(1 - recall) / log(1 - min(survival(threshold, depth), 0.999))))
     alike = least_alike(threshold)
@@ -164,16 +165,17 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> tuple[DataFr
         ran, deepest, leaves = runs.stop, max(deepest, depth), leaves.unionByName(more)
 
     def forests(table: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, met = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for reps, g, x, y in meetings(table, alike):
             root = _forest(g.stop - g.start, x, y)
             far = np.flatnonzero(root != np.arange(g.stop - g.start))
             a.append(reps[g][far])
             b.append(reps[g][root[far]])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            met.append(np.where(np.arange(len(far)) == 0, len(x), 0))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "met": np.concatenate(met)})
 
     rows = in_block_pairs(leaves, "node", "rep", LEAF_BLOCK, buckets).join(sets.select("rep", "sketch"), "rep")
-    return rows.groupBy("bucket").applyInArrow(forests, "a long, b long"), leaves
+    return rows.groupBy("bucket").applyInArrow(forests, "a long, b long, met long"), leaves
 
 
 def least_alike(threshold: float) -> int:
@@ -257,30 +259,38 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE
     reps = members.where("doc_id = rep AND n > 0")
     drawn = reps.select("rep").join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
     met, leaves = candidates(drawn, threshold, recall)
-    clusters = components(contracted(written(met, "met")))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n_cluster"))
-    sized = attach(clusters, sizes.withColumn("size", F.col("n_cluster")), "component", "n_cluster", "node")
-    wanted = written(sized.join(reps, sized.node == reps.rep).select("doc_id", "version", "copies", F.col("component").alias("cluster"), "size"), "wanted")
-    large = wanted.where(F.col("size") > BLOCK).select(F.col("doc_id").alias("rep"))
-    homes, pairs = met_blocks(leaves.join(large, "rep", "left_semi"), drawn, threshold)
+    met = written(met, "met")
+    clusters = components(contracted(met))
+    meets = met.where("met > 0").join(clusters, F.col("a") == F.col("node")).groupBy("component").agg(F.sum("met").alias("met"))
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("n_cluster")).join(meets, "component")
+    sparse = (F.col("n_cluster") > BLOCK) & (F.col("n_cluster") * F.col("n_cluster") > BLOCK * F.col("met"))
+    sized = attach(clusters, sizes.select("component", "n_cluster", F.col("n_cluster").alias("size"), sparse.alias("sparse")), "component", "n_cluster", "node")
+    wanted = written(sized.join(reps, sized.node == reps.rep).select("doc_id", "version", "copies", F.col("component").alias("cluster"), "size", "sparse"), "wanted")
+    chains = wanted.where("sparse").select(F.col("doc_id").alias("rep"))
+    dense = wanted.where("NOT sparse").withColumn("blocks", F.expr(f"CAST(ceil(size / {BLOCK}) AS bigint)")).withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)"))
+    dense = dense.withColumn("sides", F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
+    held = ["doc_id", "version", "copies", "cluster", "block", "sides"]
+    placed = dense.select(*held)
+    if not chains.isEmpty():
+        homes, pairs = met_blocks(leaves.join(chains, "rep", "left_semi"), drawn, threshold)
+        # the pairs of blocks that a set takes part in
+        sides = pairs.select(F.col("i").alias("block"), "i", "j").unionByName(pairs.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
+        sides = sides.groupBy("block").agg(F.collect_list(F.struct("i", "j")).alias("sides"))
+        own = wanted.where("sparse").join(homes.select(F.col("rep").alias("doc_id"), F.col("home").alias("block")), "doc_id")
+        placed = placed.unionByName(own.join(sides, "block").select(*held))
 
     def load(batches):
         for piece in (p for b in batches for p in ta.pieces([b], PIECE)):
             h, bounds = shingle_sets(piece.column("text"), shingle)
             cut = zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in ("doc_id", "copies", "block", "large")), pa.array([h[a:b].tobytes() for a, b in cut], pa.binary())], ["doc_id", "copies", "block", "large", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in ("doc_id", "copies", "cluster", "block", "sides")), pa.array([h[a:b].tobytes() for a, b in cut], pa.binary())], ["doc_id", "copies", "cluster", "block", "sides", "tokens"])
 
-    # a cluster of at most BLOCK sets is a block of its own
-    placed = wanted.join(homes.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", "version", "copies", F.coalesce("home", F.xxhash64("cluster")).alias("block"), F.col("home").isNotNull().alias("large"))
     # both sides are shuffled whatever their size, so that the plan is the same at any
-    loaded = rows.join(placed.hint("merge"), ["doc_id", "version"]).select("doc_id", "copies", "block", "large", "text").mapInArrow(load, "doc_id long, copies long, block long, large boolean, tokens binary").dropDuplicates(["doc_id"])
-    sides = pairs.select(F.col("i").alias("block"), "i", "j").unionByName(pairs.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
-    alone = F.col("block")
-    blocks = loaded.where("NOT large").withColumns({"i": alone, "j": alone}).drop("large").unionByName(loaded.where("large").join(sides, "block").drop("large"))
-    blocks = blocks.withColumn("bucket", F.expr(f"CAST(pmod(xxhash64(i, j), {buckets}) AS int)"))
+    loaded = rows.join(placed.hint("merge"), ["doc_id", "version"]).select("doc_id", "copies", "cluster", "block", "sides", "text").mapInArrow(load, "doc_id long, copies long, cluster long, block long, sides array<struct<i:long,j:long>>, tokens binary").dropDuplicates(["doc_id"])
+    blocks = loaded.select("doc_id", "copies", "cluster", "block", "tokens", F.inline("sides")).withColumn("bucket", F.expr(f"CAST(pmod(xxhash64(cluster, i, j), {buckets}) AS int)"))
 
     def verify(table: pa.Table) -> pa.Table:
-        table, groups = _groups(table, "i")
+        table, groups = _groups(table, "cluster")
         ids, copies, block, i, j = (table.column(k).to_numpy() for k in ("doc_id", "copies", "block", "i", "j"))
         tokens = table.column("tokens")
         out = [], [], []
