@@ -1,17 +1,68 @@
 """When a cached result may stand for a computed one: order-dependent decisions, folded over each branch's steps.
 
-A branch has some dozens of steps, so its steps are gathered in one sorted array and folded in the JVM; branches are
-spread over the cluster by key.
+A decision depends on those before it, so a branch is read in order. Branches are dealt by key and sorted inside their
+partition; a task passes over the sorted rows with the state of one branch, a few numbers. No branch is gathered, so one
+of any length takes time in proportion and no memory.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _steps(probes: DataFrame) -> DataFrame:
-    return probes.groupBy("branch").agg(F.array_sort(F.collect_list(F.struct("step", "distance", "layout"))).alias("steps"), F.max("step").alias("last"))
+class Branch:
+    """What decides about a branch's next step: the step and layout before, the skips in a row and their summed rise."""
+
+    def __init__(self):
+        self.step = self.layout = None
+        self.run, self.rise = 0, 0.0
+
+    def forced(self, step: int, layout, last: int, early: int, end_guard: int, most_skips: int) -> str | None:
+        """Why a step is computed whatever its distance, if it is."""
+        if step < early:
+            return "early"
+        if step >= last + 1 - end_guard:
+            return "late"
+        if self.step is None:
+            return "first"
+        if None not in (self.layout, layout) and layout != self.layout:
+            return "layout"
+        if step != self.step + 1:
+            return "gap"
+        return "run" if self.run >= most_skips else None
+
+    def took(self, step: int, layout, skipped: bool, rise: float) -> None:
+        self.step, self.layout = step, layout
+        self.run, self.rise = (self.run + 1, self.rise + rise) if skipped else (0, 0.0)
+
+
+def _decided(probes: DataFrame, early: int, end_guard: int, most_skips: int, rise: Callable[[float], float], keeps: Callable[[float, float], bool]) -> DataFrame:
+    """(branch, step, skip, reason): a step that nothing forces is skipped if keeps(summed rise before, its own rise)."""
+    lasts = probes.groupBy("branch").agg(F.max("step").alias("last"))
+    rows = probes.select("branch", "step", "distance", "layout").join(lasts, "branch").repartition("branch").sortWithinPartitions("branch", "step")
+    kind = dict(probes.dtypes)["branch"]
+
+    def fold(batches):
+        name, state = object(), None
+        for batch in batches:
+            reasons = []
+            for branch, step, distance, layout, last in zip(*(batch.column(c).to_pylist() for c in ("branch", "step", "distance", "layout", "last")), strict=True):
+                if branch != name:
+                    name, state = branch, Branch()
+                reason = state.forced(step, layout, last, early, end_guard, most_skips)
+                own = math.nan if distance is None else rise(distance)
+                if reason is None:
+                    reason = "skip" if keeps(state.rise, own) else "distance"
+                state.took(step, layout, reason == "skip", own)
+                reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([batch.column("branch"), batch.column("step").cast(pa.int64()), pa.array([r == "skip" for r in reasons], pa.bool_()), pa.array(reasons, pa.string())], ["branch", "step", "skip", "reason"])
+
+    return rows.mapInArrow(fold, f"branch {kind}, step long, skip boolean, reason string")
 
 
 def accumulated(probes: DataFrame, threshold: float, coefficients: list[float], first_skip: int, end_guard: int, most_skips: int) -> DataFrame:
@@ -19,26 +70,17 @@ def accumulated(probes: DataFrame, threshold: float, coefficients: list[float],
 
     A step is skipped while the sum of the polynomial of its distance and those of the skips before stays below the
     threshold. Computed anyway: steps before first_skip, the last end_guard ones, a branch's first, one after a change
-    of layout or a gap, and one after most_skips skips in a row. Computing sets the sum to zero.
+    of layout or a gap, and one after most_skips skips in a row. Computing sets the sum to zero. A null or NaN distance
+    is never below the threshold.
     """
-    rise = "0D"
-    for c in coefficients:
-        rise = f"({rise} * x.distance + {float(c)!r}D)"
-    fold = f"""
-      aggregate(steps, named_struct('acc', 0D, 'run', 0, 'prev', CAST(NULL AS BIGINT), 'layout', CAST(NULL AS STRING), 'out', CAST(array() AS ARRAY<STRUCT<step: BIGINT, reason: STRING>>)),
-        (s, x) -> transform(array(CASE
-            WHEN x.step < {first_skip} THEN 'early'
-            WHEN x.step >= last + 1 - {end_guard} THEN 'late'
-            WHEN s.prev IS NULL THEN 'first'
-            WHEN s.layout <> x.layout THEN 'layout'
-            WHEN s.prev + 1 <> x.step THEN 'gap'
-            WHEN s.run >= {most_skips} THEN 'run'
-            WHEN s.acc + {rise} < {float(threshold)!r}D THEN 'skip'
-            ELSE 'distance' END),
-          r -> named_struct('acc', IF(r = 'skip', s.acc + {rise}, 0D), 'run', IF(r = 'skip', s.run + 1, 0), 'prev', x.step, 'layout', x.layout,
-            'out', concat(s.out, array(named_struct('step', x.step, 'reason', r)))))[0],
-        s -> s.out)"""
-    return _steps(probes).select("branch", F.explode(F.expr(fold)).alias("d")).select("branch", "d.step", (F.col("d.reason") == "skip").alias("skip"), "d.reason")
+
+    def rise(distance: float) -> float:
+        out = 0.0
+        for c in coefficients:
+            out = out * distance + c
+        return out
+
+    return _decided(probes, first_skip, end_guard, most_skips, rise, lambda before, own: before + own < threshold)
 
 
 def residual(probes: DataFrame, threshold: float, warmup: int, end_guard: int, most_skips: int) -> DataFrame:
@@ -47,21 +89,7 @@ def residual(probes: DataFrame, threshold: float, warmup: int, end_guard: int, m
     Computed anyway: warm-up and last steps, the first, one after a change of layout or a gap, and after most_skips
     skips in a row.
     """
-    fold = f"""
-      aggregate(steps, named_struct('run', 0, 'prev', CAST(NULL AS BIGINT), 'layout', CAST(NULL AS STRING), 'out', CAST(array() AS ARRAY<STRUCT<step: BIGINT, reason: STRING>>)),
-        (s, x) -> transform(array(CASE
-            WHEN x.step < {warmup} THEN 'early'
-            WHEN x.step >= last + 1 - {end_guard} THEN 'late'
-            WHEN s.prev IS NULL THEN 'first'
-            WHEN s.layout <> x.layout THEN 'layout'
-            WHEN s.prev + 1 <> x.step THEN 'gap'
-            WHEN s.run >= {most_skips} THEN 'run'
-            WHEN x.distance < {float(threshold)!r}D THEN 'skip'
-            ELSE 'distance' END),
-          r -> named_struct('run', IF(r = 'skip', s.run + 1, 0), 'prev', x.step, 'layout', x.layout,
-            'out', concat(s.out, array(named_struct('step', x.step, 'reason', r)))))[0],
-        s -> s.out)"""
-    return _steps(probes).select("branch", F.explode(F.expr(fold)).alias("d")).select("branch", "d.step", (F.col("d.reason") == "skip").alias("skip"), "d.reason")
+    return _decided(probes, warmup, end_guard, most_skips, lambda distance: distance, lambda before, own: own < threshold)
 
 
 def report(decisions: DataFrame) -> DataFrame:

@@ -191,3 +191,18 @@ def test_rounds_number_a_hot_rank_in_ranges(spark, monkeypatch):
     for r in got:
         assert r.task == (want[r.rank][r.round] if r.round < len(want[r.rank]) else None)
     assert tensors.rounds(spark.createDataFrame([], "task long, rank long"), spark.range(2).select(F.col("id").alias("rank"))).collect() == []
+
+
+def test_decisions_of_a_long_branch_and_of_many(spark):
+    steps = spark.range(40_000).select(F.lit("long").alias("branch"), F.col("id").alias("step"), (F.col("id") % 7 / 10).alias("distance"), F.when(F.col("id") % 1000 == 0, "b").otherwise("a").alias("layout"))
+    more = steps.where("step < 50").withColumn("branch", F.explode(F.array(*[F.lit(f"b{i}") for i in range(20)])))
+    both = steps.union(more).repartition(5, "distance")
+    got = {(r.branch, r.step): r.reason for r in reuse.accumulated(both, 0.9, [1.0, 0.0], 2, 3, 4).collect()}
+    assert len(got) == 41_000 and {s for (b, s), r in got.items() if b == "long" and r == "late"} == {39_997, 39_998, 39_999}
+    state, run, want = 0.0, 0, []
+    for s in range(50):
+        layout, before = ("b" if s % 1000 == 0 else "a"), ("b" if (s - 1) % 1000 == 0 else "a")
+        reason = "early" if s < 2 else "late" if s >= 47 else "layout" if layout != before else "run" if run >= 4 else "skip" if state + s % 7 / 10 < 0.9 else "distance"
+        state, run = (state + s % 7 / 10, run + 1) if reason == "skip" else (0.0, 0)
+        want.append(reason)
+    assert all([got[f"b{i}", s] for s in range(50)] == want for i in range(20))
