@@ -764,4 +764,4 @@ def paired_frames(spark, sf_dir: str) -> DataFrame:
 
 
 # the other modules of queries register themselves
-from framelode import catalog_flow, catalog_layers, catalog_media, catalog_tensor  # noqa: E402, F401
+from framelode import catalog_flow, catalog_layers, catalog_media, catalog_requests, catalog_tensor  # noqa: E402, F401
