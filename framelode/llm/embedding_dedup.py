@@ -5,7 +5,7 @@ entered there and also asks the cells nearest to it. The scale of the lattice fo
 cell holds about as many strangers at any size; the number of tables follows from the scale by simulation, so that a
 pair at the threshold is met with the wanted probability. All pairs that meet are verified by cosine.
 
-Equal vectors are one entry with a count. Pairs are counted inside the tasks and never emitted: a pair belongs to
+An entry carries its vector, as floats where those hold it exactly. Equal vectors are one entry with a count. Pairs are counted inside the tasks and never emitted: a pair belongs to
 exactly one of the cells in which it meets, and a task returns, for each vector, its links and one edge of the cell's
 spanning forest. Cells with more than BLOCK rows are split into pairs of blocks.
 """
@@ -26,6 +26,8 @@ from .shared import attach, written
 BLOCK = 2048
 #: Rows of the largest broadcast list of heavy cells (16 bytes each).
 BROADCAST_CELLS = 1_000_000
+#: Entries of one bucket, about.
+ENTRIES = 200_000
 #: ∫p² of a standard normal is SPREAD per dimension; cells have volume 1.
 SPREAD = 0.5 / np.pi**0.5
 
@@ -38,20 +40,38 @@ def plan(n: int, cosine: float, probes: int, recall: float) -> tuple[float, int]
     return scale, max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(rate, 0.999)))))
 
 
-def unit_rows(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, unit vectors in double precision), one entry for each length of vector."""
+def units(v: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in double precision."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def rows_by_length(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors as doubles), one entry for each length of vector."""
     size = column.value_lengths().to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     start = np.cumsum(size) - size
     out = []
     for d in np.unique(size):
         rows = np.flatnonzero(size == d)
-        v = flat[start[rows][:, None] + np.arange(d)]
-        v = v / np.abs(v).max(1, keepdims=True)
-        out.append((rows, v / np.linalg.norm(v, axis=1, keepdims=True)))
+        out.append((rows, flat[start[rows][:, None] + np.arange(d)]))
     return out
 
 
+def packed(v: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The vectors' bytes, as floats where those hold them exactly, and whether they are doubles."""
+    floats = v.astype(np.float32)
+    wide = (floats != v).any(1)
+    return [(x if w else y).tobytes() for x, y, w in zip(v, floats, wide.tolist(), strict=True)], wide
+
+
+def unpacked(raw: list[bytes], wide: np.ndarray) -> np.ndarray:
+    """The vectors as doubles again; all have one length."""
+    if not wide.any():
+        return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+    return np.stack([np.frombuffer(x, np.float64 if w else np.float32).astype(np.float64) for x, w in zip(raw, wide.tolist(), strict=True)])
+
+
 def _cells(vectors: np.ndarray, scale: float, tables: int, probes: int, seed: int) -> np.ndarray:
     """Names of the cells of each vector: n x tables x (1 + probes), the home first."""
     dim = vectors.shape[1]
@@ -83,13 +103,14 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     """
     n = vectors.count()
     scale, tables = plan(n, cosine, probes, recall)
-    buckets = bucket_count(vectors)
     per = tables * (1 + probes)
+    # a bucket's entries fit a task at any size: about ENTRIES of them
+    buckets = max(bucket_count(vectors), -(-n * per // ENTRIES))
 
     def names(batches):
         for batch in batches:
-            for _, unit in unit_rows(batch.column("embedding")):
-                yield pa.RecordBatch.from_arrays([pa.array(_cells(unit, scale, tables, probes, seed).ravel().view(np.int64))], ["cell"])
+            for _, v in rows_by_length(batch.column("embedding")):
+                yield pa.RecordBatch.from_arrays([pa.array(_cells(units(v), scale, tables, probes, seed).ravel().view(np.int64))], ["cell"])
 
     heavy = vectors.select("embedding").mapInArrow(names, "cell long").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     heavy = written(heavy, "cells")
@@ -97,22 +118,23 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
 
     def enter(batches):
         for batch in batches:
-            for rows, unit in unit_rows(batch.column("embedding")):
+            for rows, v in rows_by_length(batch.column("embedding")):
                 for at in range(0, len(rows), 1000):
-                    part, own = unit[at : at + 1000], rows[at : at + 1000]
-                    cells = _cells(part, scale, tables, probes, seed)
+                    part, own = v[at : at + 1000], rows[at : at + 1000]
+                    cells = _cells(units(part), scale, tables, probes, seed)
                     k = len(own)
-                    raw = pa.array([x.tobytes() for x in part.astype(np.float64)], pa.binary())
+                    raw, wide = packed(part)
+                    raw, wide = pa.array(raw, pa.binary()), pa.array(wide)
                     all_cells = pa.array([x.tobytes() for x in cells.astype(np.uint32).reshape(k, -1)], pa.binary())
                     row = np.repeat(np.arange(k), per)
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().view(np.int64)), pa.array(np.tile(np.repeat(np.arange(tables), 1 + probes), k).astype(np.int32)), pa.array(np.tile(np.arange(1 + probes) == 0, k * tables)), batch.column("rep").take(pa.array(own)).take(take), batch.column("copies").take(pa.array(own)).take(take), raw.take(take), all_cells.take(take)], ["cell", "table", "home", "rep", "copies", "unit", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel().view(np.int64)), pa.array(np.tile(np.repeat(np.arange(tables), 1 + probes), k).astype(np.int32)), pa.array(np.tile(np.arange(1 + probes) == 0, k * tables)), batch.column("rep").take(pa.array(own)).take(take), batch.column("copies").take(pa.array(own)).take(take), raw.take(take), wide.take(take), all_cells.take(take)], ["cell", "table", "home", "rep", "copies", "vector", "wide", "cells"])
 
-    entered = vectors.select("rep", "copies", "embedding").mapInArrow(enter, "cell long, table int, home boolean, rep long, copies long, unit binary, cells binary")
+    entered = vectors.select("rep", "copies", "embedding").mapInArrow(enter, "cell long, table int, home boolean, rep long, copies long, vector binary, wide boolean, cells binary")
     block = F.expr("CAST(pmod(xxhash64(rep), blocks) AS int)")
     dealt = entered.join(heavy, "cell", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(block))
     dealt = dealt.withColumn("other", F.explode(F.expr("CASE WHEN blocks IS NULL THEN array(0) ELSE sequence(0, blocks - 1) END")))
-    dealt = dealt.select("cell", "table", "home", "rep", "copies", "unit", "cells", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = dealt.select("cell", "table", "home", "rep", "copies", "vector", "wide", "cells", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     dealt = dealt.withColumn("bucket", F.expr(f"CAST(pmod(xxhash64(cell, i, j), {buckets}) AS int)"))
 
     def owned(x: np.ndarray, y: np.ndarray, table: int, cell: int) -> np.ndarray:
@@ -125,19 +147,19 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        col = {k: table.column(k).to_numpy() for k in ("cell", "table", "home", "rep", "copies", "block", "i", "j")}
+        col = {k: table.column(k).to_numpy() for k in ("cell", "table", "home", "rep", "copies", "wide", "block", "i", "j")}
         order = np.lexsort((col["j"], col["i"], col["cell"]))
         col = {k: v[order] for k, v in col.items()}
         group = np.r_[True, (np.diff(col["cell"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)]
         at = np.flatnonzero(group)
         size = np.diff(np.r_[at, len(group)])
-        units, cells = (table.column(k).take(pa.array(order)).to_pylist() for k in ("unit", "cells"))
+        vectors, cells = (table.column(k).take(pa.array(order)).to_pylist() for k in ("vector", "cells"))
         reps, links, froms, tos = [], [], [], []
         for s, k in zip(at[size > 1].tolist(), size[size > 1].tolist(), strict=True):
             home = col["home"][s : s + k]
             if not home.any():
                 continue
-            v = np.frombuffer(b"".join(units[s : s + k]), np.float64).reshape(k, -1)
+            v = units(unpacked(vectors[s : s + k], col["wide"][s : s + k]))
             hit = np.triu(v @ v.T >= cosine, 1)
             if not hit.any():
                 continue
