@@ -28,7 +28,7 @@ FEATURES = 1 << 15
 LEXICON = 1000
 EPOCHS = 4
 #: Bytes of text that a task labels at a time.
-PIECE = 400_000
+PIECE = 200_000
 WORD = 0xD6E8FEB86659FD93
 #: ASCII bytes that are no letters part words.
 GAP = ta.byte_class(b for b in range(128) if not chr(b).isalpha())
