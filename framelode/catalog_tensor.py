@@ -42,8 +42,7 @@ def _tokens(spark, sf_dir: str) -> DataFrame:
 def sparse_block_pairs(spark, sf_dir: str) -> DataFrame:
     """The pairs of blocks that attention computes, and whether the mask protects the queries."""
     tokens = _tokens(spark, sf_dir).select("clip", "t", "y", "x", "mask")
-    shielded = sparse.protected(tokens, _LAYOUT, _KERNEL3).withColumn("protected", F.lit(1))
-    return sparse.block_pairs(tokens, _LAYOUT, _WINDOW, _KERNEL3).join(shielded, ["clip", "qb"], "left").select("qb", "kb", F.coalesce("protected", F.lit(0)).alias("protected"))
+    return sparse.block_pairs(tokens, _LAYOUT, _WINDOW, _KERNEL3).select("qb", "kb", "protected")
 
 
 @query(
@@ -54,7 +53,7 @@ def sparse_block_pairs(spark, sf_dir: str) -> DataFrame:
 def sparse_attention(spark, sf_dir: str) -> DataFrame:
     """Attention of every vector over the listed blocks; equal to dense attention behind a mask of pairs."""
     tokens = _tokens(spark, sf_dir)
-    pairs = sparse.block_pairs(tokens.select("clip", "t", "y", "x", "mask"), _LAYOUT, _WINDOW, _KERNEL3)
+    pairs = sparse.packed_pairs(tokens.select("clip", "t", "y", "x", "mask"), _LAYOUT, _WINDOW, _KERNEL3)
     out = sparse.sparse_attention(tokens, pairs, _LAYOUT, 0.125)
     return rounded(out.select(F.expr("t * 100 + y * 10 + x").alias("vec_id"), F.posexplode("out").alias("place", "out")), "out")
 

@@ -6,23 +6,29 @@ of queries meets the blocks of keys that hold a tile of the window around its ce
 mask touches it, it meets all.
 
 The list of pairs is made first, from tiles alone, by equi-joins: a window names its tiles, a masked token its
-neighbours. Vectors are then sent once for each listed pair and never for another. A task folds CHUNK blocks of keys into
-one partial result for each query; a second grouping merges those.
+neighbours. A block of queries that meets all keys is one row for each chunk of keys, not one for each of their blocks.
+Vectors are then sent once for each listed pair of a group of blocks of queries and a chunk of blocks of keys, both of
+about ROWS tokens, however many pairs of blocks are listed inside; a task computes only those, and gives one partial
+result for each query. A second grouping merges those.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelode.operators.tensors import SoftmaxFold
 
-#: Blocks of keys that one task folds.
-CHUNK = 64
+#: Tokens of a group of blocks of queries and of a chunk of blocks of keys, about, and the scores computed at once (32 MB).
+ROWS, SCORES = 32_000, 4_000_000
+#: Blocks of keys that one task folds at most.
+CHUNK = 4096
 
 
 def morton(y: Column, x: Column, bits: int = 16) -> Column:
@@ -44,6 +50,14 @@ class Layout:
         self.tile, self.query_tiles, self.key_tiles = tile, query_tiles, key_tiles
         self.down, self.across = height // tile[1], width // tile[2]
 
+    def group(self) -> int:
+        """Blocks of queries that one task asks for."""
+        return max(1, ROWS // (self.query_tiles * math.prod(self.tile)))
+
+    def chunk(self) -> int:
+        """Blocks of keys that one task folds."""
+        return max(1, min(CHUNK, ROWS // (self.key_tiles * math.prod(self.tile))))
+
     def tiles(self, tokens: DataFrame) -> DataFrame:
         """tokens (clip, t, y, x, ...) with the coordinates of their tile: a, b, c."""
         return tokens.withColumns({n: F.expr(f"{v} div {s}") for n, v, s in zip("abc", "tyx", self.tile, strict=True)})
@@ -83,11 +97,28 @@ def protected(tokens: DataFrame, layout: Layout, kernel: tuple[int, int, int]) -
     return layout.ordered(layout.tiles(near.join(tokens.select("clip", "t", "y", "x"), ["clip", "t", "y", "x"], "left_semi"))).select("clip", "qb").distinct()
 
 
+def packed_pairs(tokens: DataFrame, layout: Layout, window: tuple[int, int, int], kernel: tuple[int, int, int]) -> DataFrame:
+    """(clip, qb, chunk, kbs, protected): the listed blocks of keys of each chunk for each block of queries. A protected
+    block of queries has kbs null: every block of the chunk."""
+    chunks = layout.ordered(layout.tiles(tokens)).select("clip", F.expr(f"kb div {layout.chunk()}").alias("chunk")).distinct()
+    shielded = protected(tokens, layout, kernel)
+    whole = shielded.join(chunks, "clip").select("clip", "qb", "chunk", F.lit(None).cast("array<bigint>").alias("kbs"), F.lit(1).alias("protected"))
+    some = listed(tokens, layout, window).join(shielded, ["clip", "qb"], "left_anti").groupBy("clip", "qb", F.expr(f"kb div {layout.chunk()}").alias("chunk")).agg(F.collect_list("kb").alias("kbs"))
+    return some.withColumn("protected", F.lit(0)).unionByName(whole)
+
+
 def block_pairs(tokens: DataFrame, layout: Layout, window: tuple[int, int, int], kernel: tuple[int, int, int]) -> DataFrame:
-    """(clip, qb, kb): the listed pairs, and every block of keys for each protected block of queries."""
-    keys = layout.ordered(layout.tiles(tokens).select("clip", "a", "b", "c").distinct()).select("clip", "kb").distinct()
-    whole = protected(tokens, layout, kernel).join(keys, "clip")
-    return listed(tokens, layout, window).unionByName(whole).distinct()
+    """(clip, qb, kb, protected): the listed pairs, and every block of keys for each protected block of queries.
+
+    Pairs grow with the square of a clip's protected tokens, as rows of the result; none of them is shuffled, sorted or
+    held: a chunk's blocks are one array, met by each block of queries, and those are dealt evenly."""
+    packed = packed_pairs(tokens, layout, window, kernel)
+    chunk = F.expr(f"kb div {layout.chunk()}").alias("chunk")
+    held = layout.ordered(layout.tiles(tokens)).select("clip", "kb").distinct().groupBy("clip", chunk).agg(F.collect_list("kb").alias("every"))
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the rows of a chunk are many where a clip is long: they are dealt by their queries, the few arrays go to each task
+    dealt = packed.repartition(tasks, "clip", "qb").join(F.broadcast(held), ["clip", "chunk"])
+    return dealt.select("clip", "qb", F.explode(F.coalesce("kbs", "every")).alias("kb"), "protected")
 
 
 def _stacked(column) -> np.ndarray:
@@ -98,37 +129,58 @@ def _stacked(column) -> np.ndarray:
 def sparse_attention(tokens: DataFrame, pairs: DataFrame, layout: Layout, scale: float) -> DataFrame:
     """(clip, t, y, x, out): softmax over the keys of the listed blocks, times their values.
 
-    tokens (clip, t, y, x, q, k, v: arrays of numbers), pairs (clip, qb, kb). A block of keys is sent to each block of
-    queries that lists it, CHUNK of them to a task; no task holds all keys of a clip. Queries whose block lists nothing
-    are left out; a token whose k or v is null is no key, a null q raises.
+    tokens (clip, t, y, x, q, k, v: arrays of numbers), pairs (clip, qb, kb) or those of packed_pairs(). A chunk of keys
+    is sent to each group of queries that lists some of it; no task holds all keys of a clip. Queries whose block lists
+    nothing are left out; a token whose k or v is null is no key, a null q raises.
     """
     placed = layout.ordered(layout.tiles(tokens))
-    chunked = pairs.withColumn("chunk", F.expr(f"kb div {CHUNK}"))
+    packed = pairs if "kbs" in pairs.columns else pairs.groupBy("clip", "qb", F.expr(f"kb div {layout.chunk()}").alias("chunk")).agg(F.collect_list("kb").alias("kbs"))
+    group = F.expr(f"qb div {layout.group()}").alias("group")
+    key = ["clip", "group", "chunk"]
+    lists = packed.select("clip", group, "chunk", "qb", "kbs")
+    met = lists.select(*key).distinct()
     wide = lambda c: F.col(c).cast("array<double>").alias(c)
-    keys = placed.where("k IS NOT NULL AND v IS NOT NULL").groupBy("clip", "kb").agg(F.collect_list(F.struct(wide("k"), wide("v"))).alias("held"))
-    sent = chunked.join(keys, ["clip", "kb"]).select("clip", "qb", "chunk", F.inline("held"))
-    asked = chunked.select("clip", "qb", "chunk").distinct().join(placed.select("clip", "qb", "t", "y", "x", wide("q")), ["clip", "qb"])
+    keys = placed.where("k IS NOT NULL AND v IS NOT NULL").select("clip", F.expr(f"kb div {layout.chunk()}").alias("chunk"), "kb", wide("k"), wide("v"))
+    sent = met.join(keys, ["clip", "chunk"]).select(*key, "kb", "k", "v")
+    asked = met.join(placed.select("clip", group, "qb", "t", "y", "x", wide("q")), ["clip", "group"]).withColumn("asks", F.lit(True))
+    left = asked.unionByName(lists.withColumn("asks", F.lit(False)), allowMissingColumns=True)
     kind = dict(tokens.dtypes)
     place = [f"{c} {kind[c]}" for c in ("clip", "t", "y", "x")]
 
     def partial(a: pa.Table, b: pa.Table) -> pa.Table:
-        q = _stacked(a.column("q")) if len(a) else np.zeros((0, 1))
-        if a.column("q").null_count:
+        asks = a.column("asks")
+        own, rows = a.filter(pc.invert(asks)), a.filter(asks)
+        if rows.column("q").null_count:
             raise ValueError("a query of sparse_attention has no vector")
-        if not len(a) or not len(b):
-            own = a.slice(0, 0)
-            return own.select(["clip", "t", "y", "x", "qb"]).append_column("top", pa.array([], pa.float64())).append_column("norm", pa.array([], pa.float64())).append_column("part", pa.array([], pa.list_(pa.float64())))
-        score = q @ _stacked(b.column("k")).T * scale
-        top = score.max(1)
-        weight = np.exp(score - top[:, None])
-        part = weight @ _stacked(b.column("v"))
+        at, found = [], []
+        if len(rows) and len(b):
+            q, k, v, qb, kb = _stacked(rows.column("q")), _stacked(b.column("k")), _stacked(b.column("v")), rows.column("qb").to_numpy(), b.column("kb").to_numpy()
+            numbers, kbs = own.column("qb").to_numpy(), own.column("kbs").combine_chunks()
+            # those that ask for the whole chunk do so together
+            whole = kbs.is_null().to_numpy(zero_copy_only=False)
+            asking = [(np.flatnonzero(np.isin(qb, numbers[whole])), None)]
+            asking += [(np.flatnonzero(qb == numbers[i]), np.flatnonzero(np.isin(kb, kbs[i].values.to_numpy()))) for i in np.flatnonzero(~whole)]
+            for who, what in asking:
+                if what is not None and not len(what):
+                    continue
+                k1, v1 = (k, v) if what is None else (k[what], v[what])
+                step = max(1, SCORES // len(k1))
+                for i in range(0, len(who), step):
+                    score = q[who[i : i + step]] @ k1.T
+                    score *= scale
+                    top = score.max(1)
+                    score -= top[:, None]
+                    np.exp(score, out=score)
+                    at.append(who[i : i + step])
+                    found.append((top, score.sum(1), score @ v1))
+        if not at:
+            return rows.slice(0, 0).select(["clip", "t", "y", "x", "qb"]).append_column("top", pa.array([], pa.float64())).append_column("norm", pa.array([], pa.float64())).append_column("part", pa.array([], pa.list_(pa.float64())))
+        top, norm, part = (np.concatenate(x) for x in zip(*found, strict=True))
         lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1], part.ravel())
-        return a.select(["clip", "t", "y", "x", "qb"]).append_column("top", pa.array(top)).append_column("norm", pa.array(weight.sum(1))).append_column("part", lists)
+        return rows.select(["clip", "t", "y", "x", "qb"]).take(np.concatenate(at)).append_column("top", pa.array(top)).append_column("norm", pa.array(norm)).append_column("part", lists)
 
-    key = ["clip", "qb", "chunk"]
     # both come from pairs: the copies of its columns get ids of their own
-    sent = sent.toDF(*sent.columns)
-    parts = asked.toDF(*asked.columns).groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(partial, ", ".join([*place, "qb long, top double, norm double, part array<double>"]))
+    parts = left.toDF(*left.columns).groupBy(*key).cogroup(sent.toDF(*sent.columns).groupBy(*key)).applyInArrow(partial, ", ".join([*place, "qb long, top double, norm double, part array<double>"]))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = SoftmaxFold()

@@ -139,6 +139,22 @@ def test_sparse_attention_equals_dense_attention_behind_a_mask(spark, monkeypatc
         w = np.exp([0.4 * vectors[p][0] @ vectors[o][1] for o in seen])
         assert np.allclose(got[p], w @ np.array([vectors[o][2] for o in seen]) / w.sum())
 
+@pytest.mark.parametrize("rows", [1, 24, 32_000])
+def test_sparse_attention_sends_keys_to_groups_of_queries(spark, monkeypatch, rows):
+    monkeypatch.setattr(sparse, "ROWS", rows)
+    rng = np.random.default_rng(3)
+    places = [(t, y, x) for t in range(6) for y in range(4) for x in range(4)]
+    tokens = spark.createDataFrame([(1, *p, int(p == (0, 0, 0)), *(v.tolist() for v in rng.normal(size=(3, 4)))) for p in places], "clip long, t long, y long, x long, mask int, q array<double>, k array<double>, v array<double>").repartition(3)
+    layout = sparse.Layout(4, 4, (1, 2, 2), 2, 1)
+    packed = sparse.packed_pairs(tokens, layout, (1, 1, 1), (1, 1, 1))
+    pairs = sparse.block_pairs(tokens, layout, (1, 1, 1), (1, 1, 1))
+    # the one protected block of queries is a row for each chunk of keys
+    assert packed.where("kbs IS NULL").count() == packed.where("protected = 1").count() == -(-24 // layout.chunk())
+    assert pairs.count() == pairs.distinct().count() == 24 + 11 * 2
+    got, want = ({(r.t, r.y, r.x): r.out for r in sparse.sparse_attention(tokens, p, layout, 0.3).collect()} for p in (packed, pairs.select("clip", "qb", "kb")))
+    assert got.keys() == want.keys() == set(places)
+    assert all(np.allclose(got[p], want[p]) for p in places)
+
 
 def test_morton_column_and_bad_layouts(spark):
     rows = spark.range(64).select(F.expr("id div 8").alias("y"), F.expr("id % 8").alias("x")).withColumn("m", sparse.morton(F.col("y"), F.col("x"))).collect()
