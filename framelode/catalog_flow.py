@@ -71,7 +71,7 @@ def _commits(spark, sf_dir: str) -> DataFrame:
     start = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01")).cast("long")
     n = F.col("l_quantity").cast("long")
     version = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 16384 + start) * 64 + n
-    return bd.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip"), version.alias("version"), start.alias("start"), (start + n).alias("end")).distinct()
+    return bd.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clip"), version.alias("version"), start.alias("start"), (start + n).alias("end"))
 
 
 _CUT = "pt AS (SELECT DISTINCT clip, unnest([start, stop]) AS p FROM {0} WHERE stop > start), sg AS (SELECT clip, p, lead(p) OVER (PARTITION BY clip ORDER BY p) AS q FROM pt)"
@@ -89,8 +89,10 @@ def range_store_frames(spark, sf_dir: str) -> DataFrame:
     commits = _commits(spark, sf_dir)
     days = commits.groupBy("clip").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     frames = days.select("clip", F.explode(F.expr("sequence(low, high + 59)")).alias("frame"))
-    held = rangestore.owned(frames, rangestore.committed(commits)).join(commits.select("clip", "version", "start"), ["clip", "version"], "left")
-    value = F.coalesce(F.col("version") % 200 + F.col("frame") - F.col("start"), F.col("frame") % 256)
+    # ranges look up where their commit starts, not frames
+    ranges = rangestore.committed(commits).join(commits.select("clip", "version", F.col("start").alias("origin")).distinct(), ["clip", "version"])
+    held = rangestore.owned(frames, ranges)
+    value = F.coalesce(F.col("version") % 200 + F.col("frame") - F.col("origin"), F.col("frame") % 256)
     return held.select("clip", "frame", "version", value.alias("value"))
 
 

@@ -3,22 +3,28 @@
 Commits are rows (clip, version, start, end), [start, end) of whole frames or of a box of them. Nothing here makes a row
 for each frame of a commit:
 
+- End points cut a clip into ranges with one owner. Commits are cut at strips of STRIP frames, and a strip is painted in
+  one array, the latest version on top; it gives its end points, each with what was painted there. Strips are tied by
+  their first points, so no task sees a clip as a whole, and a task holds SIDE_BY_SIDE strips whatever their commits.
+
 - A range is a sum of at most 2 log2(length) nodes of a binary tree over the frame numbers, and a frame lies in one node
   of each level. "Which ranges hold this point" is then an equi-join on (clip, level, node), and the latest of them a
   partial maximum by node. Nodes of one range are disjoint, so each pair of a point and a range meets once.
-- End points cut a clip into ranges with one owner. A strip of STRIP frames orders its own points, and strips are ordered
-  by their first points, so no task sorts a clip as a whole.
+- Commits of more than LONG frames aren't cut at strips but meet the end points through such nodes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Frames of a strip.
-STRIP = 4096
+#: Frames of a strip, those of the longest commit that is cut at strips, and the strips that a task paints at once (10 MB).
+STRIP, LONG, SIDE_BY_SIDE = 4096, 64 * 4096, 256
 
 
 def _nodes(start: str, end: str) -> str:
@@ -59,13 +65,67 @@ def latest(points: DataFrame, commits: DataFrame, at: str = "frame") -> DataFram
     return named.join(nodes, ["clip", "level", "node"]).groupBy("clip", at).agg(F.max("version").alias("version"))
 
 
-def _pieces(points: DataFrame) -> DataFrame:
-    """(clip, start, end) between neighbours of distinct points (clip, start); after a clip's last point, none."""
-    strips = points.withColumn("strip", F.expr(f"start div {STRIP}"))
-    firsts = strips.groupBy("clip", "strip").agg(F.min("start").alias("first"))
-    onward = firsts.withColumn("after", F.lead("first").over(Window.partitionBy("clip").orderBy("strip"))).drop("first")
-    inside = strips.withColumn("next", F.lead("start").over(Window.partitionBy("clip", "strip").orderBy("start")))
-    return inside.join(onward, ["clip", "strip"]).select("clip", "start", F.coalesce("next", "after").alias("end")).where("end IS NOT NULL")
+def _painted(clip: str, bare: bool, strip: int):
+    """For mapInArrow: (clip, start, end, version) of rows (clip, strip, lo, hi, own, version, after) in order of clip and
+    strip; bare: also pieces without a version. A row is a commit cut to a strip, which own says it starts in; lo = hi
+    only marks; or, without lo, the first point behind the strip."""
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[clip]
+    none = np.iinfo(np.int64).min
+    schema = pa.schema([("clip", kind), ("start", pa.int64()), ("end", pa.int64()), ("version", pa.int64())])
+
+    def pieces(clips: pa.Array, strips: np.ndarray, owner: np.ndarray, mark: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(mark)
+        group = at // strip
+        start = strips[group] * strip + at % strip
+        last = np.r_[group[1:] != group[:-1], True] if len(at) else np.zeros(0, bool)
+        end = np.where(last, after[group], np.r_[start[1:], none] if len(at) else start)
+        version = owner.ravel()[at]
+        kept = (end != none) & (bare | (version != none))
+        return pa.RecordBatch.from_arrays([clips.take(pa.array(group[kept])), pa.array(start[kept]), pa.array(end[kept]), pa.array(version[kept], mask=version[kept] == none)], schema=schema)
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            clips, strips = batch.column("clip"), batch.column("strip").to_numpy()
+            moved = pc.not_equal(clips[1:], clips[:-1]).to_numpy(zero_copy_only=False) | (strips[1:] != strips[:-1])
+            first = np.r_[0, np.flatnonzero(moved) + 1]
+            whole = lambda c, batch=batch: pc.fill_null(batch.column(c), none).to_numpy()
+            lo, hi, version, after = (whole(c) for c in ("lo", "hi", "version", "after"))
+            own = batch.column("own").to_numpy(zero_copy_only=False)
+            for g in range(0, len(first), SIDE_BY_SIDE):
+                heads = first[g : g + SIDE_BY_SIDE]
+                end = first[g + SIDE_BY_SIDE] if g + SIDE_BY_SIDE < len(first) else len(batch)
+                n = len(heads)
+                owner, mark, behind = np.full((n, strip), none), np.zeros((n, strip), bool), np.full(n, none)
+                row = np.arange(heads[0], end)
+                base = np.repeat(np.arange(n), np.diff(np.r_[heads, end])) * strip
+                cut = lo[row] != none
+                np.maximum.at(behind, base[~cut] // strip, after[row[~cut]])
+                row, base = row[cut], base[cut]
+                mark.ravel()[(base + lo[row])[own[row]]] = True
+                mark.ravel()[(base + hi[row])[hi[row] < strip]] = True
+                flat, order = owner.ravel(), np.argsort(version[row], kind="stable")
+                order = order[(hi > lo)[row[order]]]
+                for i, j, v in zip((base + lo[row])[order].tolist(), (base + hi[row])[order].tolist(), version[row][order].tolist(), strict=True):
+                    flat[i:j] = v
+                names = clips.take(pa.array(heads))
+                if held is not None:
+                    if held[0][0] == names[0] and held[1][0] == strips[heads[0]]:
+                        np.maximum(owner[0], held[2][0], out=owner[0])
+                        mark[0] |= held[3][0]
+                        behind[0] = max(behind[0], held[4][0])
+                    else:
+                        yield pieces(*held)
+                if n > 1:
+                    yield pieces(names[:-1], strips[heads[:-1]], owner[:-1], mark[:-1], behind[:-1])
+                # the last strip may go on in the next batch
+                held = names[-1:], strips[heads[-1:]], owner[-1:].copy(), mark[-1:].copy(), behind[-1:]
+        if held is not None:
+            yield pieces(*held)
+
+    return paint
 
 
 def committed(commits: DataFrame) -> DataFrame:
@@ -74,24 +134,48 @@ def committed(commits: DataFrame) -> DataFrame:
     Ranges that no commit holds are left out. Neighbours of one commit stay apart where another one's end, which it has
     overwritten, lies between them. Equal versions are one commit.
     """
-    real = commits.where("end > start")
-    points = real.select("clip", F.explode(F.array("start", "end")).alias("start")).distinct()
-    pieces = _pieces(points)
-    return pieces.join(latest(pieces, real, "start"), ["clip", "start"]).select("clip", "start", "end", "version")
+    real = commits.where("end > start AND clip IS NOT NULL AND version IS NOT NULL").select("clip", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "version")
+    low, longest = real.agg(F.min("start"), F.max(F.col("end") - F.col("start"))).first()
+    if low is not None and low < 0:
+        raise ValueError(f"a range starts at {low}")
+    has_long = longest is not None and longest > LONG
+    kind = dict(real.dtypes)
+    # a range that many commits share is one row
+    same = real.groupBy("clip", "start", "end").agg(F.max("version").alias("version"))
+    strips = f"sequence(start div {STRIP}, end div {STRIP})"
+    strips = f"IF(end - start > {LONG}, array_distinct(array(start div {STRIP}, end div {STRIP})), {strips})" if has_long else strips
+    cut = same.withColumn("strip", F.explode(F.expr(strips)))
+    lo, hi = F.expr(f"greatest(start - strip * {STRIP}, 0L)"), F.expr(f"least(end - strip * {STRIP}, {STRIP}L)")
+    if has_long:  # their ends are marks, their versions come through nodes
+        is_long = F.expr(f"end - start > {LONG}")
+        cut = cut.select("clip", "strip", F.explode(F.when(is_long, F.array(*[F.struct(p.alias("lo"), p.alias("hi"), own.alias("own"), F.lit(None).cast("long").alias("version")) for p, own in ((F.col("start") - F.col("strip") * STRIP, F.lit(True)), (F.col("end") - F.col("strip") * STRIP, F.lit(True)))])).otherwise(F.array(F.struct(lo.alias("lo"), hi.alias("hi"), F.expr(f"start div {STRIP} = strip").alias("own"), F.col("version").cast("long").alias("version"))))).alias("_c")).select("clip", "strip", "_c.*").where(f"lo >= 0 AND lo <= {STRIP} - IF(version IS NULL, 1, 0)")
+    else:
+        cut = cut.select("clip", "strip", lo.alias("lo"), hi.alias("hi"), F.expr(f"start div {STRIP} = strip").alias("own"), F.col("version").cast("long").alias("version"))
+    points = same.select("clip", F.explode(F.array("start", "end")).alias("p"))
+    firsts = points.groupBy("clip", F.expr(f"p div {STRIP}").alias("strip")).agg(F.min("p").alias("first"))
+    onward = firsts.select("clip", "strip", F.lead("first").over(Window.partitionBy("clip").orderBy("strip")).alias("after")).where("after IS NOT NULL")
+    told = cut.unionByName(onward.withColumn("own", F.lit(False)), allowMissingColumns=True).repartition("clip", "strip").sortWithinPartitions("clip", "strip")
+    found = told.mapInArrow(_painted(kind["clip"], has_long, STRIP), f"clip {kind['clip']}, start long, end long, version long")
+    if has_long:
+        held = latest(found, real.where(F.expr(f"end - start > {LONG}")), "start").withColumnRenamed("version", "_long")
+        found = found.join(held, ["clip", "start"], "left").withColumn("version", F.greatest("version", "_long")).where("version IS NOT NULL")
+    return found.select("clip", "start", "end", F.col("version").cast(kind["version"]).alias("version"))
 
 
 def owned(frames: DataFrame, ranges: DataFrame) -> DataFrame:
-    """frames (clip, frame, ...) with version, null where no range of committed() holds them.
+    """frames (clip, frame, ...) with version, null where no range of committed() holds them, and what other columns the
+    ranges have.
 
     Ranges are cut at strips; inside a strip each frame takes the last range that starts at or before it.
     """
+    more = ["version", *[c for c in ranges.columns if c not in ("clip", "start", "end", "version")]]
     cut = ranges.withColumn("strip", F.explode(F.expr(f"sequence(start div {STRIP}, (end - 1) div {STRIP})")))
-    starts = cut.select("clip", "strip", F.greatest("start", F.col("strip") * STRIP).alias("_at"), F.struct(F.col("end"), F.col("version")).alias("_own"))
+    starts = cut.select("clip", "strip", F.greatest("start", F.col("strip") * STRIP).alias("_at"), F.struct("end", *more).alias("_own"))
     held = frames.withColumn("strip", F.expr(f"frame div {STRIP}")).withColumn("_at", F.col("frame"))
     both = starts.withColumn("_frame", F.lit(0)).unionByName(held.withColumn("_frame", F.lit(1)), allowMissingColumns=True)
     last = F.last("_own", ignorenulls=True).over(Window.partitionBy("clip", "strip").orderBy("_at", "_frame").rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("_last", last).where("_frame = 1")
-    return found.select(*frames.columns, F.when(F.col("frame") < F.col("_last.end"), F.col("_last.version")).alias("version"))
+    return found.select(*frames.columns, *[F.when(F.col("frame") < F.col("_last.end"), F.col(f"_last.{c}")).alias(c) for c in more])
 
 
 def after_resets(commits: DataFrame, resets: DataFrame) -> DataFrame:

@@ -138,6 +138,29 @@ def test_ranges_after_many_overlapping_commits(spark, monkeypatch, n, length, st
     held = {(r.clip, r.frame): r.version for r in rs.owned(frames, got).collect()}
     assert held == {k: want.get(k) for k in held} and len(held) == 4 * (4 * length + 3)
 
+@pytest.mark.parametrize("long", [5, 40, 10**6])
+def test_strips_are_painted_across_batches_and_only_long_commits_use_nodes(spark, monkeypatch, long):
+    monkeypatch.setattr(rs, "STRIP", 8)
+    monkeypatch.setattr(rs, "LONG", long)
+    monkeypatch.setattr(rs, "SIDE_BY_SIDE", 3)
+    asked, covering = [], rs.covering
+    monkeypatch.setattr(rs, "covering", lambda ranges: asked.append(1) or covering(ranges))
+    rows = commits_of(np.random.default_rng(12), 300, 3, 60)
+    commits = spark.createDataFrame(rows + rows[:5], "clip long, version long, start long, end long").repartition(4)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted((r.clip, r.start, r.end, r.version) for r in rs.committed(commits).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    own = owners_by_hand(rows)
+    want = []
+    for clip in {r[0] for r in rows}:
+        points = sorted({p for c, _, s, e in rows if c == clip and e > s for p in (s, e)})
+        want += [(clip, a, b, own[clip, a]) for a, b in zip(points, points[1:], strict=False) if (clip, a) in own]
+    assert got == sorted(want)
+    assert bool(asked) == (long < 60)
+
 
 def test_each_point_meets_each_range_that_holds_it_once(spark):
     rows = commits_of(np.random.default_rng(8), 60, 2, 40)
