@@ -7,17 +7,18 @@ masked frame in its deal range is skipped: its frames pass as they came in, the
 
 The plan of windows is a table; each frame brings along the windows that it is the last frame of, by one join on
 (clip, frame). State holds a clip's loaded frames that the next window still needs, so at most infer_len of them and
-what has arrived ahead of a missing frame. Frames may arrive in any order; one that windows load and that is behind its
+what has arrived ahead of a missing frame. A table's frames come in order, so there the state is the memory of one task. Frames may arrive in any order; one that windows load and that is behind its
 clip's frontier, or arrives twice, raises. Frames that no window loads pass when they come, without state.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -56,6 +57,13 @@ def with_windows(frames: DataFrame, plan: DataFrame) -> DataFrame:
     return frames.join(named.withColumn("loaded", F.lit(True)), ["clip", "frame"], "left").withColumn("loaded", F.coalesce("loaded", F.lit(False)))
 
 
+class Clip:
+    """A clip's state: its frontier and next window, frames that windows still need, the overlap left, windows that wait."""
+
+    def __init__(self, start: int = 0, window: int = 0):
+        self.start, self.window, self.held, self.carried, self.open = start, window, {}, {}, {}
+
+
 class Commit(StatefulProcessor):
     """Commits each window as its last missing frame arrives."""
 
@@ -70,36 +78,41 @@ class Commit(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         clip = int(key[0])
-        start, window = self.frontier.get() if self.frontier.exists() else (0, 0)
-        held = {f: (np.frombuffer(p, np.float64), m) for f, p, m in self.held.get()}
-        carried = {f: np.frombuffer(p, np.float64) for f, p in self.carried.get()}
-        open_windows = {w[0]: dict(zip(PARTS + BOX, w, strict=True)) for w in self.open.get()}
+        state = Clip(*(self.frontier.get() if self.frontier.exists() else (0, 0)))
+        state.held = {f: (np.frombuffer(p, np.float64), m) for f, p, m in self.held.get()}
+        state.carried = {f: np.frombuffer(p, np.float64) for f, p in self.carried.get()}
+        state.open = {w[0]: dict(zip(PARTS + BOX, w, strict=True)) for w in self.open.get()}
         for part in rows:
-            out = []
-            for frame, pixels, masked, loaded, closes in zip(part["frame"], part["pixels"], part["masked"], part["loaded"], part["closes"], strict=True):
-                frame, pixels = int(frame), np.asarray(pixels, np.float64)
-                if not loaded:
-                    out.append((clip, frame, pixels, None, False))
-                    continue
-                if frame < start or frame in held:
-                    raise ValueError(f"frame {frame} of clip {clip} is late or arrived twice")
-                held[frame] = pixels, bool(masked)
-                for w in closes if closes is not None else ():
-                    w = {c: None if pd.isna(w[c]) else int(w[c]) for c in PARTS + BOX}
-                    open_windows[w["window_index"]] = w
-            # a window needs the one before, which has left its overlap
-            while (w := open_windows.get(window)) and all(f in held for f in range(w["load_start"], w["load_end"])):
-                made, carried, start = self._committed(w, held, carried)
-                out += [(clip, *x) for x in made]
-                del open_windows[window]
-                window += 1
-                for f in [f for f in held if f < start]:
-                    del held[f]
-            if out:
+            told = zip(part["frame"], part["pixels"], part["masked"], part["loaded"], part["closes"], strict=True)
+            if out := self.advanced(clip, state, told):
                 yield pd.DataFrame(out, columns=["clip", "frame", "pixels", "window_index", "changed"]).astype({"window_index": "Int64"})
-        self.frontier.update((start, window))
-        for state, kept in ((self.held, [(f, p.tobytes(), m) for f, (p, m) in held.items()]), (self.carried, [(f, p.tobytes()) for f, p in carried.items()]), (self.open, [tuple(w[c] for c in PARTS + BOX) for w in open_windows.values()])):
-            state.put(kept) if kept else state.clear()
+        self.frontier.update((state.start, state.window))
+        for kept, values in ((self.held, [(f, p.tobytes(), m) for f, (p, m) in state.held.items()]), (self.carried, [(f, p.tobytes()) for f, p in state.carried.items()]), (self.open, [tuple(w[c] for c in PARTS + BOX) for w in state.open.values()])):
+            kept.put(values) if values else kept.clear()
+
+    def advanced(self, clip: int, state: Clip, rows: Iterable) -> list[tuple]:
+        """What rows (frame, pixels, masked, loaded, closes) of a clip let it commit; the state goes on."""
+        out = []
+        for frame, pixels, masked, loaded, closes in rows:
+            frame, pixels = int(frame), np.asarray(pixels, np.float64)
+            if not loaded:
+                out.append((clip, frame, pixels, None, False))
+                continue
+            if frame < state.start or frame in state.held:
+                raise ValueError(f"frame {frame} of clip {clip} is late or arrived twice")
+            state.held[frame] = pixels, bool(masked)
+            for w in closes if closes is not None else ():
+                w = {c: None if pd.isna(w[c]) else int(w[c]) for c in PARTS + BOX}
+                state.open[w["window_index"]] = w
+        # a window needs the one before, which has left its overlap
+        while (w := state.open.get(state.window)) and all(f in state.held for f in range(w["load_start"], w["load_end"])):
+            made, state.carried, state.start = self._committed(w, state.held, state.carried)
+            out += [(clip, *x) for x in made]
+            del state.open[state.window]
+            state.window += 1
+            for f in [f for f in state.held if f < state.start]:
+                del state.held[f]
+        return out
 
     def _committed(self, w: dict, held: dict, carried: dict) -> tuple[list, dict, int]:
         """What a window gives out, carries and leaves behind: (frame, pixels, window_index, changed) of its stable range
@@ -135,6 +148,36 @@ class Commit(StatefulProcessor):
         pass
 
 
+def _table_of(out: list[tuple]) -> pa.RecordBatch:
+    clip, frame, pixels, window, changed = zip(*out, strict=True)
+    sizes = np.cumsum([0, *map(len, pixels)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(pixels)))
+    return pa.RecordBatch.from_arrays([pa.array(clip, pa.int64()), pa.array(frame, pa.int64()), lists, pa.array(window, pa.int64()), pa.array(changed, pa.bool_())], ["clip", "frame", "pixels", "window_index", "changed"])
+
+
+def _in_order(commit: Commit) -> Callable:
+    """For mapInArrow: a table's rows in order of clip and frame. Only the clip at hand has a state, the task's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            lists = batch.column("pixels")
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            clips = batch.column("clip").to_numpy()
+            rows = list(zip(batch.column("frame").to_pylist(), (values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)), *(batch.column(c).to_pylist() for c in ("masked", "loaded", "closes")), strict=True))
+            cuts, out = [0, *(np.flatnonzero(clips[1:] != clips[:-1]) + 1).tolist(), len(rows)], []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if at != clips[i]:
+                    at, state = clips[i], Clip()
+                out += commit.advanced(int(at), state, rows[i:j])
+            if out:
+                yield _table_of(out)
+
+    return run
+
+
 def carried_windows(frames: DataFrame, plan: DataFrame, edit: Callable, mode: str = "before", whole: bool = False) -> DataFrame:
     """(clip, frame, pixels, window_index, changed) of frames (clip, frame, pixels array<double>, masked), each once.
 
@@ -146,7 +189,9 @@ def carried_windows(frames: DataFrame, plan: DataFrame, edit: Callable, mode: st
 box of the pixels (row after row, width to a row) they change. A window waits for all its frames and for the windows before it; what a missing frame holds up
     stays in the state.
     """
-    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    _ = frames.sparkSession.streams.active  # starts the coordinator of state stores, which a table needs too
     rows = with_windows(frames.select(F.col("clip").cast("long"), F.col("frame").cast("long"), F.col("pixels").cast("array<double>"), "masked"), plan)
+    if not frames.isStreaming:  # no state outlives a table: its frames come in order
+        dealt = rows.select("clip", "frame", "pixels", "masked", "loaded", "closes").repartition("clip").sortWithinPartitions("clip", "frame")
+        return dealt.mapInArrow(_in_order(Commit(edit, mode, whole)), OUT)
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     return rows.groupBy("clip").transformWithStateInPandas(statefulProcessor=Commit(edit, mode, whole), outputStructType=OUT, outputMode="Append", timeMode="None")

@@ -68,6 +68,19 @@ def test_carried_windows_equal_one_after_the_other(spark, infer_len, overlap, mo
         p, k, changed = want[r.clip, r.frame]
         assert np.allclose(r.pixels, p) and r.window_index == k and r.changed == changed, r
 
+def test_a_table_needs_no_state_store(spark):
+    rows = [(c, f, [float(f), 1.0], f == 3) for c in range(40) for f in range(9)]
+    frames = spark.createDataFrame(rows, "clip long, frame long, pixels array<double>, masked boolean").repartition(5)
+    out = carried.carried_windows(frames, plan_of(spark, [(c, 9) for c in range(40)], [(0, 9)], 5, 2), an_edit, "linear")
+    assert "TransformWithState" not in out._jdf.queryExecution().toString()
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # clips go on from batch to batch
+    try:
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted((r.clip, r.frame) for r in got) == [(c, f) for c in range(40) for f in range(9)]
+
 
 def batches(spark, tmp_path, parts, schema):
     for i, rows in enumerate(parts):
