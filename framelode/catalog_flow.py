@@ -53,10 +53,13 @@ def stream_carried_windows(spark, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "carried")
     quarter = F.ntile(4).over(Window.orderBy("day"))
     days = frames.select(F.to_date("ts").alias("day")).distinct().withColumn("quarter", quarter)  # as many rows as days
-    dealt = frames.withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day")
-    for q in range(1, 5):  # files in order of time, a batch each
-        dealt.where(F.col("quarter") == q).drop("ts", "day", "quarter").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(frames.drop("ts").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    dealt = frames.withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day").drop("ts", "day")
+    dealt.write.partitionBy("quarter").parquet(f"{folder}/dealt")  # frames are numbered once
+    dealt = spark.read.schema(dealt.schema).parquet(f"{folder}/dealt")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for q in range(1, 5):  # files in order of time; a batch is as many as a quarter's tasks write at most
+        dealt.where(F.col("quarter") == q).drop("quarter").repartition(files, "clip").write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(frames.drop("ts").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     out = streams.collected(carried.carried_windows(stream, _two_scenes(spark, sf_dir), _edit, "linear"), folder, "append")
     return rounded(out.select("clip", "frame", "window_index", "changed", F.posexplode("pixels").alias("place", "value")), "value")
 
