@@ -4,13 +4,14 @@ An image is rows of pixels, a clip frames. Each row goes to the tiles that hold
 result's first places along an axis are mixed with the last ones of the tile before, which by then has been mixed with
 its own neighbours: down first, then to the right. What a tile takes from one that is d tiles before lies d strides or
 more behind that one's start, so only the tiles up to ceil(extent / stride) before it matter, and of those only that
-rest. It is what they send; a task mixes a tile's neighbourhood in order and returns the tile's own part. There is no
-order between tasks, and no image is ever in one row or task.
+rest. It is what tiles of an image send; a task mixes a tile's neighbourhood in order and returns the tile's own part.
+Tiles of time are many and small: a task works on a run of them, and on those again that reach into it, so that nothing
+is sent. There is no order between tasks, and no image or clip is ever in one row or task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -18,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tiles of time that a task works on one after the other, for each that it works on twice and one more.
+RUN = 64
+
 
 def mixed(before: np.ndarray, tile: np.ndarray, extent: int, axis: int) -> np.ndarray:
     """tile with its first places along an axis mixed with the last ones of before; place 0 is all before's."""
@@ -33,9 +37,14 @@ def mixed(before: np.ndarray, tile: np.ndarray, extent: int, axis: int) -> np.nd
     return out
 
 
+def _first(at: str, tile: int, stride: int) -> str:
+    """SQL for the number of the first tile that holds a place."""
+    return f"greatest((CAST({at} AS bigint) - {tile}) div {stride} + IF({at} >= {tile}, 1, 0), 0L)"
+
+
 def _holding(at: str, tile: int, stride: int) -> str:
     """SQL for the numbers of the tiles that hold a place."""
-    return f"sequence(greatest((CAST({at} AS bigint) - {tile}) div {stride} + IF({at} >= {tile}, 1, 0), 0L), CAST({at} AS bigint) div {stride})"
+    return f"sequence({_first(at, tile, stride)}, CAST({at} AS bigint) div {stride})"
 
 
 def _whole(n: Fraction) -> int:
@@ -123,46 +132,100 @@ def tiled(rows: DataFrame, work: Callable, tile: tuple[int, int], stride: tuple[
     return made.groupBy("id", "to0", "to1").applyInArrow(mix, f"id {kind}, y long, x long, pixels array<double>").where("size(pixels) > 0")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows (clip, part, frame, pixels) in order as (clip, part, frames, frames x pixels), cut where the part changes."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        names = batch.column("clip").dictionary_encode()
+        code, part, frame = names.indices.fill_null(-1).to_numpy(zero_copy_only=False), batch.column("part").to_numpy(), batch.column("frame").to_numpy()
+        lists = batch.column("pixels")
+        if lists.null_count:
+            raise ValueError("a frame of a tile has no pixels")
+        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        wide = np.diff(ends)
+        cuts = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(batch)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if (wide[i:j] != wide[i]).any():
+                raise ValueError("frames of a clip have different lengths")
+            yield None if code[i] < 0 else names.dictionary[int(code[i])].as_py(), int(part[i]), frame[i:j], values[ends[i] : ends[j]].reshape(j - i, -1)
+        yield None  # a batch has ended
+
+
 def tiled_frames(frames: DataFrame, work: Callable, tile: int, stride: int, ratio: int) -> DataFrame:
     """(clip, frame, pixels): clips (clip, frame from 0 on, pixels) worked on in tiles of time, ratio frames to one.
 
     A tile takes tile + 1 frames from a multiple of stride on; work(frames x pixels) returns 1 + (n - 1) // ratio frames
     for n. Behind the first tile the first frame of a result goes, which the tile before has given. The seams are
-    (tile - stride) / ratio frames.
+    (tile - stride) / ratio frames. A clip is cut into parts of RUN tiles, and a task reads a part's frames in order; it
+    works again on the tiles before the part that reach into it. Of a part it holds the frames of one tile and a batch.
     """
     if not 0 < stride <= tile or tile % ratio or stride % ratio:
         raise ValueError("a stride must be in (0, tile], and both multiples of ratio")
     step, extent = stride // ratio, (tile - stride) // ratio
     # a later tile's result begins one frame behind its start, so it lies step frames behind the one before
     reach = -(-extent // step)
+    run = RUN * (1 + reach)
     kind = dict(frames.dtypes)["clip"]
-    placed = frames.select("clip", F.col("frame").cast("long").alias("frame"), F.col("pixels").cast("array<double>").alias("pixels")).withColumn("i", F.explode(F.expr(_holding("frame", tile + 1, stride))))
-    schema = pa.schema([("clip", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("to0", pa.int64()), ("place", pa.list_(pa.int32())), ("shape", pa.list_(pa.int32())), ("offset", pa.list_(pa.int32())), ("values", pa.binary())])
-
-    def apply(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
-        clip, i = (k.as_py() for k in key)
-        held = held.sort_by("frame")
-        at = held.column("frame").to_numpy()
-        if (at != i * stride + np.arange(len(at))).any():
-            raise ValueError(f"clip {clip} has a missing frame, or one twice")
-        source = held.column("pixels").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
-        out = np.asarray(work(source), np.float64)
-        if len(out) != 1 + (len(source) - 1) // ratio:
-            raise ValueError(f"a tile of {len(source)} frames gave {len(out)}")
-        if i:
-            out = out[1:]
-        # the first tile has a frame more, so its rest begins one later
-        rows = _sent({"clip": clip}, (i,), out, (step,), (reach,), 1)
-        if not i:
-            rows = [r for r in rows if r["to0"] == 0] + [{**r, "offset": [r["offset"][0] + 1, 0], "values": np.ascontiguousarray(out[r["offset"][0] + 1 :]).tobytes()} for r in rows if r["to0"] and r["offset"][0] + 1 < len(out)]
-        return pa.Table.from_pylist(rows, schema)
-
-    def mix(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
-        clip, i = (k.as_py() for k in key)
-        out = _neighbourhood(held.to_pylist(), (i,), (extent,), 1)
-        own = np.zeros((0, 0)) if out is None else out[: step + (i == 0)]
-        first = i * step + (1 if i else 0)
-        return pa.table({"clip": pa.array([clip] * len(own), schema.field("clip").type), "frame": pa.array(first + np.arange(len(own)), pa.int64()), "pixels": pa.array(list(own), pa.list_(pa.float64()))})
-
-    made = placed.groupBy("clip", "i").applyInArrow(apply, f"clip {kind}, to0 long, {SENT}")
-    return made.groupBy("clip", "to0").applyInArrow(mix, f"clip {kind}, frame long, pixels array<double>")
+    first, last = _first("frame", tile + 1, stride), f"CAST(frame AS bigint) div {stride}"
+    parts = F.expr(f"sequence({first} div {run}, greatest({last} + {reach}, 0L) div {run})")
+    placed = frames.select("clip", F.col("frame").cast("long").alias("frame"), F.col("pixels").cast("array<double>").alias("pixels")).withColumn("part", F.explode(parts))
+    schema = pa.schema([("clip", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("frame", pa.int64()), ("pixels", pa.list_(pa.float64()))])
+
+    class Part:
+        """A part's frames that are still needed, the next tile and what the tile before became."""
+
+        def __init__(self, clip, part: int):
+            self.key, self.clip, self.own = (clip, part), clip, part * run
+            self.tile = max(self.own - reach, 0)
+            self.start, self.held, self.before = self.tile * stride, None, None
+
+        def add(self, at: np.ndarray, pixels: np.ndarray) -> None:
+            due = self.start + (0 if self.held is None else len(self.held))
+            if (at != due + np.arange(len(at))).any() or self.held is not None and self.held.shape[1] != pixels.shape[1]:
+                raise ValueError(f"clip {self.clip} has a missing frame, one twice, or frames of different lengths")
+            self.held = pixels if self.held is None else np.concatenate([self.held, pixels])
+
+        def made(self, ended: bool) -> Iterator[tuple]:
+            """(clip, first frame, pixels) of the tiles whose frames are there; ended: no more will come."""
+            used = 0
+            while self.tile < self.own + run and (len(self.held) - used > tile or ended and len(self.held) > used):
+                source = self.held[used : used + tile + 1]
+                out = np.asarray(work(source), np.float64)
+                if len(out) != 1 + (len(source) - 1) // ratio:
+                    raise ValueError(f"a tile of {len(source)} frames gave {len(out)}")
+                i, out = self.tile, out[1:] if self.tile else out
+                self.before = out if self.before is None else mixed(self.before, out, extent, 0)
+                if i >= self.own and len(out):
+                    yield self.clip, i * step + (i > 0), self.before[: step + (i == 0)]
+                used, self.tile = used + stride, i + 1
+            # a copy, so that the batch can go
+            self.start, self.held = self.start + min(used, len(self.held)), self.held[used:].copy()
+
+    def table(made: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if made:
+            sizes = [len(m[2]) for m in made]
+            clips = pa.array([m[0] for m in made], schema.field("clip").type).take(pa.array(np.repeat(np.arange(len(made)), sizes)))
+            at = np.concatenate([m[1] + np.arange(n) for m, n in zip(made, sizes, strict=True)])
+            wide = np.repeat([m[2].shape[1] for m in made], sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(wide)].astype(np.int32)), pa.array(np.concatenate([m[2].ravel() for m in made])))
+            yield pa.RecordBatch.from_arrays([clips, pa.array(at, pa.int64()), lists], schema=schema)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, made = None, []
+        for piece in _pieces(batches):
+            if piece is None:
+                made += open_.made(False)
+                yield from table(made)
+                made = []
+                continue
+            if open_ is not None and open_.key != piece[:2]:
+                made += open_.made(True)
+                open_ = None
+            open_ = open_ or Part(*piece[:2])
+            open_.add(*piece[2:])
+        if open_ is not None:
+            yield from table([*open_.made(True)])
+
+    dealt = placed.repartition("clip", "part").sortWithinPartitions("clip", "part", "frame")
+    return dealt.mapInArrow(apply, f"clip {kind}, frame long, pixels array<double>")

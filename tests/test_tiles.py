@@ -91,6 +91,36 @@ def test_tiles_of_time(spark, frames, tile, stride):
     assert sorted(got) == list(range(len(want))) and np.allclose([got[f] for f in sorted(got)], want)
 
 
+@pytest.mark.parametrize(("run", "tile", "stride"), [(1, 10, 6), (2, 12, 4), (1, 8, 8), (3, 8, 2)])
+def test_tiles_of_time_are_no_groups_and_parts_of_a_clip_meet(spark, monkeypatch, run, tile, stride):
+    monkeypatch.setattr(tiles, "RUN", run, raising=False)
+    clips = {c: np.random.default_rng(n).normal(size=(n, 2)) for c, n in (("a", 71), ("b", 1), (None, 40), ("d", 13))}
+    want, step, extent = {}, stride // 2, (tile - stride) // 2
+    for clip, x in clips.items():
+        parts, rows = [paired(x[i : i + tile + 1])[1 if i else 0 :] for i in range(0, len(x), stride)], []
+        for i, t in enumerate(parts):
+            if i:
+                seam(parts[i - 1], t, extent, 0)
+            rows.append(t[: step + (not i)])
+        want |= {(clip, f): v for f, v in enumerate(np.concatenate(rows))}
+    df = spark.createDataFrame([(c, f, v.tolist()) for c, x in clips.items() for f, v in enumerate(x)], "clip string, frame long, pixels array<double>").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = tiles.tiled_frames(df, paired, tile, stride, 2)
+        got = out.collect()
+        with pytest.raises(Exception, match="missing frame"):
+            tiles.tiled_frames(df.where("clip <> 'a' OR frame <> 50"), paired, tile, stride, 2).collect()
+        with pytest.raises(Exception, match="missing frame"):
+            tiles.tiled_frames(df.where("clip <> 'a' OR frame > 0"), paired, tile, stride, 2).collect()
+        assert tiles.tiled_frames(df.limit(0), paired, tile, stride, 2).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(want) and all(np.allclose(r.pixels, want[r.clip, r.frame]) for r in got)
+    # a group in Python for each tile took most of the time
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 # --- patches ------------------------------------------------------------------------------------------------------
 
 
