@@ -155,15 +155,20 @@ def _frame_texts(spark, sf_dir: str) -> DataFrame:
     return bd.frames(spark, sf_dir).select("clip", "frame", text.cast("binary").alias("pixels"))
 
 
+def _writers(spark, sf_dir: str, least: int, frames: int) -> int:
+    """How many tasks write the frames: a task for so many of them, a least number for a small table."""
+    return max(least, -(-bd.table(spark, sf_dir, "events").count() // frames))
+
+
 def _ordered(spark, sf_dir: str) -> str:
     folder = _folder(spark, "ordered")
-    frameblocks.write_ordered(_frame_texts(spark, sf_dir), folder, 7)
+    frameblocks.write_ordered(_frame_texts(spark, sf_dir), folder, _writers(spark, sf_dir, 7, 200_000))
     return folder
 
 
 @query(f"SELECT clip, frame, {_TEXT} AS pixels, CAST(row_number() OVER (ORDER BY clip, frame) - 1 AS BIGINT) AS place FROM frames", "frames")
 def ordered_sink(spark, sf_dir: str) -> DataFrame:
-    """Clips written by seven tasks as one output and read back; place: the row's number as the parts follow each other."""
+    """Clips written by many tasks (seven at least) as one output and read back; place: the row's number as the parts follow each other."""
     rows = frameblocks.read_ordered(spark, _ordered(spark, sf_dir))
     # the partition's number and the row's in it, made one number by the rows of the partitions before
     numbered = rows.select("clip", "frame", F.col("pixels").cast("string").alias("pixels"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
@@ -215,7 +220,7 @@ def paired_outputs(spark, sf_dir: str) -> DataFrame:
     """Two outputs, of frames and of masks, written by different numbers of tasks and read as pairs; other counts raise."""
     folder = _folder(spark, "masks")
     mask = F.when(F.col("kind") == "purchase", "255").otherwise("0")
-    frameblocks.write_ordered(bd.frames(spark, sf_dir).select("clip", "frame", mask.cast("binary").alias("pixels")), folder, 3)
+    frameblocks.write_ordered(bd.frames(spark, sf_dir).select("clip", "frame", mask.cast("binary").alias("pixels")), folder, _writers(spark, sf_dir, 3, 300_000))
     read = lambda path: frameblocks.read_ordered(spark, path).select("clip", "frame", F.col("pixels").cast("string").cast("long").alias("value"))
     return tensors.paired(read(_ordered(spark, sf_dir)), read(folder)).withColumnRenamed("other", "mask")
 

@@ -3,7 +3,8 @@
 Writing has two phases. A task writes its frames behind each other into a data file, with an index of its runs (clip,
 first frame, count, offset, size), under names of its own; nothing of it can be seen. When all tasks have ended, the
 driver publishes one manifest that lists the parts in order of their first frame; a failed job removes its folder, and
-what a lost attempt has left is removed with the publication. write_ordered() also checks between the phases that every
+what a lost attempt has left is removed with the publication. A task writes into the folder that its job has made, so one
+that runs on when its job has been aborted leaves nothing. write_ordered() also checks between the phases that every
 clip is there once, from frame 0 and without a gap: a Spark job over the indexes.
 
 Parts are read in the manifest's order, so a clip larger than a task comes back in order without a sort. Paths are
@@ -15,6 +16,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -26,8 +28,8 @@ from framelode.sources.rawframes import opened
 
 SCHEMA = "clip long, frame long, pixels binary"
 INDEX = pa.schema([("clip", pa.int64()), ("first", pa.int64()), ("count", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
-#: Bytes that a reader or a copy holds at once.
-CHUNK = 8 << 20
+#: Bytes that a reader or a copy holds at once, and frames that a reader gives at once.
+CHUNK, ROWS = 8 << 20, 10_000
 
 
 class Part(WriterCommitMessage):
@@ -37,38 +39,71 @@ class Part(WriterCommitMessage):
         self.name, self.rows, self.low, self.high = name, rows, low, high
 
 
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Buffer | None]:
+    """Clips, frames, sizes of the pixels and their bytes behind each other; null pixels are empty."""
+    clip, frame = batch.column("clip"), batch.column("frame")
+    if clip.null_count or frame.null_count:
+        raise ValueError("a frame without clip or number")
+    pixels = batch.column("pixels").fill_null(b"").cast(pa.large_binary())
+    ends = np.frombuffer(pixels.buffers()[1], np.int64)[pixels.offset :][: len(pixels) + 1]
+    data = pixels.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])) if ends[-1] > ends[0] else None
+    return clip.to_numpy(), frame.to_numpy(), np.diff(ends), data
+
+
+def _check_order(clip: np.ndarray, frame: np.ndarray, last: tuple[int, int] | None) -> None:
+    before = (np.r_[clip[0] if last is None else last[0], clip[:-1]], np.r_[frame[0] - 1 if last is None else last[1], frame[:-1]])
+    wrong = np.flatnonzero((clip < before[0]) | (clip == before[0]) & (frame <= before[1]))
+    if len(wrong):
+        i = wrong[0]
+        raise ValueError(f"frame {frame[i]} of clip {clip[i]} comes after frame {before[1][i]} of clip {before[0][i]}")
+
+
+def _runs(clip: np.ndarray, frame: np.ndarray, at: int, sizes: np.ndarray) -> list[np.ndarray]:
+    """The columns of INDEX for frames whose bytes follow each other from at on."""
+    starts = np.r_[0, np.flatnonzero((clip[1:] != clip[:-1]) | (frame[1:] != frame[:-1] + 1) | (sizes[1:] != sizes[:-1])) + 1]
+    return [clip[starts], frame[starts], np.diff(np.r_[starts, len(clip)]), at + np.r_[0, np.cumsum(sizes)][starts], sizes[starts]]
+
+
+def _joined(runs: list[list[np.ndarray]]) -> pa.Table:
+    """The runs of all batches; what a batch has cut is one run again."""
+    clip, first, count, offset, size = (np.concatenate(c) for c in zip(*runs, strict=True))
+    starts = np.r_[0, np.flatnonzero((clip[1:] != clip[:-1]) | (first[1:] != first[:-1] + count[:-1]) | (size[1:] != size[:-1])) + 1]
+    return pa.table([clip[starts], first[starts], np.add.reduceat(count, starts), offset[starts], size[starts]], schema=INDEX)
+
+
 class Writer(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
         self.staged = options.get("staged", "false").lower() == "true"
         self.job = options.get("job") or uuid.uuid4().hex
+        files, root = opened(self.path)
+        files.create_dir(f"{root}/_data/{self.job}", recursive=True)
 
     def write(self, iterator):
         files, root = opened(self.path)
-        name, runs, out, at, rows, last = uuid.uuid4().hex, [], None, 0, 0, None
+        name, runs, out, at, rows, low, last = uuid.uuid4().hex, [], None, 0, 0, None, None
         try:
             for batch in iterator:
-                if batch.num_rows and out is None:
-                    files.create_dir(f"{root}/_data/{self.job}", recursive=True)
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    # the folder is the driver's: a task that outlives its job finds none, and leaves nothing
                     out = files.open_output_stream(f"{root}/_data/{self.job}/{name}.bin", compression=None)
-                for clip, frame, pixels in zip(*(batch.column(c).to_pylist() for c in ("clip", "frame", "pixels")), strict=True):
-                    if last is not None and (clip, frame) <= last:
-                        raise ValueError(f"frame {frame} of clip {clip} comes after frame {last[1]} of clip {last[0]}")
-                    size = len(pixels or b"")
-                    if runs and runs[-1]["clip"] == clip and runs[-1]["first"] + runs[-1]["count"] == frame and runs[-1]["size"] == size:
-                        runs[-1]["count"] += 1
-                    else:
-                        runs.append({"clip": clip, "first": frame, "count": 1, "offset": at, "size": size})
-                    out.write(pixels or b"")
-                    at, rows, last = at + size, rows + 1, (clip, frame)
+                clip, frame, sizes, data = _columns(batch)
+                _check_order(clip, frame, last)
+                runs.append(_runs(clip, frame, at, sizes))
+                if data is not None:
+                    out.write(data)
+                low = low or [int(clip[0]), int(frame[0])]
+                at, rows, last = at + int(sizes.sum()), rows + len(clip), (int(clip[-1]), int(frame[-1]))
         finally:
             if out is not None:
                 out.close()
         if not rows:
             return Part()
         with files.open_output_stream(f"{root}/_data/{self.job}/{name}.idx", compression=None) as f:
-            pq.write_table(pa.Table.from_pylist(runs, INDEX), f)
-        return Part(name, rows, [runs[0]["clip"], runs[0]["first"]], list(last))
+            pq.write_table(_joined(runs), f)
+        return Part(name, rows, low, list(last))
 
     def commit(self, messages):
         files, root = opened(self.path)
@@ -78,6 +113,8 @@ class Writer(DataSourceArrowWriter):
             for f in files.get_file_info(fs.FileSelector(f"{root}/_data/{self.job}")):
                 if f.base_name not in kept:
                     files.delete_file(f.path)
+        else:
+            files.delete_dir(f"{root}/_data/{self.job}")
         files.create_dir(f"{root}/_manifest", recursive=True)
         staged = f"{root}/_manifest/_{self.job}.json"
         with files.open_output_stream(staged, compression=None) as out:
@@ -155,19 +192,27 @@ class Reader(DataSourceReader):
             return
         files, root = opened(self.path)
         stem = f"{root}/_data/{part.job}/{part.name}"
-        runs = read_index(files, f"{stem}.idx").to_pylist()
+        clip, first, count, offset, size = (c.to_numpy() for c in read_index(files, f"{stem}.idx").columns)
+        if self.clip is not None:  # a clip's runs follow each other
+            own = clip == self.clip
+            clip, first, count, offset, size = (c[own] for c in (clip, first, count, offset, size))
+        before = np.r_[0, np.cumsum(count)]
         with files.open_input_file(f"{stem}.bin") as f:
-            for r in runs:
-                if self.clip is not None and r["clip"] != self.clip:
-                    continue
-                per = max(1, CHUNK // max(r["size"], 1))
-                for i in range(0, r["count"], per):
-                    n = min(per, r["count"] - i)
-                    f.seek(r["offset"] + i * r["size"])
-                    raw = f.read(n * r["size"])
-                    if len(raw) != n * r["size"]:
-                        raise ValueError(f"{stem}.bin ends inside clip {r['clip']}")
-                    yield pa.RecordBatch.from_arrays([pa.array([r["clip"]] * n, pa.int64()), pa.array(range(r["first"] + i, r["first"] + i + n), pa.int64()), pa.array([raw[k * r["size"] : (k + 1) * r["size"]] for k in range(n)], pa.binary())], ["clip", "frame", "pixels"])
+            row = 0
+            while row < before[-1]:
+                # as many frames of one run or of many as ROWS and CHUNK let pass, one at least
+                a, b = np.searchsorted(before, [row, min(row + ROWS, before[-1]) - 1], "right") - 1
+                rows = np.minimum(before[a + 1 : b + 2], row + ROWS) - np.maximum(before[a : b + 1], row)
+                ends = np.r_[0, np.cumsum(np.repeat(size[a : b + 1], rows))]
+                n = max(1, int(np.searchsorted(ends, CHUNK, "right")) - 1)
+                f.seek(int(offset[a] + (row - before[a]) * size[a]))
+                raw = f.read_buffer(int(ends[n]))
+                if raw.size != ends[n]:
+                    raise ValueError(f"{stem}.bin ends inside clip {clip[a]}")
+                frames = np.arange(row, row + n) + np.repeat(first[a : b + 1] - before[a : b + 1], rows)[:n]
+                pixels = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends[: n + 1].astype(np.int32)), raw])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(clip[a : b + 1], rows)[:n]), pa.array(frames), pixels], ["clip", "frame", "pixels"])
+                row += n
 
 
 def read_index(files, name: str) -> pa.Table:

@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -299,3 +300,33 @@ def test_what_a_lost_attempt_wrote_goes_with_the_publication(spark, tmp_path):
     writer.commit([writer.write(iter(batches)), writer.write(iter([])), None])
     assert len(fs.LocalFileSystem().get_file_info(fs.FileSelector(f"{tmp_path}/_data/{writer.job}"))) == 2
     assert whole(spark, str(tmp_path)) == want([(1, 9)])
+
+
+def test_a_task_that_outlives_its_job_leaves_nothing(spark, tmp_path):
+    batches = pictures(spark, [(1, 9)]).toArrow().to_batches()
+    fb.write_ordered(pictures(spark, [(2, 4)]), str(tmp_path), 2)
+    writer = fb.Writer({"path": str(tmp_path)}, True)
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter(batches))
+    assert len(os.listdir(f"{tmp_path}/_data")) == 1 and whole(spark, str(tmp_path)) == want([(2, 4)])
+
+
+@pytest.mark.parametrize(("rows", "chunk"), [(10_000, 8 << 20), (7, 8 << 20), (10_000, 50), (3, 2)])
+def test_frames_of_changing_sizes_are_read_many_at_once(spark, tmp_path, monkeypatch, rows, chunk):
+    monkeypatch.setattr(fb, "ROWS", rows, raising=False)
+    monkeypatch.setattr(fb, "CHUNK", chunk)
+    made = [(c, f, b"x" * ((c * f * f) % 5)) for c in (1, 2, 5) for f in range(40)]
+    table = pa.table([pa.array(x, k) for x, k in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["clip", "frame", "pixels"])
+    writer = fb.Writer({"path": str(tmp_path)}, True)
+    # batches that are slices, one of them empty
+    writer.commit([writer.write(iter([*table.slice(0, 33).to_batches(), *table.slice(33, 0).to_batches(), table.slice(33).to_batches()[0]]))])
+    reader = fb.Reader({"path": str(tmp_path)})
+    read = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [tuple(r.values()) for b in read for r in b.to_pylist()] == made
+    # a batch for each run of equal sizes before: most of the time of reading
+    assert all(len(b) <= rows for b in read) and (len(read) == 1 if rows + chunk > 8 << 20 and rows > 7 else len(read) > 1)
+    reader.clip = 2
+    assert [r["pixels"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == [p for c, _, p in made if c == 2]
+    with pytest.raises(ValueError, match="frame 0 of clip 1 comes after frame 39 of clip 5"):
+        writer.write(iter([*table.to_batches(), *table.to_batches()]))
