@@ -46,9 +46,13 @@ def tasks_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
 
 
-def report_tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The last report, an object that starts with "tasks", from each mixed log file: (path, report)."""
-    logs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+def report_tail(spark: SparkSession, path: str, schema: str, separator: str | None = None) -> DataFrame:
+    """The last report, an object that starts with "tasks", from each mixed log: (path, report).
+
+    A log is a file. separator: a file holds many logs, each of which ends with it, and Spark splits files between them.
+    """
+    read = spark.read.text(path, wholetext=True) if separator is None else spark.read.text(path, lineSep=separator)
+    logs = read.select(F.input_file_name().alias("path"), "value")
     mark = '{\n  "tasks"'
     tail = F.concat(F.lit(mark), F.substring_index("value", mark, -1))
     return logs.where(F.instr("value", mark) > 0).select("path", F.from_json(tail, schema).alias("report"))
@@ -59,6 +63,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def pack_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, sha256) of files that lie in packs: Parquet files of (name, content), a row for each, whatever bytes it holds."""
+    return spark.read.schema("name string, content binary").parquet(path).select("name", F.sha2("content", 256).alias("sha256"))
+
+
 def overlaid(base: DataFrame, patch: DataFrame) -> DataFrame:
     """Frames (clip, frame, value) with those that patch has taken from there: commits over a source."""
     over = patch.select("clip", "frame", F.col("value").alias("_new"))

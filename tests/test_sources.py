@@ -1,8 +1,10 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from framelode import catalog, catalog_media  # noqa: F401
 from framelode.sources import rawframes, texts
 from framelode.streaming import frames as streams
 
@@ -80,3 +82,30 @@ def test_streams_give_the_batch_result_over_several_files(spark, tmp_path):
     stream = spark.readStream.schema("clip long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     got = streams.collected(streams.fired_windows(stream, 9, 2), str(tmp_path / "out"), "append")
     assert sorted((r.window_index, r.load_start, r.load_end, r.stable_end) for r in got.collect()) == [(i, i * 7, i * 7 + 9, i * 7 + 7) for i in range(4)]
+
+
+def test_many_logs_of_a_file_and_many_files_of_a_pack(spark, tmp_path):
+    report = 'a\n{\n  "tasks": 0}\nb\n{\n  "tasks": %s}'
+    rows = spark.createDataFrame([(report % n,) for n in (1, 2, "null")] + [("no report",), (None,)], "value string")
+    rows.repartition(2).write.option("lineSep", "\x1e").text(str(tmp_path / "logs"))
+    got = texts.report_tail(spark, str(tmp_path / "logs"), "tasks long", "\x1e").collect()
+    assert sorted((r.report.tasks for r in got), key=str) == [1, 2, None]
+    odd = {"a": b"\x1e\n\x00\xff", "b": b"", "c": b"x\r\n"}
+    spark.createDataFrame([(k, bytearray(v)) for k, v in odd.items()], "name string, content binary").coalesce(1).write.parquet(str(tmp_path / "pack"))
+    assert {r.name: r.sha256 for r in texts.pack_digests(spark, str(tmp_path / "pack")).collect()} == {k: hashlib.sha256(v).hexdigest() for k, v in odd.items()}
+
+
+@pytest.mark.parametrize("name", ["log_reports", "file_digests"])
+def test_no_folder_for_each_key(spark, tmp_path, monkeypatch, name):
+    events = spark.createDataFrame([(u, 0.5 * i) for u in (*range(30), None) for i in range(3)] + [(77, None)], "user_id long, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    turns = [(c, t, f"{c}\x1e\r\n{t}") for c in range(-3, 30) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(catalog_media, "_folder", lambda spark, kind: str(tmp_path / kind))
+    got = {r[0]: tuple(r)[1:] for r in getattr(catalog_media, name)(spark, str(tmp_path)).collect()}
+    if name == "log_reports":
+        assert got == {u: (3, 1.5) for u in (*range(30), None)} | {77: (1, None)}
+    else:
+        assert got == {c: (hashlib.sha256("\n".join(x for d, _, x in turns if d == c).encode() + b"\n").hexdigest(),) for c in range(-3, 30)}
+    folder = tmp_path / ("logs" if name == "log_reports" else "files")
+    assert not [p for p in folder.iterdir() if p.is_dir()]
