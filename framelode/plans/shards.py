@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task of islands() orders, about.
+ROWS = 1_000_000
+
 
 def padded_shards(rows: DataFrame, degree: int) -> DataFrame:
     """Equal shards of sequences (id, length): rank, first, last (exclusive), padding up to the common size."""
@@ -32,14 +35,20 @@ def topology(ranks: DataFrame, sp: int, cfg: int) -> DataFrame:
 
 
 def islands(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Sets of integers as runs: (group, runs) such as "0-3,7,9-10".
+    """Sets of integers as runs: (group, runs) such as "0-3,7,9-10". Nulls count for nothing; of them alone runs is null.
 
-    A run is a set of values whose distance to their row number is the same.
+    A run begins where the value before is missing and ends where the next one is; only its ends are collected. Groups
+    are dealt to tasks of about ROWS rows, so that what a task orders doesn't grow with the table.
     """
-    number = F.row_number().over(Window.partitionBy(group).orderBy(value))
-    runs = rows.select(group, value).distinct().withColumn("island", F.col(value) - number).groupBy(group, "island").agg(F.min(value).alias("a"), F.max(value).alias("b"))
+    order = Window.partitionBy(group).orderBy(value)
+    at = F.col(value)
+    dealt = rows.select(group, value).distinct().repartition(max(1, -(-rows.count() // ROWS)), group)
+    first, last = F.coalesce(F.lag(at).over(order) < at - 1, F.lit(True)), F.coalesce(F.lead(at).over(order) > at + 1, F.lit(True))
+    ends = dealt.select(group, value, first.alias("first"), last.alias("last")).where("first OR last")
+    runs = ends.select(group, "first", at.alias("a"), F.when(F.col("last"), at).otherwise(F.lead(at).over(order)).alias("b")).where("first")
     text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
-    return runs.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"]), ",").alias("runs"))
+    listed = runs.groupBy(group).agg(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", text.alias("t"))))).alias("l"))
+    return listed.select(group, F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: x["t"]), ",")).alias("runs"))
 
 
 def cpu_map(rows: DataFrame, world: int) -> DataFrame:

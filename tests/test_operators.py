@@ -1,6 +1,7 @@
 """Small cases with known answers, invariants of plans, and equal results under another partitioning."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -141,6 +142,20 @@ def test_islands(spark):
     assert shards.islands(rows, "g", "v").first().runs == "1-3,7,9-10"
 
 
+def test_islands_of_many_groups_and_nulls_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(shards, "ROWS", 10, raising=False)
+    sets = {g: sorted(random.Random(g).sample(range(-9, 40), 1 + g % 30)) for g in range(60)}
+    rows = [(g, v) for g, vs in sets.items() for v in vs * 2] + [(1, None), (None, 5), (None, 6), (99, None)]
+    want = {None: "5-6", 99: None}
+    for g, vs in sets.items():
+        runs = [[v for v in vs if v - vs.index(v) == d] for d in sorted({v - i for i, v in enumerate(vs)})]
+        want[g] = ",".join(str(r[0]) if len(r) == 1 else f"{r[0]}-{r[-1]}" for r in runs)
+    out = shards.islands(spark.createDataFrame(rows, "g int, v long"), "g", "v")
+    assert {r.g: r.runs for r in out.collect()} == want
+    # what a task orders was a share of the table before, whatever its size
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_array_columns(spark):
     row = spark.createDataFrame([([3.0, 4.0, 0.0, -8.0], [0.0] * 4)], "v array<double>, z array<double>")
     v = F.col("v")
