@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelode.functions.numbers import optional_string
@@ -88,11 +88,15 @@ def static_masks(masks: DataFrame, clips: DataFrame) -> DataFrame:
 
 def held_masks(masks: DataFrame, length: int, ratio: float) -> DataFrame:
     """(clip, frame, mask): masks (clip, frame from 0 on, value) binarised by their clip's largest value, and brought to
-    length frames: later ones go, missing ones are the last frame's."""
-    top = masks.groupBy("clip").agg(F.max("value").alias("top"), F.max("frame").alias("last"))
-    frames = top.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")))).withColumn("frame", F.least("place", "last"))
+    length frames: later ones go, missing ones are the last frame's. Windows over a clip, which frames numbered by windows
+    already lie in order for; no row is joined."""
+    whole = Window.partitionBy("clip")
+    rows = masks.where("clip IS NOT NULL").select("clip", "frame", "value", F.max("value").over(whole).alias("top"), F.max("frame").over(whole).alias("last"))
     on = F.when((F.col("top") <= 0) | (F.col("value") <= F.col("top") * ratio), 0).otherwise(255)
-    return frames.join(masks, ["clip", "frame"]).select("clip", F.col("place").alias("frame"), on.alias("mask"))
+    # the last frame stands for all places from its own on
+    shown = rows.where(f"frame = last AND last < {length} OR frame BETWEEN 0 AND {length - 1}")
+    places = F.expr(f"IF(frame = last, sequence(greatest(CAST(frame AS bigint), 0L), {length - 1}L), array(CAST(frame AS bigint)))")
+    return shown.select("clip", F.explode(places).alias("frame"), on.alias("mask"))
 
 
 def request_ids(key: Column) -> Column:

@@ -53,6 +53,11 @@ def test_masks_are_held_and_scenes_picked(spark):
     rows = [(1, 0, 0.0), (1, 1, 9.0), (2, 0, -1.0), (2, 1, 0.0), (2, 2, 0.0)]
     held = rq.held_masks(spark.createDataFrame(rows, "clip int, frame long, value double"), 3, 0.5)
     assert sorted(map(tuple, held.collect())) == [(1, 0, 0), (1, 1, 255), (1, 2, 255), (2, 0, 0), (2, 1, 0), (2, 2, 0)]
+    odd = [(1, f, float(f)) for f in range(9)] + [(2, -3, 1.0), (2, -2, 9.0), (None, 0, 1.0), (3, 0, 4.0), (3, 2, 1.0), (3, None, 9.0)]
+    held = rq.held_masks(spark.createDataFrame(odd, "clip int, frame long, value double"), 4, 0.25)
+    assert sorted(map(tuple, held.collect())) == [(1, 0, 0), (1, 1, 0), (1, 2, 0), (1, 3, 255)] + [(2, p, 255) for p in range(4)] + [(3, 0, 255), (3, 2, 0), (3, 3, 0)]
+    # frames were built twice and joined with their places
+    assert "Join" not in held._jdf.queryExecution().executedPlan().toString()
     schema = "request int, objects int, scenes array<array<struct<start:long,length:long>>>"
     requests = spark.createDataFrame([(1, 3, [[(0, 5)], [(7, 2), (9, 1)]]), (2, 2, None), (3, 1, []), (4, 2, [None, [(1, 1)]])], schema)
     assert sorted(map(tuple, rq.scenes_of_objects(requests).collect())) == [(1, 0, 0, 5), (1, 1, 7, 2), (1, 1, 9, 1), (1, 2, 7, 2), (1, 2, 9, 1), (4, 1, 1, 1)]
