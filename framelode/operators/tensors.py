@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a matrix side that is broadcast at most (about 500 bytes each); a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
-#: Queries and keys of one block of attention(), about, and the queries multiplied at once (32 MB of scores).
-BLOCK, STRIP = 8000, 500
+#: Queries and keys of one block of attention(), about, and the queries multiplied at once (8 MB of scores).
+BLOCK, STRIP = 8000, 125
 #: Tasks of a rank that rounds() numbers together, about.
 RANGE = 100_000
 
@@ -71,14 +71,17 @@ def attention(queries: DataFrame, keys: DataFrame, scale: float) -> DataFrame:
             return asked.select(["q"]).slice(0, 0).append_column("top", pa.array([], pa.float64())).append_column("norm", pa.array([], pa.float64())).append_column("part", pa.array([], pa.list_(pa.float64())))
         if asked.column("v").null_count:
             raise ValueError("a query of attention has no vector")
-        q, k, value, found = matrix(asked, "v"), matrix(held, "v"), matrix(held, "value"), []
-        for i in range(0, len(q), STRIP):
-            score = q[i : i + STRIP] @ k.T * scale
-            top = score.max(1)
-            weight = np.exp(score - top[:, None])
-            found.append((top, weight.sum(1), weight @ value))
-        top, norm, part = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"q": asked.column("q"), "top": top, "norm": norm, "part": pa.array(list(part), pa.list_(pa.float64()))})
+        q, k, value = matrix(asked, "v"), matrix(held, "v"), matrix(held, "value")
+        top, norm, part = np.empty(len(q)), np.empty(len(q)), np.empty((len(q), value.shape[1]))
+        for i in range(0, len(q), STRIP):  # the scores of a strip are one array, which becomes its weights
+            own = slice(i, i + STRIP)
+            score = q[own] @ k.T
+            score *= scale
+            top[own] = score.max(1)
+            score -= top[own, None]
+            np.exp(score, out=score)
+            norm[own], part[own] = score.sum(1), score @ value
+        return pa.table({"q": asked.column("q"), "top": top, "norm": norm, "part": _lists(part)})
 
     parts = own_q.unionByName(own_k).groupBy("qb", "kb").applyInArrow(partial, f"q {kind}, top double, norm double, part array<double>")
 
@@ -88,7 +91,7 @@ def attention(queries: DataFrame, keys: DataFrame, scale: float) -> DataFrame:
             fold.add(batch.column("q").to_pylist(), batch.column("top").to_numpy(), batch.column("norm").to_numpy(), batch.column("part"))
         if fold.order:
             q, y = fold.result(arrow_type)
-            yield pa.RecordBatch.from_arrays([q, pa.array(list(y), pa.list_(pa.float64()))], ["q", "y"])
+            yield pa.RecordBatch.from_arrays([q, _lists(y)], ["q", "y"])
 
     arrow_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     # a block of queries again, whose parts meet one after the other
@@ -96,6 +99,11 @@ def attention(queries: DataFrame, keys: DataFrame, scale: float) -> DataFrame:
     return sums.select("q", F.posexplode("y").alias("place", "y"))
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """A matrix as lists, without a copy of its numbers."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 class SoftmaxFold:
     """Partial softmax sums of queries added up: for each the largest score, the norm and the weighted sum so far."""
 

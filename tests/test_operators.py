@@ -165,6 +165,17 @@ def test_array_columns(spark):
     assert [r[0] for r in spark.createDataFrame([("24000/1001",), ("25",), ("1/0",), ("x",), (None,)], "t string").select(nb.safe_fraction(F.col("t"))).collect()] == [24000 / 1001, 25, 0, 0, 0]
 
 
+def test_attention_in_strips_of_small_memory(spark, monkeypatch):
+    assert tensors.BLOCK * tensors.STRIP * 8 <= 8 << 20  # bytes of scores at once, in each of an executor's workers
+    monkeypatch.setattr(tensors, "STRIP", 7)
+    v = np.random.default_rng(4).normal(size=(40, 5))
+    rows = spark.createDataFrame([(i, x.tolist(), (x * 2).tolist()) for i, x in enumerate(v)], "k long, v array<double>, value array<double>")
+    got = {(r.q, r.place): r.y for r in tensors.attention(rows.select(F.col("k").alias("q"), "v"), rows, 3.0).collect()}
+    w = np.exp(v @ v.T * 3 - (v @ v.T * 3).max(1, keepdims=True))
+    want = w @ (v * 2) / w.sum(1, keepdims=True)
+    assert len(got) == 200 and np.allclose([got[i, p] for i in range(40) for p in range(5)], want.ravel())
+
+
 def test_attention_takes_all_keys_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(tensors, "BLOCK", 7, raising=False)
     monkeypatch.setattr(tensors, "BROADCAST_ROWS", 7)
