@@ -10,8 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that attach() broadcasts, whatever the size of the data.
-HEAVY_KEYS = 1000
+#: Keys that attach() broadcasts, whatever the size of the data, and the rows that each of them has more of.
+HEAVY_KEYS, HEAVY_ROWS = 1000, 100
 #: Folders that written() has made and nobody has released.
 _held: list[str] = []
 
@@ -53,11 +53,13 @@ def released(spark: SparkSession) -> Iterator[None]:
 def attach(rows: DataFrame, facts: DataFrame, key: str, count: str, spread: str) -> DataFrame:
     """rows left-joined with facts (one row a key, count: the key's rows), even if a key holds a third of all rows.
 
-    The HEAVY_KEYS most frequent keys are broadcast: a bound that doesn't grow. Rows they answer are dealt by the
-    column spread, the others by their key, of which none can have more than 1 / HEAVY_KEYS of the rows.
+    The HEAVY_KEYS most frequent keys of more than HEAVY_ROWS rows are broadcast: a bound that doesn't grow, and nothing
+    where no key is frequent. Rows they answer are dealt by the column spread, the others by their key, of which none can
+    have more than 1 / HEAVY_KEYS of the rows or HEAVY_ROWS. The others are always merged: the driver builds a table of
+    pages for each broadcast, however small, and callers come here in every round.
     """
     names = [c for c in facts.columns if c not in (key, count)]
-    top = F.broadcast(facts.orderBy(F.desc(count), key).limit(HEAVY_KEYS).select(F.col(key).alias("_top"), F.struct(*names).alias("_near")))
+    top = F.broadcast(facts.where(F.col(count) > HEAVY_ROWS).orderBy(F.desc(count), key).limit(HEAVY_KEYS).select(F.col(key).alias("_top"), F.struct(*names).alias("_near")))
     dealt = rows.join(top, F.col(key) == F.col("_top"), "left").withColumn("_key", F.when(F.col("_top").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s"))).otherwise(F.struct(F.lit(None).cast(dict(rows.dtypes)[key]).alias("k"), F.xxhash64(spread).alias("s"))))
     far = facts.select(F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s")).alias("_key"), F.struct(*names).alias("_far"))
-    return dealt.join(far, "_key", "left").withColumn("_all", F.coalesce("_near", "_far")).select(*rows.columns, *[F.col(f"_all.{c}").alias(c) for c in names])
+    return dealt.join(far.hint("merge"), "_key", "left").withColumn("_all", F.coalesce("_near", "_far")).select(*rows.columns, *[F.col(f"_all.{c}").alias(c) for c in names])
