@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, written
+from .shared import attach, in_tasks, written
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -22,23 +22,23 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b: long): the smallest node that it reaches.
 
     Every round a node takes the smallest label among its neighbours and then the label of its label, so labels cross
-    long chains in about log2 of their length. Each round is written to the shared folder, which ends its lineage. A
-    hub with very many links is answered by attach(), its sums are pre-aggregated. Nothing is collected but the number
-    of changes.
+    long chains in about log2 of their length. Where no neighbour has a smaller label, linked nodes have equal ones, and
+    these are final: a least node holds its own. Each round is written to the shared folder, which ends its lineage. A
+    hub with very many links is answered by attach(), its sums are pre-aggregated. Nothing is collected but whether a
+    label was lowered.
     """
     both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
     both = written(both, "links")
-    degree = both.groupBy("b").agg(F.count("*").alias("degree"))
-    labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
+    many = both.count()
+    labels = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("degree")).select(F.col("a").alias("node"), F.least("a", "least").alias("label"), "degree")
+    labels = written(in_tasks(labels, many), "labels")
     while True:
-        told = attach(both, degree.join(labels, degree.b == labels.node).select("b", "degree", "label"), "b", "degree", "a").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(told, labels.node == told.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        lower = written(lower, "labels")
+        told = attach(both, labels.select(F.col("node").alias("b"), "degree", "label"), "b", "degree", "a").groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(told, labels.node == told.a).select("node", F.least("label", "near").alias("label"), "degree", F.expr("near < label").alias("lowered"))
+        lower = written(in_tasks(lower, many), "labels")
+        if lower.where("lowered").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
         of_label = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         holders = lower.groupBy("label").agg(F.count("*").alias("holders"))
         jumped = attach(lower, holders.join(of_label, "label").select("label", "holders", "next"), "label", "holders", "node")
-        labels = written(jumped.select("node", F.least("label", "next").alias("label"), F.expr("least(label, next) <> was").alias("changed")), "labels")
-        changed = labels.where("changed").count()
-        labels = labels.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        labels = written(in_tasks(jumped.select("node", F.least("label", "next").alias("label"), "degree"), many), "labels")

@@ -30,7 +30,7 @@ from . import textarrays as ta
 from .anchors import bucket_count
 from .components import components, contracted
 from .embedding_dedup import _forest
-from .shared import attach, written
+from .shared import attach, in_tasks, written
 
 SHINGLE = 5
 COORDINATES = 64
@@ -142,19 +142,22 @@ def candidates(sets: DataFrame, threshold: float, recall: float) -> tuple[DataFr
         level = own.select("rep", "sketch").mapInArrow(lambda batches: split(batches, runs), kind)
         while True:
             depth += 1
-            # a set that two coordinates lead into one bucket is there once
-            level = written(level.dropDuplicates(["node", "rep"]) if depth > 1 else level, f"paths{depth}")
+            # a set is in a bucket once: the names of buckets hash the bucket above and the coordinate, and two coordinates differ
+            level = written(level, f"paths{depth}")
             sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-            sized = written(attach(level, sizes.withColumn("size", F.col("n")), "node", "n", "rep").where("size > 1"), f"nodes{depth}")
+            sized = attach(level, sizes.withColumn("size", F.col("n")), "node", "n", "rep").where("size > 1")
+            sized = written(in_tasks(sized, level.count()), f"nodes{depth}")
             parted = (F.col("size") > LEAF) & (F.col("size") <= ALIKE * F.col("above"))
             done = sized.where(~parted).select("node", "rep", "size")
             leaves = done if leaves is None else leaves.unionByName(done)
             large = sized.where(parted)
-            if depth == COORDINATES or large.isEmpty():
+            many = large.count()
+            if depth == COORDINATES or not many:
                 return leaves, depth, deep
             if depth == DEPTH:
                 deep = large.select("rep").distinct()
-            level = large.select("node", "rep", "size").join(sets.select("rep", "sketch"), "rep").select("node", "rep", "size", "sketch").mapInArrow(lambda batches: split(batches, runs), kind)
+            drawn = large.select("node", "rep", "size").join(sets.select("rep", "sketch"), "rep").select("node", "rep", "size", "sketch")
+            level = in_tasks(drawn, many).mapInArrow(lambda batches: split(batches, runs), kind)
 
     leaves, deepest, deep = recursed(sets, range(needed(DEPTH)))
     ran = needed(DEPTH)
@@ -252,12 +255,14 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE
 
     embedded = rows.mapInArrow(embed, "doc_id long, version long, n long, p long, q long, sketch binary")
     sets = written(embedded.groupBy("doc_id").agg(F.min(F.struct("version", "n", "p", "q", "sketch")).alias("s")).select("doc_id", "s.*"), "sets")
+    many = sets.count()
     same = F.struct("n", "p", "q").alias("same")
     groups = sets.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     members = attach(sets.select("doc_id", "version", "n", same), groups.withColumn("group", F.col("copies")), "same", "copies", "doc_id")
-    members = written(members.select("doc_id", "version", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("group", F.lit(1).cast("long")).alias("copies")), "members")
+    members = members.select("doc_id", "version", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("group", F.lit(1).cast("long")).alias("copies"))
+    members = written(in_tasks(members, many), "members")
     reps = members.where("doc_id = rep AND n > 0")
-    drawn = reps.select("rep").join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    drawn = written(in_tasks(reps.select("rep").join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep"), many), "drawn")
     met, leaves = candidates(drawn, threshold, recall)
     met = written(met, "met")
     clusters = components(contracted(met))
@@ -265,7 +270,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = SHINGLE
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n_cluster")).join(meets, "component")
     sparse = (F.col("n_cluster") > BLOCK) & (F.col("n_cluster") * F.col("n_cluster") > BLOCK * F.col("met"))
     sized = attach(clusters, sizes.select("component", "n_cluster", F.col("n_cluster").alias("size"), sparse.alias("sparse")), "component", "n_cluster", "node")
-    wanted = written(sized.join(reps, sized.node == reps.rep).select("doc_id", "version", "copies", F.col("component").alias("cluster"), "size", "sparse"), "wanted")
+    wanted = sized.join(reps, sized.node == reps.rep).select("doc_id", "version", "copies", F.col("component").alias("cluster"), "size", "sparse")
+    wanted = written(in_tasks(wanted, many), "wanted")
     chains = wanted.where("sparse").select(F.col("doc_id").alias("rep"))
     dense = wanted.where("NOT sparse").withColumn("blocks", F.expr(f"CAST(ceil(size / {BLOCK}) AS bigint)")).withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)"))
     dense = dense.withColumn("sides", F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))

@@ -6,12 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys that attach() broadcasts, whatever the size of the data, and the rows that each of them has more of.
 HEAVY_KEYS, HEAVY_ROWS = 1000, 100
+#: Rows that in_tasks() gives a task, and the tasks that it leaves at least.
+TASK_ROWS, LEAST_TASKS = 10_000, 32
 #: Folders that written() has made and nobody has released.
 _held: list[str] = []
 
@@ -36,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many tasks as so many rows ask for, never in more than it has: rounds on few rows write a file for each
+    task. Shuffles before it are dealt over as many partitions as ever, and neighbours are read one after the other."""
+    return df.coalesce(max(LEAST_TASKS, ceil(rows / TASK_ROWS)))
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Removes, at its end, the tables that written() has made inside: what was made of them must be stored by then."""

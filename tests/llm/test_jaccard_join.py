@@ -3,6 +3,7 @@ import random
 import re
 
 from framelode.llm import jaccard_join as jj
+from framelode.llm import shared
 from framelode.llm.components import components, contracted
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -99,6 +100,45 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components(df.limit(0)).collect() == []
 
 
+def test_components_end_with_the_round_that_lowers_nothing_and_write_few_files(spark):
+    """Before, two more shuffles and a table followed the last round, and each table had a file for each partition."""
+    df = spark.createDataFrame([(10 * i, 10 * i + k) for i in range(500) for k in range(1, 4)], "a long, b long")
+    held, kept = len(shared._held), {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.node: r.component for r in components(df).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert got == {10 * i + k: 10 * i for i in range(500) for k in range(4)}
+    tables = [x for x in shared._held[held:] if "/labels-" in x]
+    assert len(tables) == 2
+    assert all(len(spark.read.parquet(x).inputFiles()) <= shared.LEAST_TASKS for x in tables)
+
+
+def test_a_level_of_the_recursion_is_written_in_few_files_and_holds_a_set_once(spark):
+    """Before, equal rows were looked for by a shuffle of each level, and each table had a file for each partition."""
+    rng = random.Random(5)
+    base = [rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(60)]
+    rows = [(d, " ".join(w if rng.random() > 0.01 else f"x{rng.randrange(9)}" for w in base)) for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held, kept = len(shared._held), {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        jj.jaccard_join(docs)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    levels = [x for x in shared._held[held:] if re.search(r"/(nodes|paths)[2-9]\d*-", x)]
+    assert levels
+    for x in levels:
+        table = spark.read.parquet(x)
+        assert len(table.inputFiles()) <= shared.LEAST_TASKS
+        assert table.count() == table.select("node", "rep").distinct().count()
+
+
 def test_work_on_a_chain_follows_its_links(spark):
     rng = random.Random(7)
     words = ["w%d" % rng.randint(0, 10**6) for _ in range(15 * 3000 + 180)]
